@@ -2,10 +2,12 @@
 
 A document of T tokens gives full pieces of ``seq_len`` tokens, each a sequence of its own, and a remainder. The
 remainders' length histogram (at most ``seq_len - 1`` rows, whatever the input) goes to the driver, where a linear program
-over patterns is solved: a greedy run over the histogram gives the first basis, a knapsack by dynamic programming prices
-new patterns, and a revised simplex step takes them in, until no pattern can better the bound by ``tolerance``. Copies of
-patterns are rounded down, and what is left over, fewer sequences than there are lengths, is packed largest first.
-Documents are ranked within their length (by part and place in it), and ranks map to pattern copies.
+over patterns is solved. Its columns are patterns of items, and cuts: a remainder longer than half a sequence may count as
+a half and a rest, at a cost of ``CUT_COST`` sequences. Pairs that fill a sequence are fixed
+first; a greedy run over the rest of the histogram gives the first basis, a knapsack by
+dynamic programming prices new patterns, and revised simplex steps take them in. Copies of patterns and cuts are rounded
+down, and what is left over, fewer sequences than there are lengths, is cut and packed largest first. Documents are
+ranked within their length (by part and place in it), and ranks map to cuts and pattern copies.
 
 Defined results: a null text is an empty document (the end id alone); equal rows are packed apart; null ``doc_id`` stays
 null; an empty table gives no pieces. A sequence is padded to ``seq_len`` unless its tokens number a power of two.
@@ -25,9 +27,12 @@ from corvane.llm.common import materialize, spread
 from corvane.llm.tokens import END_ID, WordEncoder, default_tokenizer_path
 
 SEQ_LEN = 2048
-#: The linear program is left when its value is within this share of its lower bound.
+#: The linear program is left when no column can gain more than this share of a sequence.
 TOLERANCE = 0.001
-MAX_COLUMNS = 1500
+#: Sequences that a cut of one remainder costs in the linear program.
+CUT_COST = 0.02
+#: Simplex steps at most; any step leaves a whole plan, so this bounds the driver's time and not what is packed.
+MAX_COLUMNS = 40
 
 
 def greedy_runs(lengths: np.ndarray, counts: np.ndarray, seq_len: int, whole: bool) -> list[tuple[np.ndarray, float]]:
@@ -37,7 +42,7 @@ def greedy_runs(lengths: np.ndarray, counts: np.ndarray, seq_len: int, whole: bo
     A pattern is a row of item counts, one for each length.
     """
     left = counts.astype(np.float64).copy()
-    alive = [int(i) for i in range(len(lengths))]
+    alive = [int(i) for i in np.flatnonzero(counts > 0)]
     runs = []
     while alive:
         pattern = np.zeros(len(lengths), dtype=np.int64)
@@ -91,79 +96,134 @@ def price(lengths: np.ndarray, duals: np.ndarray, seq_len: int) -> tuple[float,
 
 def column_generation(lengths: np.ndarray, counts: np.ndarray, seq_len: int, tolerance: float = TOLERANCE,
                       max_columns: int = MAX_COLUMNS) -> list[tuple[np.ndarray, float]]:
-    """Patterns with fractional copies that cover the counts exactly, near the least number of sequences."""
-    m = len(lengths)
-    basis, x = [], []
-    taken = np.zeros(m, dtype=bool)
-    for pattern, copies in greedy_runs(lengths, counts, seq_len, whole=False):
-        basis.append(pattern)
-        x.append(copies)
-    # Each run used up a length of its own; lengths used up along with another get a pattern of their own, at zero copies.
-    left = counts.astype(np.float64).copy()
-    for pattern, copies in zip(basis, x):
+    """Columns with fractional amounts whose sum is exactly ``counts``, near the least cost.
+
+    A column without a negative entry is a pattern. A cut column has 1 for the length that is cut and takes 1 from its
+    two parts; all parts must be among ``lengths``. The first basis cuts all that can be cut.
+    """
+    m, half = len(lengths), seq_len // 2
+    row = {int(n): i for i, n in enumerate(lengths)}
+    cuts = {}
+    for i, n in enumerate(lengths):
+        if n > half:
+            column = np.zeros(m)
+            column[i] += 1
+            column[row[half]] -= 1
+            column[row[int(n) - half]] -= 1
+            cuts[i] = column
+    need = counts.astype(np.float64).copy()
+    basis, x, cost = [], [], []
+    for i, column in cuts.items():
+        basis.append(column)
+        x.append(need[i])
+        cost.append(CUT_COST)
+        need -= column * need[i]
+    taken = np.array([i in cuts for i in range(m)])
+    left = need.copy()
+    for pattern, copies in greedy_runs(lengths, need, seq_len, whole=False):
         used = np.flatnonzero(pattern)
         left[used] -= copies * pattern[used]
-        gone = [i for i in used if not taken[i] and left[i] <= 1e-6 * max(1.0, counts[i])]
-        for i in gone[:1]:
-            taken[i] = True
-    for i in np.flatnonzero(~taken):
-        single = np.zeros(m, dtype=np.int64)
+        gone = [i for i in used if not taken[i] and left[i] <= 1e-6 * max(1.0, need[i])]
+        taken[gone[:1]] = True
+        basis.append(pattern.astype(np.float64))
+        x.append(copies)
+        cost.append(1.0)
+    for i in np.flatnonzero(~taken):  # used up along with another length: a pattern of its own, at zero copies
+        single = np.zeros(m)
         single[i] = seq_len // int(lengths[i])
         basis.append(single)
         x.append(0.0)
-    columns, x = np.array(basis[:], dtype=np.float64).T, np.array(x)
-    if columns.shape[1] != m or np.linalg.matrix_rank(columns) < m:
-        columns = np.diag((seq_len // lengths).astype(np.float64))
-        x = counts / np.diag(columns)
+        cost.append(1.0)
+    columns, x, cost = np.array(basis).T, np.array(x), np.array(cost)
+    if columns.shape[1] != m:
+        raise AssertionError("the first basis is not square")
     inverse = np.linalg.inv(columns)
-    floor = float((lengths * counts).sum()) / seq_len
+    tails = np.array([row[int(lengths[i]) - half] for i in cuts], dtype=np.int64)
+    heads = np.array(list(cuts), dtype=np.int64)
     for _ in range(max_columns):
-        total = float(x.sum())
-        if total <= floor * (1 + tolerance):
-            break
-        worth, pattern = price(lengths, inverse.sum(axis=0), seq_len)
-        if worth <= 1 + tolerance:
+        duals = cost @ inverse
+        worth, entering, price_of = 0.0, None, 1.0
+        if len(heads):
+            gains = duals[heads] - duals[row[half]] - duals[tails] - CUT_COST
+            k = int(gains.argmax())
+            if gains[k] > tolerance:
+                worth, entering, price_of = float(gains[k]), cuts[int(heads[k])], CUT_COST
+        value, pattern = price(lengths, duals, seq_len)
+        if value - 1 > max(worth, tolerance):
+            entering, price_of = pattern.astype(np.float64), 1.0
+        if entering is None:
             break
-        step = inverse @ pattern
+        step = inverse @ entering
         rising = step > 1e-9
         ratios = np.where(rising, x / np.where(rising, step, 1.0), np.inf)
-        row = int(ratios.argmin())
-        if not np.isfinite(ratios[row]):
+        out = int(ratios.argmin())
+        if not np.isfinite(ratios[out]):
             break
-        amount = max(0.0, float(ratios[row]))
+        amount = max(0.0, float(ratios[out]))
         x = np.maximum(x - amount * step, 0.0)
-        x[row] = amount
-        columns[:, row] = pattern
-        pivot = inverse[row] / step[row]
-        step[row] = 0.0
+        x[out] = amount
+        columns[:, out] = entering
+        cost[out] = price_of
+        pivot = inverse[out] / step[out]
+        step[out] = 0.0
         inverse -= np.outer(step, pivot)
-        inverse[row] = pivot
+        inverse[out] = pivot
     return [(columns[:, k].astype(np.int64), float(x[k])) for k in range(m)]
 
 
-def plan(histogram: dict[int, int], seq_len: int = SEQ_LEN, tolerance: float = TOLERANCE) -> list[tuple[dict[int, int], int]]:
-    """Whole-number copies of patterns ``{length: items}`` that hold exactly the items of the histogram."""
+def plan(histogram: dict[int, int], seq_len: int = SEQ_LEN,
+         tolerance: float = TOLERANCE) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Whole-number copies of patterns ``{length: items}``, and how many items of each length are cut in two.
+
+    The patterns hold exactly the items of the histogram after the cuts.
+    """
+    half = seq_len // 2
     if not histogram:
-        return []
-    lengths = np.array(sorted(histogram), dtype=np.int64)
-    counts = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    left, runs = counts.copy(), []
-    for pattern, copies in column_generation(lengths, counts, seq_len, tolerance):
-        used = np.flatnonzero(pattern)
-        whole = int(min([np.floor(copies + 1e-9), *(left[used] // pattern[used])])) if len(used) else 0
-        if whole > 0:
-            left -= whole * pattern
-            runs.append((pattern, whole))
-    some = left > 0
-    back = np.flatnonzero(some)
+        return [], {}
+    names = set(histogram) | {half} | {n - half for n in histogram if n > half}
+    lengths = np.array(sorted(names), dtype=np.int64)
+    row = {int(n): i for i, n in enumerate(lengths)}
+    left = np.array([histogram.get(int(n), 0) for n in lengths], dtype=np.int64)
+    runs = []
+    for n in lengths[lengths > half]:  # two remainders that fill a sequence: nothing can do better for them
+        i, k = row[int(n)], row.get(seq_len - int(n))
+        if k is not None and (both := int(min(left[i], left[k]))) > 0:
+            pair = np.zeros(len(lengths), dtype=np.int64)
+            pair[[i, k]] = 1
+            left -= both * pair
+            runs.append((pair, both))
+    solved = column_generation(lengths, left, seq_len, tolerance)
+    cut: dict[int, int] = {}
+
+    def cut_items(i: int, n: int) -> None:
+        if n > 0:
+            cut[int(lengths[i])] = cut.get(int(lengths[i]), 0) + n
+            left[i] -= n
+            left[row[half]] += n
+            left[row[int(lengths[i]) - half]] += n
+
+    for column, amount in solved:
+        if (column < 0).any():
+            i = int(np.flatnonzero(column > 0).max())
+            cut_items(i, int(min(np.floor(amount + 1e-9), left[i])))
+    for column, amount in sorted(solved, key=lambda c: -c[1]):
+        if (column >= 0).all() and (used := np.flatnonzero(column)).size:
+            whole = int(min([np.floor(amount + 1e-9), *(left[used] // column[used])]))
+            if whole > 0:
+                left -= whole * column
+                runs.append((column, whole))
+    for i in np.flatnonzero((lengths > half) & (left > 0)):
+        cut_items(int(i), int(left[i]))
+    some = np.flatnonzero(left > 0)
     for part, copies in greedy_runs(lengths[some], left[some], seq_len, whole=True):
         pattern = np.zeros(len(lengths), dtype=np.int64)
-        pattern[back] = part
+        pattern[some] = part
         runs.append((pattern, int(copies)))
-    return [({int(lengths[i]): int(p[i]) for i in np.flatnonzero(p)}, c) for p, c in runs]
+    return [({int(lengths[i]): int(p[i]) for i in np.flatnonzero(p)}, c) for p, c in runs], cut
 
 
-PIECES = "part int, local_rank long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+PIECES = ("part int, local_rank long, doc_id long, start long, length long, ids_crc32 long, head_crc32 long, tail_crc32 long, "
+          "doc_tokens long, ids binary")
 
 
 def _pieces(path: str, end_id: int, seq_len: int, with_ids: bool):
@@ -173,7 +233,7 @@ def _pieces(path: str, end_id: int, seq_len: int, with_ids: bool):
         part, encoder = TaskContext.get().partitionId(), WordEncoder(path, end_id)
         seen: dict[int, int] = {}
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(10)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encoder.encode(text.as_py())
                 wide = memoryview(ids.astype("<u4")).cast("B")
@@ -182,11 +242,15 @@ def _pieces(path: str, end_id: int, seq_len: int, with_ids: bool):
                     rank = seen.get(length, 0)
                     seen[length] = rank + 1
                     crc = zlib.crc32(wide[4 * start:4 * (start + length)])
+                    head = tail = None
+                    if seq_len // 2 < length < seq_len:
+                        head = zlib.crc32(wide[4 * start:4 * (start + seq_len // 2)])
+                        tail = zlib.crc32(wide[4 * (start + seq_len // 2):4 * (start + length)])
                     kept = ids[start:start + length].tobytes() if with_ids else None
-                    for col, value in zip(cols, (part, rank, doc_id, start, length, crc, len(ids), kept)):
+                    for col, value in zip(cols, (part, rank, doc_id, start, length, crc, head, tail, len(ids), kept)):
                         col.append(value)
-            kinds = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
-            names = ["part", "local_rank", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+            kinds = [pa.int32(), *[pa.int64()] * 8, pa.binary()]
+            names = ["part", "local_rank", "doc_id", "start", "length", "ids_crc32", "head_crc32", "tail_crc32", "doc_tokens", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=names)
 
     return run
@@ -211,19 +275,55 @@ def _slots(runs: list[tuple[dict[int, int], int]], seq_len: int) -> dict[str, np
     return table
 
 
-def _assign(slots: dict[str, np.ndarray]):
+def _cut_table(cut: dict[int, int], natural: dict[int, int], seq_len: int) -> dict[str, np.ndarray]:
+    """By length: items cut (the first in rank), and the ranks among halves and among rests at which they begin."""
+    size, half = seq_len + 1, seq_len // 2
+    out = {k: np.zeros(size, dtype=np.int64) for k in ("cut", "head_rank", "tail_rank")}
+    halves = natural.get(half, 0)
+    for n in sorted(cut):
+        out["cut"][n], out["head_rank"][n], out["tail_rank"][n] = cut[n], halves, natural.get(n - half, 0)
+        if n - half == half:
+            raise AssertionError("a full piece is never cut")
+        halves += cut[n]
+    return out
+
+
+def _assign(slots: dict[str, np.ndarray], cuts: dict[str, np.ndarray], seq_len: int):
+    half = seq_len // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("rank").to_numpy(zero_copy_only=False)
+            col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("start", "length", "ids_crc32", "rank")}
+            is_cut = col["rank"] < cuts["cut"][col["length"]]
+            kept, both = np.flatnonzero(~is_cut), np.flatnonzero(is_cut)
+            n, r = col["length"], col["rank"]
+            rows = np.concatenate([kept, both, both])
+            length = np.concatenate([n[kept], np.full(len(both), half), n[both] - half])
+            rank = np.concatenate([r[kept] - cuts["cut"][n[kept]], cuts["head_rank"][n[both]] + r[both],
+                                   cuts["tail_rank"][n[both]] + r[both]])
+            # What is left of a length after its cuts comes first among its items, then the parts of others.
+            rank[len(kept):] -= cuts["cut"][length[len(kept):]]
+            start = np.concatenate([col["start"][kept], col["start"][both], col["start"][both] + half])
+            crc = [col["ids_crc32"][kept]]
+            if len(both):
+                crc += [batch.column(c).take(pa.array(both)).to_numpy(zero_copy_only=False).astype(np.int64)
+                        for c in ("head_crc32", "tail_crc32")]
             at = np.searchsorted(slots["key"], (length << 48) | rank, side="right") - 1
             inner, items = rank - slots["first"][at], slots["items"][at]
-            new = {"sequence_id": slots["sequence"][at] + inner // items,
-                   "offset": slots["offset"][at] + inner % items * length, "sequence_length": slots["padded"][at]}
-            keep = [batch.column(n) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
-            yield pa.RecordBatch.from_arrays(
-                [*keep, *map(pa.array, new.values()), batch.column("ids")],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *new, "ids"])
+            take = pa.array(rows)
+            ids = batch.column("ids").take(take)
+            if ids.null_count < len(ids):
+                whole = ids.to_pylist()
+                k, c = len(kept), len(kept) + len(both)
+                whole[k:c] = [b[:2 * half] for b in whole[k:c]]
+                whole[c:] = [b[2 * half:] for b in whole[c:]]
+                ids = pa.array(whole, pa.binary())
+            new = {"doc_id": batch.column("doc_id").take(take), "start": pa.array(start), "length": pa.array(length),
+                   "ids_crc32": pa.array(np.concatenate(crc)), "doc_tokens": batch.column("doc_tokens").take(take),
+                   "sequence_id": pa.array(slots["sequence"][at] + inner // items),
+                   "offset": pa.array(slots["offset"][at] + inner % items * length),
+                   "sequence_length": pa.array(slots["padded"][at]), "ids": ids}
+            yield pa.RecordBatch.from_arrays(list(new.values()), names=list(new))
 
     return run
 
@@ -243,11 +343,12 @@ def pack(docs: DataFrame, seq_len: int = SEQ_LEN, tokenizer_path: str | None = N
     counts = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     full = histogram.pop(seq_len, 0)
-    runs = plan(histogram, seq_len, tolerance)
+    runs, cut = plan(histogram, seq_len, tolerance)
+    cuts = _cut_table(cut, histogram, seq_len)
     if full:
         runs.append(({seq_len: 1}, full))
     ranked = pieces.join(counts.select("part", "length", "base"), ["part", "length"])
     ranked = ranked.withColumn("rank", F.col("local_rank") + F.col("base"))
     fields = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
               "sequence_length long, ids binary")
-    return ranked.mapInArrow(_assign(_slots(runs, seq_len)), fields)
+    return ranked.mapInArrow(_assign(_slots(runs, seq_len), cuts, seq_len), fields)
