@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize, spread
-from corvane.llm.tokens import END_ID, WordEncoder, default_tokenizer_path
+from corvane.llm.tokens import END_ID, default_tokenizer_path, encoder
 
 SEQ_LEN = 2048
 #: The linear program is left when no column can gain more than this share of a sequence.
@@ -230,12 +230,12 @@ def _pieces(path: str, end_id: int, seq_len: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), WordEncoder(path, end_id)
+        part, words = TaskContext.get().partitionId(), encoder(path, end_id)
         seen: dict[int, int] = {}
         for batch in batches:
             cols: list[list] = [[] for _ in range(10)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py())
+                ids = words.encode(text.as_py())
                 wide = memoryview(ids.astype("<u4")).cast("B")
                 for start in range(0, len(ids), seq_len):
                     length = min(seq_len, len(ids) - start)

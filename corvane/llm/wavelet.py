@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import shared_dir
-from corvane.llm.tokens import END_ID, WordEncoder, default_tokenizer_path
+from corvane.llm.tokens import END_ID, default_tokenizer_path, encoder
 
 SHARD_TOKENS = 1_000_000
 MAGIC = b"WVM1"
@@ -52,10 +53,10 @@ class WaveletMatrix:
         return cls(n, bits, planes, zeros)
 
     def to_bytes(self) -> bytes:
-        """Header, zero counts and each plane, deflated."""
+        """Header, zero counts and each plane, compressed."""
         out = [MAGIC, struct.pack("<QH", self.n, self.bits), np.array(self.zeros, dtype="<u8").tobytes()]
         for plane in self.planes:
-            packed = zlib.compress(plane.tobytes(), 1)
+            packed = zstandard.compress(plane.tobytes(), 1)
             out += [struct.pack("<I", len(packed)), packed]
         return b"".join(out)
 
@@ -70,7 +71,7 @@ class WaveletMatrix:
         planes = []
         for _ in range(bits):
             (size,) = struct.unpack_from("<I", data, at)
-            planes.append(np.frombuffer(zlib.decompress(data[at + 4:at + 4 + size]), dtype=np.uint8))
+            planes.append(np.frombuffer(zstandard.decompress(data[at + 4:at + 4 + size]), dtype=np.uint8))
             at += 4 + size
         return cls(n, bits, planes, zeros)
 
@@ -164,7 +165,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), WordEncoder(path, end_id)
+        part, words = TaskContext.get().partitionId(), encoder(path, end_id)
         ids, arrays, size, shard = [], [], 0, 0
 
         def close() -> pa.RecordBatch:
@@ -176,7 +177,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = encoder.encode(text.as_py())
+                got = words.encode(text.as_py())
                 ids.append(doc_id)
                 arrays.append(got)
                 size += len(got)
