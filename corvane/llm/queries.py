@@ -11,18 +11,54 @@ from corvane.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import pii
+
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import quality_model
+
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import wavelet
 
     return wavelet.roundtrip(table(spark, sf_dir, "documents")).drop("part", "shard")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import decontam
+
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import quality_rules
+
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import packing
 
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import kneser_ney
+
+    return kneser_ney.perplexity(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
