@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: A regular expression for the white space that separates words: space and the controls 9 to 13.
-WORD_SPLIT = r"[\x20\x09-\x0D]+"
+from corvane.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,10 +48,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def salted_hash(*cols):
-    return F.xxhash64(*cols)
-
-
 def local_path(uri: str) -> str | None:
     """The path behind a ``file:`` address or a plain path; None for another store."""
     if uri.startswith("file://"):
@@ -61,7 +55,3 @@ def local_path(uri: str) -> str | None:
     if uri.startswith("file:"):
         return uri[len("file:"):]
     return uri if "://" not in uri else None
-
-
-def ensure_local_parent(path: str) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)

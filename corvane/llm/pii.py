@@ -194,11 +194,15 @@ def pseudonymize(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     return step.select(*docs.columns)
 
 
+def _is(kind: str):
+    return lambda k: k == kind
+
+
 def report(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     """One row a document: its text with pseudonyms, and how many values of each kind were replaced."""
     step = marked(docs.select("doc_id", "text"), key)
     pairs = F.filter(F.zip_with(f"{_P}found", f"{_P}new", lambda a, b: F.struct(a.alias("a"), (a != b).alias("c"))), lambda p: p["c"])
     kinds = F.transform(pairs, lambda p: kind_of(p["a"]))
     step = step.withColumn(f"{_P}kinds", kinds)
-    counts = [F.size(F.filter(f"{_P}kinds", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    counts = [F.size(F.filter(f"{_P}kinds", _is(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return step.select("doc_id", _rewritten().alias("text"), *counts)

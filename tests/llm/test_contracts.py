@@ -294,3 +294,43 @@ def brute_kneser_ney(_, __, docs_of, rows):
         toks = docs_of[i, text]
         out.setdefault(i, []).append(sum(np.log10(p(a, b)) for a, b in zip(["\x00begin", *toks], toks)))
     return out
+
+
+def luhn(d):
+    total = 0
+    for k, c in enumerate(reversed(d)):
+        x = int(c) * (2 if k % 2 else 1)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def test_op3(spark, docs):
+    from corvane.llm import pii
+
+    lines = [
+        "card 4111 1111 1111 1111 and 4111111111111111, not 4111111111111112.",
+        "ip 10.0.0.255 bad 300.1.1.1; date 2021-02-28 bad 2021-02-30 and 31/12/1999 12/31/1999",
+        "ssn 123-45-6789 bad 000-12-3456; phone +1 (743) 555-3824 or 212-555-0187; mail Ann.b@x.example.com a@b", "", None,
+        "4111111111111111", "a.a" * 5000 + "@" + "b." * 3000,
+    ]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    a = re.findall(r"\d[\d ]{14,18}\d", got[0].text)
+    assert luhn(a[0].replace(" ", "")) and a[0].replace(" ", "") == a[1] and a[1] != "4111111111111111" and a[2] == "4111111111111112"
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", a[0]) and got[5].text == a[1]
+    m = re.fullmatch(r"ip (\S+) bad 300\.1\.1\.1; date (\S+) bad 2021-02-30 and (\S+) (\S+)", got[1].text)
+    assert m and m[1] != "10.0.0.255" and all(0 <= int(x) <= 255 for x in m[1].split("."))
+    import datetime as dt
+
+    assert dt.date.fromisoformat(m[2]) != dt.date(2021, 2, 28)
+    one, other = dt.datetime.strptime(m[3], "%d/%m/%Y"), dt.datetime.strptime(m[4], "%m/%d/%Y")
+    assert one == other
+    m = re.fullmatch(r"ssn (\d{3}-\d{2}-\d{4}) bad 000-12-3456; phone \+1 \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{3}-\d{4}; mail (\S+) a@b", got[2].text)
+    assert m and m[1] != "123-45-6789" and "x.example.com" not in m[2]
+    assert got[3].text == "" and got[4].text is None and got[0].n_card == 2 and got[2].n_email == 1
+    again = pii.report(df, key="another").collect()
+    assert {r.doc_id: r.text for r in again}[5] != got[5].text
+    assert set(pii.pseudonymize(docs).columns) == set(docs.columns)
+    pairs = spark.range(60).select((F.col("id") / 10).cast("long").alias("l"), (F.col("id") % 10).alias("r"))
+    out = pairs.select(pii.feistel("k", "t", F.col("l"), F.col("r"), F.lit(6), F.lit(10)).alias("p")).distinct().count()
+    assert out == 60
