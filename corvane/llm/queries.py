@@ -11,6 +11,12 @@ from corvane.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import secret_scan
+
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import simhash
 
@@ -59,6 +65,12 @@ def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.perplexity(table(spark, sf_dir, "documents"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import html_wrapper
+
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
