@@ -10,12 +10,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return []
+    from corvane.plans import agreements, audits, scores, selections, texts
+
+    return [scores, agreements, selections, texts, audits]
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for module in _modules() for name, f in module.QUERIES.items()}
+    return {name: f for module in _modules() for name, f in module.query.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in _modules() for name, sql in module.SQL.items()}
+    return {name: sql for module in _modules() for name, sql in module.query.sql.items()}
