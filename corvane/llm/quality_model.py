@@ -25,8 +25,8 @@ from corvane.llm.common import spread
 BITS = 20
 #: Labelled documents that the model is fitted on, at most.
 MAX_TRAIN = 6000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1.0
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.05, 1.0
 FOLDS, HELD_OUT = 3, 1
 CACHE_WORDS = 200_000
 
