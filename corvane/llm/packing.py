@@ -15,12 +15,14 @@ null; an empty table gives no pieces. A sequence is padded to ``seq_len`` unless
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize, spread
@@ -328,6 +330,21 @@ def _assign(slots: dict[str, np.ndarray], cuts: dict[str, np.ndarray], seq_len:
     return run
 
 
+def _planned(spark: SparkSession, histogram: dict[int, int], seq_len: int, tolerance: float):
+    """``plan`` in one task of one row, whose linear algebra has one thread, so the driver stays free."""
+    def run(frames):
+        for pdf in frames:
+            given = {int(n): int(c) for n, c in json.loads(pdf["plan"].iloc[0]).items()}
+            yield pd.DataFrame({"plan": [json.dumps(plan(given, seq_len, tolerance))]})
+
+    if not histogram:
+        return [], {}
+    row = spark.createDataFrame([(json.dumps(histogram),)], "plan string").coalesce(1)
+    runs, cut = json.loads(row.mapInPandas(run, "plan string").first()[0])
+    whole = lambda d: {int(n): int(c) for n, c in d.items()}
+    return [(whole(p), int(c)) for p, c in runs], whole(cut)
+
+
 def pack(docs: DataFrame, seq_len: int = SEQ_LEN, tokenizer_path: str | None = None, end_id: int = END_ID,
          tolerance: float = TOLERANCE, with_ids: bool = False) -> DataFrame:
     """One row a piece: its document, place and checksum, and the sequence and offset where it lies.
@@ -343,7 +360,7 @@ def pack(docs: DataFrame, seq_len: int = SEQ_LEN, tokenizer_path: str | None = N
     counts = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     full = histogram.pop(seq_len, 0)
-    runs, cut = plan(histogram, seq_len, tolerance)
+    runs, cut = _planned(docs.sparkSession, histogram, seq_len, tolerance)
     cuts = _cut_table(cut, histogram, seq_len)
     if full:
         runs.append(({seq_len: 1}, full))
