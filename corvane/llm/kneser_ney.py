@@ -2,7 +2,7 @@
 
 Tokens are the words of a lower-cased (A-Z) text and one end. A word is its 64-bit XXH64; words that share a hash would
 share counts. Tasks count pairs of neighbours in numpy before the shuffle; pairs are dealt by (context, some bits of the
-word), so a frequent word's pairs spread over shards. Each shard is written as a sorted array of pair hashes and one of
+word), so a frequent word's pairs spread over shards, and travel in one compressed block a task and shard. Each shard is written as a sorted array of pair hashes and one of
 counts in the shared folder, and only sums per word go on. Workers map the arrays and look sorted queries up in them.
 
     p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) * p1(w)
@@ -17,11 +17,13 @@ rows count and are scored each; with no training text every word is unknown and
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +84,22 @@ def _contexts(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return v, w
 
 
+def pack_pairs(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs sorted by context as one compressed block: contexts once with run lengths, words, counts."""
+    firsts = np.concatenate([[0], np.flatnonzero(np.diff(v)) + 1])
+    runs = np.diff(np.concatenate([firsts, [len(v)]])).astype("<u4")
+    head = struct.pack("<II", len(v), len(firsts))
+    return zstandard.compress(head + v[firsts].tobytes() + runs.tobytes() + w.tobytes() + n.astype("<u4").tobytes(), 1)
+
+
+def unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = zstandard.decompress(blob)
+    n, k = struct.unpack_from("<II", data)
+    contexts, runs = np.frombuffer(data, "<u8", k, 8), np.frombuffer(data, "<u4", k, 8 + 8 * k)
+    w = np.frombuffer(data, "<u8", n, 8 + 12 * k)
+    return np.repeat(contexts, runs), w, np.frombuffer(data, "<u4", n, 8 + 12 * k + 8 * n).astype(np.int64)
+
+
 def _count_pairs(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tokens, size = _WordIds(), [], 0
@@ -90,12 +108,16 @@ def _count_pairs(shards: int):
             v, w = _contexts(tokens)
             _, first, counts = np.unique(pair_keys(v, w), return_index=True, return_counts=True)
             v, w = v[first], w[first]
-            order = np.argsort(v, kind="stable")  # equal contexts side by side shrink what is shuffled
-            v, w, counts = v[order], w[order], counts[order]
-            cols = [pa.array(pair_shards(v, w, shards).astype(np.int32)), pa.array(v.view(np.int64)), pa.array(w.view(np.int64)), pa.array(counts)]
-            batch = pa.RecordBatch.from_arrays(cols, names=["shard", "v", "w", "n"])
-            for at in range(0, batch.num_rows, 100_000):
-                yield batch.slice(at, 100_000)
+            shard = pair_shards(v, w, shards)
+            order = np.lexsort((v, shard))  # equal contexts side by side shrink what is shuffled
+            v, w, counts, shard = v[order], w[order], counts[order], shard[order]
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            spans = [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+            for at in range(0, len(spans), 200):
+                some = spans[at:at + 200]
+                blobs = [pack_pairs(v[a:b], w[a:b], counts[a:b]) for a, b in some]
+                names = pa.array([int(shard[a]) for a, _ in some], pa.int32())
+                yield pa.RecordBatch.from_arrays([names, pa.array(blobs, pa.binary())], names=["shard", "pairs"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -118,9 +140,9 @@ def _store_pairs(uri: str):
     """Write each shard's arrays; give sums by word: as a context (six columns) and as a word (two)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, held, last = ArrayStore(uri), [], None
+        store, held, last, ids, sums, size = ArrayStore(uri), [], None, [], [], 0
 
-        def close() -> pa.RecordBatch:
+        def close() -> int:
             v, w, n = (np.concatenate(c) for c in zip(*held))
             keys, first, inverse = np.unique(pair_keys(v, w), return_index=True, return_inverse=True)
             counts = np.bincount(inverse, weights=n, minlength=len(keys)).astype(np.int64)
@@ -128,28 +150,34 @@ def _store_pairs(uri: str):
             store.write(f"pairs-{last}.counts", counts.astype("<f4"))  # exact where discounts look at the count
             names, place = np.unique(np.concatenate([v[first], w[first]]), return_inverse=True)
             as_v, as_w = place[: len(first)], place[len(first):]
-            sums = [np.bincount(as_v, weights=counts, minlength=len(names))]
-            sums += [np.bincount(as_v[counts == k], minlength=len(names)) for k in (1, 2, 3, 4)]
-            sums += [np.bincount(as_v, minlength=len(names)), np.bincount(as_w, minlength=len(names))]
-            sums += [np.bincount(as_w, weights=counts, minlength=len(names))]
-            cols = [pa.array(names.view(np.int64)), *(pa.array(s.astype(np.int64)) for s in sums)]
+            got = [np.bincount(as_v, weights=counts, minlength=len(names))]
+            got += [np.bincount(as_v[counts == k], minlength=len(names)) for k in (1, 2, 3, 4)]
+            got += [np.bincount(as_v, minlength=len(names)), np.bincount(as_w, minlength=len(names))]
+            got += [np.bincount(as_w, weights=counts, minlength=len(names))]
+            ids.append(names)
+            sums.append(np.stack(got, axis=1).astype(np.int64))
+            return len(names)
+
+        def emit() -> pa.RecordBatch:
+            """Sums of the shards so far, one row a word."""
+            names, place = np.unique(np.concatenate(ids), return_inverse=True)
+            total = np.zeros((len(names), len(STATS)), dtype=np.int64)
+            np.add.at(total, place, np.concatenate(sums))
+            cols = [pa.array(names.view(np.int64)), *(pa.array(np.ascontiguousarray(total[:, k])) for k in range(len(STATS)))]
             return pa.RecordBatch.from_arrays(cols, names=["id", *STATS])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            shard = batch.column(0).to_numpy(zero_copy_only=False)
-            v, w = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (1, 2))
-            n = batch.column(3).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-            for a, b in zip(cuts, cuts[1:]):
-                if int(shard[a]) != last:
-                    if held:
-                        yield close()
-                    held, last = [], int(shard[a])
-                held.append((v[a:b], w[a:b], n[a:b]))
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if shard != last:
+                    size += close() if held else 0
+                    held, last = [], shard
+                    if size > 1_000_000:
+                        yield emit()
+                        ids, sums, size = [], [], 0
+                held.append(unpack_pairs(blob.as_py()))
         if held:
-            yield close()
+            close()
+            yield emit()
 
     return run
 
@@ -293,7 +321,7 @@ def train(texts: DataFrame) -> tuple[str, int, dict[str, int]]:
     uri = shared_dir(spark, "kneser-ney")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = SALTS * parts
-    pairs = spread(texts.select("text")).mapInArrow(_count_pairs(shards), "shard int, v long, w long, n long")
+    pairs = spread(texts.select("text")).mapInArrow(_count_pairs(shards), "shard int, pairs binary")
     dealt = pairs.repartition(parts, "shard").sortWithinPartitions("shard")
     sums = dealt.mapInArrow(_store_pairs(uri), "id long, " + ", ".join(f"`{k}` long" for k in STATS))
     words = materialize(sums.groupBy("id").agg(*(F.sum(k).alias(k) for k in STATS)), "word-sums")
