@@ -334,3 +334,105 @@ def test_op3(spark, docs):
     pairs = spark.range(60).select((F.col("id") / 10).cast("long").alias("l"), (F.col("id") % 10).alias("r"))
     out = pairs.select(pii.feistel("k", "t", F.col("l"), F.col("r"), F.lit(6), F.lit(10)).alias("p")).distinct().count()
     assert out == 60
+
+
+def test_op1(docs, rows):
+    from corvane.llm import secret_scan
+
+    want = Counter()
+    for i, text in rows:
+        t, found = text or "", []
+        for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
+            if len(m[2]) >= 12:
+                found.append((m.start(), 0, m.end()))
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        name = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+        want[i, *(sum(f[1] == k for f in found) for k in range(3)), hashlib.sha256(name.encode()).hexdigest()] += 1
+    got = secret_scan.scan(docs).collect()
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
+    for r in got:
+        assert r.n_assign + r.n_access + r.n_hex <= len([s for s in r.spans.split(",") if s])
+
+
+def test_secret_network():
+    from corvane.llm import secret_scan as S
+
+    net = S.trained()
+    rows, y = S.labelled_findings(600, seed=99)
+    p = net.proba(np.stack([S.window(*r) for r in rows]))
+    assert (p[y == 1] >= net.threshold).mean() >= 0.93 and (p[y == 0] >= net.threshold).mean() <= 0.02
+
+
+def test_op4(spark):
+    from corvane.llm import quality_model
+
+    big = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    got = quality_model.classify(d, labels).join(labels, "doc_id").where("held_out").collect()
+    assert len(got) > 80 and sum(r.predicted == r.quality for r in got) >= 0.93 * len(got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    empty = quality_model.classify(d.limit(0), labels)
+    assert empty.count() == 0
+
+
+def test_op10(spark):
+    from html import unescape
+
+    from corvane.llm import html_wrapper
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    hard = [
+        (900, "http://h/1", None), (901, None, ""), (902, "http://h/2", "plain text only"), (903, "x", "<p>a<script>b</p>"),
+        (904, "http://g/1", '<html><body><header>Site</header><nav>m</nav><div class="cookie-notice">We use</div><main><h1>T</h1><p>a &lt; b<br>c&nbsp;d'
+         '<aside>side</aside><form>f<input></form><p>two <b>bo</b>ld &amp; more<ul><li>x<li>y</ul><div id="comments"><p>nice</p></div></main><footer>z</footer>'),
+        (905, "http://d/1", "<div class=menu>m</div><div class=text><p>" + "long words here " * 9 + "</p><p>and more " * 5 + "</div><div class=x><a>l</a></div>"),
+    ]
+    df = pages.select("page_id", "url", "html").unionByName(spark.createDataFrame(hard, "page_id long, url string, html string"))
+    got = {r.page_id: r for r in html_wrapper.extract(df).collect()}
+    for r in pages.collect():
+        a = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)
+        parts = re.split(r"</?(?:p|h1)>", (a[1] if a else "").replace("<br>", " "))
+        want = "\n".join(y for y in (" ".join(unescape(re.sub("<[^>]*>", "", x)).split()) for x in parts) if y)
+        assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
+    assert [got[k].text for k in (900, 901, 902, 903)] == ["", "", "plain text only", "a"]
+    assert got[904].text == "T\na < b c d\ntwo bold & more\nx\ny"
+    assert got[905].text.startswith("long words") and "l" != got[905].text[-1:] and "menu" not in got[905].text
+
+
+def test_wrapper_alignment():
+    from corvane.llm.html_wrapper import align, fold
+
+    a = fold(["<div>", "<p>", "#", "</p>", "<p>", "#", "</p>", "</div>"])
+    b = fold(["<div>", "<h1>", "#", "</h1>", "<p>", "#", "</p>", "</div>"])
+    both = align(a, b)
+    assert a == ["<div>", ["+", ["<p>", "#", "</p>"]], "</div>"]
+    assert both[0] == "<div>" and both[-1] == "</div>" and any(isinstance(x, list) and x[0] == "?" for x in both)
+    assert align(both, both) == both
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+    from corvane.llm import packing
+
+    kept, docs = None, spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    before = {r.doc_id: r.text for r in docs.collect()}
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        docs.write.parquet(out := str(tmp_path / name))
+        docs = spark.read.parquet(out)
+        assert docs.columns == columns
+        now = {r.doc_id: r for r in docs.collect()}
+        if name == "quality_rules":
+            assert set(now) <= set(before)
+            assert not any(measures(r.text)[0] < 50 or 2 * measures(r.text)[4] > measures(r.text)[0] for r in now.values())
+        if name == "near_duplicates":
+            assert len({r.text for r in now.values()}) == len(now)
+        if name == "decontamination":
+            assert not any(b in r.text for b in bench if len(b.split()) >= 13 for r in now.values())
+        assert all(r.n_chars == len(r.text) for r in now.values())
+        kept = now
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(r.length for r in packed) == sum(len(ids_of(r.text)) for r in kept.values()) and packing.SEQ_LEN == 2048
