@@ -101,7 +101,7 @@ def initials(c: Column) -> Column:
 
 def comma_number(c: Column, digits: int = 1, signed: bool = False) -> Column:
     """A number with a decimal comma; null becomes a dash."""
-    return F.coalesce(F.translate(F.format_string(f"%{'+' if signed else ''}.{digits}f", c), ".", ","), F.lit("—"))
+    return F.when(c.isNull(), "—").otherwise(F.translate(F.format_string(f"%{'+' if signed else ''}.{digits}f", c), ".", ","))
 
 
 def parse_comma(c: Column) -> Column:

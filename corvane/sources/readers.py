@@ -121,6 +121,7 @@ class _SearchReader(DataSourceReader):
 
 
 def search(spark: SparkSession, path: str) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SearchSource)
     return spark.read.format("corvane_search").option("path", path).load()
 
