@@ -268,18 +268,25 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
         yield block
 
 
-def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with four more columns (``STATE``): words, hit spans, those of full windows, and items with hits."""
+def search(docs: DataFrame, benchmark: DataFrame, then=None, schema_then: T.StructType | None = None) -> DataFrame:
+    """``docs`` with four more columns (``STATE``): words, hit spans, those of full windows, and items with hits.
+
+    ``then``, a function of batches with these columns, is applied in the same worker as the last block's search.
+    """
     out, first = spread(docs), True
     extra = [T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType()), T.ArrayType(T.StringType())]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(STATE, extra))])
     column = docs.columns.index("text")
+    pending: list[tuple[str, str | None]] = []
     for block in blocks(benchmark):
-        out = out.mapInArrow(_search(Windows(block), column, first), schema)
-        first = False
-    if first:
-        out = out.mapInArrow(_search(Windows([]), column, True), schema)
-    return out
+        if pending:
+            out = out.mapInArrow(_search(Windows(pending), column, first), schema)
+            first = False
+        pending = block
+    last = _search(Windows(pending), column, first)
+    if then is None:
+        return out.mapInArrow(last, schema)
+    return out.mapInArrow(lambda batches: then(last(batches)), schema_then)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -335,6 +342,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Spans of full windows are cut from every document, those of shorter items only where the document is contaminated;
     a document that has no word left goes. Texts without such spans stay as they are. ``n_chars`` follows the text.
     """
-    found = search(docs, benchmark)
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    return found.mapInArrow(_cut(docs.columns.index("text"), n_chars), docs.schema)
+    return search(docs, benchmark, _cut(docs.columns.index("text"), n_chars), docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize, spread
-from corvane.llm.tokens import END_ID, default_tokenizer_path, encoder
+from corvane.llm.tokens import END_ID, WordEncoder, default_tokenizer_path, encoder
 
 SEQ_LEN = 2048
 #: The linear program is left when no column can gain more than this share of a sequence.
@@ -228,11 +228,12 @@ PIECES = ("part int, local_rank long, doc_id long, start long, length long, ids_
           "doc_tokens long, ids binary")
 
 
-def _pieces(path: str, end_id: int, seq_len: int, with_ids: bool):
+def _pieces(path: str, end_id: int, seq_len: int, with_ids: bool, cache_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, words = TaskContext.get().partitionId(), encoder(path, end_id)
+        part = TaskContext.get().partitionId()
+        words = encoder(path, end_id) if cache_words is None else WordEncoder(path, end_id, cache_words)
         seen: dict[int, int] = {}
         for batch in batches:
             cols: list[list] = [[] for _ in range(10)]
@@ -346,15 +347,16 @@ def _planned(spark: SparkSession, histogram: dict[int, int], seq_len: int, toler
 
 
 def pack(docs: DataFrame, seq_len: int = SEQ_LEN, tokenizer_path: str | None = None, end_id: int = END_ID,
-         tolerance: float = TOLERANCE, with_ids: bool = False) -> DataFrame:
+         tolerance: float = TOLERANCE, with_ids: bool = False, cache_words: int | None = None) -> DataFrame:
     """One row a piece: its document, place and checksum, and the sequence and offset where it lies.
 
-    ``with_ids`` fills ``ids`` with the piece's ids, 16 bits each, little-endian; else it is null.
+    ``cache_words`` gives each task a cache of its own, of so many words, instead of the worker's large one that lasts over
+    tasks: for jobs whose other stages need the memory. ``with_ids`` fills ``ids`` with the piece's ids, 16 bits each, little-endian; else it is null.
     The texts are read once and not shuffled; only the pieces' small rows meet the rank offsets in a join.
     """
     path = tokenizer_path or default_tokenizer_path()
     cut = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    pieces = materialize(cut.mapInArrow(_pieces(path, end_id, seq_len, with_ids), PIECES), "pieces")
+    pieces = materialize(cut.mapInArrow(_pieces(path, end_id, seq_len, with_ids, cache_words), PIECES), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts")

@@ -133,7 +133,7 @@ class WordEncoder:
             raw = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in data.split()], add_special_tokens=False)
             return np.array([i for enc in raw for i in enc.ids] + list(np.frombuffer(self.end, "<u2")), dtype="<u2")
         words = data.lower().split()
-        parts = [self._block(words[at:at + 100_000]) for at in range(0, len(words), 100_000)]
+        parts = [self._block(words[at:at + 20_000]) for at in range(0, len(words), 20_000)]
         return np.frombuffer(b"".join([*parts, self.end]), dtype="<u2")
 
 
