@@ -411,6 +411,33 @@ def test_wrapper_alignment():
     assert align(both, both) == both
 
 
+def test_op10_uses_the_expression(spark):
+    from corvane.llm import html_wrapper
+
+    page = ('<body><article><h1>Title {0}</h1><div class="kicker">Read by thousands</div><h2 id="search">Search in {0}</h2><p>text {0}</p>{1}'
+            '<div class="related-work"><p>Earlier work on {0} went another way</p></div><div class="credit">All rights kept</div></article></body>')
+    rows = [(i, "http://t/x", page.format(w, f"<p>more {w}</p>" * (i % 3))) for i, w in enumerate(("ant", "bee", "cat", "dog", "eel"))]
+    rows.append((9, "http://one/x", page.format("fox", "")))
+    got = {r.page_id: r.text.split("\n") for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, w in enumerate(("ant", "bee", "cat", "dog", "eel")):
+        assert got[i] == [f"Title {w}", f"Search in {w}", f"text {w}", *[f"more {w}"] * (i % 3), f"Earlier work on {w} went another way"]
+    assert "Read by thousands" in got[9]  # one page proves nothing
+
+
+def test_matcher_accepts_what_was_aligned():
+    from corvane.llm.html_wrapper import Matcher, align, fold
+
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        streams = [[x for k in rng.integers(0, 4, rng.integers(1, 9)) for x in (f"<{k}>", "#", f"</{k}>")] for _ in range(6)]
+        nodes = fold(streams[0])
+        for s in streams[1:]:
+            nodes = align(nodes, fold(s))
+        m = Matcher(nodes)
+        for s in streams:
+            assert m.slots(s) is not None and len(m.slots(s)) == s.count("#")
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from corvane.llm import packing
