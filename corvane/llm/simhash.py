@@ -12,7 +12,7 @@ no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -59,10 +59,10 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _with_fingerprint(column: int, name: str):
+def _with_fingerprint(column: int, name: str, mark: Callable[[str | None], int] = fingerprint):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = pa.array([_signed(fingerprint(t.as_py())) for t in batch.column(column)], pa.int64())
+            marks = pa.array([_signed(mark(t.as_py())) for t in batch.column(column)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, marks], names=[*batch.schema.names, name])
 
     return run
@@ -221,10 +221,10 @@ def components(edges: DataFrame) -> DataFrame:
     return total if total is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def classes(marks: DataFrame) -> DataFrame:
+def classes(marks: DataFrame, link: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """For each distinct ``fp``: ``root`` (names its component) and ``component_id`` (its smallest ``doc_id``)."""
     unique = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "unique")
-    roots = components(links(unique))
+    roots = components(link(unique))
     named = unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialize(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -243,14 +243,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Needs ``doc_id`` and ``text``; other columns pass through.
     """
-    marks = fingerprints(docs)
-    found = marks.join(classes(marks), "fp")
+    return one_of_each(docs, fingerprints(docs), links, fingerprint)
+
+
+def one_of_each(docs: DataFrame, marks: DataFrame, link: Callable[[DataFrame], DataFrame], mark_of: Callable[[str | None], int]) -> DataFrame:
+    """``deduplicate`` for any mark of texts: ``marks`` has ``doc_id`` and ``fp``, ``link`` gives edges between the distinct ``fp``."""
+    found = marks.join(classes(marks, link), "fp")
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     per = heads.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"), F.first("fp").alias("fp"))
     per = materialize(per, "heads")
     mark, row = "__corvane_fp", "__corvane_row"
     schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
-    marked = docs.mapInArrow(_with_fingerprint(docs.columns.index("text"), mark), schema)
+    marked = docs.mapInArrow(_with_fingerprint(docs.columns.index("text"), mark, mark_of), schema)
     single = per.where("n = 1").select(F.col("doc_id").alias("__corvane_id"), F.col("fp").alias(mark))
     on = marked["doc_id"].eqNullSafe(single["__corvane_id"]) & (marked[mark] == single[mark])
     kept = marked.join(single, on, "left_semi").drop(mark)

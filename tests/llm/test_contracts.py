@@ -438,6 +438,29 @@ def test_matcher_accepts_what_was_aligned():
             assert m.slots(s) is not None and len(m.slots(s)) == s.count("#")
 
 
+def test_near_duplicate_stage_at_eight_tenths(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    sets = lambda text: {tuple(w[i:i + 5]) for w in [words(lower(text))] for i in range(len(w) - 4)}
+    like = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+    rows, linked, apart = [(900, None), (901, ""), (902, "one two"), (903, "ONE  two"), (904, "three")], [], []
+    for k in range(40):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 180)]
+        other = list(w)
+        for x in range(10, 180, (18, 25, 60, 90)[k % 4]):
+            other[x] = "changed"
+        a, b = " ".join(w), " ".join(other)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        (linked if like(a, b) >= 0.8 else apart).append((2 * k, like(a, b)))
+    assert len(linked) > 15 and len(apart) > 15 and all(0.8 <= s < 0.95 for _, s in linked)
+    w = [f"e{x}" for x in range(49)]  # 45 shingles; 40 shared of 50 in all is 0.8 exactly
+    rows += [(200, " ".join(w)), (201, " ".join([*w[:44], *(f"f{x}" for x in range(5))]))]
+    assert like(rows[-2][1], rows[-1][1]) == 0.8
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect())
+    assert kept == sorted([900, 902, 904, 200, *(2 * k for k in range(40)), *(i + 1 for i, _ in apart)])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from corvane.llm import packing
