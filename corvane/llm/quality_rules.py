@@ -2,9 +2,14 @@
 
 Each rule rejects a document when one measure of its text lies beyond a cutoff. Candidate cutoffs are a fixed grid. For
 each stratum (language), rule and cutoff, the labelled documents of good quality that the rule would reject are counted;
-a cutoff is allowed if the exact binomial tail says that a false rejection rate above ``ALPHA`` would give so few with
-probability ``DELTA`` at most, divided by the number of tests (Bonferroni). The strictest allowed cutoff holds; a stratum
-without enough labels has none, and its documents pass.
+a cutoff is allowed if the exact binomial tail says that a false rejection rate above alpha would give so few with
+probability ``DELTA`` at most, divided by the number of rules and strata (Bonferroni). The cutoffs of a rule are tested in
+fixed sequence from lenient to strict, so they share one such part. The strictest allowed cutoff holds. Alpha is the smallest
+of ``ALPHAS`` that the stratum's number of labels can certify at all; the counts have no say in it.
+
+A stratum with too few labels for any alpha takes the cutoffs of all strata pooled, tested in the same way, but only as far as
+its own good labels that a cutoff rejects are no more than the largest alpha of them; one without labels takes the pooled
+cutoffs as they are. The promise then holds for the pool, not for the stratum. A pool with too few labels has no cutoffs.
 
 Defined results: null and empty texts have no words and fail the base; a null language is a stratum of its own; repeated
 rows are judged each; without labels only the base decides.
@@ -17,8 +22,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize
 
-#: False rejections of good documents that one rule may make in a stratum, and the chance of a wrong promise in all.
-ALPHA = 0.005
+#: False rejections of good documents that one rule may make in a stratum, from the wanted rate to what fewer labels can
+#: certify, and the chance of a wrong promise in all.
+ALPHAS = (0.005, 0.01, 0.02)
 DELTA = 0.05
 #: Rules with their candidate cutoffs, from lenient to strict.
 GRID: dict[str, list[float]] = {
@@ -101,22 +107,37 @@ def _tail_log(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(steps, start, add, lambda s: s["sum"])
 
 
-def cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row a stratum: the strictest allowed cutoff of each rule (null: none), from measured good documents."""
+def cutoffs(good: DataFrame, alphas: tuple[float, ...] = ALPHAS, delta: float = DELTA) -> DataFrame:
+    """One row a stratum: the strictest allowed cutoff of each rule (null: none), from measured good documents.
+
+    The row of the null stratum holds the pooled cutoffs.
+    """
     values = rule_values()
     tests = [(rule, cut) for rule, grid in GRID.items() for cut in grid]
     counts = [F.count_if(values[rule] > cut).alias(f"t{i}") for i, (rule, cut) in enumerate(tests)]
     per = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
-    per = per.withColumn("strata", F.count(F.lit(1)).over(_all()))
+    per = per.withColumns({"strata": F.count(F.lit(1)).over(_all()), "pool_n": F.sum("n").over(_all()),
+                           **{f"p{i}": F.sum(f"t{i}").over(_all()) for i in range(len(tests))}})
     rows = F.explode(F.array(*[
-        F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), F.col(f"t{i}").alias("k")) for i, (rule, cut) in enumerate(tests)
+        F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), F.col(f"t{i}").alias("k"), F.col(f"p{i}").alias("pool_k"))
+        for i, (rule, cut) in enumerate(tests)
     ]))
-    each = per.select("stratum", "n", "strata", rows.alias("t")).select("stratum", "n", "strata", "t.*")
-    # Only a test that could pass is summed: a rate at or above alpha cannot.
-    limit = F.log(F.lit(delta) / (F.col("strata") * len(tests)))
-    allowed = F.when(F.col("k") < alpha * F.col("n"), _tail_log(F.col("n"), F.col("k"), alpha) <= limit).otherwise(False)
-    strict = [F.min(F.when((F.col("rule") == rule) & F.col("allowed"), F.col("cut"))).alias(f"{_P}cut_{rule}") for rule in GRID]
-    return each.withColumn("allowed", allowed).groupBy("stratum").agg(*strict)
+    each = per.select("stratum", "n", "strata", "pool_n", rows.alias("t")).select("stratum", "n", "strata", "pool_n", "t.*")
+    limit = F.log(F.lit(delta) / ((F.col("strata") + 1) * len(GRID)))  # the pool counts as a stratum
+
+    def certified(n: Column, k: Column) -> Column:
+        """Null if there are too few labels. Only a test that could pass is summed: a rate at or above alpha cannot."""
+        cases = F
+        for alpha in alphas:
+            cases = cases.when(n * F.log(F.lit(1 - alpha)) <= limit, F.when(k < alpha * n, _tail_log(n, k, alpha) <= limit).otherwise(False))
+        return cases
+
+    # A stricter cutoff rejects no fewer, so those that pass are the first ones of the sequence.
+    own, pool = certified(F.col("n"), F.col("k")), F.coalesce(certified(F.col("pool_n"), F.col("pool_k")), F.lit(False))
+    each = each.withColumns({"allowed": F.coalesce(own, pool & (F.col("k") <= alphas[-1] * F.col("n"))), "pool_allowed": pool})
+    strict = lambda allowed: [F.min(F.when((F.col("rule") == rule) & F.col(allowed), F.col("cut"))).alias(f"{_P}cut_{rule}") for rule in GRID]
+    pooled = each.agg(*strict("pool_allowed")).select(F.lit(None).cast("string").alias("stratum"), *(f"{_P}cut_{rule}" for rule in GRID))
+    return each.groupBy("stratum").agg(*strict("allowed")).unionByName(pooled)
 
 
 def _all():
@@ -135,11 +156,14 @@ def judged(rows: DataFrame, labels: DataFrame) -> DataFrame:
     known = rows.select("doc_id", stratum().alias("stratum"), *(_P + m for m in MEASURES))
     cut = materialize(cutoffs(known.join(good, F.col("doc_id") == F.col(f"{_P}id"), "left_semi")), "cutoffs")
     cut = cut.withColumnRenamed("stratum", f"{_P}stratum")
+    pool = cut.where(F.col(f"{_P}stratum").isNull()).first()
     small = cut.limit(MAX_BROADCAST_STRATA + 1).count() <= MAX_BROADCAST_STRATA
     found = rows.withColumn(f"{_P}of", stratum()).join(F.broadcast(cut) if small else cut, F.col(f"{_P}of") == F.col(f"{_P}stratum"), "left")
     beyond = F.lit(False)
     for rule, value in rule_values().items():
-        beyond = beyond | F.coalesce(value > F.col(f"{_P}cut_{rule}"), F.lit(False))
+        name = f"{_P}cut_{rule}"
+        limit = F.when(F.col(f"{_P}stratum").isNotNull(), F.col(name)).otherwise(F.lit(pool[name]).cast("double"))
+        beyond = beyond | F.coalesce(value > limit, F.lit(False))
     found = found.withColumns({f"{_P}base_failed": base_failed(), f"{_P}kept": ~base_failed() & ~beyond})
     return found.drop(f"{_P}of", f"{_P}stratum", *(f"{_P}cut_{rule}" for rule in GRID))
 

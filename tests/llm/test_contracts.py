@@ -196,6 +196,25 @@ def test_op7(spark, docs, rows):
     assert quality_rules.keep(docs, labels).count() == sum(r.kept for r in got)
 
 
+def test_op7_filters_small_strata(spark):
+    from corvane.llm import quality_rules
+
+    good, junk = " ".join(f"w{i}x" for i in range(60)), " ".join(f"w{i}#####" for i in range(60))
+    rows, labels = [], []
+    for lang, n in (("en", 2000), ("de", 330), ("fr", 40), ("odd", 40), (None, 0)):
+        for k in range(n):
+            labels.append((len(rows), 1))
+            rows.append((len(rows), lang, junk if lang == "odd" and k < 2 else good))
+        rows.append((len(rows), lang, junk))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = quality_rules.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    kept = {r.doc_id for r in got.where("kept").select("doc_id").collect()}
+    # Too few labels in fr and none for null: pooled. The labels of odd say that there such texts are good.
+    assert {i for i, _, _ in rows} - kept == {i for i, lang, text in rows if text == junk and lang != "odd"}
+    few = [r for r in labels if r[0] < 200]
+    assert quality_rules.judge(docs, spark.createDataFrame(few, "doc_id long, quality int")).where("NOT kept").count() == 0
+
+
 def test_binomial_bound(spark):
     from math import comb, log
 
