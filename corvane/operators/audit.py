@@ -57,16 +57,28 @@ def leak_by_prefix(df: DataFrame, block: str, key: str, held_out: Sequence[int])
 def contained_items(docs: DataFrame, items: DataFrame, grams: int = 8) -> DataFrame:
     """Items whose text occurs verbatim in some document: candidates by a word-gram hash join, then verified.
 
-    An item is looked up by its first gram only, so the join is on one key an item and not items times documents.
+    An item is looked up by its first gram only, so the join is on one key an item and not items times documents. An item of
+    fewer than ``grams`` + 2 words is looked up by a gram as long as it allows; those of two words or fewer, which may be
+    parts of longer words throughout, are searched for in every text. An empty item is in every text that is not null.
     """
     words = lambda c: F.split(F.trim(c), r"\s+")
-    key = items.withColumn("__w", words(F.col("item_text"))).where(F.size("__w") >= grams + 2)
-    # The first and last word may be parts of longer ones in a document, so the gram starts at the second.
-    key = key.withColumn("__k", F.xxhash64(F.array_join(F.slice("__w", 2, grams), " "))).drop("__w")
-    w = words(F.col("text"))
-    grams_of = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - grams + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, grams), " "))))
-    exploded = docs.select("doc_id", "text", F.explode(grams_of).alias("__k"))
-    return exploded.join(F.broadcast(key), "__k").where(F.contains("text", "item_text")).select("item_id", "doc_id").distinct()
+    # The first and last word may be parts of longer ones in a document, so the gram starts at the second and ends before the last.
+    key = items.withColumn("__w", words(F.col("item_text"))).withColumn("__n", F.least(F.size("__w") - 2, F.lit(grams)))
+    long = key.where("__n > 0").withColumn("__k", F.xxhash64("__n", F.array_join(F.expr("slice(__w, 2, __n)"), " "))).select("item_id", "item_text", "__k")
+    scanned = docs.join(F.broadcast(key.where("__n <= 0").select("item_id", "item_text")), F.contains("text", "item_text")).select("item_id", "doc_id")
+    widths = sorted(r[0] for r in key.where("__n > 0").select("__n").distinct().collect())
+    if not widths:
+        return scanned.distinct()
+    w = F.col("__w")
+
+    def grams_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(w, i, n), " ")))
+
+    # Texts are split once and stay behind; only hashes are joined.
+    exploded = docs.select("doc_id", words(F.col("text")).alias("__w")).select("doc_id", F.explode(F.array_distinct(F.concat(*map(grams_of, widths)))).alias("__k"))
+    found = exploded.join(F.broadcast(long), "__k").select(F.col("doc_id").alias("__id"), "item_id", "item_text").distinct()
+    whole = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id"))).where(F.contains("text", "item_text"))
+    return whole.select("item_id", "doc_id").unionByName(scanned).distinct()
 
 
 #: Named patterns of a content scan (fixed values of common key forms).

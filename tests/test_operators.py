@@ -101,6 +101,18 @@ def test_leak_and_secret(spark):
     assert [(r.line, r.pattern) for r in audit.scan_lines(s, "i", "t").collect()] == [(2, "api_key")]
 
 
+def test_contained_items_of_every_length(spark):
+    w = [f"word{i}" for i in range(14)]
+    texts = [(1, "so " + " ".join(w) + " it ends"), (2, " ".join(w[3:9]) + "\n" + " ".join(w)), (3, "xword0 word1 word2x"), (4, "word3\tword4  word5 word6"), (5, ""), (6, None), (None, "word7 word8")]
+    items = [(n, " ".join(w[:n])) for n in range(1, 13)]
+    items += [(20 + n, " ".join(w[3:3 + n])) for n in range(1, 10)] + [(40, ""), (41, None), (42, "d1 w"), (43, "word4  word5 word6"), (44, "3\tword4  w"), (45, "none of these here"), (46, " word8"), (47, "word9 ")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    want = sorted(((i, d) for i, a in items for d, t in texts if a is not None and t is not None and a in t), key=str)
+    assert sorted(((r.item_id, r.doc_id) for r in audit.contained_items(docs, bench).collect()), key=str) == want
+    few = bench.where("item_id IN (1, 42)")
+    assert sorted(((r.item_id, r.doc_id) for r in audit.contained_items(docs, few).collect()), key=str) == [x for x in want if x[0] in (1, 42)]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"id": "a", "n": 1}\nnot json\n{"id": "b", "n": 2}\n')
     assert readers.jsonl(spark, str(tmp_path / "x.jsonl"), "id string, n int").count() == 2
