@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.tables import fresh, materialize, ranged
+
 
 def counts_2x2(a: str, b: str) -> list[Column]:
     return [F.count_if((F.col(a) == i) & (F.col(b) == j)).alias(f"n{i}{j}") for i in (1, 0) for j in (1, 0)]
@@ -17,10 +19,10 @@ def counts_2x2(a: str, b: str) -> list[Column]:
 def kappa(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:
     """Cohen's kappa from a contingency table; null if a rater is constant or there is no row."""
     n = n11 + n10 + n01 + n00
-    po = (n11 + n00) / n
-    pe = ((n11 + n10) * (n11 + n01) + (n01 + n00) * (n10 + n00)) / (n * n)
+    po = F.try_divide(n11 + n00, n)
+    pe = F.try_divide((n11 + n10) * (n11 + n01) + (n01 + n00) * (n10 + n00), n * n)
     constant = (n11 + n10 == 0) | (n01 + n00 == 0) | (n11 + n01 == 0) | (n10 + n00 == 0)
-    return F.when((n == 0) | constant, F.lit(None).cast("double")).otherwise((po - pe) / (1 - pe))
+    return F.when((n == 0) | constant, F.lit(None).cast("double")).otherwise(F.try_divide(po - pe, 1 - pe))
 
 
 def cohen_kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
@@ -36,12 +38,13 @@ def rater_pairs_kappa(ratings: DataFrame, item: str, rater: str, value: str) ->
 
 
 def fleiss_kappa(ratings: DataFrame, item: str, value: str) -> DataFrame:
-    """Fleiss' kappa for 0/1 ratings, the same number for each item."""
+    """Fleiss' kappa for 0/1 ratings, the same number for each item; null for one rater, constant ratings or no item."""
     per = ratings.groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("yes"))
-    per = per.withColumn("agree", (F.col("yes") * F.col("yes") + (F.col("n") - F.col("yes")) ** 2 - F.col("n")) / (F.col("n") * (F.col("n") - 1)))
-    tot = per.agg(F.avg("agree").alias("p"), (F.sum("yes") / F.sum("n")).alias("y"))
+    agree = F.col("yes") * F.col("yes") + (F.col("n") - F.col("yes")) ** 2 - F.col("n")
+    per = per.withColumn("agree", F.try_divide(agree, F.col("n") * (F.col("n") - 1)))
+    tot = per.agg(F.avg("agree").alias("p"), F.try_divide(F.sum("yes"), F.sum("n")).alias("y"))
     pe = F.col("y") * F.col("y") + (1 - F.col("y")) * (1 - F.col("y"))
-    return tot.select(((F.col("p") - pe) / (1 - pe)).alias("kappa"))
+    return tot.select(F.try_divide(F.col("p") - pe, 1 - pe).alias("kappa"))
 
 
 def icc_2_1(ratings: DataFrame, item: str, rater: str, value: str) -> DataFrame:
@@ -55,9 +58,9 @@ def icc_2_1(ratings: DataFrame, item: str, rater: str, value: str) -> DataFrame:
     sst = ratings.crossJoin(one).agg(F.sum((F.col(value) - F.col("m")) ** 2).alias("sst"))
     t = base.crossJoin(ssr).crossJoin(ssc).crossJoin(sst)
     n, k = F.col("n"), F.col("k")
-    msr, msc = F.col("ssr") / (n - 1), F.col("ssc") / (k - 1)
-    mse = (F.col("sst") - F.col("ssr") - F.col("ssc")) / ((n - 1) * (k - 1))
-    return t.select(F.try_divide(msr - mse, msr + (k - 1) * mse + k * (msc - mse) / n).alias("icc"))
+    msr, msc = F.try_divide(F.col("ssr"), n - 1), F.try_divide(F.col("ssc"), k - 1)
+    mse = F.try_divide(F.col("sst") - F.col("ssr") - F.col("ssc"), (n - 1) * (k - 1))
+    return t.select(F.try_divide(msr - mse, msr + (k - 1) * mse + k * F.try_divide(msc - mse, n)).alias("icc"))
 
 
 def average_rank(column: str, by: Sequence[str]) -> Column:
@@ -68,15 +71,13 @@ def average_rank(column: str, by: Sequence[str]) -> Column:
 
 def global_average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """Average ranks over all rows: ranks come from the counts of distinct values, so no window holds all rows."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    parts = counts.repartitionByRange(column).sortWithinPartitions(column).withColumn("__p", F.spark_partition_id()).cache()
-    totals = parts.groupBy("__p").agg(F.sum("__n").alias("__t"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__p", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
-    inner = Window.partitionBy("__p").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = parts.join(totals, "__p").withColumn("__before", F.col("__base") + F.coalesce(F.sum("__n").over(inner), F.lit(0)))
-    ranks = ranked.select(column, (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(out))
-    return df.join(ranks, column)
+    n, value = fresh([*df.columns, out], "n", "value")
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(value)).agg(F.count(F.lit(1)).alias(n))
+    rows, part, base = ranged(counts, [value], n, "ranks")
+    inner = Window.partitionBy(part).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col(base) + F.coalesce(F.sum(n).over(inner), F.lit(0))
+    ranks = rows.select(value, (before + (F.col(n) + 1) / 2.0).alias(out))
+    return df.join(ranks, F.col(column) == F.col(value)).drop(value)
 
 
 def signed_rank(df: DataFrame, diff: str) -> DataFrame:
@@ -104,8 +105,9 @@ def normal_two_sided(z: Column) -> Column:
 
 def cohens_d(mean_a, mean_b, var_a, var_b, n_a, n_b) -> Column:
     """Difference of means over the pooled sample deviation; null below four values, 0 for no deviation."""
-    pooled = F.sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / (n_a + n_b - 2))
-    return F.when(n_a + n_b < 4, F.lit(None).cast("double")).when(pooled == 0, 0.0).otherwise((mean_a - mean_b) / pooled)
+    squares = F.when(n_a > 1, (n_a - 1) * var_a).otherwise(0.0) + F.when(n_b > 1, (n_b - 1) * var_b).otherwise(0.0)
+    pooled = F.sqrt(F.try_divide(squares, n_a + n_b - 2))
+    return F.when(n_a + n_b < 4, F.lit(None).cast("double")).when(pooled == 0, 0.0).otherwise(F.try_divide(mean_a - mean_b, pooled))
 
 
 def effect_label(d: Column) -> Column:
@@ -150,8 +152,8 @@ def bootstrap_kappa(df: DataFrame, cluster: str, a: str, b: str, draws: int = 10
     return each.agg(F.percentile("kappa", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"), F.count("kappa").alias("draws"))
 
 
-def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
-    """Friedman's chi-square with tie correction, over blocks that have all treatments."""
+def friedman(df: DataFrame, block: str, treatment: str, value: str, least: int = 10) -> DataFrame:
+    """Friedman's chi-square with tie correction, over blocks that have all treatments; null below three treatments or ``least`` blocks."""
     k = df.select(treatment).distinct().count()
     whole = df.groupBy(block).agg(F.count_distinct(treatment).alias("k")).where(F.col("k") == k).select(block)
     ranked = df.join(whole, block).withColumn("r", average_rank(value, [block]))
@@ -159,8 +161,51 @@ def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame
     n = whole.agg(F.count(F.lit(1)).alias("n"))
     ties = ranked.groupBy(block, value).count().agg(F.sum(F.col("count") ** 3 - F.col("count")).alias("ties"))
     t = sums.crossJoin(n).crossJoin(ties)
-    raw = 12 * F.col("ss") / (F.col("n") * k * (k + 1)) - 3 * F.col("n") * (k + 1)
-    return t.select((F.lit(k)).alias("k"), "n", F.try_divide(raw, 1 - F.col("ties") / (F.col("n") * k * (k * k - 1))).alias("chi2"))
+    raw = F.try_divide(12 * F.col("ss"), F.col("n") * k * (k + 1)) - 3 * F.col("n") * (k + 1)
+    even = 1 - F.try_divide(F.col("ties"), F.col("n") * k * (k * k - 1))
+    enough = (F.col("k") >= 3) & (F.col("n") >= least)
+    t = t.withColumn("k", F.lit(k))
+    return t.select("k", "n", F.when(enough, F.try_divide(raw, even)).alias("chi2"))
+
+
+def alignment(df: DataFrame, judge: str, golden: str, humans: Sequence[str]) -> DataFrame:
+    """One row: items, accuracy and kappa of a judge against the gold and each human, kappa of each pair of humans, and Fleiss' kappa of the humans."""
+    pairs = [(golden, judge), *((h, judge) for h in humans), *((a, b) for i, a in enumerate(humans) for b in humans[i + 1:])]
+    names = ["kappa_gold", *(f"kappa_{h}" for h in humans), *(f"kappa_{a}_{b}" for i, a in enumerate(humans) for b in humans[i + 1:])]
+    sums = [F.count(F.lit(1)).alias("n"), F.avg((F.col(judge) == F.col(golden)).cast("int")).alias("accuracy")]
+    for k, (a, b) in enumerate(pairs):
+        sums += [c.alias(f"c{k}_{i}") for i, c in enumerate(counts_2x2(a, b))]
+    n, yes = len(humans), sum(F.col(h) for h in humans)
+    agree = F.lit(1.0) if n < 2 else (yes * yes + (n - yes) * (n - yes) - n) / float(n * (n - 1))
+    sums += [F.avg(agree).alias("p"), F.avg(yes / float(n)).alias("q")]
+    t = df.agg(*sums)
+    pe = F.col("q") * F.col("q") + (1 - F.col("q")) * (1 - F.col("q"))
+    kappas = [kappa(*(F.col(f"c{k}_{i}") for i in range(4))).alias(name) for k, name in enumerate(names)]
+    return t.select("n", "accuracy", *kappas, F.try_divide(F.col("p") - pe, 1 - pe).alias("fleiss"))
+
+
+def comparison_report(scores: DataFrame, pairs: Sequence[tuple[str, str]], kinds: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """One row a pair of models and kind of question, by paired scores (model, kind, question, score).
+
+    Means, their difference (b less a), Wilcoxon's W and p over the questions both answered, the threshold corrected for all tests,
+    whether p lies below it, and Cohen's d with its label. Pairs without a common question are left out. ``pairs`` is a short fixed list.
+    """
+    parts = []
+    for kind in kinds:
+        for a, b in pairs:
+            some = scores.where(F.col("kind") == kind)
+            one = some.where(F.col("model") == a).select("question", F.col("score").alias("a"))
+            two = some.where(F.col("model") == b).select("question", F.col("score").alias("b"))
+            both = materialize(one.join(two, "question"), "pairs")
+            w = signed_rank(both.select((F.col("b") - F.col("a")).alias("d")), "d").select("w", "p")
+            m = both.agg(*(f(c).alias(f"{n}_{c}") for c in ("a", "b") for n, f in (("mean", F.avg), ("var", F.var_samp))), F.count(F.lit(1)).alias("n_pairs"))
+            d = cohens_d(F.col("mean_a"), F.col("mean_b"), F.col("var_a"), F.col("var_b"), F.col("n_pairs"), F.col("n_pairs"))
+            row = m.crossJoin(w).where("n_pairs > 0")
+            parts.append(row.select(F.lit(f"{a}→{b}").alias("pair"), F.lit(kind).alias("kind"), "mean_a", "mean_b", (F.col("mean_b") - F.col("mean_a")).alias("delta"), F.col("w").alias("W"), "p", d.alias("d"), effect_label(d).alias("label")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return bonferroni(materialize(out, "report"), "p", alpha)
 
 
 def chi2_tail(x: float, df: int) -> float:

@@ -34,7 +34,8 @@ def provenance_findings(profiles: DataFrame) -> DataFrame:
     ]
     found = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in checks)), lambda x: x.isNotNull())
     order = F.create_map(*(F.lit(x) for k, (name, _) in enumerate(checks) for x in (name, k)))
-    return profiles.select("family", F.explode(found).alias("finding")).withColumn("severity", F.element_at(order, c("finding")))
+    out = profiles.select("family", F.explode(found).alias("finding")).withColumn("severity", F.element_at(order, c("finding")))
+    return out.orderBy("severity", "family")
 
 
 def pairing(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -81,15 +82,28 @@ def contained_items(docs: DataFrame, items: DataFrame, grams: int = 8) -> DataFr
     return whole.select("item_id", "doc_id").unionByName(scanned).distinct()
 
 
-#: Named patterns of a content scan (fixed values of common key forms).
+# Named patterns of a content scan, and file names that are never published.
 SECRET_PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "aws_key": r"AKIA[0-9A-Z]{16}",
-    "api_key": r"(?i)(?:api[_-]?key|token|secret)[\"']?\s*[:=]\s*[\"'][A-Za-z0-9_\-]{16,}",
-    "hf_token": r"hf_[A-Za-z0-9]{30,}",
-    "github_token": r"gh[pousr]_[A-Za-z0-9]{30,}",
-    "bearer": r"Bearer [A-Za-z0-9._\-]{20,}",
+    "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
+    "aws_secret": r"(?i)aws_secret_access_key\s*[=:]\s*\S{20,}",
+    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}",
+    "api_key": r"(?i)(api[_-]?key|secret|token)\s*[=:]\s*[\"'][A-Za-z0-9/+_-]{24,}[\"']",
+    "password": r"(?i)(senha|password|passwd)\s*[=:]\s*[\"'][^\"']{4,}[\"']",
 }
+FORBIDDEN_NAMES = r"(?i)(\.pem|\.key|\.p12|\.pfx|id_rsa|id_ed25519|\.env.*|usuarios\.json|\.netrc|credentials)$"
+
+
+def forbidden_files(files: DataFrame, path: str, pattern: str = FORBIDDEN_NAMES) -> DataFrame:
+    """Files whose name alone keeps them out, whatever they hold."""
+    return files.where(F.element_at(F.split(path, "/"), -1).rlike(pattern))
+
+
+def ensure_none(findings: DataFrame, what: str) -> None:
+    """An error that names a few findings, if there is any."""
+    some = findings.limit(5).collect()
+    if some:
+        raise ValueError(f"{what}: {[r.asDict() for r in some]}")
 
 
 def scan_lines(df: DataFrame, key: str, text: str, patterns: dict[str, str] = SECRET_PATTERNS) -> DataFrame:
@@ -103,9 +117,9 @@ def scan_lines(df: DataFrame, key: str, text: str, patterns: dict[str, str] = SE
 
 
 def structural_check(text: Column, ids: int = 3, pairs: int = 4, chars: int = 800) -> Column:
-    """Labels of what a card lacks; an empty list passes."""
-    n_ids = F.regexp_count(text, F.lit(r"<<ID=[^>]+>>"))
-    n_pairs = F.regexp_count(text, F.lit(r"(?m)^\s*(?:Q|P)\d*[:.)]"))
+    """Labels of what a card lacks; an empty list passes. Counted are whole node markers and question-answer pairs."""
+    n_ids = F.regexp_count(text, F.lit(r"<<ID=[^|>]+\|DOC=[^|>]+\|TYPE=[^|>]+\|PARENT=[^>]+>>"))
+    n_pairs = F.regexp_count(text, F.lit(r"(?s)\[PERGUNTA\].*?\[RESPOSTA\]"))
     return F.array_compact(F.array(F.when(n_ids < ids, F.lit("ids")), F.when(n_pairs < pairs, F.lit("pairs")), F.when(F.length(text) < chars, F.lit("short"))))
 
 
@@ -116,20 +130,38 @@ def card_nodes(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(zipped).alias("n")).select(key, "n.id", "n.doc", "n.type", F.nullif(F.col("n.parent"), F.lit("")).alias("parent"))
 
 
+def precedent_index(repercussion: DataFrame, binding: DataFrame, plain: DataFrame, themes: DataFrame) -> DataFrame:
+    """(court, type, number) of all that may be cited, from tables of a ``number``: a citation of a summary may name a binding one."""
+    def named(df: DataFrame, court: str, kind: str) -> DataFrame:
+        return df.select(F.lit(court).alias("court"), F.lit(kind).alias("type"), F.col("number").cast("int").alias("number"))
+
+    parts = [named(repercussion, "STF", "RG"), named(binding, "STF", "SUM"), named(plain, "STF", "SUM"), named(themes, "STJ", "REP"), named(themes, "STJ", "SUM")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
 def existence_check(cards: DataFrame, key: str, text: str, index: DataFrame) -> DataFrame:
     """Per card: cited precedents and whether all are in the index (court, type, number)."""
     refs = cards.select(key, F.explode_outer(references(F.col(text))).alias("r")).select(key, "r.court", "r.type", F.col("r.number").cast("int").alias("number"))
-    joined = refs.join(index.withColumn("known", F.lit(True)), ["court", "type", "number"], "left")
+    joined = refs.join(index.select("court", "type", "number").distinct().withColumn("known", F.lit(True)), ["court", "type", "number"], "left")
     return joined.groupBy(key).agg(F.count("number").alias("n_refs"), F.coalesce(F.bool_and(F.when(F.col("number").isNotNull(), F.coalesce("known", F.lit(False)))), F.lit(True)).alias("all_exist"))
 
 
 def bullet_sample(text: Column, per_block: int = 2, most: int = 3) -> Column:
-    """Up to two bullet lines of each block, the first three in all."""
-    blocks = F.split(text, r"\n\s*\n")
-    bullets = F.transform(blocks, lambda b: F.slice(F.filter(F.split(b, "\n"), lambda x: F.ltrim(x).startswith("-")), 1, per_block))
+    """Claims to check: up to two bullet lines of each citation block (precedents, then norms), the first three in all."""
+    blocks = F.concat(*(F.regexp_extract_all(text, F.lit(rf"(?s)\[{name}\](.*?)(?=<<|$)"), F.lit(1)) for name in ("JURISPRUDÊNCIA", "NORMAS INTERPRETADAS")))
+    bullets = F.transform(blocks, lambda b: F.slice(F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("-")), 1, per_block))
     return F.slice(F.flatten(bullets), 1, most)
 
 
+def faithful(claims: Column, anchored: Column, least: float = 0.7) -> Column:
+    """Whether enough of a card's claims were found anchored (a list of true, false or null beside them); no claim passes."""
+    n = F.size(F.filter(anchored, lambda x: F.coalesce(x, F.lit(False))))
+    return (F.size(claims) == 0) | (n >= least * F.size(claims))
+
+
 def first_failing_layer(*ok: Column) -> Column:
     """Number of the first layer that fails; null if all pass. Later layers of a failing row are not looked at."""
     return F.coalesce(*(F.when(~c, F.lit(k)) for k, c in enumerate(ok)))
@@ -162,3 +194,38 @@ def by_top_folder(files: DataFrame, path: str = "path") -> DataFrame:
     """Files, bytes and lines of each top folder; files without one under a dot."""
     top = F.when(F.col(path).contains("/"), F.split(path, "/")[0]).otherwise(".")
     return files.groupBy(top.alias("top")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes"), F.sum("n_lines").alias("n_lines"))
+
+
+def best_name(names: DataFrame, quotas: DataFrame, key: str, text: str, quota: str, least: int = 2) -> DataFrame:
+    """For each text, the quota name that holds most of its parts (of three letters or more), ``least`` at the least; the first of equals.
+
+    Words that a quota shares with a text are met by a join on the parts, so work follows matching parts and not all pairs.
+    Quota names are split on everything but letters and digits; a part must be one of their words.
+    """
+    parts = F.array_distinct(F.filter(F.split(F.lower(text), r"[.\-:_ ]"), lambda p: (F.length(p) > 2) & (p != "us")))
+    words = F.array_distinct(F.filter(F.split(F.lower(quota), r"[^\p{L}\p{N}]+"), lambda p: p != ""))
+    left = names.select(key, F.explode(parts).alias("part"))
+    right = quotas.select(quota, F.explode(words).alias("part")).distinct()
+    common = left.join(right, "part").groupBy(key, quota).agg(F.count(F.lit(1)).cast("int").alias("common")).where(F.col("common") >= least)
+    best = F.min(F.struct((-F.col("common")).alias("c"), F.col(quota).alias("q")))
+    return common.groupBy(key).agg(best.alias("b")).select(key, F.col("b.q").alias(quota), (-F.col("b.c")).alias("common"))
+
+
+def unmatched_titles(df: DataFrame, classes: DataFrame, title: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their title's class, and the count of rows of each title that has none."""
+    named = df.withColumn(title, F.trim(F.coalesce(F.col(title), F.lit(""))))
+    known = classes.select(title, kind)
+    return named.join(known, title), named.join(known, title, "left_anti").groupBy(title).agg(F.count(F.lit(1)).alias("n"))
+
+
+def modal_classes(df: DataFrame, title: str, kind: str) -> DataFrame:
+    """The class of each title; a title of two classes is an error."""
+    classes = df.select(F.trim(F.coalesce(F.col(title), F.lit(""))).alias(title), kind).groupBy(title).agg(F.count_distinct(kind).alias("n"), F.min(kind).alias(kind))
+    ensure_none(classes.where("n > 1").select(title), "titles of two classes")
+    return classes.select(title, kind)
+
+
+def block_sizes(items: DataFrame, path: str, lines: str) -> DataFrame:
+    """(block, n) of the training files of a manifest: ``sft/bloco_<block>/...train.jsonl``."""
+    block = F.regexp_extract(path, r"^sft/bloco_([^/]*)/.*train\.jsonl$", 1)
+    return items.where(F.col(path).rlike(r"^sft/bloco_[^/]*/.*train\.jsonl$")).select(block.alias("block"), F.col(lines).alias("n"))

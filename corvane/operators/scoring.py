@@ -37,10 +37,17 @@ def seed_mean(df: DataFrame, by: Sequence[str], score: str = "score") -> DataFra
     return df.groupBy(*by).agg(F.avg(score).alias("score"))
 
 
-def majority_vote(df: DataFrame, question: str, criterion: str, run: str, met: str) -> DataFrame:
-    """A criterion is met if its votes reach half, rounded up, of the runs of its *question*; an absent run votes no."""
+def majority_vote(df: DataFrame, question: str, criterion: str, run: str, met: str, reason: str | None = None) -> DataFrame:
+    """A criterion is met if its votes reach half, rounded up, of the runs of its *question*; an absent run votes no.
+
+    With ``reason``, the reasons given are listed in order of runs.
+    """
     runs = df.groupBy(question).agg(F.count_distinct(run).alias("n_runs"))
-    votes = df.groupBy(question, criterion).agg(F.sum(met).cast("long").alias("votes"))
+    sums = [F.sum(met).cast("long").alias("votes")]
+    if reason is not None:
+        given = F.array_sort(F.collect_list(F.struct(F.col(run).alias("r"), F.coalesce(F.col(reason), F.lit("")).alias("t"))))
+        sums.append(F.transform(given, lambda x: x["t"]).alias("reasons"))
+    votes = df.groupBy(question, criterion).agg(*sums)
     need = F.floor((F.col("n_runs") + 1) / 2)
     return votes.join(runs, question).withColumn("majority", (F.col("votes") >= need).cast("int"))
 
@@ -60,14 +67,12 @@ def quadrant(a: Column, b: Column, threshold: float = 0.05) -> Column:
 
 def gains_by_axes(df: DataFrame, axes: Sequence[str], gain: str, least: int = 20) -> DataFrame:
     """Mean gain for each value of each axis, as one grouping-sets pass; small groups are left out."""
-    view = "__corvane_gains"
-    df.createOrReplaceTempView(view)
-    sets = ", ".join(f"({a})" for a in axes)
-    cases = " ".join(f"WHEN grouping({a}) = 0 THEN '{a}'" for a in axes)
-    values = ", ".join(f"cast({a} AS string)" for a in axes)
-    return df.sparkSession.sql(
-        f"SELECT CASE {cases} END AS axis, coalesce({values}) AS value, count(*) AS n, avg({gain}) AS gain "
-        f"FROM {view} GROUP BY GROUPING SETS ({sets}) HAVING count(*) >= {int(least)}")
+    cols = [F.col(a) for a in axes]
+    axis = F.coalesce(*(F.when(F.grouping(a) == 0, F.lit(a)) for a in axes))
+    value = F.coalesce(*(c.cast("string") for c in cols))
+    sets = df.groupingSets([[c] for c in cols], *cols)
+    found = sets.agg(axis.alias("axis"), F.count(F.lit(1)).alias("n"), F.avg(gain).alias("gain"))
+    return found.where(F.col("n") >= least).select("axis", value.alias("value"), "n", "gain").orderBy(F.desc("n"), "axis", "value")
 
 
 def share_of_total(df: DataFrame, by: str, amount: str) -> DataFrame:
@@ -79,3 +84,35 @@ def share_of_total(df: DataFrame, by: str, amount: str) -> DataFrame:
 def training_steps(examples: Column, epochs: int = 3, batch: int = 16) -> Column:
     """Steps of training: epochs times examples over the batch, rounded up, in whole numbers."""
     return F.floor((epochs * examples + batch - 1) / batch).cast("long")
+
+
+def weighted_verdicts(verdicts: DataFrame, weights: DataFrame, keys: Sequence[str], weight: str = "weight") -> DataFrame:
+    """Verdicts with their criterion's weight, 0 where none is known."""
+    return verdicts.join(weights.select(*keys, weight), list(keys), "left").withColumn(weight, F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
+
+
+def stacked_seeds(df: DataFrame, by: Sequence[str], seed: str, run: str = "run", question: str = "question", **kw) -> DataFrame:
+    """Question scores with the seed as a part of the key, for pairing conditions by (seed, question)."""
+    return question_scores(df, [*by, seed], run, question, **kw)
+
+
+def starting_scores(scores: DataFrame, starts: DataFrame, condition: str) -> DataFrame:
+    """The score of the condition that each (model, regime) starts from; ``starts`` is a small table (model, regime, condition)."""
+    return starts.join(scores, condition, "left")
+
+
+def start_condition(model: Column, regime: Column, base: Column, seed: Column, family: Column) -> Column:
+    """Name of the condition before tuning: the base model where the regime is ``nenhum``, else ``ab_regime_sseed_family``."""
+    return F.when(regime == "nenhum", base).otherwise(F.concat_ws("_", F.lit("ab"), regime, F.concat(F.lit("s"), seed.cast("string")), family))
+
+
+def aligned_scores(results: DataFrame, model: str, score: Column, kind: str | None = None) -> DataFrame:
+    """(question, score) of a model, and of a kind of question if given; the caller orders both sides by question."""
+    rows = results.where(F.col("model") == model)
+    return (rows if kind is None else rows.where(F.col("kind") == kind)).select("question", score.alias("score"))
+
+
+def coverage_gates(df: DataFrame, coverage: str, bias: str, least: float = 0.85, most: float = 0.05) -> DataFrame:
+    """Judges with their state: ``ok``, or what keeps them out."""
+    state = F.when(F.col(coverage) < least, "low coverage").when(F.col(bias) > most, "biased omission").otherwise("ok")
+    return df.withColumn("state", state)

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.session import ship
+from corvane.tables import fresh, materialize, ranged
+
 
 def shuffle_key(seed: int, *ids: str) -> Column:
     """A fixed order for a seed: the digest of seed and id. Any cut of it is a prefix of a longer cut."""
@@ -16,13 +19,10 @@ def shuffle_key(seed: int, *ids: str) -> Column:
 
 
 def running_total(df: DataFrame, order: Sequence[str], cost: str, out: str = "running") -> DataFrame:
-    """Running sums over all rows in an order, in two levels: within range partitions, and over their totals."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    totals = parts.groupBy("__p").agg(F.sum(cost).alias("__t"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("__p", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
-    inner = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return parts.join(F.broadcast(base), "__p").withColumn(out, F.col("__base") + F.sum(cost).over(inner)).drop("__p", "__base")
+    """Running sums over all rows in an order, in two levels: within written ranges of the order, and over their totals."""
+    rows, part, base = ranged(df, order, cost, "running")
+    inner = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(out, F.col(base) + F.sum(cost).over(inner)).drop(part, base)
 
 
 def budget_prefix(df: DataFrame, order: Sequence[str], cost: str, budget: int) -> DataFrame:
@@ -42,6 +42,7 @@ def quota_fill(df: DataFrame, group: str, order: Sequence[str], cost: str, quota
 
     The fold is sequential by nature; rows of a group stream through one task in order, only the room left is kept.
     """
+    ship(df.sparkSession)
     q = F.col(quota) if isinstance(quota, str) else quota
     rows = df.withColumn("__room", q.cast("double")).repartition(group).sortWithinPartitions(group, *order)
     at, cost_at = df.columns.index(group), df.columns.index(cost)
@@ -64,15 +65,17 @@ def quota_fill(df: DataFrame, group: str, order: Sequence[str], cost: str, quota
 
 def first_n(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], n: int) -> DataFrame:
     """The first n rows of each group (a window group limit drops the rest before the shuffle)."""
+    (rank,) = fresh(df.columns, "rank")
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n).drop(rank)
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42, first: int | None = None) -> DataFrame:
     """Exactly n rows of each stratum without replacement, of its ``first`` rows by key if given."""
     pool = first_n(df, [stratum], [key], first) if first else df
-    mixed = pool.withColumn("__h", shuffle_key(seed, key))
-    return first_n(mixed, [stratum], ["__h"], n).drop("__h")
+    (mark,) = fresh(df.columns, "mark")
+    mixed = pool.withColumn(mark, shuffle_key(seed, key))
+    return first_n(mixed, [stratum], [mark], n).drop(mark)
 
 
 def keep_longest(df: DataFrame, key: str, text: str, position: str) -> DataFrame:
@@ -94,6 +97,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def greedy_diverse(df: DataFrame, group: str, position: str, vector: str, n: int = 5, threshold: float = 0.85) -> DataFrame:
     """Of the first n rows of a group, those whose cosine to every row kept before stays below the threshold."""
+    ship(df.sparkSession)
     few = first_n(df, [group], [position], n)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +120,7 @@ def with_outliers(selected: DataFrame, df: DataFrame, topic: str, outlier: int =
 def terms(text: Column, stop: Sequence[str] = (), n: int = 2) -> Column:
     """Words of two letters or more and their pairs, lower-cased and without accents."""
     plain = F.translate(F.lower(text), "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn")
-    words = F.regexp_extract_all(plain, F.lit(r"\b[a-z0-9]{2,}\b"), F.lit(0))
+    words = F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     words = F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
     if n < 2:
         return words
@@ -136,15 +140,15 @@ def tfidf(df: DataFrame, key: str, text: str, min_df: int = 5, max_df: float = 0
     return w.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def kmeans_topics(df: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:
-    """Topics of length-one vectors by k-means; topic numbers have no meaning across runs."""
+def kmeans_topics(df: DataFrame, vector: str, k: int, seed: int = 42, inits: int = 1) -> DataFrame:
+    """Topics of length-one vectors by the best of ``inits`` k-means runs; topic numbers have no meaning across runs."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
     ready = Normalizer(inputCol="__v", outputCol="__u").transform(df.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>"))))
-    model = KMeans(k=k, seed=seed, featuresCol="__u", predictionCol="topic", maxIter=20).fit(ready)
-    return model.transform(ready).drop("__v", "__u")
+    models = [KMeans(k=k, seed=seed + i, featuresCol="__u", predictionCol="topic", maxIter=20).fit(ready) for i in range(inits)]
+    return min(models, key=lambda m: m.summary.trainingCost).transform(ready).drop("__v", "__u")
 
 
 def lsa(df: DataFrame, vector: str, k: int) -> DataFrame:
@@ -156,4 +160,47 @@ def lsa(df: DataFrame, vector: str, k: int) -> DataFrame:
     return PCA(k=k, inputCol="__v", outputCol="__c").fit(ready).transform(ready).withColumn("components", vector_to_array("__c")).drop("__v", "__c")
 
 
-TOPIC_METHODS = {"kmeans": kmeans_topics, "given": lambda df, vector, k, seed=42: df}
+def tfidf_vectors(df: DataFrame, key: str, text: str, features: int = 60_000, min_df: int = 5, max_df: float = 0.35) -> DataFrame:
+    """Every row with a sparse vector ``features`` of its weighted terms; a row without a kept term has an empty one."""
+    from pyspark.ml.linalg import VectorUDT
+
+    weights = materialize(tfidf(df.select(key, text), key, text, min_df, max_df, features), "tfidf")
+    index = weights.select("term").distinct()
+    index = index.withColumn("ix", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1)  # at most ``features`` terms
+    index = materialize(index, "terms")
+    size = max(index.count(), 1)
+    pairs = weights.join(F.broadcast(index), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ix", "weight"))).alias("p"))
+
+    @F.udf(VectorUDT())
+    def sparse(ix, values):
+        from pyspark.ml.linalg import Vectors
+
+        return Vectors.sparse(size, ix or [], values or [])
+
+    rows = df.join(pairs, key, "left")
+    return rows.select(*df.columns, sparse(F.transform("p", lambda x: x["ix"]), F.transform("p", lambda x: x["weight"])).alias("features"))
+
+
+def topics(df: DataFrame, key: str, column: str, method: str = "lsa", k: int = 800, components: int = 200, seed: int = 42, given: str = "topic", inits: int = 3, features: int = 2000) -> DataFrame:
+    """The rows with a ``topic`` by one of three methods: ``lsa`` (texts), ``kmeans`` (vectors), ``given`` (a column named by a model outside).
+
+    ``lsa`` weights the ``features`` commonest terms, projects them on their leading components, scales rows to length one and keeps the
+    best of ``inits`` k-means runs. Density models have no form in Spark; their topics come in by ``given``.
+    """
+    if method == "given":
+        return df.withColumn("topic", F.col(given))
+    if method == "kmeans":
+        return kmeans_topics(df, column, k, seed, inits)
+    if method != "lsa":
+        raise ValueError(f"unknown method: {method}")
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+
+    ready = tfidf_vectors(df, key, column, features)
+    projected = PCA(k=components, inputCol="features", outputCol="__c").fit(ready).transform(ready).withColumn("components", vector_to_array("__c")).drop("__c", "features")
+    return kmeans_topics(projected, "components", k, seed, inits).drop("components")
+
+
+def seeded_pick(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    """The first row of a seeded order."""
+    return df.orderBy(shuffle_key(seed, *keys)).limit(1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.operators import agreement
+from corvane.operators import agreement, scoring
 from corvane.plans.base import Registry, V, r6, table, verdict_rows
 
 query = Registry()
@@ -138,10 +138,18 @@ def friedman_ranks(spark, d):
     return r.groupBy("run").agg(F.round(F.sum("r"), 4).alias("rank_sum"))
 
 
-@query()
+_FR = (f"WITH {V}, q AS (SELECT question, run, sum(weight) AS s FROM v WHERE run <= 3 GROUP BY ALL), f AS (SELECT * FROM q WHERE question IN (SELECT question FROM q GROUP BY 1 HAVING count(*) = 3)), "
+       "r AS (SELECT question, run, s, rank() OVER (PARTITION BY question ORDER BY s) + (count(*) OVER (PARTITION BY question, s) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY question, s) AS t FROM f), "
+       "n AS (SELECT count(DISTINCT question) AS n, sum(t * t - 1) AS ties FROM r), ss AS (SELECT sum(rs * rs) AS ss FROM (SELECT sum(r)::DOUBLE AS rs FROM r GROUP BY run)), "
+       "c AS (SELECT n, (12 * ss / (n * 3 * 4) - 3 * n * 4) / (1 - ties / (n * 3 * 8.0)) AS chi2 FROM n, ss) ")
+
+
+@query(_FR + "SELECT CAST(3 AS INTEGER) AS k, n, round(chi2, 4) AS chi2, round(exp(-chi2 / 2), 6) AS p FROM c")
 def friedman_test(spark, d):
+    """Three treatments have two degrees of freedom, where the tail is exp(-chi2 / 2)."""
     q = verdict_rows(spark, d).where("run <= 3").groupBy("question", "run").agg(F.sum("weight").alias("s"))
-    return agreement.with_p_values(agreement.friedman(q, "question", "run", "s"))
+    t = agreement.with_p_values(agreement.friedman(q, "question", "run", "s"))
+    return t.select("k", "n", F.round("chi2", 4).alias("chi2"), r6("p").alias("p"))
 
 
 @query("WITH x AS (SELECT l_quantity AS a, l_extendedprice AS b FROM lineitem), ra AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM x) "
@@ -173,18 +181,28 @@ def cohens_d(spark, d):
     return _lang_effects(spark, d).select("a", "b", r6("d").alias("d"), agreement.effect_label(F.col("d")).alias("label"))
 
 
-@query("WITH p AS (SELECT source, avg(n_chars) / 1e5 AS p FROM documents GROUP BY source) SELECT source, round(0.05 / count(*) OVER (), 9) AS threshold, CAST(p < 0.05 / count(*) OVER () AS INTEGER) AS significant FROM p")
+#: Two-sided p-values of z tests: the share of good documents of each source against that of all, in SQL by the error function's approximation.
+_P = ("WITH s AS (SELECT source, count(*) AS n, avg(quality) AS m FROM documents JOIN labels USING (doc_id) GROUP BY source), g AS (SELECT avg(quality) AS m FROM documents JOIN labels USING (doc_id)), "
+      "z AS (SELECT source, abs(s.m - g.m) / sqrt(g.m * (1 - g.m) / n) / sqrt(2.0) AS x FROM s, g), u AS (SELECT source, x, 1 / (1 + 0.3275911 * x) AS t FROM z), "
+      "p AS (SELECT source, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x) AS p FROM u) ")
+
+
+def _source_p(spark, d):
+    j = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    s = j.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("m")).crossJoin(F.broadcast(j.agg(F.avg("quality").alias("g"))))  # one row of totals
+    z = (F.col("m") - F.col("g")) / F.sqrt(F.col("g") * (1 - F.col("g")) / F.col("n"))
+    return s.select("source", agreement.normal_two_sided(z).alias("p"))
+
+
+@query(_P + "SELECT source, round(0.05 / count(*) OVER (), 9) AS threshold, CAST(p < 0.05 / count(*) OVER () AS INTEGER) AS significant FROM p")
 def bonferroni_flags(spark, d):
-    p = table(spark, d, "documents").groupBy("source").agg((F.avg("n_chars") / 1e5).alias("p"))
-    b = agreement.bonferroni(p, "p")
+    b = agreement.bonferroni(_source_p(spark, d), "p")
     return b.select("source", F.round("threshold", 9).alias("threshold"), F.col("significant").cast("int").alias("significant"))
 
 
-@query("WITH p AS (SELECT source, avg(n_chars) / 1e4 AS p FROM documents GROUP BY source), r AS (SELECT source, p, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS raw FROM p) "
-       "SELECT source, round(least(1.0, min(raw) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_adjusted FROM r")
+@query(_P + ", r AS (SELECT source, p, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS raw FROM p) SELECT source, round(least(1.0, min(raw) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_adjusted FROM r")
 def benjamini_hochberg(spark, d):
-    p = table(spark, d, "documents").groupBy("source").agg((F.avg("n_chars") / 1e4).alias("p"))
-    return agreement.benjamini_hochberg(p, "p").select("source", r6("p_adjusted").alias("p_adjusted"))
+    return agreement.benjamini_hochberg(_source_p(spark, d), "p").select("source", r6("p_adjusted").alias("p_adjusted"))
 
 
 @query("WITH s AS (SELECT l_suppkey, stddev_samp(l_quantity) AS sd FROM lineitem GROUP BY 1) SELECT round(median(sd), 6) AS median_sd, round(2 * 1.96 * median(sd), 6) AS threshold FROM s")
@@ -195,7 +213,9 @@ def noise_floor(spark, d):
 
 @query()
 def bootstrap_kappa_ci(spark, d):
-    return agreement.bootstrap_kappa(gold(spark, d), "doc_id", "gold", "pred", 200)
+    """Clusters are sources: documents of one share what they are drawn from."""
+    g = gold(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return agreement.bootstrap_kappa(g, "source", "gold", "pred", 1000)
 
 
 @query("WITH a AS (SELECT l_suppkey AS r, row_number() OVER (ORDER BY avg(l_quantity) DESC, l_suppkey) AS p1, row_number() OVER (ORDER BY avg(l_discount) DESC, l_suppkey) AS p2 FROM lineitem GROUP BY 1) SELECT round(corr(p1, p2), 6) AS rho FROM a")
@@ -207,15 +227,59 @@ def order_correlation(spark, d):
     return a.select(pos("x").alias("p1"), pos("y").alias("p2")).agg(r6(F.corr("p1", "p2")).alias("rho"))
 
 
-@query(f"WITH {_R} SELECT count(*) AS n, round(avg(CAST(r.value = g.gold AS INTEGER)), 6) AS accuracy FROM r JOIN g USING (doc_id) WHERE rater = 'pred'")
+_PAIR_NAMES = {"kappa_gold": ("gold", "pred"), "kappa_r3": ("r3", "pred"), "kappa_r4": ("r4", "pred"), "kappa_r5": ("r5", "pred"), "kappa_r3_r4": ("r3", "r4"), "kappa_r3_r5": ("r3", "r5"), "kappa_r4_r5": ("r4", "r5")}
+_G5 = G + ", h AS (SELECT *, CAST(n_chars % 7 > 1 AS INTEGER) AS r5 FROM g)"
+
+
+@query(f"WITH {_G5}, " + ", ".join(f"k{i} AS (SELECT {_K.format(a=a, b=b)} FROM h), x{i} AS (SELECT {_KAPPA} AS {n} FROM k{i})" for i, (n, (a, b)) in enumerate(_PAIR_NAMES.items()))
+       + ", i AS (SELECT r3 + r4 + r5 AS y FROM h), t AS (SELECT avg((y * y + (3 - y) * (3 - y) - 3) / 6.0) AS p, sum(y) / (3.0 * count(*)) AS q FROM i) "
+       "SELECT (SELECT count(*) FROM h) AS n, (SELECT round(avg(CAST(gold = pred AS INTEGER)), 6) FROM h) AS accuracy, " + ", ".join(_PAIR_NAMES)
+       + ", round((p - (q * q + (1 - q) * (1 - q))) / (1 - (q * q + (1 - q) * (1 - q))), 6) AS fleiss FROM t, " + ", ".join(f"x{i}" for i in range(len(_PAIR_NAMES))))
 def alignment_report(spark, d):
-    g = gold(spark, d)
-    return g.agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("pred") == F.col("gold")).cast("int"))).alias("accuracy"))
+    g = gold(spark, d).withColumn("r5", (F.col("n_chars") % 7 > 1).cast("int"))
+    a = agreement.alignment(g, "pred", "gold", ["r3", "r4", "r5"])
+    return a.select("n", *(r6(c).alias(c) for c in a.columns[1:]))
 
 
-@query()
+_MODEL_PAIRS = [("1", "2"), ("1", "3")]
+
+
+def _model_scores(spark, d):
+    """Runs of the verdict table as models, line status as kind of question."""
+    v = verdict_rows(spark, d).where("run <= 3")
+    return v.groupBy(F.col("run").cast("string").alias("model"), F.col("class").alias("kind"), "question").agg((F.sum(F.col("met") * F.col("weight")) / F.sum("weight")).alias("score"))
+
+
+_REPORT = (f"WITH {V}, s AS (SELECT CAST(run AS VARCHAR) AS model, class AS kind, question, sum(met * weight) / sum(weight) AS score FROM v WHERE run <= 3 GROUP BY ALL), "
+           "pr(a, b) AS (VALUES ('1', '2'), ('1', '3')), x AS (SELECT pr.a || '→' || pr.b AS pair, x.kind, x.score AS a, y.score AS b, y.score - x.score AS d FROM pr JOIN s x ON x.model = pr.a JOIN s y ON y.model = pr.b AND y.kind = x.kind AND y.question = x.question), "
+           "m AS (SELECT pair, kind, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, count(*) AS n FROM x GROUP BY ALL), "
+           "r AS (SELECT pair, kind, d, rank() OVER (PARTITION BY pair, kind ORDER BY abs(d)) + (count(*) OVER (PARTITION BY pair, kind, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY pair, kind, abs(d)) AS t FROM x WHERE d <> 0), "
+           "w AS (SELECT pair, kind, count(*) AS k, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END))::DOUBLE AS w, sum((t * t - 1)::DOUBLE) AS ties FROM r GROUP BY ALL), "
+           "z AS (SELECT pair, kind, w, abs((w - k * (k + 1) / 4.0) / sqrt(k * (k + 1) * (2 * k + 1) / 24.0 - ties / 48.0)) / sqrt(2.0) AS x FROM w), "
+           "p AS (SELECT pair, kind, w, 1 / (1 + 0.3275911 * x) AS t, x FROM z), e AS (SELECT m.*, w, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x) AS p, "
+           "(ma - mb) / sqrt(((n - 1) * va + (n - 1) * vb) / (2 * n - 2)) AS d FROM m JOIN p USING (pair, kind)) "
+           "SELECT pair, kind, round(ma, 4) AS mean_a, round(mb, 4) AS mean_b, round(mb - ma, 4) AS delta, round(w, 2) AS w, round(p, 5) AS p, round(0.05 / count(*) OVER (), 6) AS threshold, p < 0.05 / count(*) OVER () AS significant, "
+           "round(d, 4) AS d, CASE WHEN abs(d) < 0.2 THEN 'desprezível' WHEN abs(d) < 0.5 THEN 'pequeno' WHEN abs(d) < 0.8 THEN 'médio' ELSE 'grande' END AS label FROM e")
+
+
+@query(_REPORT)
 def comparison_report(spark, d):
-    """Pairs of languages: effect, signed ranks of paired document lengths, corrected threshold."""
-    e = _lang_effects(spark, d)
-    return agreement.bonferroni(e.withColumn("p", agreement.normal_two_sided(F.col("d") * 2)), "p").select(
-        "a", "b", r6("d").alias("d"), agreement.effect_label(F.col("d")).alias("label"), r6("p").alias("p"), r6("threshold").alias("alpha_corrected"), "significant")
+    r = agreement.comparison_report(_model_scores(spark, d), _MODEL_PAIRS, ["O", "F"])
+    return r.select("pair", "kind", *(F.round(c, 4).alias(c) for c in ("mean_a", "mean_b", "delta")), F.round("W", 2).alias("w"), F.round("p", 5).alias("p"), F.round("threshold", 6).alias("threshold"), "significant", F.round("d", 4).alias("d"), "label")
+
+
+@query("WITH s AS (SELECT l_orderkey AS question, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity END AS mean_score, l_discount AS mean FROM lineitem WHERE l_suppkey % 2 = 0 AND l_returnflag = 'N') SELECT question, round(coalesce(mean_score, mean, 0), 6) AS score FROM s")
+def aligned_scores(spark, d):
+    li = table(spark, d, "lineitem").select((F.col("l_suppkey") % 2).cast("string").alias("model"), F.col("l_returnflag").alias("kind"), F.col("l_orderkey").alias("question"),
+                                            F.when(F.col("l_linenumber") != 1, F.col("l_quantity")).alias("mean_score"), F.col("l_discount").alias("mean"))
+    return scoring.aligned_scores(li, "0", F.coalesce("mean_score", "mean", F.lit(0.0)), "N").select("question", r6("score").alias("score"))
+
+
+_GATES = f"WITH {G}, j AS (SELECT lang, gold, n_chars < 4000 AS judged FROM g), c AS (SELECT lang, avg(CAST(judged AS INTEGER)) AS coverage, coalesce(abs(avg(gold) FILTER (WHERE judged) - avg(gold) FILTER (WHERE NOT judged)), 0) AS bias FROM j GROUP BY lang) "
+
+
+@query(_GATES + "SELECT lang, round(coverage, 6) AS coverage, round(bias, 6) AS bias, CASE WHEN coverage < 0.95 THEN 'low coverage' WHEN bias > 0.2 THEN 'biased omission' ELSE 'ok' END AS state FROM c")
+def coverage_gates(spark, d):
+    g = gold(spark, d).withColumn("judged", F.col("n_chars") < 4000)
+    a = g.groupBy("lang").agg(F.avg(F.col("judged").cast("int")).alias("coverage"), F.coalesce(F.abs(F.avg(F.when(F.col("judged"), F.col("gold"))) - F.avg(F.when(~F.col("judged"), F.col("gold")))), F.lit(0.0)).alias("bias"))
+    return scoring.coverage_gates(a, "coverage", "bias", 0.95, 0.2).select("lang", r6("coverage").alias("coverage"), r6("bias").alias("bias"), "state")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
-from corvane.operators import audit, selection
+from corvane.operators import audit, selection, verdicts
 from corvane.plans.base import Registry, r6, table
+from corvane.sources import readers
 from corvane.streaming import resume
+from corvane.tables import lagged, shared_dir
 
 query = Registry()
 
@@ -52,34 +51,46 @@ def leak_by_id_prefix(spark, d):
     return audit.leak_by_prefix(x, "block", "id", [39, 40, 41]).withColumn("leaked", F.array_join(F.col("leaked").cast("array<string>"), ","))
 
 
-_API = "(?i)(?:api[_-]?key|token|secret)[\"'']?\\s*[:=]\\s*[\"''][A-Za-z0-9_\\-]{{16,}}".replace("{{", "{").replace("}}", "}")
+_RX = {name: rx.replace("'", "''") for name, rx in audit.SECRET_PATTERNS.items()}
 
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) + 1 AS n FROM documents) "
-       f"SELECT doc_id, CAST(n AS INTEGER) AS line, 'api_key' AS pattern FROM l WHERE regexp_matches(line, '{_API}')"
-       " UNION ALL SELECT doc_id, CAST(n AS INTEGER), 'aws_key' FROM l WHERE regexp_matches(line, 'AKIA[0-9A-Z]{16}')"
-       " UNION ALL SELECT doc_id, CAST(n AS INTEGER), 'github_token' FROM l WHERE regexp_matches(line, 'gh[pousr]_[A-Za-z0-9]{30,}')"
-       " UNION ALL SELECT doc_id, CAST(n AS INTEGER), 'hf_token' FROM l WHERE regexp_matches(line, 'hf_[A-Za-z0-9]{30,}')"
-       " UNION ALL SELECT doc_id, CAST(n AS INTEGER), 'bearer' FROM l WHERE regexp_matches(line, 'Bearer [A-Za-z0-9._\\-]{20,}')"
-       " UNION ALL SELECT doc_id, CAST(n AS INTEGER), 'private_key' FROM l WHERE regexp_matches(line, '-----BEGIN [A-Z ]*PRIVATE KEY-----')")
+       + " UNION ALL ".join(f"SELECT doc_id, CAST(n AS INTEGER) AS line, '{name}' AS pattern FROM l WHERE regexp_matches(line, '{rx}')" for name, rx in _RX.items()))
 def secret_scan_lines(spark, d):
     return audit.scan_lines(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("WITH p AS (SELECT source AS family, count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, avg(CAST(length(text) >= 1000 AS INTEGER)) AS filled, avg(CAST(lang = 'en' AS INTEGER)) AS after FROM documents GROUP BY source) "
-       "SELECT family, 'empty_field' AS finding, 0 AS severity FROM p WHERE filled < 0.5 UNION ALL SELECT family, 'coverage_drop', 1 FROM p WHERE 1 - after > 0.2")
+_PROFILE = ("WITH d AS (SELECT d.*, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l USING (doc_id)), p AS (SELECT source AS family, count(*) AS n_rows, count(DISTINCT CASE WHEN n_chars > 15000 THEN lang ELSE 'x' END) AS n_ids, "
+            "avg(CAST(length(text) >= 1000 AS INTEGER)) AS filled, avg(CAST(n_chars >= 300 AS INTEGER)) AS before, avg(CAST(n_chars >= 1500 AS INTEGER)) AS after, max(n_chars) >= 12000 AS expanded, avg(CAST(labelled AS INTEGER)) AS paired, "
+            "sum(n_chars) / 2000.0 / count(*) AS granularity FROM d GROUP BY source) ")
+
+
+@query(_PROFILE + "SELECT family, 'empty_field' AS finding, CAST(0 AS INTEGER) AS severity FROM p WHERE filled < 0.5 UNION ALL SELECT family, 'coverage_drop', 1 FROM p WHERE before - after > 0.2 "
+       "UNION ALL SELECT family, 'one_id', 2 FROM p WHERE n_ids <= 1 AND n_rows > 10 UNION ALL SELECT family, 'not_expanded', 3 FROM p WHERE NOT expanded UNION ALL SELECT family, 'pairing', 4 FROM p WHERE paired < 0.5 "
+       "UNION ALL SELECT family, 'granularity', 5 FROM p WHERE NOT granularity BETWEEN 0.67 AND 1.5")
 def provenance_findings(spark, d):
-    p = table(spark, d, "documents").groupBy(F.col("source").alias("family")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("doc_id").alias("n_ids"), F.avg((F.length("text") >= 1000).cast("int")).alias("filled_share"),
-        F.avg((F.col("lang") == "en").cast("int")).alias("coverage_after"))
-    p = p.withColumns({"coverage_before": F.lit(1.0), "expanded": F.lit(True), "paired_share": F.lit(1.0), "granularity": F.lit(1.0)})
+    """All six checks over profiles of sources; texts stand for ids, labels for the other arm."""
+    j = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", F.lit(True).alias("labelled")), "doc_id", "left")
+    share = lambda c: F.avg(c.cast("int"))
+    p = j.groupBy(F.col("source").alias("family")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.when(F.col("n_chars") > 15000, F.col("lang")).otherwise("x")).alias("n_ids"), share(F.length("text") >= 1000).alias("filled_share"),
+        share(F.col("n_chars") >= 300).alias("coverage_before"), share(F.col("n_chars") >= 1500).alias("coverage_after"), (F.max("n_chars") >= 12000).alias("expanded"),
+        share(F.col("labelled").isNotNull()).alias("paired_share"), (F.sum("n_chars") / 2000.0 / F.count(F.lit(1))).alias("granularity"))
     return audit.provenance_findings(p)
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90)")
 def resume_pending(spark, d):
     e = table(spark, d, "events")
-    return resume.pending(e, e.where("event_type = 'purchase'"), ["user_id"]).select("event_id", "user_id")
+    return resume.pending(e, e.where("event_type = 'purchase' AND value > 90"), ["user_id"]).select("event_id", "user_id")
+
+
+@query("WITH a AS (SELECT l_orderkey AS question, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) SELECT o_orderkey AS question, CAST(4 - coalesce(n, 0) AS BIGINT) AS lacking FROM orders LEFT JOIN a ON o_orderkey = question WHERE 4 - coalesce(n, 0) > 0")
+def missing_runs(spark, d):
+    """Orders as questions that want four answers; returned lines are stub answers, which do not count."""
+    q = table(spark, d, "orders").select(F.col("o_orderkey").alias("question"))
+    a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("question"), F.concat(F.when(F.col("l_returnflag") == "R", "STUB:").otherwise("ok:"), F.col("l_linestatus")).alias("answer"))
+    return verdicts.missing_runs(q, a, "question", 4)
 
 
 @query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -100,18 +111,15 @@ def class_by_period_matrix(spark, d):
 @query("WITH g AS (SELECT event_type, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS gap FROM events) SELECT event_type, count(*) FILTER (WHERE gap < 60000000) AS n_tight FROM g GROUP BY event_type")
 def run_gap_check(spark, d):
     e = table(spark, d, "events").select("event_type", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    gap = F.col("us") - F.lag("us").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return e.withColumn("gap", gap).groupBy("event_type").agg(F.count_if(F.col("gap") < 60_000_000).alias("n_tight"))
+    g = lagged(e, ["event_type"], ["ts", "event_id"], "us", "before")
+    return g.groupBy("event_type").agg(F.count_if(F.col("us") - F.col("before") < 60_000_000).alias("n_tight"))
 
 
-@query()
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def streaming_resume(spark, d):
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvane-stream-")
-    import uuid
-
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = shared_dir(spark, "stream")
     schema = table(spark, d, "events").schema
-    return resume.run_available(spark, d, schema, f"{at}/out", f"{at}/log", ["event_id"], file_glob="events.parquet")
+    return resume.run_available(spark, d, schema, f"{at}/out", f"{at}/log", ["event_id"], file_glob="*.parquet", source_glob="events.parquet*")
 
 
 @query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
@@ -143,21 +151,20 @@ def semi_join_case_insensitive(spark, d):
     return docs.withColumn("k", F.lower("source")).join(keys, "k", "left_semi").select("doc_id", "source")
 
 
-@query("WITH q AS (SELECT r_regionkey, string_split(lower(r_name), ' ') AS t FROM region), n AS (SELECT n_nationkey, string_split(lower(n_name), ' ') AS t FROM nation), "
-       "x AS (SELECT n_nationkey, r_regionkey, len(list_intersect(list_distinct(list_transform(n.t, lambda s: substr(s, 1, 1))), list_distinct(list_transform(q.t, lambda s: substr(s, 1, 1))))) AS c FROM n CROSS JOIN q) "
-       "SELECT n_nationkey, r_regionkey, CAST(c AS INTEGER) AS common FROM x WHERE c >= 1 QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY c DESC, r_regionkey) = 1")
+@query("WITH n AS (SELECT p_partkey, list_distinct(list_filter(regexp_split_to_array(lower('us.' || p_type || '.' || replace(p_name, ' ', '-') || ':v1'), '[.\\-:_ ]'), lambda x: length(x) > 2 AND x <> 'us')) AS t FROM part), "
+       "q AS (SELECT DISTINCT p_name || ' (' || p_type || ')' AS quota, list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' (' || p_type || ')'), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM part WHERE p_size <= 3), "
+       "x AS (SELECT p_partkey, quota, len(list_intersect(t, w)) AS c FROM n, q) SELECT p_partkey, quota, CAST(c AS INTEGER) AS common FROM x WHERE c >= 2 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY c DESC, quota) = 1")
 def best_match_lookup(spark, d):
-    """The name with most tokens in common; both sides are small fixed dimensions."""
-    initials = lambda c: F.array_distinct(F.transform(F.split(F.lower(c), " "), lambda s: F.substring(s, 1, 1)))
-    q = table(spark, d, "region").select("r_regionkey", initials(F.col("r_name")).alias("qt"))
-    n = table(spark, d, "nation").select("n_nationkey", initials(F.col("n_name")).alias("nt"))
-    x = n.join(F.broadcast(q), F.size(F.array_intersect("nt", "qt")) >= 1).withColumn("common", F.size(F.array_intersect("nt", "qt")))
-    return selection.first_n(x, ["n_nationkey"], [F.desc("common"), "r_regionkey"], 1).select("n_nationkey", "r_regionkey", "common")
+    """Names built like model ids against quota names: the one with most words in common, two at the least."""
+    p = table(spark, d, "part")
+    names = p.select("p_partkey", F.concat(F.lit("us."), "p_type", F.lit("."), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(":v1")).alias("id"))
+    quotas = p.where("p_size <= 3").select(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")")).alias("quota")).distinct()
+    return audit.best_name(names, quotas, "p_partkey", "id", "quota")
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)")
 def referential_closure(spark, d):
-    used = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    used = table(spark, d, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, d, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
 
 
@@ -170,22 +177,80 @@ def manifest_verify(spark, d):
 
 @query()
 def file_manifest(spark, d):
-    return audit.manifest(spark, d, "nation.parquet").select("bytes", "n_lines", "sha256")
+    return audit.manifest(spark, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "n_lines", "sha256")
 
 
-@query("SELECT split_part(source, '1', 1) AS top, count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS bytes, CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS n_lines FROM documents WHERE contains(source, '1') GROUP BY 1")
+@query("WITH f AS (SELECT CASE WHEN n_chars > 8000 THEN source ELSE lang || '/' || source || '/' || doc_id END AS path, n_chars, length(text) - length(replace(text, chr(10), '')) AS n FROM documents) "
+       "SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS top, count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS bytes, CAST(sum(n) AS BIGINT) AS n_lines FROM f GROUP BY 1")
 def package_summary(spark, d):
-    files = table(spark, d, "documents").where(F.col("source").contains("1")).select(
-        F.replace("source", F.lit("1"), F.lit("/")).alias("path"), F.col("n_chars").alias("bytes"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("n_lines"))
+    path = F.when(F.col("n_chars") > 8000, F.col("source")).otherwise(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")))
+    files = table(spark, d, "documents").select(path.alias("path"), F.col("n_chars").alias("bytes"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("n_lines"))
     return audit.by_top_folder(files)
 
 
+_NAMES = "(WITH e AS (SELECT event_id, event_type || '/' || user_id || CASE WHEN value > 95 THEN '.pem' WHEN value > 90 THEN '/.env.local' WHEN value > 85 THEN '/usuarios.json' ELSE '.txt' END AS path FROM events) SELECT * FROM e)"
+
+
+@query(f"SELECT event_id, path FROM {_NAMES} WHERE regexp_matches(split_part(path, '/', -1), '(?i)(\\.pem|\\.key|\\.p12|\\.pfx|id_rsa|id_ed25519|\\.env.*|usuarios\\.json|\\.netrc|credentials)$')")
+def forbidden_files(spark, d):
+    v = F.col("value")
+    tail = F.when(v > 95, ".pem").when(v > 90, "/.env.local").when(v > 85, "/usuarios.json").otherwise(".txt")
+    e = table(spark, d, "events").select("event_id", F.concat("event_type", F.lit("/"), "user_id", tail).alias("path"))
+    return audit.forbidden_files(e, "path")
+
+
+@query("WITH i AS (SELECT CASE WHEN l_returnflag = 'N' THEN 'sft/bloco_' || l_linenumber || '/' || l_suppkey || '/train.jsonl' ELSE 'cpt/' || l_suppkey || '/train.jsonl' END AS path, l_quantity AS n FROM lineitem) "
+       "SELECT regexp_extract(path, '^sft/bloco_([^/]*)/', 1) AS block, CAST(sum(n) AS DOUBLE) AS n FROM i WHERE regexp_matches(path, '^sft/bloco_') GROUP BY 1")
+def block_sizes(spark, d):
+    li = table(spark, d, "lineitem")
+    path = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("sft/bloco_"), "l_linenumber", F.lit("/"), "l_suppkey", F.lit("/train.jsonl"))).otherwise(F.concat(F.lit("cpt/"), "l_suppkey", F.lit("/train.jsonl")))
+    return audit.block_sizes(li.select(path.alias("path"), F.col("l_quantity").alias("lines")), "path", "lines").groupBy("block").agg(F.sum("n").alias("n"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_field(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT l_suppkey, round(max(l_quantity), 4) AS best, max_by(l_partkey, struct_pack(q := l_quantity, p := l_partkey)) AS part FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey, l_quantity AS n, l_partkey AS part FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey * 10 + l_linenumber, l_partkey DESC) = 1")
 def best_candidate(spark, d):
-    li = table(spark, d, "lineitem")
-    return li.groupBy("l_suppkey").agg(F.round(F.max("l_quantity"), 4).alias("best"), F.max_by("l_partkey", F.struct("l_quantity", "l_partkey")).alias("part"))
+    """Parts as candidate texts of a supplier, quantity as their number of articles."""
+    li = table(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("part"), F.col("l_quantity").alias("n"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"))
+    return readers.best_candidate(li, "l_suppkey", "part", "n", "position")
+
+
+@query("WITH c AS (SELECT CAST(l_linenumber AS INTEGER) AS n FROM lineitem) SELECT n, CASE WHEN n >= 0.8 * 7 THEN 'ok' WHEN n > 1 THEN 'partial' ELSE 'failed' END AS state, count(*) AS n_rows FROM c GROUP BY ALL")
+def coverage_states(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("n"))
+    state = readers.coverage_state(F.when(F.col("n") > 1, F.col("n")).otherwise(0), F.lit(7))
+    return li.groupBy("n", state.alias("state")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+_TITLES = "t AS (SELECT p_partkey, ' ' || p_name || ' ' AS title, p_size FROM part), k AS (SELECT trim(title) AS title, max(CASE WHEN length(trim(title)) > 11 THEN 'formal' ELSE 'merito' END) AS kind FROM t WHERE p_size <= 2 GROUP BY 1) "
+
+
+@query(f"WITH {_TITLES} SELECT p_partkey, kind FROM t JOIN k ON trim(t.title) = k.title")
+def title_classes(spark, d):
+    return _titles(spark, d)[0].select("p_partkey", "kind")
+
+
+@query(f"WITH {_TITLES} SELECT trim(title) AS title, count(*) AS n FROM t WHERE trim(title) NOT IN (SELECT title FROM k) GROUP BY 1")
+def titles_without_class(spark, d):
+    return _titles(spark, d)[1]
+
+
+def _titles(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("title"), "p_size")
+    kind = F.when(F.length(F.trim("title")) > 11, "formal").otherwise("merito")
+    return audit.unmatched_titles(p, audit.modal_classes(p.where("p_size <= 2").withColumn("kind", kind), "title", "kind"), "title", "kind")
+
+
+_LEVELS = "c AS (SELECT DISTINCT event_type AS class FROM events), y AS (SELECT unnest(range(2010, 2027))::INTEGER AS year)"
+
+
+@query(f"WITH {_LEVELS}, s AS (SELECT DISTINCT event_type AS class, CAST(2010 + user_id % 17 AS INTEGER) AS year FROM events WHERE value > 60) SELECT class, year, make_date(year, 1, 1) AS first, make_date(year, 12, 31) AS last FROM c, y WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.class = c.class AND s.year = y.year)")
+def pending_cells(spark, d):
+    e = table(spark, d, "events")
+    state = e.where("value > 60").select(F.col("event_type").alias("class"), (2010 + F.col("user_id") % 17).cast("int").alias("year")).distinct()
+    years = spark.range(2010, 2027).select(F.col("id").cast("int").alias("year"))
+    return verdicts.pending_cells(e.select(F.col("event_type").alias("class")).distinct(), years, state)

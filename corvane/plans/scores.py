@@ -52,23 +52,25 @@ _REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 def _pivot(spark, d):
     long = scoring.two_level_score(verdict_rows(spark, d).join(areas(spark, d), "question"), ["area", "region"])
     wide = long.groupBy("area").pivot("region", _REGIONS).agg(F.first("score"))
-    return wide.select("area", *(r6(r).alias(r.lower().replace(" ", "_")) for r in _REGIONS))
+    return wide.toDF("area", *(r.lower().replace(" ", "_") for r in _REGIONS))
 
 
 @query(_PIV + "SELECT area, " + ", ".join(f"round(max(CASE WHEN region = '{r}' THEN s END), 6) AS {r.lower().replace(' ', '_')}" for r in _REGIONS) + " FROM t GROUP BY area")
 def score_pivot_table(spark, d):
-    return _pivot(spark, d)
+    wide = _pivot(spark, d)
+    return wide.select("area", *(r6(c).alias(c) for c in wide.columns[1:]))
 
 
 @query(_PIV + "SELECT area, round(max(s), 6) AS best FROM t GROUP BY area")
 def score_best_of_row(spark, d):
-    return _pivot(spark, d).select("area", F.greatest(*(r.lower().replace(" ", "_") for r in _REGIONS)).alias("best"))
+    wide = _pivot(spark, d)
+    return wide.select("area", r6(F.greatest(*wide.columns[1:])).alias("best"))
 
 
 @query(_PIV + "SELECT area, round(max(s) - min(s), 6) AS ampl FROM t GROUP BY area HAVING count(s) >= 2")
 def score_dispersion(spark, d):
-    cols = F.array_compact(F.array(*(r.lower().replace(" ", "_") for r in _REGIONS)))
-    w = _pivot(spark, d).select("area", cols.alias("x")).where(F.size("x") >= 2)
+    wide = _pivot(spark, d)
+    w = wide.select("area", F.array_compact(F.array(*wide.columns[1:])).alias("x")).where(F.size("x") >= 2)
     return w.select("area", r6(F.array_max("x") - F.array_min("x")).alias("ampl"))
 
 
@@ -159,7 +161,7 @@ def condition_divergence(spark, d):
        "SELECT t.s AS status, p.p AS priority, f.n FROM t CROSS JOIN p LEFT JOIN f ON f.s = t.s AND f.p = p.p")
 def factor_grid(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), "o_totalprice")
-    grid = o.select("status").distinct().crossJoin(F.broadcast(o.select("priority").distinct()))  # levels of two factors, not rows
+    grid = o.select("status").distinct().crossJoin(o.select("priority").distinct())  # levels of two factors, not rows
     facts = o.where("o_totalprice > 100000").groupBy("status", "priority").agg(F.count(F.lit(1)).alias("n"))
     return grid.join(facts, ["status", "priority"], "left")
 

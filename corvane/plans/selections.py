@@ -22,7 +22,9 @@ def group_quota_scaled(spark, d):
     return q.select("lang", "least", F.round("quota", 4).alias("quota"))
 
 
-@query()
+@query("WITH l AS (SELECT lang, list_transform(list(struct_pack(doc_id, n_chars) ORDER BY doc_id), lambda x: {'c': CAST(x.n_chars AS DOUBLE), 'id': x.doc_id, 'room': 100000.0::DOUBLE, 'kept': CAST([] AS BIGINT[])}) AS l FROM documents GROUP BY lang), "
+       "f AS (SELECT lang, list_reduce(list_prepend({'c': 0::DOUBLE, 'id': 0::BIGINT, 'room': 100000.0::DOUBLE, 'kept': CAST([] AS BIGINT[])}, l), lambda a, x: CASE WHEN x.c <= a.room THEN {'c': a.c, 'id': a.id, 'room': a.room - x.c, 'kept': list_append(a.kept, x.id)} ELSE a END) AS f FROM l) "
+       "SELECT k.doc_id, k.lang, n_chars FROM (SELECT lang, unnest(f.kept) AS doc_id FROM f) k JOIN documents d ON d.doc_id = k.doc_id AND d.lang = k.lang")
 def quota_fill_greedy(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
     return selection.quota_fill(docs, "lang", ["doc_id"], "n_chars", F.lit(100_000.0))
@@ -43,7 +45,13 @@ def topn_per_topic(spark, d):
     return selection.first_n(table(spark, d, "embeddings").select("vec_id", "label"), ["label"], ["vec_id"], 5)
 
 
-@query()
+_COS = "list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a})) / sqrt(list_dot_product({b}, {b}))"
+_DIVERSE = ("f AS (SELECT {by}, vec_id, embedding::DOUBLE[] AS e FROM {src} QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY vec_id) <= 5), "
+            "l AS (SELECT {by}, list_transform(list(struct_pack(vec_id, e) ORDER BY vec_id), lambda x: {{'id': [x.vec_id], 'e': [x.e]}}) AS l FROM f GROUP BY ALL), "
+            "g AS (SELECT {by}, list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a.e, lambda y: " + _COS.format(a="y", b="x.e[1]") + " >= 0.85)) = 0 THEN {{'id': list_concat(a.id, x.id), 'e': list_concat(a.e, x.e)}} ELSE a END) AS k FROM l) ")
+
+
+@query("WITH " + _DIVERSE.format(by="label", src="embeddings") + "SELECT unnest(k.id) AS vec_id, label FROM g")
 def greedy_diverse_selection(spark, d):
     return selection.greedy_diverse(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 5, 0.85).select("vec_id", "label")
 
@@ -63,7 +71,20 @@ def within_topic_cosine(spark, d):
     return a.join(b, "label").where("v1 < v2").select("v1", "v2", F.round(selection.cosine(F.col("e1"), F.col("e2")), 5).alias("cos"))
 
 
-@query()
+@query("WITH t AS (SELECT vec_id, embedding, vec_id % 2 AS archive, label FROM embeddings), " + _DIVERSE.format(by="archive, label", src="t") + "SELECT unnest(k.id) AS vec_id, archive, label FROM g")
+def archive_topics(spark, d):
+    """Each archive has topics of its own: the selection goes by (archive, topic)."""
+    e = table(spark, d, "embeddings").withColumn("archive", F.col("vec_id") % 2).withColumn("topic", F.struct("archive", "label"))
+    return selection.greedy_diverse(e, "topic", "vec_id", "embedding", 5, 0.85).select("vec_id", "archive", "label")
+
+
+_TERMS = "regexp_extract_all(translate(lower(text), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn'), '[\\p{L}\\p{N}_]{2,}')"
+
+
+@query(f"WITH w AS (SELECT doc_id, {_TERMS} AS w FROM documents), e AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), "
+       "tf AS (SELECT doc_id, term, count(*) AS tf FROM e GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term), "
+       "k AS (SELECT term, df FROM df, n WHERE df >= 5 AND df <= 0.35 * n ORDER BY total DESC, term LIMIT 60000), x AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS w FROM tf JOIN k USING (term), n) "
+       "SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x")
 def tfidf_weights(spark, d):
     return selection.tfidf(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "term", r6("weight").alias("weight"))
 
@@ -78,6 +99,18 @@ def lsa_components(spark, d):
     return selection.lsa(table(spark, d, "embeddings"), "embedding", 8).select("vec_id", "components")
 
 
+@query()
+def lsa_topics(spark, d):
+    """Terms weighted, projected on leading components, scaled to length one and grouped: topics of whole documents."""
+    return selection.topics(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", method="lsa", k=20, components=16, features=400).select("doc_id", "topic")
+
+
+@query("SELECT vec_id, label AS topic FROM embeddings")
+def given_topics(spark, d):
+    """Topics from a model outside, as a column of the table."""
+    return selection.topics(table(spark, d, "embeddings"), "vec_id", "embedding", method="given", given="label").select("vec_id", "topic")
+
+
 @query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) = 1")
 def dedup_keep_longest(spark, d):
     return selection.keep_longest(table(spark, d, "documents").select("source", "text", "doc_id"), "source", "text", "doc_id").select("doc_id", "source")
@@ -100,9 +133,11 @@ def multi_key_sort_limit(spark, d):
     return docs.orderBy((F.col("lang") == "en").desc(), (F.col("source") == "src1").desc(), F.desc("n_chars"), "doc_id").limit(50).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents ORDER BY sha256('7|' || doc_id) LIMIT 1")
+@query("WITH c AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10) SELECT l_orderkey, l_linenumber FROM c ORDER BY sha256('7|' || l_orderkey || '|' || l_linenumber) LIMIT 1")
 def seeded_pick(spark, d):
-    return table(spark, d, "documents").orderBy(selection.shuffle_key(7, "doc_id")).limit(1).select("doc_id")
+    """The first (question, criterion) of a seeded order that passes the filter: what drawing again until one passes gives."""
+    c = table(spark, d, "lineitem").where("l_quantity >= 10").select("l_orderkey", "l_linenumber").distinct()
+    return selection.seeded_pick(c, ["l_orderkey", "l_linenumber"], 7)
 
 
 @query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN NULL ELSE s_acctbal END AS m FROM supplier ORDER BY m DESC NULLS LAST, s_suppkey LIMIT 30")

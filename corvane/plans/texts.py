@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as X
 from corvane.operators import audit, verdicts
 from corvane.plans.base import Registry, table
+from corvane.tables import numbered
 
 query = Registry()
 #: Ordered classes for the keyword query: a name and its keywords.
@@ -46,24 +47,35 @@ def whitespace_squeeze(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.squeeze(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, '**', ''), '(?m)^#{1,6}[ \\t]+', '', 'g'), '(?m)^[ \\t]*(?:-{3,}|\\*{3,}|_{3,})[ \\t]*$', '', 'g'), '(?m)^\\*([^*\\n]+)\\*[ \\t]*$', '\\1', 'g'), '(?m)[ \\t]+$', '', 'g'), '\\n{3,}', '\n\n', 'g'))) AS digest FROM documents")
+_MARKED = "'Olá **x**' || chr(10) || '<<ID=' || doc_id || '>>' || chr(10) || '## ' || lang || chr(10) || '*uma' || chr(10) || 'citação*' || chr(10) || '---' || chr(10) || chr(10) || chr(10) || chr(10) || ' *só isto*  ' || chr(10) || text"
+_LINE = "regexp_replace(regexp_replace(regexp_replace(l, '^\\s{0,3}#{1,6}\\s*', ''), '^\\s*\\*([^*]+)\\*\\s*$', '\\1'), '\\s+$', '')"
+
+
+@query(f"WITH m AS (SELECT doc_id, {_MARKED} AS t FROM documents), b AS (SELECT doc_id, regexp_replace(replace(substr(t, strpos(t, '<<ID=')), '**', ''), '\\*([^*\\s]|[^*\\s][^*]*[^*\\s])\\*', '\\1', 'g') AS t FROM m), "
+       "l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda l: NOT regexp_matches(l, '^\\s*(?:-{3,}|\\*{3,}|_{3,})\\s*$')) AS ls FROM b) "
+       f"SELECT doc_id, md5(trim(regexp_replace(array_to_string(list_transform(ls, lambda l: {_LINE}), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS digest FROM l")
 def markdown_sanitize(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(X.sanitize_markdown(F.col("text")).cast("binary")).alias("digest"))
+    marked = F.concat(F.lit("Olá **x**\n<<ID="), "doc_id", F.lit(">>\n## "), "lang", F.lit("\n*uma\ncitação*\n---\n\n\n\n *só isto*  \n"), "text")
+    return table(spark, d, "documents").select("doc_id", F.md5(X.sanitize_markdown(marked).cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, concat_ws(' · ', nullif(lang, ''), nullif(source, '')) || chr(10) || left(text, 120) AS header, 'BRUTO:' || source || ':' || doc_id || '#' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS id FROM documents")
 def chunk_header_ids(spark, d):
-    from pyspark.sql import Window
+    docs = numbered(table(spark, d, "documents"), ["source"], ["doc_id"], "seq").withColumn("seq", F.col("seq") - 1)
+    return docs.select("doc_id", X.header([F.col("lang"), F.col("source")], F.substring("text", 1, 120)).alias("header"),
+                       F.concat(F.lit("BRUTO:"), "source", F.lit(":"), "doc_id", F.lit("#"), F.col("seq").cast("string")).alias("id"))
 
-    seq = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("string")
-    return table(spark, d, "documents").select("doc_id", X.header([F.col("lang"), F.col("source")], F.substring("text", 1, 120)).alias("header"),
-                                               F.concat(F.lit("BRUTO:"), "source", F.lit(":"), "doc_id", F.lit("#"), seq).alias("id"))
 
+#: Sentences packed in order, in SQL: a fold over a list whose elements are states.
+PACK = ("list_reduce(list_transform(string_split(regexp_replace({t}, '([.;:])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {{'done': CAST([] AS VARCHAR[]), 'cur': s}}), "
+        "lambda a, x: CASE WHEN a.cur = '' THEN {{'done': a.done, 'cur': x.cur}} WHEN length(a.cur) + 1 + length(x.cur) <= {n} THEN {{'done': a.done, 'cur': a.cur || ' ' || x.cur}} ELSE {{'done': list_append(a.done, a.cur), 'cur': x.cur}} END)")
 
-@query()
+
+@query(f"WITH p AS (SELECT doc_id, text, {PACK.format(t='text', n=800)} AS s FROM documents), c AS (SELECT doc_id, CASE WHEN length(text) <= 800 THEN [text] WHEN s.cur = '' THEN s.done ELSE list_append(s.done, s.cur) END AS c FROM p) "
+       "SELECT doc_id, CAST(unnest(range(len(c))) AS INTEGER) AS ix, unnest(c) AS chunk, CAST(len(c) AS INTEGER) AS n_chunks FROM c")
 def sentence_chunks(spark, d):
-    c = table(spark, d, "documents").select("doc_id", F.posexplode(X.sentence_chunks(F.col("text"), 800)).alias("ix", "chunk"))
-    return c.select("doc_id", "ix", "chunk")
+    c = table(spark, d, "documents").select("doc_id", X.sentence_chunks(F.col("text"), 800).alias("c"))
+    return c.select("doc_id", F.size("c").alias("n_chunks"), F.posexplode("c").alias("ix", "chunk"))
 
 
 @query("SELECT doc_id, left(text, 1200) AS head, length(left(text, 1200)) AS n FROM documents")
@@ -127,50 +139,106 @@ def id_normalisation(spark, d):
                                                F.substring(F.md5(F.col("text").cast("binary")), 1, 12).alias("content_id"), F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("padded"))
 
 
-_CARD = "<<ID=A{0}|DOC=D|TYPE=ROOT>>\nQ1: x\nQ2: y\n<<ID=B{0}|DOC=D|TYPE=LEAF|PARENT=A{0}>>\nQ3: z\nJURIS:STF:RG:TEMA0{0}\n<<ID=C{0}|DOC=D|TYPE=LEAF|PARENT=A{0}>>\nQ4: w JURIS:STJ:REP:TEMA0002\n" + "x" * 700
+#: Cards made of documents: each line a node with a question, an answer and a citation.
+_CARD = ("array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: '<<ID=N' || i || '|DOC=D' || doc_id || '|TYPE=' || CASE WHEN i = 1 THEN 'ROOT' ELSE 'LEAF' END || '|PARENT=' || CASE WHEN i = 1 THEN 'NONE' ELSE 'N1' END || '>>' || chr(10) || "
+         "'[PERGUNTA] ' || l || ' [RESPOSTA] x JURIS:' || CASE WHEN i % 2 = 0 THEN 'STF:RG:TEMA' ELSE 'STJ:REP:TEMA' END || lpad(CAST(length(l) % 50 AS VARCHAR), 4, '0')), chr(10))")
+_CARDS = f"c AS (SELECT doc_id AS card, {_CARD} AS text FROM documents)"
 
 
-def _cards(spark):
-    return spark.createDataFrame([(i, _CARD.format(i) if i != 3 else "<<ID=Z|DOC=D|TYPE=ROOT>>") for i in range(1, 6)], "card int, text string")
+def _cards(spark, d):
+    def node(line, i):
+        first = i == 0
+        return F.concat(F.lit("<<ID=N"), (i + 1).cast("string"), F.lit("|DOC=D"), F.col("doc_id").cast("string"), F.lit("|TYPE="), F.when(first, "ROOT").otherwise("LEAF"), F.lit("|PARENT="), F.when(first, "NONE").otherwise("N1"),
+                        F.lit(">>\n[PERGUNTA] "), line, F.lit(" [RESPOSTA] x JURIS:"), F.when(i % 2 == 1, "STF:RG:TEMA").otherwise("STJ:REP:TEMA"), F.lpad((F.length(line) % 50).cast("string"), 4, "0"))
 
+    return table(spark, d, "documents").select(F.col("doc_id").alias("card"), F.array_join(F.transform(F.split("text", "\n"), node), "\n").alias("text"))
 
-@query()
+
+_IDS = "len(regexp_extract_all(text, '<<ID=[^|>]+\\|DOC=[^|>]+\\|TYPE=[^|>]+\\|PARENT=[^>]+>>'))"
+_QAS = "len(regexp_extract_all(text, '(?s)\\[PERGUNTA\\].*?\\[RESPOSTA\\]'))"
+_PROBLEMS = f"concat_ws(',', CASE WHEN {_IDS} < 3 THEN 'ids' END, CASE WHEN {_QAS} < 4 THEN 'pairs' END, CASE WHEN length(text) < 800 THEN 'short' END)"
+
+
+@query(f"WITH {_CARDS} SELECT card, {_PROBLEMS} AS problems FROM c")
 def structural_check(spark, d):
-    return _cards(spark).select("card", audit.structural_check(F.col("text")).alias("problems"))
+    return _cards(spark, d).select("card", F.array_join(audit.structural_check(F.col("text")), ",").alias("problems"))
 
 
-@query()
+_CITE = "'JURIS:(STF|STJ):(RG|REP|SUM|SUM:VINC)(?::VINC)?:(?:TEMA)?(\\d+)'"
+_REFS = (f"{_CARDS}, r AS (SELECT card, unnest(regexp_extract_all(text, {_CITE}, 1)) AS court, unnest(regexp_extract_all(text, {_CITE}, 3)) AS n FROM c), "
+         "k AS (SELECT 'STF' AS court, CAST(item_id AS INTEGER) AS number FROM benchmark UNION SELECT 'STJ', CAST(item_id + 20 AS INTEGER) FROM benchmark), "
+         "x AS (SELECT card, count(*) AS n_refs, bool_and(EXISTS (SELECT 1 FROM k WHERE k.court = r.court AND k.number = CAST(r.n AS INTEGER))) AS all_exist FROM r GROUP BY card) ")
+
+
+def _index(spark, d):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("number"))
+    none = items.where("false")
+    return audit.precedent_index(items, none, none, items.select((F.col("number") + 20).alias("number")))
+
+
+@query(f"WITH {_REFS} SELECT c.card, coalesce(n_refs, 0) AS n_refs, coalesce(all_exist, true) AS all_exist FROM c LEFT JOIN x USING (card)")
 def existence_check(spark, d):
-    index = spark.createDataFrame([("STF", "RG", 1), ("STF", "RG", 2), ("STJ", "REP", 2)], "court string, type string, number int")
-    return audit.existence_check(_cards(spark), "card", "text", index)
+    return audit.existence_check(_cards(spark, d), "card", "text", _index(spark, d))
 
 
-@query()
+_NODE = "'<<ID=([^|>]+)\\|DOC=([^|>]+)\\|TYPE=([^|>]+)(?:\\|PARENT=([^|>]+))?>>'"
+
+
+@query(f"WITH {_CARDS}, n AS (SELECT card, unnest(regexp_extract_all(text, {_NODE}, 1)) AS id, unnest(regexp_extract_all(text, {_NODE}, 3)) AS type, unnest(regexp_extract_all(text, {_NODE}, 4)) AS parent FROM c) "
+       "SELECT n.card, n.id, n.type, n.parent, p.type AS parent_type FROM n LEFT JOIN n p ON p.card = n.card AND p.id = n.parent")
 def card_tree(spark, d):
-    n = audit.card_nodes(_cards(spark), "card", "text")
+    n = audit.card_nodes(_cards(spark, d), "card", "text").select("card", "id", "type", "parent")
     return n.join(n.select(F.col("card"), F.col("id").alias("parent"), F.col("type").alias("parent_type")), ["card", "parent"], "left")
 
 
-@query()
+@query(f"WITH {_REFS}, f AS (SELECT c.card, CASE WHEN {_PROBLEMS} <> '' THEN 0 WHEN NOT coalesce(all_exist, true) THEN 1 WHEN c.card % 3 = 0 THEN 2 END AS layer FROM c LEFT JOIN x USING (card)) "
+       "SELECT count(*) AS total, count(*) FILTER (WHERE layer IS NULL) AS passed, round(100.0 * count(*) FILTER (WHERE layer IS NULL) / count(*), 6) AS percent, count(*) FILTER (WHERE layer = 0) AS failed_0, count(*) FILTER (WHERE layer = 1) AS failed_1, count(*) FILTER (WHERE layer = 2) AS failed_2 FROM f")
 def layered_verification(spark, d):
-    c = _cards(spark).withColumn("layer", audit.first_failing_layer(F.size(audit.structural_check(F.col("text"))) == 0, F.col("card") != 4, F.col("card") != 5))
-    return audit.verification_report(c, "layer")
+    c = _cards(spark, d)
+    j = c.join(audit.existence_check(c, "card", "text", _index(spark, d)), "card")
+    j = j.withColumn("layer", audit.first_failing_layer(F.size(audit.structural_check(F.col("text"))) == 0, F.col("all_exist"), F.col("card") % 3 != 0))
+    r = audit.verification_report(j, "layer")
+    return r.withColumn("percent", F.round("percent", 6))
 
 
-@query()
-def verdict_json_parse(spark, d):
-    forms = ['```json\n{"resultado": [{"letra": "A", "parte": "1", "pontos": 0.5, "acerto": 1,}]}\n```', '[{"numero": "5.1", "acerto": "true"}]', '{"A": {"acerto": 1}, "B": {"acerto": 0}}', 'none', '{"criterios": [{"letra": "B", "raciocinio": "a\nb", "acerto": 0}]}']
-    df = spark.createDataFrame(list(enumerate(forms)), "id int, answer string")
-    return df.select("id", verdicts.verdicts("answer").alias("rows")).select("id", "rows", verdicts.points(F.col("rows")).alias("points"))
+_CITED = "'[JURISPRUDÊNCIA]' || chr(10) || '- ' || replace(text, chr(10), chr(10) || '- ') || chr(10) || '<<ID=x>>[NORMAS INTERPRETADAS]' || chr(10) || 'a' || chr(10) || '- ' || lang || chr(10) || ' - ' || source"
+_BULLETS = "list_filter(list_transform(string_split(b, chr(10)), lambda x: trim(x, ' ')), lambda x: starts_with(x, '-'))[:2]"
 
 
-@query()
+@query(f"WITH c AS (SELECT doc_id, {_CITED} AS t FROM documents), b AS (SELECT doc_id, flatten(list_transform(list_concat([regexp_extract(t, '(?s)\\[JURISPRUDÊNCIA\\](.*?)<<', 1)], [regexp_extract(t, '(?s)\\[NORMAS INTERPRETADAS\\](.*)$', 1)]), lambda b: {_BULLETS}))[:3] AS s FROM c), "
+       "a AS (SELECT doc_id, s, list_transform(s, lambda x: length(x) % 3 <> 0) AS ok FROM b) SELECT doc_id, len(s) AS n_claims, md5(array_to_string(s, '|')) AS digest, len(list_filter(ok, lambda x: x)) >= 0.7 * len(s) AS faithful FROM a")
+def faithfulness_sample(spark, d):
+    """Claims of each card; those whose length is no multiple of three stand for anchored ones."""
+    card = F.concat(F.lit("[JURISPRUDÊNCIA]\n- "), F.replace("text", F.lit("\n"), F.lit("\n- ")), F.lit("\n<<ID=x>>[NORMAS INTERPRETADAS]\na\n- "), "lang", F.lit("\n - "), "source")
+    s = table(spark, d, "documents").select("doc_id", audit.bullet_sample(card).alias("s"))
+    ok = audit.faithful(F.col("s"), F.transform("s", lambda x: F.length(x) % 3 != 0))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_claims"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"), ok.alias("faithful"))
+
+
+_REASON = "replace(replace(text, chr(92), '/'), chr(34), chr(39))"
+
+
+@query(f"WITH a AS (SELECT doc_id, {_REASON} AS t, doc_id % 5 AS form, CAST(doc_id % 2 AS INTEGER) AS met FROM documents) SELECT doc_id, CASE WHEN form = 4 THEN 'B' WHEN form = 3 THEN '5.1' ELSE 'A' END AS key, CASE form WHEN 2 THEN NULL ELSE '1' END AS part, CASE form WHEN 2 THEN NULL ELSE 0.5 END AS points, "
+       "met, md5(CASE form WHEN 1 THEN 'disse \"não, \"' || t || '\", e só' ELSE t END) AS reason, CASE WHEN met = 1 AND form <> 2 THEN 0.5 ELSE 0.0 END AS earned FROM a")
+def verdict_json_parse(spark, d):
+    """Answers with a document's text as reason, raw line feeds and all: fenced with a trailing comma, with unescaped quotes, an object by letter, a bare list, well-formed."""
+    docs = table(spark, d, "documents")
+    text = F.replace(F.replace("text", F.lit("\\"), F.lit("/")), F.lit('"'), F.lit("'"))
+    met = (F.col("doc_id") % 2).cast("string")
+    item = lambda name, reason, hit: F.concat(F.lit(name + ', "parte": "1", "pontos": 0.5, "acerto": '), hit, F.lit(', "raciocinio": "'), reason, F.lit('"'))
+    quoted = F.concat(F.lit('disse "não, "'), text, F.lit('", e só'))
+    word = F.when(F.col("doc_id") % 2 == 1, '"True"').otherwise('"False"')
+    forms = [
+        F.concat(F.lit('```json\n{"resultado": [{'), item('"letra": "A"', text, met), F.lit(",}]}\n```")), F.concat(F.lit('{"criterios": [{'), item('"letra": "A"', quoted, met), F.lit("}]}")),
+        F.concat(F.lit('{"A": {"acerto": '), met, F.lit(', "raciocinio": "'), text, F.lit('"}}')), F.concat(F.lit("[{"), item('"numero": "5.1"', text, word), F.lit("}]")),
+        F.to_json(F.struct(F.array(F.struct(F.lit("B").alias("letra"), F.lit("1").alias("parte"), F.lit(0.5).alias("pontos"), (F.col("doc_id") % 2).alias("acerto"), text.alias("raciocinio"))).alias("resultado"))),
+    ]
+    answer = F.element_at(F.array(*forms), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = docs.select("doc_id", verdicts.verdicts(answer).alias("rows")).withColumn("earned", verdicts.points(F.col("rows")))
+    return rows.select("doc_id", "earned", F.explode("rows").alias("r")).select("doc_id", "r.key", "r.part", "r.points", "r.met", F.md5(F.col("r.reason").cast("binary")).alias("reason"), "earned")
+
+
+@query("SELECT conv_id, list(text ORDER BY turn)[1] AS prompt, 'STUB:' || left(list(text ORDER BY turn)[1], 40) AS answer, CAST(NULL AS VARCHAR) AS error FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def stub_answers(spark, d):
     asked = _messages(spark, d).select("conv_id", X.first_of_role(F.col("messages"), "user").alias("prompt")).where("prompt IS NOT NULL")
     return verdicts.call(asked, "prompt")
-
-
-@query()
-def statute_articles(spark, d):
-    laws = spark.createDataFrame([("L1", "Art. 1 Um.\nArt. 2 Dois.\nArt. 1.045. Tres\nArt. 75-A. Quatro")], "law string, text string")
-    return laws.select("law", F.explode(X.articles(F.col("text"))).alias("a")).select("law", "a.number", "a.body")

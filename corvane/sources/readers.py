@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
+from corvane.session import ship
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path (or glob) names something in its store."""
@@ -49,11 +50,22 @@ def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None
 
 
 def by_file_name(spark: SparkSession, path: str, schema: str, pattern: str, names: list[str]) -> DataFrame:
-    """JSON lines of a glob, with columns taken from each file's name."""
-    df = spark.read.schema(schema).json(path).withColumn("_file", F.col("_metadata.file_name"))
+    """JSON lines of a glob or a folder tree, with columns taken from each file's path by the groups of a pattern."""
+    files = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path).withColumn("_path", F.url_decode(F.col("_metadata.file_path")))
     for k, name in enumerate(names, 1):
-        df = df.withColumn(name, F.nullif(F.regexp_extract("_file", pattern, k), F.lit("")))
-    return df.drop("_file")
+        files = files.withColumn(name, F.nullif(F.regexp_extract("_path", pattern, k), F.lit("")))
+    return files.drop("_path")
+
+
+def resolve(spark: SparkSession, path: str, pattern: str = "*", keep: str = "true") -> DataFrame:
+    """(path, bytes, content) of the files below a folder whose names match a glob and that pass a filter given as SQL."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.col("length").alias("bytes"), "content").where(keep)
+
+
+def valid_download(content: Column, text: Column, least: int = 800) -> Column:
+    """Whether bytes begin with the PDF mark and their text is long enough."""
+    return F.coalesce((F.substring(content, 1, 4) == F.lit(b"%PDF")) & (F.length(text) >= least), F.lit(False))
 
 
 def pdf_like(spark: SparkSession, path: str, least: int = 0) -> DataFrame:
@@ -81,9 +93,10 @@ def atom(spark: SparkSession, path: str) -> DataFrame:
 
 
 class SearchSource(DataSource):
-    """A paged search API, replayed from a folder of JSON pages (``page-*.json``: a list of hits with an ISO ``date``).
+    """A paged search API, replayed from a folder of JSON lines (hits with ``id``, ISO ``date``, ``title`` and ``body``).
 
-    Filters on ``date`` are pushed to the reader, as a service would take them; each page is a partition.
+    Filters on ``date`` are pushed to the reader, as a service would take them. A page is a run of ``pageSize`` hits of a file, and a
+    partition of the scan.
     """
 
     @classmethod
@@ -94,12 +107,18 @@ class SearchSource(DataSource):
         return "id string, date string, title string, body string"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _SearchReader(self.options["path"])
+        return _SearchReader(self.options["path"], int(self.options.get("pageSize", 10)), int(self.options.get("pagesPerTask", 100)))
 
 
 class _SearchReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.low, self.high = path, "", "￿"
+    def __init__(self, path: str, size: int, per_task: int):
+        self.path, self.step, self.low, self.high = path, size * per_task, "", "\uffff"
+
+    @staticmethod
+    def _files(path: str):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -112,23 +131,69 @@ class _SearchReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(str(p)) for p in sorted(Path(self.path).glob("page-*.json"))]
+        from pyarrow import fs
+
+        system, root = self._files(self.path)
+        found = []
+        for info in sorted(system.get_file_info(fs.FileSelector(root)), key=lambda i: i.path):
+            if info.is_file and info.base_name.endswith(".json"):
+                with system.open_input_stream(info.path) as src:
+                    n = sum(chunk.count(b"\n") for chunk in iter(lambda: src.read(1 << 20), b""))
+                found += [InputPartition((info.path, at, at + self.step)) for at in range(0, max(n, 1), self.step)]
+        return found
 
     def read(self, partition: InputPartition):
-        for hit in json.loads(Path(partition.value).read_text()):
-            if self.low <= hit["date"] <= self.high:
-                yield hit["id"], hit["date"], hit.get("title"), hit.get("body")
+        import io
+        from itertools import islice
+
+        path, first, last = partition.value
+        system, _ = self._files(self.path)
+        with system.open_input_stream(path) as src:
+            for line in islice(io.TextIOWrapper(src, "utf-8"), first, last):
+                hit = json.loads(line) if line.strip() else {}
+                if hit and self.low <= (hit.get("date") or "") <= self.high:
+                    yield hit.get("id"), hit.get("date"), hit.get("title"), hit.get("body")
 
 
-def search(spark: SparkSession, path: str) -> DataFrame:
+def search(spark: SparkSession, path: str, since: str | None = None, until: str | None = None, limit: int | None = None, page_size: int = 10) -> DataFrame:
+    """Hits of a date range, one of each id, newest first; at most ``limit`` if given."""
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SearchSource)
-    return spark.read.format("corvane_search").option("path", path).load()
+    hits = spark.read.format("corvane_search").option("path", path).option("pageSize", page_size).load()
+    if since is not None:
+        hits = hits.where(F.col("date") >= since)
+    if until is not None:
+        hits = hits.where(F.col("date") <= until)
+    if limit is None:
+        return hits.dropDuplicates(["id"])
+    return hits.dropDuplicates(["id"]).orderBy(F.desc("date"), "id").limit(limit)
+
+
+def seeded(spark: SparkSession, seeds: DataFrame, url: str, fetch, limit: int | None = None) -> DataFrame:
+    """(url, content, error) of seeded addresses by an injected ``fetch(url) -> str``; an error leaves the content null."""
+    import pandas as pd
 
+    ship(spark)
 
-def best_candidate(candidates: DataFrame, key: str, text: str, n: str) -> DataFrame:
-    """Of several fetched texts, the one with most articles."""
-    return candidates.groupBy(key).agg(F.max_by(text, n).alias(text), F.max(n).alias(n))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for address in pdf["url"]:
+                try:
+                    rows.append((address, fetch(address), None))
+                except Exception as e:  # noqa: BLE001 - the row records it
+                    rows.append((address, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["url", "content", "error"])
+
+    some = seeds.select(F.col(url).alias("url"))
+    return (some if limit is None else some.orderBy("url").limit(limit)).mapInPandas(run, "url string, content string, error string")
+
+
+def best_candidate(candidates: DataFrame, key: str, text: str, n: str, position: str) -> DataFrame:
+    """Of several fetched texts, the one with most articles; of equal ones the first."""
+    best = F.max(F.struct(F.col(n).alias("n"), (-F.col(position)).alias("p"), F.col(text).alias("t")))
+    return candidates.groupBy(key).agg(best.alias("b")).select(key, F.col("b.t").alias(text), F.col("b.n").alias(n))
 
 
 def coverage_state(found, known):

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.tables import fresh
+
 
 def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
@@ -20,8 +22,20 @@ def append_new(df: DataFrame, done: DataFrame | None, keys: Sequence[str], path:
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """Both tables with the latest row of each key."""
+    (rank,) = fresh(old.columns, "rank")
     w = Window.partitionBy(*keys).orderBy(order.desc())
-    return old.unionByName(new).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    return old.unionByName(new).withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
+
+
+def state(df: DataFrame, path: str) -> None:
+    """A small result (a state, a manifest or a report) as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def nested(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
+    """One row an outer key, with a map from inner keys to values: a nested table of latest states."""
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(inner).cast("string"), F.col(value)))))
+    return df.where(F.col(inner).isNotNull()).groupBy(outer).agg(pairs.alias("states"))
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:

@@ -14,10 +14,11 @@ def pending(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def run_available(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, keys: Sequence[str],
-                  process: Callable[[DataFrame], DataFrame] = lambda df: df, file_glob: str = "*") -> DataFrame:
+                  process: Callable[[DataFrame], DataFrame] = lambda df: df, file_glob: str = "*", source_glob: str = "") -> DataFrame:
     """Process the files not yet seen, append rows with new keys, and give the whole output.
 
-    The checkpoint remembers files; a batch that runs twice after a failure finds its keys done.
+    The checkpoint remembers files; a batch that runs twice after a failure finds its keys done. ``source_glob`` narrows the source to
+    some of its entries, files or folders.
     """
     from corvane.sources.readers import exists
 
@@ -27,6 +28,7 @@ def run_available(spark: SparkSession, source: str, schema: T.StructType, out: s
             rows = pending(rows, spark.read.parquet(out), keys)
         rows.write.mode("append").parquet(out)
 
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(source)
+    where = f"{source.rstrip('/')}/{source_glob}" if source_glob else source
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", file_glob).option("recursiveFileLookup", "true").parquet(where)
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)

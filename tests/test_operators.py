@@ -1,11 +1,15 @@
 """Small literal cases, with results worked out by hand."""
 
+import html
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from corvane import tables
 from corvane.functions import text as X
 from corvane.operators import agreement, audit, scoring, selection, verdicts
 from corvane.sources import readers, sinks
@@ -62,6 +66,71 @@ def test_prefix_and_quota(spark):
     assert [r.cost for r in selection.quota_fill(df, "g", ["pos"], "cost", F.lit(12)).orderBy("pos").collect()] == [5, 3, 4]
 
 
+def test_running_total_over_many_partitions(spark):
+    n = 400_000
+    df = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("o"), "id", (F.col("id") % 97).alias("c"), F.concat(F.lit("text "), "id").alias("more"), F.lit(1).alias("range"))
+    rows = selection.running_total(df.repartition(12), ["o", "id"], "c").orderBy("o", "id").select("c", "running", "more", "id", "range").collect()
+    total = 0
+    for r in rows:
+        total += r.c
+        assert r.running == total and r.more == f"text {r.id}" and r["range"] == 1
+    assert len(rows) == n
+
+
+def test_ranks_numbers_and_lags_of_a_hot_group(spark):
+    n = 100_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"), F.pmod(F.xxhash64("id"), F.lit(5000)).alias("v"))
+    pdf = df.toPandas().sort_values(["g", "v", "id"])
+    pdf["n"] = pdf.groupby("g").cumcount() + 1
+    pdf["before"] = pdf.groupby("g")["id"].shift()
+    got = tables.lagged(tables.numbered(df, ["g"], ["v", "id"], "n"), ["g"], ["v", "id"], "id", "before").toPandas().sort_values(["g", "v", "id"])
+    assert got["n"].tolist() == pdf["n"].tolist()
+    assert got["before"].fillna(-1).tolist() == pdf["before"].fillna(-1).tolist()
+    ranks = agreement.global_average_rank(df.withColumn("more", F.lit("x")), "v", "r").toPandas().sort_values("id")
+    assert ranks["r"].tolist() == pdf.sort_values("id")["v"].rank(method="average").tolist()
+
+
+def test_coefficients_without_a_denominator(spark):
+    one_item = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.0)], "i int, j int, v double")
+    one_rater = spark.createDataFrame([(1, 1, 1.0), (2, 1, 0.0)], "i int, j int, v double")
+    constant = spark.createDataFrame([(i, j, 1.0) for i in (1, 2) for j in (1, 2)], "i int, j int, v double")
+    for df in (one_item, one_rater, constant, constant.where("false")):
+        assert one(agreement.icc_2_1(df, "i", "j", "v")).icc is None
+    for df in (one_rater, constant, constant.where("false")):
+        assert one(agreement.fleiss_kappa(df, "i", "v")).kappa is None
+
+
+def test_wilcoxon_p_and_report(spark):
+    d = spark.createDataFrame([(float(x),) for x in range(1, 21)] + [(-5.0,), (0.0,)], "d double")
+    r = one(agreement.signed_rank(d, "d"))
+    # 21 differences, the two fives share ranks 5 and 6: W = 5.5, mean 115.5, variance 21 * 22 * 43 / 24 - 6 / 48.
+    z = (5.5 - 115.5) / (21 * 22 * 43 / 24 - 6 / 48) ** 0.5
+    assert r.n == 21 and r.w == 5.5 and r.z == pytest.approx(z) and r.p == pytest.approx(math.erfc(-z / 2**0.5), abs=2e-7)
+    assert one(agreement.signed_rank(d.where("d = 0"), "d")).p == 1.0
+    rows = [(m, "k", q, s) for q in range(30) for m, s in (("a", q / 30), ("b", q / 30 + 0.1 + q / 1000))]
+    rep = agreement.comparison_report(spark.createDataFrame(rows, "model string, kind string, question int, score double"), [("a", "b"), ("a", "c")], ["k"]).collect()
+    assert [r.pair for r in rep] == ["a→b"] and rep[0].delta == pytest.approx(0.1145) and rep[0].significant and rep[0].p < 1e-5
+
+
+def test_bootstrap_interval(spark):
+    rows = [(c, int((c * 7 + i) % 10 < 6), int((c * 7 + i) % 10 < 6) if i % 4 else i % 2) for c in range(60) for i in range(9)]
+    df = spark.createDataFrame(rows, "c int, a int, b int")
+    r = one(agreement.bootstrap_kappa(df, "c", "a", "b", 1000))
+    rng, per = random.Random(5), {}
+    for c, a, b in rows:
+        per.setdefault(c, []).append((a, b))
+
+    def kappa(pairs):
+        n = len(pairs)
+        po = sum(a == b for a, b in pairs) / n
+        pa, pb = sum(a for a, _ in pairs) / n, sum(b for _, b in pairs) / n
+        pe = pa * pb + (1 - pa) * (1 - pb)
+        return (po - pe) / (1 - pe)
+
+    draws = sorted(kappa([p for _ in per for p in per[rng.randrange(60)]]) for _ in range(600))
+    assert r.ci[0] == pytest.approx(draws[15], abs=0.03) and r.ci[1] == pytest.approx(draws[-15], abs=0.03)
+
+
 def test_keep_longest(spark):
     df = spark.createDataFrame([("k", "aa", 1), ("k", "bbb", 2), ("k", "ccc", 3)], "k string, t string, p int")
     assert one(selection.keep_longest(df, "k", "t", "p")).t == "bbb"
@@ -90,15 +159,53 @@ def test_verdict_shapes():
     forms = ['```json\n{"resultado": [{"letra": "A", "acerto": 1,}]}\n```', '[{"numero": "5.1", "acerto": "true"}]', '{"A": {"acerto": 1}}', '{"criterios": [{"letra": "B", "raciocinio": "a\nb", "acerto": 0}]}']
     assert [[(r["key"], r["met"]) for r in verdicts.parse_verdict(f)] for f in forms] == [[("A", 1)], [("5.1", 1)], [("A", 1)], [("B", 0)]]
     assert verdicts.parse_verdict("nothing here") is None and verdicts.parse_verdict(None) is None
+    broken = '{"resultado": [{"letra": "A", "raciocinio": "citou o art. 5º, "caput", da CF, e "só", disse", "acerto": 1}, {"letra": "B", "acerto": 0, "raciocinio": "fim"'
+    assert [(r["key"], r["met"], r["reason"]) for r in verdicts.parse_verdict(broken)] == [("A", 1, 'citou o art. 5º, "caput", da CF, e "só", disse'), ("B", 0, "fim")]
+    assert verdicts.lenient_json("talk {no} then [1, 2.5, true, None,] more") == [1, 2.5, True, None]
     assert verdicts.slot_gap(4) == pytest.approx(37.5) and verdicts.retry_wait(3, False) == 8.0
 
 
+def test_verdict_column(spark):
+    forms = ['{"resultado": [{"letra": "A", "parte": "1", "pontos": 0.5, "acerto": 1, "raciocinio": "x"}]}', '[{"numero": 5, "acerto": "True"}]', None, "nothing", '{"criterios": [{"letra": "B", "acerto": true, "pontos": 2}]}']
+    got = spark.createDataFrame(list(enumerate(forms)), "i int, a string").select("i", verdicts.verdicts("a").alias("r")).orderBy("i").collect()
+    assert [None if r.r is None else [(x.key, x.met, x.points) for x in r.r] for r in got] == [[("A", 1, 0.5)], [("5", 1, None)], None, None, [("B", 1, 2.0)]]
+
+
+def test_judge_retries_and_generation(spark):
+    tries, waits = [], []
+
+    def chat(prompt, system=""):
+        tries.append(prompt)
+        if len(tries) < 3:
+            raise verdicts.Throttled("slow down")
+        return "SIM"
+
+    assert verdicts.with_retries(chat, 5, sleep=waits.append)("p") == "SIM" and len(tries) == 3 and 20 <= waits[0] < 21 and 40 <= waits[1] < 41
+    with pytest.raises(ValueError):
+        verdicts.with_retries(lambda p, s="": "no", 2, accept=lambda a: a == "yes", sleep=waits.append)("p")
+    rows = [("q1", "texto", "resp", "gab", [("c1", "um", 0.5), ("c2", "dois três", None)]), ("q2", "t", "r", "g", [])]
+    df = spark.createDataFrame(rows, "q string, question string, answer_text string, key_text string, criteria array<struct<id:string,texto:string,pontuacao_max:double>>")
+    got = {r.q: r for r in verdicts.judge_criteria(df, ["q"], "question", "answer_text", "key_text", "criteria", chat=lambda p, s="": "SIM" if "dois" in p else "Não").collect()}
+    assert (got["q1"].n_criteria, got["q1"].n_met, got["q1"].earned, got["q1"].possible, got["q1"].score) == (2, 1, 1.0, 1.5, 0.6667)
+    assert (got["q2"].n_criteria, got["q2"].n_met, got["q2"].score) == (0, 0, 0.0)
+    qs = spark.createDataFrame([("a", "pa"), ("b", "pb")], "q string, p string")
+    done = spark.createDataFrame([("a", "x"), ("a", "STUB:y")], "q string, answer string")
+    made = verdicts.generate(qs, done, "q", "p", 3, chat=lambda p, s="": p.upper()).collect()
+    assert sorted((r.q, r.run, r.answer) for r in made) == [("a", 2, "PA"), ("a", 3, "PA"), ("b", 1, "PB"), ("b", 2, "PB"), ("b", 3, "PB")]
+    exp = spark.createDataFrame([("a", "card"), ("b", None)], "q string, expansion string")
+    assert [(r.q, r.expansion) for r in verdicts.expand(qs, exp, "q", "p", chat=lambda p, s="": "E" + p).collect()] == [("b", "Epb")]
+
+
 def test_leak_and_secret(spark):
     df = spark.createDataFrame([("b", "39-disc-civil-1"), ("b", "38-peca-penal"), ("b", "x39")], "b string, id string")
     r = one(audit.leak_by_prefix(df, "b", "id", [39, 40, 41]))
     assert (r.n_lines, r.n_exams, r.leaked) == (3, 2, [39])
-    s = spark.createDataFrame([(1, 'x\napi_key = "abcdefghijklmnop1234"\ny')], "i int, t string")
-    assert [(r.line, r.pattern) for r in audit.scan_lines(s, "i", "t").collect()] == [(2, "api_key")]
+    lines = ["x", 'api_key = "abcdefghijklmnop12345678"', 'token = "tooshort"', "senha: 'abcd'", "AKIA" + "A" * 16, "aws_secret_access_key=" + "x" * 20, "ghp_" + "a" * 20]
+    s = spark.createDataFrame([(1, "\n".join(lines))], "i int, t string")
+    assert sorted((r.line, r.pattern) for r in audit.scan_lines(s, "i", "t").collect()) == [(2, "api_key"), (4, "password"), (5, "aws_key"), (6, "aws_secret"), (7, "github_token")]
+    with pytest.raises(ValueError):
+        audit.ensure_none(audit.scan_lines(s, "i", "t"), "secrets")
+    audit.ensure_none(s.where("false"), "secrets")
 
 
 def test_contained_items_of_every_length(spark):
@@ -135,10 +242,26 @@ def test_sources_and_sinks(spark, tmp_path):
 
 
 def test_search_source(spark, tmp_path):
-    (tmp_path / "page-1.json").write_text(json.dumps([{"id": "1", "date": "2020-01-01", "title": "t"}, {"id": "2", "date": "2021-06-01"}]))
-    (tmp_path / "page-2.json").write_text(json.dumps([{"id": "3", "date": "2022-01-01"}]))
-    df = readers.search(spark, str(tmp_path))
-    assert sorted(r.id for r in df.where("date >= '2021-01-01'").collect()) == ["2", "3"]
+    hits = [{"id": str(i), "date": f"20{20 + i // 10}-01-{i % 10 + 10}", "title": "t"} for i in range(40)] + [{"id": "39", "date": "2023-01-19"}]
+    (tmp_path / "a.json").write_text("".join(json.dumps(h) + "\n" for h in hits[:25]))
+    (tmp_path / "b.json").write_text("".join(json.dumps(h) + "\n" for h in hits[25:]))
+    df = readers.search(spark, str(tmp_path), page_size=3)
+    assert sorted(int(r.id) for r in df.collect()) == list(range(40))
+    assert sorted(int(r.id) for r in df.where("date >= '2021-01-15' AND date <= '2021-01-17'").collect()) == [15, 16, 17]
+    newest = readers.search(spark, f"file://{tmp_path}", since="2022-01-01", limit=3)
+    assert [r.id for r in newest.collect()] == ["39", "38", "37"]
+    none = readers.search(spark, str(tmp_path), until="2019-01-01")
+    assert none.count() == 0
+
+
+def test_seeded_fetch(spark):
+    def fetch(url):
+        if url == "b":
+            raise OSError("gone")
+        return url * 2
+
+    got = readers.seeded(spark, spark.createDataFrame([("a",), ("b",), ("c",)], "u string"), "u", fetch, limit=2).collect()
+    assert [(r.url, r.content, r.error) for r in got] == [("a", "aa", None), ("b", None, "OSError: gone")]
 
 
 def test_streaming_resume(spark, tmp_path):
@@ -154,3 +277,29 @@ def test_upsert(spark):
     old = spark.createDataFrame([("a", 1, "x")], "k string, at int, v string")
     new = spark.createDataFrame([("a", 2, "y"), ("b", 1, "z")], "k string, at int, v string")
     assert {r.k: r.v for r in sinks.upsert(old, new, ["k"], F.col("at")).collect()} == {"a": "y", "b": "z"}
+
+
+def test_small_text_functions(spark):
+    c = F.col
+    row = lambda schema, *values: spark.createDataFrame([values], schema)
+    df = row("a string, b string, n double", "  Peça ", "Estatuto da Criança e do Adolescente", 0.31)
+    r = one(df.select(X.genre(c("a")).alias("g"), X.initials(c("b")).alias("i"), X.up_down(c("n")).alias("u"), X.truthy(F.lit(" True ")).alias("t"), X.starts_yes(F.lit(" Sim")).alias("y"), X.joined_key(F.lit(""), F.lit("1")).alias("k"),
+                      X.joined_key(F.lit(0), F.lit("1")).alias("k0"), X.drop_cap(F.lit("Q 1\nUESTÃO\nQ\nUESTÃO 2")).alias("q"), X.strip_fence(F.lit("```json\nx {\"a\": 1} y\n```")).alias("f"),
+                      X.statute_number(F.lit("Lei 9.099/1995"), "LF").alias("l"), X.alias(F.lit(" X "), {"x": "y"}, "z").alias("al"), X.token_count(F.lit(" a b\u00a0c ")).alias("tc")))
+    assert (r.g, r.i, r.u, r.t, r.y, r.k, r.k0, r.q, r.f, r.l, r.al, r.tc) == ("peca", "ECA", "up", True, 1, None, "0-1", "QUESTÃO 1\nQUESTÃO 2", '{"a": 1}', "LF9099-1995", "y", 3)
+    long = "x" * 320 + ". " + "y" * 2000
+    r = one(row("t string", long).select(X.summary(F.lit(""), F.lit(None).cast("string"), c("t")).alias("s"), X.summary(F.lit("e" * 1300), F.lit(None).cast("string"), c("t")).alias("e"), X.summary(F.lit(""), F.lit("made"), c("t")).alias("m"),
+                                         X.summary(F.lit(""), F.lit(""), F.lit("short. text")).alias("w")))
+    assert r.s == "x" * 320 + "." and len(r.e) == 1200 and r.m == "made" and r.w == "short. text"
+    r = one(row("t string", "intro <<ID=1>>\n**b** *x\ny*\n## h\n---\n\n\n\n*all*  \nend").select(X.sanitize_markdown(c("t")).alias("s")))
+    assert r.s == "<<ID=1>>\nb x\ny\nh\n\nall\nend"
+    r = one(row("t string", "EXCELENTÍSSIMO Senhor").select(X.is_narrative(c("t")).alias("a"), X.is_narrative(F.lit("### CASO 1\nJoão foi")).alias("b"), X.is_narrative(F.lit("")).alias("c"), X.strip_case_marker(F.lit("### CASO ### João")).alias("m")))
+    assert (r.a, r.b, r.c, r.m) == (False, True, False, "João")
+
+
+def test_entities_and_html_text(spark):
+    texts = ["a &amp;lt; b &lt; c", "&eacute;&#233;&#xE9;&Eacute;", "&#128512; &hearts; &zzz; &", "&#0;&#55296;x", "", "&amp;amp;#38;"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.unescape(F.col("t")).alias("u")).orderBy("i").select("u").collect()]
+    assert got == [html.unescape(t) if i != 3 else "&#0;\ufffdx".replace("&#0;", "\ufffd") for i, t in enumerate(texts)]
+    page = "<head><title>no</title></head><body><nav>menu</nav><p>um&nbsp; dois</p><script>x<y</script><div>tr&ecirc;s<br>quatro</div></body>"
+    assert one(spark.createDataFrame([(page,)], "h string").select(X.html_text(F.col("h")).alias("t"))).t == "um dois\ntrês\nquatro"
