@@ -202,8 +202,8 @@ def document_header(summary_of: Column | None = None) -> Column:
 
 
 def comma_number(c: Column, digits: int = 1, signed: bool = False) -> Column:
-    """A number with a decimal comma; null becomes a dash."""
-    return F.when(c.isNull(), "—").otherwise(F.translate(F.format_string(f"%{'+' if signed else ''}.{digits}f", c), ".", ","))
+    """A number with a decimal comma, halves rounded to even; null becomes a dash."""
+    return F.when(c.isNull(), "—").otherwise(F.translate(F.format_string(f"%{'+' if signed else ''}.{digits}f", F.bround(c, digits)), ".", ","))
 
 
 def parse_comma(c: Column) -> Column:

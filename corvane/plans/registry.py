@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from corvane.plans import agreements, audits, scores, selections, texts
+    from corvane.plans import agreements, audits, corpora, exams, formats, scores, selections, texts
 
-    return [scores, agreements, selections, texts, audits]
+    return [scores, agreements, selections, texts, audits, corpora, exams, formats]
 
 
 def queries() -> dict[str, Query]:

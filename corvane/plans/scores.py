@@ -185,3 +185,48 @@ def condition_labels(spark, d):
     g = table(spark, d, "lineitem").groupBy(name.alias("cond")).agg(F.count(F.lit(1)).alias("n"))
     part = lambda k: F.regexp_extract("cond", r"^ab_(\w+?)_s(\d+)_(\w+)$", k)
     return g.select("cond", part(1).alias("regime"), part(2).cast("int").alias("seed"), part(3).alias("fam"), "n")
+
+
+@query(f"WITH {V}, x AS (SELECT question, class AS criterion, CAST(sum(met) AS BIGINT) AS votes, md5(string_agg(run || ':' || criterion, '|' ORDER BY run, run || ':' || criterion)) AS reasons FROM v GROUP BY question, class) SELECT * FROM x")
+def vote_reasons(spark, d):
+    """Votes with the reasons given, in order of runs; run and part stand for a reason."""
+    v = verdict_rows(spark, d).withColumn("reason", F.concat_ws(":", F.col("run").cast("string"), F.col("criterion").cast("string")))
+    m = scoring.majority_vote(v, "question", "class", "run", "met", "reason")
+    return m.select("question", F.col("class").alias("criterion"), "votes", F.md5(F.array_join("reasons", "|").cast("binary")).alias("reasons"))
+
+
+@query("WITH w AS (SELECT p_partkey AS criterion, p_retailprice AS weight FROM part WHERE p_size > 10), x AS (SELECT l_orderkey AS question, l_linenumber AS run, coalesce(weight, 0.0) AS weight, CAST(l_returnflag = 'N' AS INTEGER) AS met FROM lineitem LEFT JOIN w ON criterion = l_partkey), "
+       "q AS (SELECT run, question, sum(met * weight) / sum(weight) AS s FROM x GROUP BY ALL HAVING sum(weight) > 0) SELECT question, round(avg(s), 6) AS score FROM q GROUP BY question")
+def looked_up_weights(spark, d):
+    """Weights from a table of criteria; a criterion that it lacks weighs 0, and a question of such alone has no score."""
+    w = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("criterion"), F.col("p_retailprice").alias("weight"))
+    v = scoring.weighted_verdicts(verdict_rows(spark, d).drop("weight"), w, ["criterion"])
+    return scoring.question_scores(v).select("question", r6("score").alias("score"))
+
+
+_SEEDS = "WITH v AS (SELECT l_linenumber AS run, l_orderkey AS question, 42 + l_suppkey % 3 AS seed, l_linestatus AS cond, l_quantity AS weight, CAST(l_returnflag = 'N' AS INTEGER) AS met FROM lineitem), q AS (SELECT cond, seed, question, avg(s) AS s FROM (SELECT cond, seed, run, question, sum(met * weight) / sum(weight) AS s FROM v GROUP BY ALL) GROUP BY ALL) "
+
+
+@query(_SEEDS + "SELECT a.seed, a.question, round(a.s - b.s, 6) AS delta FROM q a JOIN q b ON a.seed = b.seed AND a.question = b.question WHERE a.cond = 'O' AND b.cond = 'F'")
+def stacked_seed_pairs(spark, d):
+    """Two conditions paired by seed and question."""
+    v = verdict_rows(spark, d).withColumnRenamed("class", "cond").withColumn("seed", 42 + F.col("rater") % 3)
+    q = scoring.stacked_seeds(v, ["cond"], "seed")
+    a, b = (q.where(F.col("cond") == c).select("seed", "question", F.col("score").alias(n)) for c, n in (("O", "a"), ("F", "b")))
+    return a.join(b, ["seed", "question"]).select("seed", "question", r6(F.col("a") - F.col("b")).alias("delta"))
+
+
+@query("WITH s AS (SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'base_' || o_orderstatus ELSE 'ab_' || lower(left(substr(o_orderpriority, 3), 3)) || '_s' || CASE o_orderstatus WHEN 'F' THEN 43 ELSE 42 END || '_' || lower(o_orderstatus) END AS cond, avg(o_totalprice) AS score FROM orders WHERE o_orderpriority NOT LIKE '5%' GROUP BY 1), "
+       "l AS (SELECT m.m AS model, r.r AS regime, CASE WHEN r.r = 'nenhum' THEN 'base_' || m.m ELSE 'ab_' || r.r || '_s' || CASE m.m WHEN 'F' THEN 43 ELSE 42 END || '_' || lower(m.m) END AS cond FROM (VALUES ('F'), ('O'), ('P')) m(m), (VALUES ('nenhum'), ('hig'), ('med'), ('low')) r(r)) "
+       "SELECT model, regime, cond, round(score, 4) AS score FROM l LEFT JOIN s USING (cond)")
+def starting_scores(spark, d):
+    """The score that each model starts from in each regime; a condition that was not run stays null."""
+    o = table(spark, d, "orders").where(~F.col("o_orderpriority").startswith("5"))
+    p, st = F.col("o_orderpriority"), F.col("o_orderstatus")
+    seed = lambda c: F.when(c == "F", 43).otherwise(42)
+    name = lambda model, regime: scoring.start_condition(model, regime, F.concat(F.lit("base_"), model), seed(model), F.lower(model))
+    regime = F.when(p.startswith("1"), "nenhum").otherwise(F.lower(F.substring(p, 3, 3)))
+    s = o.groupBy(name(st, regime).alias("cond")).agg(F.avg("o_totalprice").alias("score"))
+    levels = spark.createDataFrame([(m, r) for m in "FOP" for r in ("nenhum", "hig", "med", "low")], "model string, regime string")
+    starts = levels.withColumn("cond", name(F.col("model"), F.col("regime")))
+    return scoring.starting_scores(s, starts, "cond").select("model", "regime", "cond", F.round("score", 4).alias("score"))

@@ -221,7 +221,7 @@ def statute_articles(df: DataFrame, kind: str = "federal", least: int = 100, lea
         code = F.replace(F.concat(F.lit("SP"), f("numero"), F.lit("-"), f("ano")), F.lit(" "), F.lit(""))
     rows = df.where(F.length(f("texto")) >= least).select(name.alias("diploma"), code.alias("doc_id"), F.posexplode(articles(f("texto"), thousands=False)).alias("pos", "a"))
     rows = rows.select(F.concat_ws(":", "doc_id", F.lit("ART"), padded(F.col("a.number").cast("string"))).alias("id"), "doc_id", "diploma", F.col("a.number").alias("num_art"), F.substring("a.body", 1, 3000).alias("texto"), "pos", F.length("a.body").alias("n"))
-    return first_n(rows.where(F.col("n") >= least_article), ["id"], [F.desc(F.length("texto")), "pos", "diploma"], 1).drop("pos", "n")
+    return first_n(rows.where(F.col("n") >= least_article), ["id"], [F.desc(F.length("texto")), "pos", "diploma", "texto"], 1).drop("pos", "n")
 
 
 # Bulletins and search hits.

@@ -25,7 +25,7 @@ def plain(v):
         return str(v)
     if isinstance(v, (int, float)) or v.__class__.__name__ == "Decimal":
         x = float(v)
-        return "null" if math.isnan(x) else f"{round(x, 5):.5f}".replace("-0.00000", "0.00000")
+        return "null" if math.isnan(x) else f"{x + 0.0:.12g}"
     return "null" if v is None else str(v)
 
 
