@@ -254,10 +254,13 @@ def test_op8(docs, rows):
     assert sum(p[0][2] for p in by_seq.values()) * 0.97 < sum(r.length for r in got)
 
 
-def test_op9(docs, rows):
+@pytest.mark.parametrize("spread_from", [1.0, 0.01])
+def test_op9(docs, rows, spread_from, monkeypatch):
+    """Against a plain count of all trigrams; with almost all words and pairs spread over shards, too."""
     from corvane.llm import kneser_ney
 
-    got = kneser_ney.perplexity(docs).collect()
+    monkeypatch.setattr(kneser_ney, "SPREAD_FROM", spread_from)
+    got = kneser_ney.perplexity(docs.withColumn("held_out", F.lit(1))).collect()
     bag, docs_of = Counter(), {}
     for i, text in rows:
         docs_of[i, text] = [*words(lower(text)), "\x00end"]
@@ -270,51 +273,105 @@ def test_op9(docs, rows):
         base = sum(np.log10((bag[t] + 1) / (n + v + 1)) for t in toks)
         want[i, zlib.crc32(str(i).encode()) % 7 == 2, len(toks), sum(bag[t] > 0 for t in toks), n, round(base, 5)] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
-    brute = brute_kneser_ney([t for (i, _), t in docs_of.items() if zlib.crc32(str(i).encode()) % 7 != 2 for _ in range(1)],
-                             [(i, text) for i, text in rows], docs_of, rows)
+    brute = brute_kneser_ney(docs_of, rows)
     for r in got:
         assert any(abs(r.score - s) < 1e-6 * max(1, abs(s)) for s in brute[r.doc_id])
     known = [r for r in got if r.held_out]
     assert sum(r.score for r in known) > sum(r.base_score for r in known)
 
 
-def brute_kneser_ney(_, __, docs_of, rows):
+def brute_kneser_ney(docs_of, rows):
     from corvane.llm.kneser_ney import discounts
 
-    pairs = Counter()
+    begin = "\x00begin"
+    threes = Counter()
     for i, text in rows:
         if zlib.crc32(str(i).encode()) % 7 != 2:
             toks = docs_of[i, text]
-            pairs.update(zip(["\x00begin", *toks], toks))
-    total, kinds, t, vocabulary = Counter(), {}, Counter(), set()
-    for (a, b), c in pairs.items():
-        total[a] += c
-        kinds.setdefault(a, Counter())[min(c, 3)] += 1
-        t[b] += 1
-        vocabulary.add(b)
-    cc, ct = Counter(pairs.values()), Counter(t.values())
-    d2, d1 = discounts(*(cc[k] for k in (1, 2, 3, 4))), discounts(*(ct[k] for k in (1, 2, 3, 4)))
-    types, v = len(pairs), len(vocabulary)
+            threes.update(zip([begin, begin, *toks], [begin, *toks], toks))
+    total3, kinds3 = Counter(), {}
+    pairs = Counter()
+    for (a, b, c), n in threes.items():
+        total3[a, b] += n
+        kinds3.setdefault((a, b), Counter())[min(n, 3)] += 1
+        pairs[b, c] += n if b == begin else 1
+    total2, kinds2, t = Counter(), {}, Counter()
+    for (b, c), n in pairs.items():
+        total2[b] += n
+        kinds2.setdefault(b, Counter())[min(n, 3)] += 1
+        t[c] += 1
+    of = lambda counts: discounts(*(Counter(counts.values())[k] for k in (1, 2, 3, 4)))
+    d3, d2, d1 = of(threes), of(pairs), of(t)
+    types, v = len(pairs), len(t)
     less = lambda c, d: c - d[min(c, 3) - 1] if c else 0.0
     free1 = sum(d1[min(c, 3) - 1] for c in t.values()) / types
 
-    def p(a, b):
-        one = less(t[b], d1) / types + free1 / (v + 1)
-        if not total[a]:
+    def p2(b, c):
+        one = less(t[c], d1) / types + free1 / (v + 1)
+        if not total2[b]:
             return one
-        free = sum(d2[k - 1] * m for k, m in kinds[a].items()) / total[a]
-        return less(pairs[a, b], d2) / total[a] + free * one
+        return less(pairs[b, c], d2) / total2[b] + sum(d2[k - 1] * m for k, m in kinds2[b].items()) / total2[b] * one
+
+    def p3(a, b, c):
+        if not total3[a, b]:
+            return p2(b, c)
+        return less(threes[a, b, c], d3) / total3[a, b] + sum(d3[k - 1] * m for k, m in kinds3[a, b].items()) / total3[a, b] * p2(b, c)
 
-    vocab = [*vocabulary, "never seen"]
-    for a in ("\x00begin", "the", "never seen"):
-        assert abs(sum(p(a, b) for b in vocab) - 1) < 1e-9
+    vocab = [*t, "never seen"]
+    for a, b in ((begin, begin), (begin, "the"), ("of", "the"), ("never seen", "the"), ("the", "never seen")):
+        assert abs(sum(p3(a, b, c) for c in vocab) - 1) < 1e-9
     out = {}
     for i, text in rows:
         toks = docs_of[i, text]
-        out.setdefault(i, []).append(sum(np.log10(p(a, b)) for a, b in zip(["\x00begin", *toks], toks)))
+        out.setdefault(i, []).append(sum(np.log10(p3(*x)) for x in zip([begin, begin, *toks], [begin, *toks], toks)))
     return out
 
 
+def test_op9_edges(spark, docs, tmp_path):
+    import os
+
+    from corvane.llm import kneser_ney
+    from corvane.llm.common import local_path
+
+    assert kneser_ney.perplexity(docs.where("false")).count() == 0
+    lone = kneser_ney.perplexity(spark.createDataFrame([(2, "a b")], "doc_id long, text string").where("crc32(cast(doc_id as string)) % 7 <> 2")).collect()
+    assert all(r.n_known == 3 for r in lone)
+    untrained = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = kneser_ney.perplexity(spark.createDataFrame([(i, "x y z") for i in untrained], "doc_id long, text string")).collect()
+    assert all((r.train_tokens, r.n_known, r.score, r.base_score) == (0, 0, 0.0, 0.0) for r in got) and len(got) == len(untrained)
+    make = kneser_ney.train(docs.select("text"))
+    folder = local_path(make().store.uri)
+    name = next(n for n in sorted(os.listdir(folder)) if n.startswith("shard-"))
+    with open(f"{folder}/{name}", "ab") as f:
+        f.write(b"x")
+    with pytest.raises(FileNotFoundError):
+        scorer = make()
+        scorer.score([scorer.words.tokens(" ".join(r.text or "" for r in docs.select("text").collect()))])
+    os.remove(f"{folder}/{name}")
+    with pytest.raises(FileNotFoundError):
+        scorer = make()
+        scorer.score([scorer.words.tokens(" ".join(r.text or "" for r in docs.select("text").collect()))])
+
+
+def test_op9_tables():
+    from corvane.llm import kneser_ney as K
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 15, 17, 5000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        counts = rng.integers(1, 900, len(keys))
+        arrays = K.table_arrays("x", keys, {"n": counts})
+        at = K.find(arrays, "x", np.concatenate([keys, keys + np.uint64(1 << 40)]))
+        assert (at[:len(keys)] >= 0).all() and (at[len(keys):] == -1).all()
+        assert K.values(arrays, "x", "n", at[:len(keys)]).tolist() == counts.tolist()
+    common = rng.permutation(np.unique(rng.integers(8, 1 << 62, 300, dtype=np.uint64)))
+    layout = K.Layout(8, 4, common, *[np.zeros(0, dtype=np.uint64)] * 4)
+    ids = np.concatenate([common[::3], rng.integers(8, 1 << 62, 50, dtype=np.uint64), [np.uint64(1), np.uint64(2)]])
+    n = rng.integers(1, 700, len(ids))
+    back = K.unpack(K.pack([(layout.code(ids), ids)] * 2, [n, n + 1]), common, 2, 2)
+    assert [b.tolist() for b in back] == [ids.tolist(), ids.tolist(), n.tolist(), (n + 1).tolist()]
+
+
 def luhn(d):
     total = 0
     for k, c in enumerate(reversed(d)):
