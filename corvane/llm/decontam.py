@@ -1,17 +1,19 @@
 """Benchmark decontamination with an FM-index per training shard.
 
 Words are runs of letters, digits and characters beyond ASCII, with A-Z lower-cased. A window is 13 consecutive words of a
-benchmark item (an item of fewer words is one window). A shard is a batch of documents: its words are mapped to the
-benchmark's vocabulary, and the stretches that could hold a window, every adjacent pair of words being one of the
-benchmark's, are concatenated, each closed by its own sentinel, and indexed: suffix array by prefix doubling, its
-Burrows-Wheeler string in a wavelet matrix, and suffix positions sampled. All windows are searched backward at once by
-ranks, occurrences are located by walks to the next sample, and overlapping spans of a document are merged.
+benchmark item (an item of fewer words is one window). A shard is a run of documents of some ``SHARD_WORDS`` words: all their
+words, over the shard's own vocabulary, each distinct text once and closed by a sentinel of its own, are indexed. Suffixes are
+sorted by prefix doubling of what is still tied; their Burrows-Wheeler string lies in a wavelet matrix of bit planes with
+counts a machine word, and every ``SAMPLE``-th suffix position is kept. All windows are searched backward at once by ranks,
+occurrences are located by walks to the next sampled one, and overlapping spans of a document are merged.
 
-The benchmark is read by the driver in blocks of at most ``BLOCK_BYTES`` of text; each block adds one pass in the same
-stage over the documents, so a larger benchmark costs passes and not memory.
+The benchmark is read by the driver in blocks of at most ``BLOCK_BYTES`` of text, one at a time, and each block's windows are
+written to the shared folder. A worker builds a shard's index once and searches block after block from those files, so a larger
+benchmark costs time, and memory neither on the driver nor on a worker.
 
 Defined results: null and empty texts have no words, no hits, and are not contaminated; equal rows are each searched; an
-empty benchmark hits nothing; null items are skipped, and a null ``item_id`` counts as the text ``null``.
+empty benchmark hits nothing; null items are skipped, and a null ``item_id`` counts as the text ``null``; an empty table gives no
+rows; a text longer than a shard is a shard of its own. Columns of any name pass through ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import spread
+from corvane.llm.common import shared_dir, spread
+from corvane.llm.store import ArrayStore
+from corvane.tables import fresh
 
 WINDOW = 13
 BLOCK_BYTES = 16_000_000
+#: Words that a shard holds, but for a single longer text.
+SHARD_WORDS = 1_000_000
 SAMPLE = 32
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
@@ -46,87 +52,134 @@ def words_of(text: str | None) -> list[bytes]:
 class Windows:
     """The distinct windows of some benchmark items as rows of vocabulary ids, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        self.items = [name for name, _ in items]
+    def __init__(self, vocabulary: list[bytes], items: list[str], rows: np.ndarray, lengths: np.ndarray, owner_ends: np.ndarray, owners: np.ndarray):
+        self.vocabulary, self.items = vocabulary, items
+        self.rows, self.lengths, self.owner_ends, self.owners = rows, lengths, owner_ends, owners
+
+    @classmethod
+    def of(cls, items: list[tuple[str, str | None]], width: int = WINDOW) -> Windows:
+        vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[int]] = {}
-        pairs, singles = set(), set()
         for k, (_, text) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            pairs.update(zip(ids, ids[1:]))
-            if len(ids) == 1:
-                singles.add(ids[0])
+            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
             for at in range(max(1, len(ids) - width + 1) if ids else 0):
                 found.setdefault(tuple(ids[at:at + width]), set()).add(k)
-        self.lengths = np.array([len(w) for w in found], dtype=np.int64)
-        self.rows = np.zeros((len(found), width), dtype=np.int64)  # right-aligned
+        rows = np.zeros((len(found), width), dtype=np.int32)  # right-aligned
         for i, w in enumerate(found):
-            self.rows[i, width - len(w):] = w
-        self.owner_ends = np.cumsum([len(v) for v in found.values()], dtype=np.int64)
-        self.owners = np.array([k for v in found.values() for k in sorted(v)], dtype=np.int64)
-        self.size = len(self.vocabulary) + 1
-        self.pairs = np.array(sorted(a * self.size + b for a, b in pairs), dtype=np.int64)
-        self.single = np.zeros(self.size, dtype=bool)
-        self.single[list(singles)] = True
-        self.least = int(self.lengths.min()) if len(found) else 0
+            rows[i, width - len(w):] = w
+        return cls(list(vocabulary), [name for name, _ in items], rows, np.array([len(w) for w in found], dtype=np.int64),
+                   np.cumsum([len(v) for v in found.values()], dtype=np.int64), np.array([k for v in found.values() for k in sorted(v)], dtype=np.int64))
+
+    def write(self, store: ArrayStore, name: str) -> None:
+        flat = lambda parts: np.frombuffer(b"\n".join(parts), dtype=np.uint8)  # noqa: E731 - neither words nor coded names hold a line feed
+        names = flat([n.encode("utf-8", "replace").replace(b"%", b"%25").replace(b"\n", b"%0A") for n in self.items])
+        store.write_all(name, {"vocabulary": flat(self.vocabulary), "items": names, "rows": self.rows.ravel(), "lengths": self.lengths,
+                               "owner_ends": self.owner_ends, "owners": self.owners})
+
+    @classmethod
+    def read(cls, store: ArrayStore, name: str, width: int = WINDOW) -> Windows:
+        a = store.read_all(name)
+        split = lambda b: b.tobytes().split(b"\n") if len(b) else []
+        names = [n.replace(b"%0A", b"\n").replace(b"%25", b"%").decode("utf-8") for n in (a["items"].tobytes().split(b"\n"))]
+        return cls(split(a["vocabulary"]), names, a["rows"].reshape(-1, width), a["lengths"], a["owner_ends"], a["owners"])
+
+
+class BitPlane:
+    """Bits with the count of ones before each machine word: rank in constant time."""
+
+    def __init__(self, bits: np.ndarray):
+        self.n = len(bits)
+        padded = np.zeros(-(-self.n // 64) * 64 + 64, dtype=bool)
+        padded[:self.n] = bits
+        self.words = np.packbits(padded, bitorder="little").view("<u8")
+        self.before = np.zeros(len(self.words), dtype=np.uint32)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:], dtype=np.uint32)
+        self.zeros = self.n - int(bits.sum())
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word].astype(np.int64) + np.bitwise_count(self.words[word] & mask)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+
+
+def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
+    """The rank of the suffix at each place; each 0 is a sentinel that sorts by its place.
+
+    Prefix doubling: places are ordered by their first symbols, then only those still tied by twice as many.
+    """
+    n = len(symbols)
+    zero = symbols == 0
+    n_zero = int(zero.sum())
+    counts = np.bincount(symbols, minlength=1)
+    counts[0] = 0
+    rank = (n_zero + np.cumsum(counts) - counts)[symbols]
+    rank[zero] = np.arange(n_zero)
+    open_ = np.flatnonzero(~zero & (counts[symbols] > 1))
+    h = 1
+    while len(open_):
+        key = rank[open_] * np.int64(n + 1) + rank[open_ + h]
+        order = np.argsort(key)
+        open_, key = open_[order], key[order]
+        group = key // np.int64(n + 1)
+        new_group = np.concatenate([[True], group[1:] != group[:-1]])
+        new_key = np.concatenate([[True], key[1:] != key[:-1]])
+        at = np.arange(len(open_))
+        first_of_group = np.maximum.accumulate(np.where(new_group, at, 0))
+        first_of_key = np.maximum.accumulate(np.where(new_key, at, 0))
+        rank[open_] = group + first_of_key - first_of_group
+        last = np.concatenate([new_key[1:], [True]])
+        open_ = open_[~(new_key & last)]
+        h *= 2
+    return rank
 
 
 class FMIndex:
-    """Index of a sequence of stretches: ``symbols`` with a 0 after each stretch; each 0 sorts by its place."""
+    """Index of a sequence of texts: ``symbols`` with a 0 after each text; each 0 sorts by its place."""
 
     def __init__(self, symbols: np.ndarray):
         n = self.n = len(symbols)
-        zero = symbols == 0
-        rank = symbols + int(zero.sum())
-        rank[zero] = np.arange(int(zero.sum()))
-        order = np.argsort(rank, kind="stable")
-        h = 1
-        while True:
-            _, rank = np.unique(rank, return_inverse=True)
-            if n == 0 or int(rank.max()) == n - 1:
-                order = np.empty(n, dtype=np.int64)
-                order[rank] = np.arange(n)
-                break
-            after = np.zeros(n, dtype=np.int64)
-            after[: n - h] = rank[h:] + 1
-            rank = rank * (n + 1) + after
-            h *= 2
-        previous = np.concatenate([symbols[-1:], symbols[:-1]])
-        bwt = previous[order]
+        rank = suffix_ranks(symbols)
+        order = np.empty(n, dtype=np.int64)
+        order[rank] = np.arange(n)
         self.levels = max(1, int(symbols.max()).bit_length()) if n else 1
-        self.ones, self.zeros = [], []
-        row = bwt
+        self.planes: list[BitPlane] = []
+        row = np.concatenate([symbols[-1:], symbols[:-1]])[order].astype(np.int32)
         for level in range(self.levels - 1, -1, -1):
-            bit = (row >> level) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]))
-            self.zeros.append(int(n - bit.sum()))
-            row = np.concatenate([row[bit == 0], row[bit == 1]])
+            bit = (row >> level & 1).astype(bool)
+            self.planes.append(BitPlane(bit))
+            row = np.concatenate([row[~bit], row[bit]])
         self.before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=1 << self.levels))])
-        starts = np.concatenate([[True], zero[:-1]]) if n else zero
+        starts = np.concatenate([[True], symbols[:-1] == 0]) if n else np.zeros(0, dtype=bool)
         sampled = (order % SAMPLE == 0) | starts[order]
-        self.sample_at = np.where(sampled, order, -1)
+        self.marked, self.samples = BitPlane(sampled), order[sampled].astype(np.int32 if n < 1 << 31 else np.int64)
 
     def _bottom(self, symbol: np.ndarray, at: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Occurrences of each symbol before each place, by descent with its own start."""
-        for k in range(self.levels):
-            bit = (symbol >> (self.levels - 1 - k)) & 1
-            ones = self.ones[k]
-            at = np.where(bit == 1, self.zeros[k] + ones[at], at - ones[at])
-            base = np.where(bit == 1, self.zeros[k] + ones[base], base - ones[base])
+        for k, plane in enumerate(self.planes):
+            one = (symbol >> (self.levels - 1 - k) & 1) == 1
+            ones = plane.rank(at)
+            at = np.where(one, plane.zeros + ones, at - ones)
+            ones = plane.rank(base)
+            base = np.where(one, plane.zeros + ones, base - ones)
         return at - base
 
-    def search(self, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows that occur, with the range of suffixes of each."""
-        alive = np.arange(len(windows.rows))
-        alive = alive[windows.rows[alive].max(axis=1, initial=0) < 1 << self.levels]
+    def search(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows (symbols right-aligned, 0 before them) that occur, with the range of suffixes of each."""
+        alive = np.arange(len(rows))
         lo, hi = np.zeros(len(alive), dtype=np.int64), np.full(len(alive), self.n, dtype=np.int64)
-        width = windows.rows.shape[1]
-        for k in range(width - 1, -1, -1):
-            symbol = windows.rows[alive, k]
+        for k in range(rows.shape[1] - 1, -1, -1):
+            symbol = rows[alive, k].astype(np.int64)
             live = symbol > 0
-            base = np.zeros(len(alive), dtype=np.int64)
-            new_lo = np.where(live, self.before[symbol] + self._bottom(symbol, lo, base), lo)
-            new_hi = np.where(live, self.before[symbol] + self._bottom(symbol, hi, base), hi)
+            if k == rows.shape[1] - 1:  # all suffixes stand before the last word: its own range
+                new_lo, new_hi = self.before[symbol], self.before[symbol + 1]
+            else:
+                base = np.zeros(len(alive), dtype=np.int64)
+                new_lo = np.where(live, self.before[symbol] + self._bottom(symbol, lo, base), lo)
+                new_hi = np.where(live, self.before[symbol] + self._bottom(symbol, hi, base), hi)
             keep = new_lo < new_hi
             alive, lo, hi = alive[keep], new_lo[keep], new_hi[keep]
         return alive, lo, hi
@@ -136,87 +189,79 @@ class FMIndex:
         out = np.full(len(suffixes), -1, dtype=np.int64)
         waiting, at, steps = np.arange(len(suffixes)), suffixes.copy(), 0
         while len(waiting):
-            known = self.sample_at[at]
-            done = known >= 0
-            out[waiting[done]] = known[done] + steps
+            done = self.marked.get(at) == 1
+            out[waiting[done]] = self.samples[self.marked.rank(at[done])] + steps
             waiting, at, steps = waiting[~done], at[~done], steps + 1
-            symbol, place = np.zeros(len(at), dtype=np.int64), at
-            base = np.zeros(len(at), dtype=np.int64)
-            for k in range(self.levels):
-                ones = self.ones[k]
-                bit = ones[place + 1] - ones[place]
+            symbol, place, base = np.zeros(len(at), dtype=np.int64), at, np.zeros(len(at), dtype=np.int64)
+            for plane in self.planes:
+                bit = plane.get(place)
                 symbol = symbol << 1 | bit
-                place = np.where(bit == 1, self.zeros[k] + ones[place], place - ones[place])
-                base = np.where(bit == 1, self.zeros[k] + ones[base], base - ones[base])
+                ones = plane.rank(place)
+                place = np.where(bit == 1, plane.zeros + ones, place - ones)
+                ones = plane.rank(base)
+                base = np.where(bit == 1, plane.zeros + ones, base - ones)
             at = self.before[symbol] + place - base
         return out
 
 
-def search_shard(texts: list[str | None], windows: Windows) -> tuple[list[int], list[list[int]], list[list[int]], list[list[str]]]:
-    """For each text: its words, its merged spans (flat, in words), its spans of full windows alone, and its items."""
-    lookup = windows.vocabulary.get
-    counts, ids = [], []
-    for text in texts:
-        words = words_of(text)
-        counts.append(len(words))
-        ids.append(np.fromiter((lookup(w, 0) for w in words), dtype=np.int64, count=len(words)))
-        ids.append(np.zeros(1, dtype=np.int64))
-    empty = [[] for _ in texts]
-    if not len(windows.rows) or not texts:
-        return counts, empty, [[] for _ in texts], [[] for _ in texts]
-    flat = np.concatenate(ids)
-    sizes = np.array(counts, dtype=np.int64) + 1
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    known = flat > 0
-    joins = np.zeros(len(flat), dtype=bool)  # to the next word
-    both = np.flatnonzero(known[:-1] & known[1:])
-    codes = flat[both] * windows.size + flat[both + 1]
-    at = np.minimum(np.searchsorted(windows.pairs, codes), max(0, len(windows.pairs) - 1))
-    joins[both] = (windows.pairs[at] == codes) if len(windows.pairs) else False
-    starts = np.flatnonzero(known & ~np.concatenate([[False], joins[:-1]]))
-    ends = np.flatnonzero(known & ~joins)
-    long_enough = ends - starts + 1 >= windows.least
-    alone = (ends == starts) & ~windows.single[flat[starts]]
-    starts, ends = starts[long_enough & ~alone], ends[long_enough & ~alone]
-    if not len(starts):
-        return counts, empty, [[] for _ in texts], [[] for _ in texts]
-    lengths = ends - starts + 2  # a place for the sentinel
-    source = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)
-    symbols = flat[source]
-    symbols[np.cumsum(lengths) - 1] = 0
-    index = FMIndex(symbols)
-    which, lo, hi = index.search(windows)
-    times = hi - lo
-    suffix = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
-    where = index.locate(suffix)
-    window = np.repeat(which, times)
-    spans = [_spans(where[m], windows.lengths[window[m]], source, doc, place, len(texts)) for m in
-             (np.ones(len(window), dtype=bool), windows.lengths[window] >= WINDOW)]
-    owner_starts = np.concatenate([[0], windows.owner_ends[:-1]])
-    n_owners = (windows.owner_ends - owner_starts)[window]
-    pick = np.arange(int(n_owners.sum())) - np.repeat(np.cumsum(n_owners) - n_owners, n_owners)
-    item = windows.owners[pick + np.repeat(owner_starts[window], n_owners)]
-    pairs = np.unique(np.repeat(doc[source[where]], n_owners) * len(windows.items) + item)
-    items: list[list[str]] = [[] for _ in texts]
-    for code in pairs.tolist():
-        items[code // len(windows.items)].append(windows.items[code % len(windows.items)])
-    return counts, spans[0], spans[1], items
-
-
-def _spans(where, length, source, doc, place, n) -> list[list[int]]:
-    cover = np.zeros(len(source) + 1, dtype=np.int64)
-    np.add.at(cover, where, 1)
-    np.add.at(cover, where + length, -1)
-    hit = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
-    out: list[list[int]] = [[] for _ in range(n)]
-    if len(hit):
-        d, p = doc[source[hit]], place[source[hit]]
-        cuts = np.flatnonzero((np.diff(d) != 0) | (np.diff(p) != 1)) + 1
-        firsts, lasts = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(hit)]]) - 1
-        for a, b in zip(firsts.tolist(), lasts.tolist()):
-            out[int(d[a])] += [int(p[a]), int(p[b]) + 1]
-    return out
+class _Ids(dict):
+    """Words by numbers from 1, in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
+class Shard:
+    """The index of some texts, each distinct one once, and where its words stand."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        self.vocabulary = _Ids()
+        first: dict[tuple, int] = {}
+        self.copies: list[list[int]] = []
+        parts = []
+        for k, words in enumerate(texts):
+            if not words:
+                continue
+            name = hash(tuple(words)), len(words)
+            at = first.get(name)
+            if at is not None and texts[self.copies[at][0]] == words:
+                self.copies[at].append(k)
+                continue
+            first[name] = len(self.copies)
+            self.copies.append([k])
+            parts += [np.fromiter(map(self.vocabulary.__getitem__, words), dtype=np.int64, count=len(words)), np.zeros(1, dtype=np.int64)]
+        symbols = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        sizes = np.array([len(p) for p in parts[::2]], dtype=np.int64) + 1
+        self.starts = np.cumsum(sizes) - sizes
+        self.index = FMIndex(symbols)
+
+    def search(self, windows: Windows) -> Iterator[tuple[int, list[int], list[int], list[str]]]:
+        """For each text with hits: its spans (flat, in words), those of full windows alone, and its items."""
+        if not self.index.n or not len(windows.rows):
+            return
+        ids = np.array([0, *map(lambda w: self.vocabulary.get(w, 0), windows.vocabulary)], dtype=np.int64)
+        rows = ids[windows.rows]
+        whole = np.flatnonzero(((rows > 0) == (windows.rows > 0)).all(axis=1))
+        which, lo, hi = self.index.search(rows[whole])
+        if not len(which):
+            return
+        times = hi - lo
+        suffix = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
+        where, window = self.index.locate(suffix), np.repeat(whole[which], times)
+        text = np.searchsorted(self.starts, where, side="right") - 1
+        order = np.argsort(text, kind="stable")
+        where, window, text = where[order], window[order], text[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(text)) + 1, [len(text)]])
+        owner_starts = np.concatenate([[0], windows.owner_ends[:-1]])
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            at, w = where[a:b] - self.starts[text[a]], window[a:b]
+            ends = at + windows.lengths[w]
+            full = windows.lengths[w] >= WINDOW
+            items = {windows.items[o] for x in np.unique(w).tolist() for o in windows.owners[owner_starts[x]:windows.owner_ends[x]].tolist()}
+            found = merge(np.stack([at, ends], axis=1).ravel().tolist()), merge(np.stack([at[full], ends[full]], axis=1).ravel().tolist()), sorted(items)
+            for k in self.copies[int(text[a])]:
+                yield k, *found
 
 
 def merge(spans: list[int]) -> list[int]:
@@ -230,26 +275,44 @@ def merge(spans: list[int]) -> list[int]:
     return out
 
 
-STATE = ("__corvane_words", "__corvane_spans", "__corvane_full", "__corvane_items")
+def search_shard(texts: list[list[bytes]], blocks: Iterator[Windows]) -> tuple[list[list[int]], list[list[int]], list[list[str]]]:
+    """For each text, a list of words: its spans, those of full windows, and its items, over all blocks."""
+    spans, full, items = ([[] for _ in texts] for _ in range(3))
+    shard = Shard(texts)
+    for windows in blocks:
+        for k, a, b, c in shard.search(windows):
+            spans[k] = merge(spans[k] + a) if spans[k] else a
+            full[k] = merge(full[k] + b) if full[k] else b
+            items[k] = items[k] + c
+    return spans, full, items
+
 
+STATE = ("n_words", "spans", "full_spans", "items")
 
-def _search(windows: Windows, column: int, first: bool):
+
+def _search(uri: str, files: dict[str, int], names: list[str], state: list[str], column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, held = ArrayStore(uri, files), []
+
+        def blocks() -> Iterator[Windows]:
+            for name in names:
+                if len(names) > 1 or not held:
+                    held[:] = [Windows.read(store, name)]
+                yield held[0]
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                n, spans, full, items = search_shard(part.column(column).to_pylist(), windows)
-                keep = list(part.columns)
-                if not first:
-                    old = [c.to_pylist() for c in keep[-3:]]
-                    spans = [merge(a + b) for a, b in zip(old[0], spans)]
-                    full = [merge(a + b) for a, b in zip(old[1], full)]
-                    items = [a + b for a, b in zip(old[2], items)]
-                    keep = keep[:-4]
-                ints, texts = pa.list_(pa.int64()), pa.list_(pa.string())
-                new = [pa.array(n, pa.int64()), pa.array(spans, ints), pa.array(full, ints), pa.array(items, texts)]
-                names = part.schema.names if first else part.schema.names[:-4]
-                yield pa.RecordBatch.from_arrays([*keep, *new], names=[*names, *STATE])
+            texts, start, size = [], 0, 0
+            for k, text in enumerate(batch.column(column)):
+                texts.append(words_of(text.as_py()))
+                size += len(texts[-1])
+                if size >= SHARD_WORDS or k == batch.num_rows - 1:
+                    part = batch.slice(start, len(texts))
+                    spans, full, items = search_shard(texts, blocks())
+                    ints = pa.list_(pa.int64())
+                    new = [pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, ints), pa.array(full, ints), pa.array(items, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *state])
+                    texts, start, size = [], k + 1, 0
+        store.close()
 
     return run
 
@@ -268,31 +331,28 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
         yield block
 
 
-def search(docs: DataFrame, benchmark: DataFrame, then=None, schema_then: T.StructType | None = None) -> DataFrame:
-    """``docs`` with four more columns (``STATE``): words, hit spans, those of full windows, and items with hits.
+def search(docs: DataFrame, benchmark: DataFrame, then=None, schema_then: T.StructType | None = None) -> tuple[DataFrame, list[str]]:
+    """``docs`` with four more columns, whose names are given too: words, hit spans, those of full windows, items with hits.
 
-    ``then``, a function of batches with these columns, is applied in the same worker as the last block's search.
+    ``then``, a function of batches with these columns, is applied in the same worker after the search.
     """
-    out, first = spread(docs), True
+    uri = shared_dir(docs.sparkSession, "windows")
+    store, names = ArrayStore(uri), []
+    for k, block in enumerate(blocks(benchmark)):
+        names.append(f"block-{k}")
+        Windows.of(block).write(store, names[-1])
+    state = fresh(docs.columns, *STATE)
     extra = [T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType()), T.ArrayType(T.StringType())]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(STATE, extra))])
-    column = docs.columns.index("text")
-    pending: list[tuple[str, str | None]] = []
-    for block in blocks(benchmark):
-        if pending:
-            out = out.mapInArrow(_search(Windows(pending), column, first), schema)
-            first = False
-        pending = block
-    last = _search(Windows(pending), column, first)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(state, extra))])
+    find = _search(uri, store.sizes(), names, state, docs.columns.index("text"))
     if then is None:
-        return out.mapInArrow(last, schema)
-    return out.mapInArrow(lambda batches: then(last(batches)), schema_then)
+        return spread(docs).mapInArrow(find, schema), state
+    return spread(docs).mapInArrow(lambda batches: then(find(batches)), schema_then), state
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row a document: its words, hit words, items, and whether at least one word in ``SHARE`` is hit."""
-    found = search(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark)
-    words, spans, _, items = STATE
+    found, (words, spans, _, items) = search(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark)
     n_hit = F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda t, x: x - t)
     names = F.array_sort(F.array_distinct(F.col(items)))
     out = found.select("doc_id", F.col(words).alias("n_words"), n_hit.alias("n_hit"), names.alias("names"))
@@ -340,7 +400,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without benchmark passages.
 
     Spans of full windows are cut from every document, those of shorter items only where the document is contaminated;
-    a document that has no word left goes. Texts without such spans stay as they are. ``n_chars`` follows the text.
+    a document that has no word left goes. Texts without such spans stay as they are. ``n_chars`` follows the text; ``text`` must be
+    a string column.
     """
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    return search(docs, benchmark, _cut(docs.columns.index("text"), n_chars), docs.schema)
+    return search(docs, benchmark, _cut(docs.columns.index("text"), n_chars), docs.schema)[0]

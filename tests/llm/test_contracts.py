@@ -175,6 +175,55 @@ def test_op6(spark, docs, rows, limit, monkeypatch):
             assert r.text in before[r.doc_id]
 
 
+def test_fm_index():
+    """Suffix ranks, ranges and positions against plain comparison, for random texts with copies and long repeats."""
+    from corvane.llm import decontam
+
+    rng = np.random.default_rng(4)
+    for top, texts in ((3, 40), (50, 30), (1, 5), (400, 1)):
+        parts = [list(rng.integers(1, top + 1, rng.integers(1, 60))) for _ in range(texts)]
+        parts += [parts[0], parts[0][:5] * 20]
+        flat = [int(x) for p in parts for x in (*p, 0)]
+        place = {}
+        for i, x in enumerate(flat):
+            if x == 0:
+                place[i] = len(place) - 10**6
+        suffix = sorted(range(len(flat)), key=lambda i: [flat[j] if flat[j] else place[j] for j in range(i, flat.index(0, i) + 1)])
+        ranks = decontam.suffix_ranks(np.array(flat, dtype=np.int64))
+        assert ranks.tolist() == np.argsort(suffix).tolist()
+        index = decontam.FMIndex(np.array(flat, dtype=np.int64))
+        rows = np.zeros((200, 6), dtype=np.int64)
+        for row in rows:
+            n = rng.integers(1, 7)
+            row[6 - n:] = rng.integers(1, top + 1, n)
+        which, lo, hi = index.search(rows)
+        found = dict(zip(which.tolist(), zip(lo.tolist(), hi.tolist())))
+        for k, row in enumerate(rows.tolist()):
+            pattern = [x for x in row if x]
+            want = [i for i in range(len(flat)) if flat[i:i + len(pattern)] == pattern]
+            got = sorted(index.locate(np.arange(*found[k])).tolist()) if k in found else []
+            assert got == want
+
+
+def test_op6_blocks_and_edges(spark, docs):
+    """Clashing columns pass through, blocks leave nothing on the driver's plan, an empty table and benchmark are fine."""
+    from corvane.llm import decontam
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    assert decontam.contamination(docs.where("false"), bench).count() == 0
+    assert decontam.contamination(docs, bench.where("false")).where("n_hit > 0 OR contaminated").count() == 0
+    odd = docs.select("doc_id", "text", F.lit("a").alias("spans"), F.lit(1).alias("n_words"), F.lit("b").alias("Items"))
+    kept = decontam.decontaminate(odd, bench)
+    assert kept.columns == odd.columns and {(r.spans, r.n_words, r.Items) for r in kept.collect()} == {("a", 1, "b")}
+    sizes = []
+    for limit in (10**9, 3000):
+        items = list(decontam.blocks(bench, limit))
+        from pyspark import cloudpickle
+
+        sizes.append((len(items), len(cloudpickle.dumps(decontam._search("file:///x", {f"block-{k}": 9 for k in range(len(items))}, [f"block-{k}" for k in range(len(items))], list("abcd"), 0)))))
+    assert sizes[0][0] == 1 and sizes[1][0] > 10 and sizes[1][1] < sizes[0][1] + 100 * sizes[1][0]
+
+
 def measures(text):
     w = words(text)
     seen = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
