@@ -3,11 +3,14 @@
 Fingerprints of 64 bits are cut into six blocks. Two that differ in three bits or fewer agree in at least three blocks,
 so they meet under one of the 20 choices of three blocks (32 bits or so). Distinct fingerprints are dealt by (choice,
 bits), sorted, and each run of equal bits is searched in place: a run yields a spanning forest of its links, never all
-pairs. Components of the forest edges are found by rounds that send each node to its smallest neighbour and contract.
+pairs. A long run is cut by the same argument once more: of the bits in which it varies, cut into four fields, two linked
+fingerprints agree in at least one. Runs that a sample shows to be very long are cut so before they are dealt, over tasks.
+Components of the forest edges: every node points to its smallest neighbour, pointers are doubled until all point to roots,
+and what links two roots goes on to the next round. A chain of any length takes rounds in the logarithm of its length.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; rows of equal text or ``doc_id`` are
 all kept; a null ``doc_id`` links but never names a component (a component of nulls alone is null); an empty table gives
-no rows.
+no rows; a text of any length is one fingerprint. ``deduplicate`` passes columns of any name.
 """
 
 from __future__ import annotations
@@ -18,18 +21,22 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import materialize, spread
+from corvane.llm.common import materialize, shared_dir, spread
+from corvane.llm.store import ArrayStore
+from corvane.tables import fresh
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 WIDTHS = (11, 11, 11, 11, 10, 10)
 #: Runs beyond this are cut by further bits before they are searched; no case is lost.
-DIRECT_RUN = 30_000
+DIRECT_RUN = 2_000
+#: Runs of about this length or more, by a sample of so many fingerprints, are cut before they are dealt.
+LONG_RUN, SAMPLE = 50_000, 200_000
 #: Edges that a task holds before it contracts and emits them.
 FLUSH_EDGES = 500_000
 
@@ -110,21 +117,25 @@ class _Forest:
         return [self.find(x) for x in nodes], nodes
 
 
-def link_run(run: np.ndarray, forest: _Forest, free: tuple[tuple[int, int], ...] = ()) -> None:
-    """Union all fingerprints of a run (unsigned, distinct) that reach each other by links within the run.
-
-    ``free`` lists (shift, width) of four bit fields to cut a long run by: of three differing bits, one field has none.
-    """
-    if len(run) > DIRECT_RUN and free:
-        fields = free[: MAX_BITS + 1]
-        for shift, width in fields:
-            keys = (run >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-            order = np.argsort(keys, kind="stable")
-            cuts = np.flatnonzero(np.diff(keys[order])) + 1
-            for part in np.split(run[order], cuts):
-                if len(part) > 1:
-                    link_run(part, forest, tuple(f for f in free if f not in fields))
-        return
+def _fields(bits: list[int]) -> list[int]:
+    """Four masks that together hold all the bits: of two values that differ in three of them or fewer, one mask sees no difference."""
+    return [sum(1 << b for b in part) for part in (bits[k::MAX_BITS + 1] for k in range(MAX_BITS + 1))]
+
+
+def link_run(run: np.ndarray, forest: _Forest) -> None:
+    """Union all fingerprints of a run (unsigned, distinct) that reach each other by links within the run."""
+    if len(run) > DIRECT_RUN:
+        varying = int(np.bitwise_or.reduce(run ^ run[0]))
+        bits = [b for b in range(64) if varying >> b & 1]
+        if len(bits) > MAX_BITS:
+            for mask in _fields(bits):
+                keys = run & np.uint64(mask)
+                order = np.argsort(keys)
+                cuts = np.flatnonzero(np.diff(keys[order])) + 1
+                for part in np.split(run[order], cuts):
+                    if len(part) > 1:
+                        link_run(part, forest)
+            return
     rest = run
     while len(rest) > 1:
         frontier, rest = [rest[0]], rest[1:]
@@ -154,7 +165,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if int(run[0] ^ run[1]).bit_count() <= MAX_BITS:
                 forest.union(*(_signed(int(x)) for x in run))
         elif len(run) > 2:
-            link_run(run, forest, () if len(run) <= DIRECT_RUN else _varying(run))
+            link_run(run, forest)
 
     for batch in batches:
         if not batch.num_rows:
@@ -184,21 +195,23 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def _varying(run: np.ndarray) -> tuple[tuple[int, int], ...]:
-    """Four fields that together hold all bits in which the run varies, as (shift, width), and halves of them after."""
-    spread_bits = int(np.bitwise_or.reduce(run ^ run[0]))
-    high, low = spread_bits.bit_length(), (spread_bits & -spread_bits).bit_length() - 1
-    marks = np.linspace(low, high, MAX_BITS + 2).astype(int)
-    return tuple((int(a), int(b - a)) for a, b in zip(marks, marks[1:]) if b > a)
-
-
 def links(unique: DataFrame) -> DataFrame:
     """Edges (``a`` < ``b``) that connect all fingerprints with links between them; ``unique`` holds distinct ``fp``."""
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(i).cast("tinyint").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(_masks())
-    ]))
-    dealt = unique.select(rows.alias("x"), "fp").select("x.c", "x.k", "fp").repartition("c", "k")
-    return dealt.sortWithinPartitions("c", "k").mapInArrow(_links, "a long, b long").distinct()
+    masks = _masks()
+    place = lambda i, m: F.struct(F.lit(i).cast("int").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k"))
+    rows = unique.select(F.explode(F.array(*(place(i, m) for i, m in enumerate(masks)))).alias("x"), "fp").select("x.c", "x.k", "fp")
+    total = unique.count()
+    if total >= LONG_RUN:
+        # Where runs are long only steers how they are dealt, so a sample of them will do. Its size bounds the list.
+        share = min(1.0, SAMPLE / total)
+        some = rows if share == 1.0 else unique.sample(share, seed=1).select(F.explode(F.array(*(place(i, m) for i, m in enumerate(masks)))).alias("x")).select("x.*")
+        long = materialize(some.groupBy("c", "k").count().where(F.col("count") >= max(20.0, LONG_RUN * share)).select("c", "k", F.lit(True).alias("long")), "long-runs")
+        if long.limit(1).count():
+            finer = [[_signed((m & 0xFFFFFFFFFFFFFFFF) | f) for f in _fields([b for b in range(64) if not m >> b & 1])] for m in masks]
+            cut = F.element_at(F.array(*(F.array(*(place(len(masks) + (MAX_BITS + 1) * i + j, m) for j, m in enumerate(ms))) for i, ms in enumerate(finer))), F.col("c") + 1)
+            marked = rows.join(F.broadcast(long), ["c", "k"], "left")  # at most 20 * SAMPLE / 20 rows
+            rows = marked.select(F.explode(F.when(F.col("long"), cut).otherwise(F.array(F.struct("c", "k")))).alias("x"), "fp").select("x.c", "x.k", "fp")
+    return rows.repartition("c", "k").sortWithinPartitions("c", "k").mapInArrow(_links, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,6 +222,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select("b", "a"))
         least = both.groupBy("node").agg(F.min("other").alias("other"))
         step = materialize(least.select("node", F.least("node", "other").alias("root")), "step")
+        while True:  # double the pointers until each points to a root
+            up = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            jumped = materialize(step.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "jump")
+            step = jumped.select("node", "root")
+            if not jumped.where("moved").limit(1).count():
+                break
         left = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = edges.join(left, "a").join(right, "b").where("ra <> rb")
@@ -239,31 +258,82 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents, one of each component: that of the smallest ``doc_id`` (of several such rows, the first by text).
+    """The documents, one of each component: that of the smallest ``doc_id``; of several such rows, that of the smallest content hash.
 
     Needs ``doc_id`` and ``text``; other columns pass through.
     """
-    return one_of_each(docs, fingerprints(docs), links, fingerprint)
+    (name,) = fresh(docs.columns, "fp")
+    marked = numbered_rows(spread(docs).mapInArrow(_with_fingerprint(docs.columns.index("text"), name), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])), docs, [name])
+    return one_of_each(marked, docs.columns, name, links)
+
+
+def numbered_rows(marked: DataFrame, docs: DataFrame, marks: list[str]) -> DataFrame:
+    """``marked`` written once, with a number and a content hash (of the columns of ``docs``) for each row."""
+    number, content = fresh(marked.columns, "row", "content")
+    cells = [F.to_json(F.struct(c)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(c) for c, f in zip(docs.columns, docs.schema.fields)]
+    return materialize(marked.withColumns({number: F.monotonically_increasing_id(), content: F.xxhash64(*cells)}), "marked")
 
 
-def one_of_each(docs: DataFrame, marks: DataFrame, link: Callable[[DataFrame], DataFrame], mark_of: Callable[[str | None], int]) -> DataFrame:
-    """``deduplicate`` for any mark of texts: ``marks`` has ``doc_id`` and ``fp``, ``link`` gives edges between the distinct ``fp``."""
+def _store_kept(uri: str):
+    """Write the numbers of kept rows, one file a part of the written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, held, last, n = ArrayStore(uri), [], None, 0
+
+        def close() -> int:
+            rows = np.sort(np.concatenate(held))
+            store.write_all(f"kept-{last}", {"rows": rows})
+            return len(rows)
+
+        for batch in batches:
+            parts, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if parts[a] != last:
+                    n += close() if held else 0
+                    held, last = [], int(parts[a])
+                held.append(rows[a:b])
+        n += close() if held else 0
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return run
+
+
+def _keep(uri: str, files: dict[str, int], number: int, columns: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = ArrayStore(uri, files)
+        for batch in batches:
+            rows = batch.column(number).to_numpy(zero_copy_only=False)
+            kept = np.zeros(len(rows), dtype=bool)
+            for part in np.unique(rows >> 33).tolist():
+                have = store.read_all(f"kept-{part}")
+                if have is not None and len(have["rows"]):
+                    mine = rows >> 33 == part
+                    at = np.minimum(np.searchsorted(have["rows"], rows[mine]), len(have["rows"]) - 1)
+                    kept[mine] = have["rows"][at] == rows[mine]
+            yield pa.RecordBatch.from_arrays(batch.columns[:columns], names=batch.schema.names[:columns]).filter(pa.array(kept))
+        store.close()
+
+    return run
+
+
+def one_of_each(marked: DataFrame, columns: list[str], name: str, link: Callable[[DataFrame], DataFrame], done: Callable[[], None] = lambda: None) -> DataFrame:
+    """``deduplicate`` for any mark of texts: ``marked`` holds ``columns``, the mark in ``name``, and the columns of ``numbered_rows``.
+
+    Texts are not shuffled: which rows stay is written in one small file a part, and a filter reads the file of its part. ``link``
+    gives edges between the distinct marks; ``done`` is called when they are no longer needed.
+    """
+    number, content = marked.columns[-2:]
+    marks = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("fp"), F.col(number).alias("row"), F.col(content).alias("content"))
     found = marks.join(classes(marks, link), "fp")
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    per = heads.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"), F.first("fp").alias("fp"))
-    per = materialize(per, "heads")
-    mark, row = "__corvane_fp", "__corvane_row"
-    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
-    marked = docs.mapInArrow(_with_fingerprint(docs.columns.index("text"), mark, mark_of), schema)
-    single = per.where("n = 1").select(F.col("doc_id").alias("__corvane_id"), F.col("fp").alias(mark))
-    on = marked["doc_id"].eqNullSafe(single["__corvane_id"]) & (marked[mark] == single[mark])
-    kept = marked.join(single, on, "left_semi").drop(mark)
-    if not per.where("n > 1").limit(1).count():
-        return kept
-    several = heads.join(per.where("n > 1").select("root"), "root").select(
-        F.col("root").alias("__corvane_root"), F.col("fp").alias("__corvane_other"), F.col("doc_id").alias("__corvane_id")).distinct()
-    on = marked["doc_id"].eqNullSafe(several["__corvane_id"]) & (marked[mark] == several["__corvane_other"])
-    tied = marked.join(several, on)
-    first = Window.partitionBy("__corvane_root").orderBy("text")
-    one = tied.withColumn(row, F.row_number().over(first)).where(F.col(row) == 1)
-    return kept.unionByName(one.select(*docs.columns))
+    done()
+    # A component without a single id has a null name, which only rows without an id equal.
+    order = F.struct((~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("other"), "content", "row")
+    heads = found.groupBy("root").agg(F.min(order).alias("h")).select(F.col("h.row").alias("row"))
+    uri = shared_dir(marked.sparkSession, "kept")
+    parts = heads.select(F.shiftright("row", 33).cast("int").alias("part"), "row")
+    parts.repartition("part").sortWithinPartitions("part").mapInArrow(_store_kept(uri), "n long").agg(F.sum("n")).collect()
+    keep = _keep(uri, ArrayStore(uri).sizes(), marked.columns.index(number), len(columns))
+    return marked.mapInArrow(keep, marked.select(*columns).schema)

@@ -88,7 +88,7 @@ def test_op2(docs, rows):
     assert kept == Counter(set(least.values()))
 
 
-def test_link_run_matches_all_pairs():
+def test_link_run_matches_all_pairs(monkeypatch):
     from corvane.llm import simhash
 
     rng = np.random.default_rng(3)
@@ -99,16 +99,71 @@ def test_link_run_matches_all_pairs():
     run = np.unique(run)
     whole, cut = simhash._Forest(), simhash._Forest()
     simhash.link_run(run, whole)
-    keep = simhash.DIRECT_RUN
-    simhash.DIRECT_RUN = 50
-    try:
-        simhash.link_run(run, cut, simhash._varying(run))
-    finally:
-        simhash.DIRECT_RUN = keep
+    monkeypatch.setattr(simhash, "DIRECT_RUN", 50)
+    simhash.link_run(run, cut)
     signed = [simhash._signed(int(x)) for x in run]
     assert [whole.find(x) for x in signed] == [cut.find(x) for x in signed]
 
 
+def test_long_runs_are_cut_in_every_choice(spark, monkeypatch):
+    from corvane.llm import simhash
+
+    rng = np.random.default_rng(5)
+    n = 100_000
+    for mask in simhash._masks():
+        free = ~np.uint64(mask & 0xFFFFFFFFFFFFFFFF)
+        run = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64) & free)
+        bits = [b for b in range(64) if int(free) >> b & 1]
+        for field in simhash._fields(bits):
+            assert np.unique(run & np.uint64(field), return_counts=True)[1].max() < n / 50
+    # The same through the deal over tasks: one run in a choice is long, by a sample, and loses no link.
+    monkeypatch.setattr(simhash, "LONG_RUN", 400)
+    mask = simhash._masks()[7] & 0xFFFFFFFFFFFFFFFF
+    run = rng.integers(0, 1 << 64, 1500, dtype=np.uint64) & ~np.uint64(mask)
+    near = run[:200] ^ (np.uint64(1) << rng.integers(0, 60, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 60, 200).astype(np.uint64))
+    fps = np.unique(np.concatenate([run, near]))
+    unique = spark.createDataFrame([(simhash._signed(int(x)),) for x in fps], "fp long")
+    forest = simhash._Forest()
+    for r in simhash.links(unique).collect():
+        forest.union(r.a, r.b)
+    brute = simhash._Forest()
+    for k, x in enumerate(fps):
+        for y in fps[k + 1:][np.bitwise_count(fps[k + 1:] ^ x) <= 3]:
+            brute.union(simhash._signed(int(x)), simhash._signed(int(y)))
+    names = [simhash._signed(int(x)) for x in fps]
+    assert [forest.find(x) for x in names] == [brute.find(x) for x in names]
+
+
+def test_components_of_a_long_chain(spark, monkeypatch):
+    from corvane.llm import simhash
+
+    rounds, write = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, label: rounds.append(label) or write(df, label))
+    n = 10_000
+    chain = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = simhash.components(chain)
+    assert got.count() == n and got.where("root <> 0").count() == 0
+    assert rounds.count("jump") + rounds.count("step") <= 20
+    names = [int(x) for x in np.random.default_rng(1).permutation(2000)]
+    mixed = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(names, names[1:])] + [(5000, 5001)], "a long, b long")
+    assert {(r.node, r.root) for r in simhash.components(mixed).collect()} == {(x, 0) for x in names} | {(5000, 5000), (5001, 5000)}
+
+
+def test_deduplicate_rows(spark):
+    """Ties, nulls, clashing and nested columns: one whole row of each group stays, the same one every time."""
+    from corvane.llm import similar, simhash
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "b", {"k": 1}), (1, text, "a", {"k": 2}), (2, text, "c", None), (None, "", "x", None), (None, None, "y", None), (3, "other words here", "z", None), (None, "lone text of nobody", "q", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string, row map<string,int>")
+    for module in (simhash, similar):
+        got = [module.deduplicate(d).collect() for d in (df, df.repartition(5))]
+        assert sorted(got[0], key=str) == sorted(got[1], key=str)
+        assert sorted((r.doc_id, r.text) for r in got[0] if r.doc_id is not None) == [(1, text), (3, "other words here")]
+        assert sorted(r.text or "" for r in got[0] if r.doc_id is None) == ["", "lone text of nobody"]
+        assert module.deduplicate(df.where("false")).count() == 0 and got[0][0].__fields__ == df.columns
+
+
 def test_op5(docs, rows):
     from corvane.llm import wavelet
 
