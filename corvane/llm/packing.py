@@ -1,13 +1,13 @@
 """Packing of documents into fixed-length training sequences by cutting-stock column generation.
 
 A document of T tokens gives full pieces of ``seq_len`` tokens, each a sequence of its own, and a remainder. The
-remainders' length histogram (at most ``seq_len - 1`` rows, whatever the input) goes to the driver, where a linear program
-over patterns is solved. Its columns are patterns of items, and cuts: a remainder longer than half a sequence may count as
-a half and a rest, at a cost of ``CUT_COST`` sequences. Pairs that fill a sequence are fixed
-first; a greedy run over the rest of the histogram gives the first basis, a knapsack by
-dynamic programming prices new patterns, and revised simplex steps take them in. Copies of patterns and cuts are rounded
-down, and what is left over, fewer sequences than there are lengths, is cut and packed largest first. Documents are
-ranked within their length (by part and place in it), and ranks map to cuts and pattern copies.
+remainders' length histogram (at most ``seq_len - 1`` rows, whatever the input) goes to one task, where a linear program
+over patterns is solved. Its columns are patterns of whole remainders, and cuts: a remainder longer than half a sequence may
+count as a half and a rest, at a cost of ``CUT_COST`` sequences. From a plain first basis, a knapsack by dynamic programming
+prices new patterns, and revised simplex steps take them in, until the cost is within ``TOLERANCE`` of a proven bound. Copies of
+patterns and cuts are rounded down, and what is left over, fewer sequences than there are lengths, is packed largest first.
+Where packing largest first wastes less than one sequence in all, nothing can do better and no program is solved. Documents
+are ranked within their length (by part and place in it), and ranks map to cuts and pattern copies.
 
 Defined results: a null text is an empty document (the end id alone); equal rows are packed apart; null ``doc_id`` stays
 null; an empty table gives no pieces. A sequence is padded to ``seq_len`` unless its tokens number a power of two.
@@ -25,16 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, spread
+from corvane.llm.common import materialize, shared_dir, spread
+from corvane.llm.store import ArrayStore
 from corvane.llm.tokens import END_ID, WordEncoder, default_tokenizer_path, encoder
 
 SEQ_LEN = 2048
-#: The linear program is left when no column can gain more than this share of a sequence.
-TOLERANCE = 0.001
+#: The linear program is left when its cost is within this share of a lower bound.
+TOLERANCE = 0.0005
 #: Sequences that a cut of one remainder costs in the linear program.
 CUT_COST = 0.02
-#: Simplex steps at most; any step leaves a whole plan, so this bounds the driver's time and not what is packed.
-MAX_COLUMNS = 40
+#: Simplex steps at most; any step leaves a whole plan, so this bounds time (some 10 ms a step with 2,000 lengths) and not what is packed.
+MAX_PIVOTS = 6000
+#: Items or cuts by the index of their length.
+Column = dict[int, int]
 
 
 def greedy_runs(lengths: np.ndarray, counts: np.ndarray, seq_len: int, whole: bool) -> list[tuple[np.ndarray, float]]:
@@ -72,132 +75,153 @@ def greedy_runs(lengths: np.ndarray, counts: np.ndarray, seq_len: int, whole: bo
     return runs
 
 
-def price(lengths: np.ndarray, duals: np.ndarray, seq_len: int) -> tuple[float, np.ndarray]:
-    """The most valuable pattern: an unbounded knapsack by dynamic programming over the room in a sequence."""
+def knapsack(lengths: np.ndarray, duals: np.ndarray, seq_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room in a sequence the best worth of items in it (any number of each), and an item to take; -1: leave a place empty."""
     worth = duals > 1e-12
-    items, values = lengths[worth], duals[worth]
-    best = np.zeros(seq_len + 1)
-    choice = np.full(seq_len + 1, -1, dtype=np.int64)
+    items, values, back = lengths[worth], duals[worth], np.flatnonzero(worth)
+    best, choice = np.zeros(seq_len + 1), np.full(seq_len + 1, -1, dtype=np.int64)
+    upto = np.searchsorted(items, np.arange(seq_len + 1), side="right")
     for room in range(1, seq_len + 1):
-        n = int(np.searchsorted(items, room, side="right"))
+        n = int(upto[room])
         best[room] = best[room - 1]
         if n:
             gains = best[room - items[:n]] + values[:n]
             k = int(gains.argmax())
             if gains[k] > best[room] + 1e-12:
-                best[room], choice[room] = gains[k], k
-    pattern, room, back = np.zeros(len(lengths), dtype=np.int64), seq_len, np.flatnonzero(worth)
+                best[room], choice[room] = gains[k], back[k]
+    return best, choice
+
+
+def _pattern(lengths: np.ndarray, choice: np.ndarray, first: int, seq_len: int) -> Column:
+    """The best filling of a sequence, with one item given first unless it is -1."""
+    out: Column = {}
+    room = seq_len
+    if first >= 0:
+        out[first] = 1
+        room -= int(lengths[first])
     while room > 0:
-        if choice[room] < 0:
+        k = int(choice[room])
+        if k < 0:
             room -= 1
             continue
-        pattern[back[choice[room]]] += 1
-        room -= int(items[choice[room]])
-    return float(best[seq_len]), pattern
+        out[k] = out.get(k, 0) + 1
+        room -= int(lengths[k])
+    return out
 
 
-def column_generation(lengths: np.ndarray, counts: np.ndarray, seq_len: int, tolerance: float = TOLERANCE,
-                      max_columns: int = MAX_COLUMNS) -> list[tuple[np.ndarray, float]]:
-    """Columns with fractional amounts whose sum is exactly ``counts``, near the least cost.
+class _Simplex:
+    """Revised simplex over columns that come one by one; the first basis is plain, one pattern of one length for each length."""
 
-    A column without a negative entry is a pattern. A cut column has 1 for the length that is cut and takes 1 from its
-    two parts; all parts must be among ``lengths``. The first basis cuts all that can be cut.
-    """
-    m, half = len(lengths), seq_len // 2
-    row = {int(n): i for i, n in enumerate(lengths)}
-    cuts = {}
-    for i, n in enumerate(lengths):
-        if n > half:
-            column = np.zeros(m)
-            column[i] += 1
-            column[row[half]] -= 1
-            column[row[int(n) - half]] -= 1
-            cuts[i] = column
-    need = counts.astype(np.float64).copy()
-    basis, x, cost = [], [], []
-    for i, column in cuts.items():
-        basis.append(column)
-        x.append(need[i])
-        cost.append(CUT_COST)
-        need -= column * need[i]
-    taken = np.array([i in cuts for i in range(m)])
-    left = need.copy()
-    for pattern, copies in greedy_runs(lengths, need, seq_len, whole=False):
-        used = np.flatnonzero(pattern)
-        left[used] -= copies * pattern[used]
-        gone = [i for i in used if not taken[i] and left[i] <= 1e-6 * max(1.0, need[i])]
-        taken[gone[:1]] = True
-        basis.append(pattern.astype(np.float64))
-        x.append(copies)
-        cost.append(1.0)
-    for i in np.flatnonzero(~taken):  # used up along with another length: a pattern of its own, at zero copies
-        single = np.zeros(m)
-        single[i] = seq_len // int(lengths[i])
-        basis.append(single)
-        x.append(0.0)
-        cost.append(1.0)
-    columns, x, cost = np.array(basis).T, np.array(x), np.array(cost)
-    if columns.shape[1] != m:
-        raise AssertionError("the first basis is not square")
-    inverse = np.linalg.inv(columns)
-    tails = np.array([row[int(lengths[i]) - half] for i in cuts], dtype=np.int64)
-    heads = np.array(list(cuts), dtype=np.int64)
-    for _ in range(max_columns):
-        duals = cost @ inverse
-        worth, entering, price_of = 0.0, None, 1.0
-        if len(heads):
-            gains = duals[heads] - duals[row[half]] - duals[tails] - CUT_COST
-            k = int(gains.argmax())
-            if gains[k] > tolerance:
-                worth, entering, price_of = float(gains[k]), cuts[int(heads[k])], CUT_COST
-        value, pattern = price(lengths, duals, seq_len)
-        if value - 1 > max(worth, tolerance):
-            entering, price_of = pattern.astype(np.float64), 1.0
-        if entering is None:
-            break
-        step = inverse @ entering
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, seq_len: int):
+        fit = seq_len // lengths
+        # Needs are raised by a little at random, so no basic amount is zero and no step goes nowhere.
+        more = (1e-6 + 1e-6 * np.random.default_rng(0).random(len(lengths))) * max(1.0, counts.sum() / len(counts))
+        self.amounts = (counts + more) / fit
+        self.inverse = np.diag(1.0 / fit)
+        self.columns: list[Column] = [{i: int(k)} for i, k in enumerate(fit)]
+        self.cost = np.ones(len(lengths))
+        self.duals = self.cost @ self.inverse
+        self.pivots = 0
+
+    def enter(self, column: Column, cost: float) -> bool:
+        """Take a column into the basis; False if nothing bounds it."""
+        step = self.inverse[:, list(column)] @ np.array(list(column.values()), dtype=np.float64)
         rising = step > 1e-9
-        ratios = np.where(rising, x / np.where(rising, step, 1.0), np.inf)
+        ratios = np.where(rising, self.amounts / np.where(rising, step, 1.0), np.inf)
         out = int(ratios.argmin())
         if not np.isfinite(ratios[out]):
-            break
-        amount = max(0.0, float(ratios[out]))
-        x = np.maximum(x - amount * step, 0.0)
-        x[out] = amount
-        columns[:, out] = entering
-        cost[out] = price_of
-        pivot = inverse[out] / step[out]
+            return False
+        gain = cost - sum(self.duals[i] * n for i, n in column.items())
+        np.maximum(self.amounts - ratios[out] * step, 0.0, out=self.amounts)
+        self.amounts[out], self.cost[out], self.columns[out] = ratios[out], cost, column
+        pivot = self.inverse[out] / step[out]
+        self.duals = self.duals + gain * pivot
         step[out] = 0.0
-        inverse -= np.outer(step, pivot)
-        inverse[out] = pivot
-    return [(columns[:, k].astype(np.int64), float(x[k])) for k in range(m)]
+        self.inverse -= step[:, None] * pivot
+        self.inverse[out] = pivot
+        self.pivots += 1
+        if self.pivots % 500 == 0:
+            self.duals = self.cost @ self.inverse
+        return True
 
 
-def plan(histogram: dict[int, int], seq_len: int = SEQ_LEN,
-         tolerance: float = TOLERANCE) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
-    """Whole-number copies of patterns ``{length: items}``, and how many items of each length are cut in two.
+def column_generation(lengths: np.ndarray, counts: np.ndarray, seq_len: int, tolerance: float = TOLERANCE,
+                      max_pivots: int = MAX_PIVOTS) -> tuple[list[tuple[Column, float]], float]:
+    """Columns with fractional amounts that meet ``counts`` near the least cost, and a lower bound of that cost.
 
-    The patterns hold exactly the items of the histogram after the cuts.
+    A pattern holds items by index of their length, at a cost of one. A cut turns an item of more than half a sequence into a half
+    and a rest, at ``CUT_COST``: 1 for the length that is cut and -1 for either part; all parts must be among ``lengths``. The greedy
+    run's patterns and the best fillings found by the knapsack, some with one item given, form a pool; simplex steps take
+    from the pool and the cuts until neither gains, then the knapsack prices again.
     """
-    half = seq_len // 2
-    if not histogram:
-        return [], {}
-    names = set(histogram) | {half} | {n - half for n in histogram if n > half}
-    lengths = np.array(sorted(names), dtype=np.int64)
-    row = {int(n): i for i, n in enumerate(lengths)}
-    left = np.array([histogram.get(int(n), 0) for n in lengths], dtype=np.int64)
-    runs = []
-    for n in lengths[lengths > half]:  # two remainders that fill a sequence: nothing can do better for them
-        i, k = row[int(n)], row.get(seq_len - int(n))
-        if k is not None and (both := int(min(left[i], left[k]))) > 0:
-            pair = np.zeros(len(lengths), dtype=np.int64)
-            pair[[i, k]] = 1
-            left -= both * pair
-            runs.append((pair, both))
-    solved = column_generation(lengths, left, seq_len, tolerance)
-    cut: dict[int, int] = {}
-
-    def cut_items(i: int, n: int) -> None:
+    half, row = seq_len // 2, {int(n): i for i, n in enumerate(lengths)}
+    heads = np.flatnonzero(lengths > half)
+    tails = np.array([row[int(n) - half] for n in lengths[heads]], dtype=np.int64)
+    solver = _Simplex(lengths, counts, seq_len)
+    bound = float(lengths @ counts) / seq_len
+    pool: dict[tuple, Column] = {}
+
+    def add(column: Column) -> None:
+        pool[tuple(sorted(column.items()))] = column
+
+    for pattern, _ in greedy_runs(lengths, counts, seq_len, whole=False):
+        add({int(i): int(pattern[i]) for i in np.flatnonzero(pattern)})
+    while True:
+        columns = list(pool.values())
+        sizes = np.fromiter(map(len, columns), dtype=np.int64, count=len(columns))
+        rows = np.fromiter((i for c in columns for i in c), dtype=np.int64, count=int(sizes.sum()))
+        items = np.fromiter((n for c in columns for n in c.values()), dtype=np.float64, count=len(rows))
+        starts = np.cumsum(sizes) - sizes
+        for _ in range(400):
+            duals = solver.duals
+            worth = np.add.reduceat(duals[rows] * items, starts) - 1.0
+            best = int(worth.argmax())
+            gains = duals[heads] - duals[row[half]] - duals[tails] - CUT_COST if len(heads) else np.full(1, -1.0)
+            cut = int(gains.argmax())
+            if max(worth[best], gains[cut]) <= 1e-6 or solver.pivots >= max_pivots:
+                break
+            if gains[cut] > worth[best]:
+                column: Column = {int(heads[cut]): 1, row[half]: -1}
+                column[int(tails[cut])] = column.get(int(tails[cut]), 0) - 1
+                entered = solver.enter(column, CUT_COST)
+            else:
+                entered = solver.enter(columns[best], 1.0)
+            if not entered:
+                break
+        duals = np.maximum(solver.duals, 0.0)
+        filled, choice = knapsack(lengths, duals, seq_len)
+        cost = float(solver.cost @ solver.amounts)
+        most = float((duals[heads] - duals[row[half]] - duals[tails]).max()) / CUT_COST if len(heads) else 0.0
+        bound = max(bound, cost / max(1.0, float(filled[seq_len]), most))  # duals scaled down to where no column gains
+        if cost <= bound * (1 + tolerance) or filled[seq_len] <= 1 + 1e-6 or solver.pivots >= max_pivots:
+            return list(zip(solver.columns, solver.amounts.tolist())), bound
+        given = duals + filled[seq_len - lengths]
+        add(_pattern(lengths, choice, -1, seq_len))
+        for i in np.argsort(-given)[:40].tolist():
+            if given[i] > 1 + 1e-6:
+                add(_pattern(lengths, choice, i, seq_len))
+
+
+Plan = tuple[list[tuple[dict[int, int], int]], dict[int, int]]
+
+
+def plan_cost(found: Plan) -> float:
+    """Sequences, and cuts at ``CUT_COST``."""
+    return sum(n for _, n in found[0]) + CUT_COST * sum(found[1].values())
+
+
+def greedy_plan(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> Plan:
+    """Largest first, without cuts."""
+    lengths = np.array(sorted(n for n, k in histogram.items() if k > 0), dtype=np.int64)
+    counts = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
+    return [({int(lengths[i]): int(p[i]) for i in np.flatnonzero(p)}, int(c)) for p, c in greedy_runs(lengths, counts, seq_len, whole=True)], {}
+
+
+def rounded(solved: list[tuple[Column, float]], lengths: np.ndarray, counts: np.ndarray, seq_len: int) -> Plan:
+    """Whole copies of cuts and patterns, rounded down; the rest greedily, with what is over half a sequence cut if that is cheaper."""
+    half, row, left, cut = seq_len // 2, {int(n): i for i, n in enumerate(lengths)}, counts.copy(), {}
+
+    def cut_items(left: np.ndarray, cut: dict[int, int], i: int, n: int) -> None:
         if n > 0:
             cut[int(lengths[i])] = cut.get(int(lengths[i]), 0) + n
             left[i] -= n
@@ -205,23 +229,46 @@ def plan(histogram: dict[int, int], seq_len: int = SEQ_LEN,
             left[row[int(lengths[i]) - half]] += n
 
     for column, amount in solved:
-        if (column < 0).any():
-            i = int(np.flatnonzero(column > 0).max())
-            cut_items(i, int(min(np.floor(amount + 1e-9), left[i])))
+        if min(column.values()) < 0:
+            i = next(i for i, n in column.items() if n > 0)
+            cut_items(left, cut, i, int(min(np.floor(amount + 1e-9), left[i])))
+    runs = []
     for column, amount in sorted(solved, key=lambda c: -c[1]):
-        if (column >= 0).all() and (used := np.flatnonzero(column)).size:
-            whole = int(min([np.floor(amount + 1e-9), *(left[used] // column[used])]))
+        if min(column.values()) > 0:
+            whole = int(min([np.floor(amount + 1e-9), *(left[i] // n for i, n in column.items())]))
             if whole > 0:
-                left -= whole * column
-                runs.append((column, whole))
-    for i in np.flatnonzero((lengths > half) & (left > 0)):
-        cut_items(int(i), int(left[i]))
-    some = np.flatnonzero(left > 0)
-    for part, copies in greedy_runs(lengths[some], left[some], seq_len, whole=True):
-        pattern = np.zeros(len(lengths), dtype=np.int64)
-        pattern[some] = part
-        runs.append((pattern, int(copies)))
-    return [({int(lengths[i]): int(p[i]) for i in np.flatnonzero(p)}, c) for p, c in runs], cut
+                for i, n in column.items():
+                    left[i] -= whole * n
+                runs.append(({int(lengths[i]): n for i, n in column.items()}, whole))
+    ways = []
+    for cutting in (False, True):
+        rest, more = left.copy(), dict(cut)
+        if cutting:
+            for i in np.flatnonzero((lengths > half) & (rest > 0)):
+                cut_items(rest, more, int(i), int(rest[i]))
+        some = greedy_plan({int(lengths[i]): int(rest[i]) for i in np.flatnonzero(rest > 0)}, seq_len)[0]
+        ways.append((runs + some, more))
+    return min(ways, key=plan_cost)
+
+
+def plan(histogram: dict[int, int], seq_len: int = SEQ_LEN, tolerance: float = TOLERANCE, max_pivots: int = MAX_PIVOTS) -> Plan:
+    """Whole-number copies of patterns ``{length: items}``, and how many items of each length are cut in two.
+
+    The patterns hold exactly the items of the histogram after the cuts. A greedy plan that wastes less than one sequence in
+    all is the best there is, and no program is solved; else the program's rounded plan, or the greedy one if that is cheaper.
+    """
+    half = seq_len // 2
+    histogram = {n: k for n, k in histogram.items() if k > 0}
+    if not histogram:
+        return [], {}
+    first = greedy_plan(histogram, seq_len)
+    if plan_cost(first) < sum(n * k for n, k in histogram.items()) / seq_len + 1:
+        return first
+    names = set(histogram) | {half} | {n - half for n in histogram if n > half}
+    lengths = np.array(sorted(names), dtype=np.int64)
+    counts = np.array([histogram.get(int(n), 0) for n in lengths], dtype=np.int64)
+    solved, _ = column_generation(lengths, counts, seq_len, tolerance, max_pivots)
+    return min(rounded(solved, lengths, counts, seq_len), first, key=plan_cost)
 
 
 PIECES = ("part int, local_rank long, doc_id long, start long, length long, ids_crc32 long, head_crc32 long, tail_crc32 long, "
@@ -291,12 +338,46 @@ def _cut_table(cut: dict[int, int], natural: dict[int, int], seq_len: int) -> di
     return out
 
 
-def _assign(slots: dict[str, np.ndarray], cuts: dict[str, np.ndarray], seq_len: int):
+def _store_bases(uri: str, seq_len: int):
+    """Write for each part the rank that its first piece of each length has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base, last, n = ArrayStore(uri), np.zeros(seq_len + 1, dtype=np.int64), None, 0
+        for batch in batches:
+            parts, lengths, bases = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for a, b in zip(*_cuts(parts)):
+                if parts[a] != last:
+                    if last is not None:
+                        store.write_all(f"part-{last}", {"base": base})
+                        n += 1
+                    base, last = np.zeros(seq_len + 1, dtype=np.int64), int(parts[a])
+                base[lengths[a:b]] = bases[a:b]
+        if last is not None:
+            store.write_all(f"part-{last}", {"base": base})
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return run
+
+
+def _cuts(parts: np.ndarray) -> tuple[list[int], list[int]]:
+    """Starts and ends of runs of equal values."""
+    if not len(parts):
+        return [], []
+    at = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist()]
+    return at, [*at[1:], len(parts)]
+
+
+def _assign(slots: dict[str, np.ndarray], cuts: dict[str, np.ndarray], seq_len: int, uri: str, files: dict[str, int]):
     half = seq_len // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = ArrayStore(uri, files)
         for batch in batches:
-            col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("start", "length", "ids_crc32", "rank")}
+            col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("start", "length", "ids_crc32", "part", "local_rank")}
+            col["rank"] = col["local_rank"].copy()
+            for a, b in zip(*_cuts(col["part"])):
+                col["rank"][a:b] += store.read_all(f"part-{int(col['part'][a])}")["base"][col["length"][a:b]]
             is_cut = col["rank"] < cuts["cut"][col["length"]]
             kept, both = np.flatnonzero(~is_cut), np.flatnonzero(is_cut)
             n, r = col["length"], col["rank"]
@@ -352,7 +433,7 @@ def pack(docs: DataFrame, seq_len: int = SEQ_LEN, tokenizer_path: str | None = N
 
     ``cache_words`` gives each task a cache of its own, of so many words, instead of the worker's large one that lasts over
     tasks: for jobs whose other stages need the memory. ``with_ids`` fills ``ids`` with the piece's ids, 16 bits each, little-endian; else it is null.
-    The texts are read once and not shuffled; only the pieces' small rows meet the rank offsets in a join.
+    The texts are read once and not shuffled, and neither are the pieces: each reads the rank offsets of its part from a small file.
     """
     path = tokenizer_path or default_tokenizer_path()
     cut = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
@@ -360,14 +441,15 @@ def pack(docs: DataFrame, seq_len: int = SEQ_LEN, tokenizer_path: str | None = N
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts")
+    uri = shared_dir(docs.sparkSession, "piece-bases")
+    dealt = counts.select("part", "length", "base").repartition("part").sortWithinPartitions("part")
+    dealt.mapInArrow(_store_bases(uri, seq_len), "n long").agg(F.sum("n")).collect()
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     full = histogram.pop(seq_len, 0)
     runs, cut = _planned(docs.sparkSession, histogram, seq_len, tolerance)
     cuts = _cut_table(cut, histogram, seq_len)
     if full:
         runs.append(({seq_len: 1}, full))
-    ranked = pieces.join(counts.select("part", "length", "base"), ["part", "length"])
-    ranked = ranked.withColumn("rank", F.col("local_rank") + F.col("base"))
     fields = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
               "sequence_length long, ids binary")
-    return ranked.mapInArrow(_assign(_slots(runs, seq_len), cuts, seq_len), fields)
+    return pieces.mapInArrow(_assign(_slots(runs, seq_len), cuts, seq_len, uri, ArrayStore(uri).sizes()), fields)

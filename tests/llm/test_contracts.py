@@ -358,6 +358,34 @@ def test_op8(docs, rows):
     assert sum(p[0][2] for p in by_seq.values()) * 0.97 < sum(r.length for r in got)
 
 
+def test_packing_plan_comes_from_the_program():
+    """Hard histograms: every item is packed once, and the program needs clearly less than largest first and than no steps at all."""
+    from corvane.llm import packing as P
+
+    rng = np.random.default_rng(2)
+    cases = [Counter(rng.integers(1100, 1160, 6000).tolist()), Counter(rng.integers(500, 560, 9000).tolist() + rng.integers(950, 1000, 3000).tolist()),
+             Counter(rng.integers(1, 60, 5000).tolist()), Counter({1500: 7}), Counter({2047: 3, 1: 3, 1024: 1}), Counter()]
+    for histogram in cases:
+        runs, cut = P.plan(dict(histogram))
+        held = Counter()
+        for pattern, copies in runs:
+            assert sum(n * k for n, k in pattern.items()) <= 2048 and copies > 0
+            for n, k in pattern.items():
+                held[n] += k * copies
+        want = Counter(histogram)
+        for n, k in cut.items():
+            want[n] -= k
+            want[1024] += k
+            want[n - 1024] += k
+        assert held == +want
+        assert P.plan_cost((runs, cut)) <= P.plan_cost(P.greedy_plan(dict(histogram)))
+    for histogram, gain in zip(cases, (0.30, 0.02)):
+        found, off, greedy = P.plan_cost(P.plan(dict(histogram))), P.plan_cost(P.plan(dict(histogram), max_pivots=0)), P.plan_cost(P.greedy_plan(dict(histogram)))
+        names = sorted(set(histogram) | {1024} | {n - 1024 for n in histogram if n > 1024})
+        _, bound = P.column_generation(np.array(names), np.array([histogram[n] for n in names]), 2048)
+        assert found < (1 - gain) * greedy and found < 0.99 * off and bound <= found <= 1.01 * bound + len(names) / 4
+
+
 @pytest.mark.parametrize("spread_from", [1.0, 0.01])
 def test_op9(docs, rows, spread_from, monkeypatch):
     """Against a plain count of all trigrams; with almost all words and pairs spread over shards, too."""
