@@ -2,17 +2,19 @@
 
 Each rule rejects a document when one measure of its text lies beyond a cutoff. Candidate cutoffs are a fixed grid. For
 each stratum (language), rule and cutoff, the labelled documents of good quality that the rule would reject are counted;
-a cutoff is allowed if the exact binomial tail says that a false rejection rate above alpha would give so few with
-probability ``DELTA`` at most, divided by the number of rules and strata (Bonferroni). The cutoffs of a rule are tested in
-fixed sequence from lenient to strict, so they share one such part. The strictest allowed cutoff holds. Alpha is the smallest
-of ``ALPHAS`` that the stratum's number of labels can certify at all; the counts have no say in it.
+a cutoff is allowed if the exact binomial tail says that a false rejection rate above the rule's share of alpha would give so
+few with probability ``DELTA`` at most, divided by the number of rules and strata (Bonferroni). The cutoffs of a rule are tested
+in fixed sequence from lenient to strict, so they share one such part. The strictest allowed cutoff holds. Alpha is what all
+rules together may reject of a stratum's good documents, an equal share each; it is the smallest of ``ALPHAS`` that the stratum's
+number of labels can certify at all, and the counts have no say in it.
 
 A stratum with too few labels for any alpha takes the cutoffs of all strata pooled, tested in the same way, but only as far as
-its own good labels that a cutoff rejects are no more than the largest alpha of them; one without labels takes the pooled
+its own good labels that a cutoff rejects are no more than the largest share of them; one without labels takes the pooled
 cutoffs as they are. The promise then holds for the pool, not for the stratum. A pool with too few labels has no cutoffs.
 
 Defined results: null and empty texts have no words and fail the base; a null language is a stratum of its own; repeated
-rows are judged each; without labels only the base decides.
+rows are judged each; without labels only the base decides; an empty table gives no rows; a text of any length is measured
+whole. ``keep`` passes columns of any name.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize
 
-#: False rejections of good documents that one rule may make in a stratum, from the wanted rate to what fewer labels can
+#: Share of a stratum's good documents that all rules together may reject, from the wanted rate to what fewer labels can
 #: certify, and the chance of a wrong promise in all.
-ALPHAS = (0.005, 0.01, 0.02)
+ALPHAS = (0.02, 0.04, 0.08)
 DELTA = 0.05
 #: Rules with their candidate cutoffs, from lenient to strict.
 GRID: dict[str, list[float]] = {
@@ -37,7 +39,15 @@ GRID: dict[str, list[float]] = {
 MAX_BROADCAST_STRATA = 1000
 SPACE = r"[\x20\x09-\x0D]+"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-_P = "__corvane_"
+#: What names of added columns begin with, unless the table has such names.
+PREFIX = "__corvane_"
+
+
+def free_prefix(columns: list[str]) -> str:
+    prefix = PREFIX
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
 
 
 def _repeats(words: Column, n: Column) -> Column:
@@ -46,13 +56,13 @@ def _repeats(words: Column, n: Column) -> Column:
     return hashes
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the measures of each text in columns whose names begin with ``__corvane_``."""
+def measured(docs: DataFrame, prefix: str = PREFIX) -> DataFrame:
+    """``docs`` with the measures of each text in columns whose names begin with a prefix."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words, hashes, places = f"{_P}words", f"{_P}hashes", f"{_P}places"
+    words, hashes, places = f"{prefix}words", f"{prefix}hashes", f"{prefix}places"
     step = docs.withColumn(words, F.filter(F.split(text, SPACE), lambda w: w != ""))
-    step = step.withColumn(f"{_P}n_words", F.size(words).cast("int"))
-    n = F.col(f"{_P}n_words")
+    step = step.withColumn(f"{prefix}n_words", F.size(words).cast("int"))
+    n = F.col(f"{prefix}n_words")
     step = step.withColumn(hashes, F.when(n >= 3, _repeats(F.col(words), n)))
     h = F.col(hashes)
     # Windows are sorted with their places only where two are equal; equal neighbours give the places that repeat.
@@ -63,23 +73,20 @@ def measured(docs: DataFrame) -> DataFrame:
     same = F.zip_with(F.slice(p, F.lit(1), size - 1), F.slice(p, F.lit(2), size - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
     covered = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.flatten(same)), lambda i: F.array(i, i + 1, i + 2))))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    step = step.withColumn(f"{_P}lines", lines)
+    step = step.withColumn(f"{prefix}lines", lines)
     return step.withColumns({
-        f"{_P}n_words": n.cast("long"),
-        f"{_P}word_chars": F.length(F.array_join(words, "")).cast("long"),
-        f"{_P}n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-        f"{_P}n_dup_lines": (F.size(f"{_P}lines") - F.size(F.array_distinct(f"{_P}lines"))).cast("long"),
-        f"{_P}n_repeat_words": F.when(p.isNotNull(), F.size(covered)).otherwise(0).cast("long"),
-        f"{_P}n_lines": F.size(f"{_P}lines").cast("long"),
-    }).drop(words, hashes, places, f"{_P}lines")
-
-
-def _m(name: str) -> Column:
-    return F.col(_P + name)
+        f"{prefix}n_words": n.cast("long"),
+        f"{prefix}word_chars": F.length(F.array_join(words, "")).cast("long"),
+        f"{prefix}n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
+        f"{prefix}n_dup_lines": (F.size(f"{prefix}lines") - F.size(F.array_distinct(f"{prefix}lines"))).cast("long"),
+        f"{prefix}n_repeat_words": F.when(p.isNotNull(), F.size(covered)).otherwise(0).cast("long"),
+        f"{prefix}n_lines": F.size(f"{prefix}lines").cast("long"),
+    }).drop(words, hashes, places, f"{prefix}lines")
 
 
-def rule_values() -> dict[str, Column]:
+def rule_values(prefix: str = PREFIX) -> dict[str, Column]:
     """The value that each rule compares with its cutoff; null where it has none."""
+    _m = lambda name: F.col(prefix + name)
     return {
         "symbols_per_char": F.try_divide(_m("n_symbols"), _m("word_chars")),
         "dup_line_share": F.try_divide(_m("n_dup_lines"), _m("n_lines")),
@@ -88,8 +95,9 @@ def rule_values() -> dict[str, Column]:
     }
 
 
-def base_failed() -> Column:
-    return (_m("n_words") < 50) | (100 * _m("n_repeat_words") > 50 * _m("n_words"))
+def base_failed(prefix: str = PREFIX) -> Column:
+    n, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (n < 50) | (100 * repeats > 50 * n)
 
 
 def _tail_log(n: Column, k: Column, p: float) -> Column:
@@ -107,12 +115,13 @@ def _tail_log(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(steps, start, add, lambda s: s["sum"])
 
 
-def cutoffs(good: DataFrame, alphas: tuple[float, ...] = ALPHAS, delta: float = DELTA) -> DataFrame:
+def cutoffs(good: DataFrame, alphas: tuple[float, ...] = ALPHAS, delta: float = DELTA, prefix: str = PREFIX) -> DataFrame:
     """One row a stratum: the strictest allowed cutoff of each rule (null: none), from measured good documents.
 
     The row of the null stratum holds the pooled cutoffs.
     """
-    values = rule_values()
+    values = rule_values(prefix)
+    shares = [a / len(GRID) for a in alphas]
     tests = [(rule, cut) for rule, grid in GRID.items() for cut in grid]
     counts = [F.count_if(values[rule] > cut).alias(f"t{i}") for i, (rule, cut) in enumerate(tests)]
     per = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
@@ -128,15 +137,15 @@ def cutoffs(good: DataFrame, alphas: tuple[float, ...] = ALPHAS, delta: float =
     def certified(n: Column, k: Column) -> Column:
         """Null if there are too few labels. Only a test that could pass is summed: a rate at or above alpha cannot."""
         cases = F
-        for alpha in alphas:
+        for alpha in shares:
             cases = cases.when(n * F.log(F.lit(1 - alpha)) <= limit, F.when(k < alpha * n, _tail_log(n, k, alpha) <= limit).otherwise(False))
         return cases
 
     # A stricter cutoff rejects no fewer, so those that pass are the first ones of the sequence.
     own, pool = certified(F.col("n"), F.col("k")), F.coalesce(certified(F.col("pool_n"), F.col("pool_k")), F.lit(False))
-    each = each.withColumns({"allowed": F.coalesce(own, pool & (F.col("k") <= alphas[-1] * F.col("n"))), "pool_allowed": pool})
-    strict = lambda allowed: [F.min(F.when((F.col("rule") == rule) & F.col(allowed), F.col("cut"))).alias(f"{_P}cut_{rule}") for rule in GRID]
-    pooled = each.agg(*strict("pool_allowed")).select(F.lit(None).cast("string").alias("stratum"), *(f"{_P}cut_{rule}" for rule in GRID))
+    each = each.withColumns({"allowed": F.coalesce(own, pool & (F.col("k") <= shares[-1] * F.col("n"))), "pool_allowed": pool})
+    strict = lambda allowed: [F.min(F.when((F.col("rule") == rule) & F.col(allowed), F.col("cut"))).alias(f"{prefix}cut_{rule}") for rule in GRID]
+    pooled = each.agg(*strict("pool_allowed")).select(F.lit(None).cast("string").alias("stratum"), *(f"{prefix}cut_{rule}" for rule in GRID))
     return each.groupBy("stratum").agg(*strict("allowed")).unionByName(pooled)
 
 
@@ -150,32 +159,33 @@ def stratum() -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit("\x00null"))
 
 
-def judged(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Measured rows (``doc_id``, ``lang``, measures) with ``__corvane_kept`` and ``__corvane_base_failed``."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias(f"{_P}id")).distinct()
-    known = rows.select("doc_id", stratum().alias("stratum"), *(_P + m for m in MEASURES))
-    cut = materialize(cutoffs(known.join(good, F.col("doc_id") == F.col(f"{_P}id"), "left_semi")), "cutoffs")
-    cut = cut.withColumnRenamed("stratum", f"{_P}stratum")
-    pool = cut.where(F.col(f"{_P}stratum").isNull()).first()
+def judged(rows: DataFrame, labels: DataFrame, prefix: str = PREFIX) -> DataFrame:
+    """Measured rows (``doc_id``, ``lang``, measures) with ``kept`` and ``base_failed``, names prefixed."""
+    good = labels.where("quality = 1").select(F.col("doc_id").alias(f"{prefix}id")).distinct()
+    known = rows.select("doc_id", stratum().alias("stratum"), *(prefix + m for m in MEASURES))
+    cut = materialize(cutoffs(known.join(good, F.col("doc_id") == F.col(f"{prefix}id"), "left_semi"), prefix=prefix), "cutoffs")
+    cut = cut.withColumnRenamed("stratum", f"{prefix}stratum")
+    pool = cut.where(F.col(f"{prefix}stratum").isNull()).first()
     small = cut.limit(MAX_BROADCAST_STRATA + 1).count() <= MAX_BROADCAST_STRATA
-    found = rows.withColumn(f"{_P}of", stratum()).join(F.broadcast(cut) if small else cut, F.col(f"{_P}of") == F.col(f"{_P}stratum"), "left")
+    found = rows.withColumn(f"{prefix}of", stratum()).join(F.broadcast(cut) if small else cut, F.col(f"{prefix}of") == F.col(f"{prefix}stratum"), "left")
     beyond = F.lit(False)
-    for rule, value in rule_values().items():
-        name = f"{_P}cut_{rule}"
-        limit = F.when(F.col(f"{_P}stratum").isNotNull(), F.col(name)).otherwise(F.lit(pool[name]).cast("double"))
+    for rule, value in rule_values(prefix).items():
+        name = f"{prefix}cut_{rule}"
+        limit = F.when(F.col(f"{prefix}stratum").isNotNull(), F.col(name)).otherwise(F.lit(pool[name]).cast("double"))
         beyond = beyond | F.coalesce(value > limit, F.lit(False))
-    found = found.withColumns({f"{_P}base_failed": base_failed(), f"{_P}kept": ~base_failed() & ~beyond})
-    return found.drop(f"{_P}of", f"{_P}stratum", *(f"{_P}cut_{rule}" for rule in GRID))
+    found = found.withColumns({f"{prefix}base_failed": base_failed(prefix), f"{prefix}kept": ~base_failed(prefix) & ~beyond})
+    return found.drop(f"{prefix}of", f"{prefix}stratum", *(f"{prefix}cut_{rule}" for rule in GRID))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document: its measures, ``base_failed`` and ``kept``. Texts are measured once and not shuffled."""
     narrow = measured(docs.select("doc_id", "lang", "text")).drop("text")
     done = judged(materialize(narrow, "measures"), labels)
-    return done.select("doc_id", *(_m(m).alias(m) for m in MEASURES[:5]), _m("base_failed").alias("base_failed"), _m("kept").alias("kept"))
+    return done.select("doc_id", *(F.col(PREFIX + m).alias(m) for m in MEASURES[:5]), F.col(f"{PREFIX}base_failed").alias("base_failed"), F.col(f"{PREFIX}kept").alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their columns; the texts are written once beside their measures."""
-    done = judged(materialize(measured(docs), "measured"), labels)
-    return done.where(f"{_P}kept").select(*docs.columns)
+    prefix = free_prefix(docs.columns)
+    done = judged(materialize(measured(docs, prefix), "measured"), labels, prefix)
+    return done.where(f"{prefix}kept").select(*docs.columns)
