@@ -14,7 +14,8 @@ most of it outside links, on as many pages. Pages that the expression does not a
 words alone; a page whose main text would be template throughout keeps it. Character references are decoded, white space
 in a block becomes one space, and blocks are joined by one line feed. ``br`` is white space.
 
-Defined results: null and empty html, and pages without such text, give an empty text; a cut page counts as far as it
+Defined results: null and empty html, and pages without such text, give an empty text; a page of any length is read whole, in
+time linear in it (elements nested deeper than ``MAX_DEPTH`` stand beside each other); a cut page counts as far as it
 goes; a null url is a host of its own; equal rows are extracted each; an empty table gives no rows.
 """
 
@@ -35,6 +36,8 @@ from corvane.llm.common import materialize, spread
 #: Bytes of wrappers up to which every task gets them all; beyond it pages are joined to theirs, hosts salted.
 BROADCAST_BYTES = 16_000_000
 SALTS = 16
+#: Groups in which the partial wrappers of a host meet first.
+GROUPS = 64
 #: Pages of different main text on which a slot must be seen before it is called template or varying.
 PROOF = 3
 
@@ -54,7 +57,15 @@ _DROP_WORDS = frozenset(
     "footer masthead login signup form search toolbar widget skip complementary contentinfo".split())
 #: Those that an article's own parts may carry as well.
 _SOFT = frozenset("aside alert notice notices related search skip menu navigation social form toolbar widget complementary".split())
+#: Words that say nothing of what a part is; a name made of these and of marking words marks a part, one with any other word does not.
+_NEUTRAL = frozenset(
+    "a all area articles bar block body bottom box button buttons card center col column container content cta element foot footers group head "
+    "header headers heading holder icon icons inline inner item items layout left lg link links list main md media module nav outer page pages "
+    "panel part post posts primary right row section secondary sm side site slot small sticky text thread title top unit wide wrap wrapper zone "
+    "box1 v x".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Open elements that nest; what opens deeper stands beside, as in browsers, and keeps its text.
+MAX_DEPTH = 512
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -86,13 +97,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _marks(attributes: str) -> tuple[str, frozenset[str]]:
-    """The class as a signature, and all words of class, id and role."""
+    """The class as a signature, and the marking words of class, id and role: those of names that hold no other word of meaning."""
     shape, words = "", set()
     for m in _ATTR.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "class":
             shape = ".".join(value.split()[:2])
-        words.update(w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", value)))
+        for name in value.split():
+            parts = [w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", name))]
+            marking = [w for w in parts if w in _DROP_WORDS]
+            if marking and all(w in _DROP_WORDS or w in _NEUTRAL for w in parts):
+                words.update(marking)
     return shape, frozenset(words)
 
 
@@ -104,6 +119,8 @@ class Page:
         self.blocks: list[tuple[tuple[str, ...], int, str, int]] = []
         self.stream: list[str] = []
         path: list[tuple[str, str, int, bool]] = []  # tag, signature, dropped, in a link
+        opened: dict[str, int] = {}  # tags of the path
+        deeper: dict[str, int] = {}  # open elements that did not nest
         text, links = [], 0
 
         def flush() -> None:
@@ -116,6 +133,8 @@ class Page:
 
         def close(k: int) -> None:
             self.stream.extend(f"</{p[1]}>" for p in reversed(path[k:]) if p[0] in _BLOCK)
+            for p in path[k:]:
+                opened[p[0]] -= 1
             del path[k:]
 
         for kind, name, rest in tokens(page or ""):
@@ -133,36 +152,44 @@ class Page:
             if kind == "open":
                 if name in _VOID:
                     continue
-                if name in ("p", "li") and any(p[0] == name for p in path):  # an open one ends where the next begins
+                if name in ("p", "li") and opened.get(name):  # an open one ends where the next begins
                     k = max(i for i, p in enumerate(path) if p[0] == name)
                     if not any(p[0] in ("ul", "ol", "div", "article", "section", "td", "blockquote") for p in path[k + 1:]):
                         close(k)
+                if len(path) >= MAX_DEPTH:
+                    deeper[name] = deeper.get(name, 0) + 1
+                    continue
                 shape, words = _marks(rest) if rest else ("", frozenset())
-                inside = any(p[0] in ("article", "main") for p in path)
+                inside = bool(opened.get("article") or opened.get("main"))
                 drop = path[-1][2] if path else 0
                 if name in _DROP_TAGS or name == "header" and not inside or "hidden" in rest.split():
                     drop = 2
-                elif name not in ("html", "body", "article", "main", "p") and name not in _HEADS and words & _DROP_WORDS:
-                    drop = max(drop, 2 if words & _DROP_WORDS - _SOFT else 1)
+                elif name not in ("html", "body", "article", "main", "p") and name not in _HEADS and words:
+                    drop = max(drop, 2 if words - _SOFT else 1)
                 sign = f"{name}.{shape}" if shape else name
                 path.append((name, sign, drop, name == "a" or bool(path) and path[-1][3]))
+                opened[name] = opened.get(name, 0) + 1
                 if name in _BLOCK:
                     self.stream.append(f"<{sign}>")
-            else:
-                k = next((i for i in range(len(path) - 1, -1, -1) if path[i][0] == name), -1)
-                if k >= 0:
-                    close(k)
+            elif deeper.get(name):
+                deeper[name] -= 1
+            elif opened.get(name):
+                close(next(i for i in range(len(path) - 1, -1, -1) if path[i][0] == name))
         flush()
         close(0)
 
 
-def fold(stream: list, longest: int = 8) -> list:
+def fold(stream: list, longest: int = 32) -> list:
     """Neighbouring equal groups of up to ``longest`` nodes become one repeated group ``["+", [...]]``."""
     nodes = list(stream)
     for size in range(1, longest + 1):
         out: list = []
         k = 0
         while k < len(nodes):
+            if k + size >= len(nodes) or nodes[k] != nodes[k + size]:
+                out.append(nodes[k])
+                k += 1
+                continue
             group = nodes[k:k + size]
             n = k + size
             while len(group) == size and nodes[n:n + size] == group:
@@ -275,16 +302,19 @@ class Wrapper:
 
     def __init__(self, nodes: list | None = None, slots: dict[str, list] | None = None):
         self.nodes, self.slots = nodes, slots or {}
-        self._seen: set[str] = set()
+        self._seen: set[int] = set()
+        self._matcher: Matcher | None = None
 
     def add(self, page: Page) -> None:
-        nodes = fold(page.stream)
-        name = json.dumps(nodes)
-        if name not in self._seen:  # an equal stream changes nothing
+        name = hash(tuple(page.stream))
+        if name not in self._seen:  # an equal stream changes nothing, nor does one that the expression accepts
             if len(self._seen) > 2000:
                 self._seen.clear()
             self._seen.add(name)
-            self.nodes = nodes if self.nodes is None else align(self.nodes, nodes)
+            if self._matcher is None or self._matcher.slots(page.stream) is None:
+                nodes = fold(page.stream)
+                self.nodes = nodes if self.nodes is None else align(self.nodes, nodes)
+                self._matcher = Matcher(self.nodes)
         for path, drop, text, links in page.blocks:
             if not drop:
                 self._slot("/".join(path), [1, len(text), links, str(hash_text(text))])
@@ -351,11 +381,15 @@ def _inside(path: tuple[str, ...], container: str) -> bool:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
     found: dict[str, Wrapper] = {}
+    salt = TaskContext.get().partitionId() % GROUPS
 
     def emit() -> pa.RecordBatch:
         rows = [(h, json.dumps(w.nodes), json.dumps(w.slots)) for h, w in found.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["host", "nodes", "slots"])
+        columns = [pa.array([r[k] for r in rows], pa.string()) for k in range(3)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([salt] * len(rows), pa.int32())], names=["host", "nodes", "slots", "salt"])
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -366,23 +400,26 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial wrappers sorted by host become one row a host."""
-    host, wrapper = None, Wrapper()
+def _merged(last: bool):
+    """Partial wrappers sorted by host become one row a host: a partial wrapper again, or at last the host's."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, wrapper = None, Wrapper()
 
-    def emit() -> pa.RecordBatch:
-        row = [[host], [json.dumps(wrapper.nodes)], [wrapper.container()]]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in row], names=["host", "wrapper", "container"])
+        def emit() -> pa.RecordBatch:
+            row = [host, json.dumps(wrapper.nodes), wrapper.container() if last else json.dumps(wrapper.slots)]
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.string()) for c in row], names=["host", "wrapper" if last else "nodes", "container" if last else "slots"])
 
-    for batch in batches:
-        for name, nodes, slots in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if name != host:
-                if host is not None:
-                    yield emit()
-                host, wrapper = name, Wrapper()
-            wrapper.merge(Wrapper(json.loads(nodes), json.loads(slots)))
-    if host is not None:
-        yield emit()
+        for batch in batches:
+            for name, nodes, slots in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if name != host:
+                    if host is not None:
+                        yield emit()
+                    host, wrapper = name, Wrapper()
+                wrapper.merge(Wrapper(json.loads(nodes), json.loads(slots)))
+        if host is not None:
+            yield emit()
+
+    return run
 
 
 def _host(url):
@@ -392,9 +429,12 @@ def _host(url):
 def wrappers(pages: DataFrame) -> DataFrame:
     """``host``, ``wrapper`` (the expression as JSON) and ``container``, inferred from all pages."""
     rows = spread(pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")))
-    partial = rows.mapInArrow(_partial, "host string, nodes string, slots string")
-    dealt = partial.repartition("host").sortWithinPartitions("host", "nodes", "slots")
-    return materialize(dealt.mapInArrow(_merged, "host string, wrapper string, container string"), "wrappers")
+    partial = rows.mapInArrow(_partial, "host string, nodes string, slots string, salt int")
+    # A host of very many pages has a partial wrapper a task; they meet in groups first.
+    grouped = partial.repartition("host", "salt").sortWithinPartitions("host", "salt", "nodes", "slots")
+    some = grouped.select("host", "nodes", "slots").mapInArrow(_merged(False), "host string, nodes string, slots string")
+    dealt = some.repartition("host").sortWithinPartitions("host", "nodes", "slots")
+    return materialize(dealt.mapInArrow(_merged(True), "host string, wrapper string, container string"), "wrappers")
 
 
 class _Hosts:

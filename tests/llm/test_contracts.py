@@ -632,6 +632,38 @@ def test_op10_uses_the_expression(spark):
     assert "Read by thousands" in got[9]  # one page proves nothing
 
 
+def test_op10_keeps_parts_of_double_meaning_and_pages_without_article(spark):
+    from corvane.llm import html_wrapper
+
+    lone = ('<article><h1>A</h1><section class="search-algorithms"><p>Binary search</p></section><h2 class="form">Form</h2><div class="related-work"><p>Before</p></div>'
+            '<div class="related-posts"><a>More</a></div><div class="ad-slot">Buy</div><div class="newsletter signup">Join</div><section id="adBanner"><p>Now</p></section></article>')
+    plain = '<div id="top">Site</div><div class="c"><div class="menu-bar"><a>m1</a><a>m2</a></div><div class="body"><p>{0} one</p><p>{0} two {0}</p></div><div class="x">Same on all pages here</div></div>'
+    rows = [(1, "http://lone/x", lone)] + [(10 + i, "http://plain/x", plain.format(w * 9)) for i, w in enumerate(("ant ", "bee ", "cat ", "dog "))]
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "A\nBinary search\nForm\nBefore"
+    for i, w in enumerate(("ant ", "bee ", "cat ", "dog ")):
+        assert got[10 + i] == " ".join((w * 9 + " one").split()) + "\n" + " ".join((w * 9 + " two " + w * 9).split())
+    twice = [(5, "http://lone/x", lone), (5, "http://lone/x", lone), (6, None, None)]
+    again = html_wrapper.extract(spark.createDataFrame(twice, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in again) == [(5, got[1]), (5, got[1]), (6, "")]
+    assert html_wrapper.extract(spark.createDataFrame(twice, "page_id long, url string, html string").where("false")).count() == 0
+
+
+def test_op10_is_linear_in_open_tags():
+    import time
+
+    from corvane.llm import html_wrapper
+
+    def seconds(n):
+        page = "<article>" + "".join(f"<div class=c{k}>t{k} <i>" for k in range(n)) + "</b>" * n
+        began = time.process_time()
+        one = html_wrapper.Page(page)
+        assert " ".join(b[2] for b in one.blocks).split() == [f"t{k}" for k in range(n)]
+        return time.process_time() - began
+
+    assert seconds(40_000) < 6 * max(seconds(10_000), 0.05)
+
+
 def test_matcher_accepts_what_was_aligned():
     from corvane.llm.html_wrapper import Matcher, align, fold
 
