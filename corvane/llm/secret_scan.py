@@ -1,13 +1,15 @@
 """Secret scans: base patterns, and a character convolutional network over every other candidate in its context.
 
-Base findings (``assign``, ``access``, ``hex``) always stay. A further candidate is a run of 12 or more key characters with
-a digit and a letter that touches no base finding; the network sees it with the characters around it and may add a
-``model`` span. The network (numpy; embedded characters, width-five filters, maxima, one logistic unit) is trained on labelled
-findings that a fixed seed generates, or on findings given; its scores are calibrated on a held-out third by a logistic
-fit, and the threshold is the highest that keeps ``RECALL`` of the held-out secrets.
+Base findings (``assign``, ``access``, ``hex``) always stay. A further candidate is every run of 12 or more key characters that
+touches no base finding; the network sees it with the characters around it and may add a ``model`` span. A run longer than
+``INSIDE`` is seen through windows that slide over it by half their width, and its score is the greatest. The network (numpy;
+embedded characters, width-five filters, maxima, one logistic unit) is trained on labelled findings that a fixed seed generates,
+or on findings given; its scores are calibrated on a held-out third by a logistic fit, and the threshold is the highest that
+keeps ``RECALL`` of the held-out secrets, letters alone and long ones included.
 
 Defined results: null and empty texts have no spans; spans count code points, end exclusive; repeated rows are each
-scanned; an empty table gives no rows.
+scanned; an empty table gives no rows; a text of any length is scanned whole, candidates a bounded number at a time. Columns
+besides ``doc_id`` and ``text`` are not looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # of longest runs only those of 16 or more p
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 BEFORE, INSIDE, AFTER = 24, 44, 4
 WIDTH = BEFORE + INSIDE + AFTER
+#: Windows that the network sees at a time.
+BATCH = 4096
 RECALL = 0.98
 FILTERS, EMBED, KERNEL = 24, 8, 5
 
@@ -57,57 +61,87 @@ def base_findings(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Runs of key characters with a digit and a letter that overlap no finding."""
-    out = []
+    """Runs of key characters that overlap no finding."""
+    out, k = [], 0
+    taken = sorted((a, b) for a, _, b in taken)
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if not any(a < m.end() and m.start() < b for a, _, b in taken):
+        while k < len(taken) and taken[k][1] <= m.start() and (k + 1 >= len(taken) or taken[k + 1][0] <= m.start()):
+            k += 1
+        if not any(a < m.end() and m.start() < b for a, b in taken[max(0, k - 3):k + 3]):
             out.append(m.span())
     return out
 
 
-def window(text: str, start: int, end: int) -> np.ndarray:
-    """Classes of the characters before, in and after a candidate; a longer candidate shows its two ends."""
-    row = np.full(WIDTH, _PAD, dtype=np.int64)
-    head = text[max(0, start - BEFORE):start]
-    body = text[start:end]
-    if len(body) > INSIDE:
-        body = body[: INSIDE // 2] + body[-(INSIDE // 2):]
-    for at, part in ((BEFORE - len(head), head), (BEFORE, body), (BEFORE + INSIDE, text[end:end + AFTER])):
-        codes = np.array([ord(c) for c in part], dtype=np.int64)
-        row[at:at + len(codes)] = np.where(codes < 128, _CLASS[np.minimum(codes, 127)], _OTHER)
+def classes_of(text: str) -> np.ndarray:
+    """The classes of a text's characters, padded on either side."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    row = np.full(len(codes) + WIDTH + BEFORE, _PAD, dtype=np.uint8)
+    row[BEFORE:BEFORE + len(codes)] = np.where(codes < 128, _CLASS[np.minimum(codes, 127)], _OTHER)
     return row
 
 
-def labelled_findings(n: int = 3000, seed: int = 7) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+def window_starts(start: int, end: int) -> list[int]:
+    """Where the windows of a candidate begin: one, or for a longer run some that overlap by half, the last at its end."""
+    if end - start <= INSIDE:
+        return [start]
+    return [*range(start, end - INSIDE, INSIDE // 2), end - INSIDE]
+
+
+def windows(row: np.ndarray, start: int, end: int) -> np.ndarray:
+    """A row of classes for each window: the characters before it, in the run, and after it."""
+    starts = np.array(window_starts(start, end))
+    out = row[starts[:, None] + np.arange(WIDTH)].astype(np.int64)
+    size = np.minimum(end - starts, INSIDE)
+    after = row[starts[:, None] + BEFORE + size[:, None] + np.arange(AFTER)]
+    place = np.arange(WIDTH) - BEFORE
+    out[(place >= size[:, None]) & (place < INSIDE)] = _PAD
+    out[:, BEFORE + INSIDE:] = after
+    return out
+
+
+def labelled_findings(n: int = 8000, seed: int = 7) -> tuple[list[tuple[str, int, int]], np.ndarray]:
     """Made findings: (text, start, end) and 1 for a secret. Half are secrets of common forms, half look-alikes."""
     rng = np.random.default_rng(seed)
     pick = lambda chars, k: "".join(rng.choice(list(chars), k))
     syllables = "the on er an re in at ti th es ou ng ion ed ha le re que ment eau de la und ung sch lich ado mente".split()
     word = lambda: "".join(rng.choice(syllables, rng.integers(1, 5)))
+    onsets = "b c d f g h j k l m n p r s t v w z br ch cl cr dr fl fr gl gr ph pl pr qu sc sh sl sm sp st str sw th tr tw wh".split() + [""] * 6
+    vowels = "a e i o u a e i o ea ou ai ie oo ei au y".split()
+    codas = "n r s t l d m ng nd nt st rs th sh ck ll ss ble ght".split() + [""] * 14
+
+    def spoken(least: int) -> str:
+        """A word as languages build them, of some length."""
+        out = ""
+        while len(out) < least:
+            out += word() if rng.random() < 0.4 else "".join((onsets[rng.integers(len(onsets))], vowels[rng.integers(len(vowels))], codas[rng.integers(len(codas))]))
+        return out
+
     upper, digits = _ALPHABET.upper(), "0123456789"
     mixed = _ALPHABET + upper + digits
     rows, labels = [], []
     for k in range(n):
         secret = k % 2 == 0
         before = " ".join(word() for _ in range(rng.integers(0, 5)))
-        kind = int(rng.integers(0, 7))
+        mail = 1.0
         if secret:
             size = int(rng.integers(20, 64))
-            run = ["ghp_" + pick(mixed, 36), "sk-" + pick(mixed, size), pick(mixed, size),
-                   base64.b64encode(rng.bytes(size)).decode(), "xoxb-" + pick(digits, 12) + "-" + pick(mixed, 24),
-                   "eyJ" + pick(mixed, 17) + "." + pick(mixed + "_-", 30), pick(mixed + "+/", size)][kind]
-            if not any(c.isdigit() for c in run):
-                run += str(rng.integers(0, 10))
+            forms = ["ghp_" + pick(mixed, 36), "sk-" + pick(mixed, size), pick(mixed, size), base64.b64encode(rng.bytes(size)).decode(),
+                     "xoxb-" + pick(digits, 12) + "-" + pick(mixed, 24), "eyJ" + pick(mixed, 17) + "." + pick(mixed + "_-", 30), pick(mixed + "+/", size),
+                     pick(_ALPHABET + upper, size), pick(upper + "234567", int(rng.integers(16, 40))), pick(_ALPHABET, size),
+                     pick(mixed, int(rng.integers(80, 200)))]
+            run = forms[int(rng.integers(0, len(forms)))]
             before += [" key: ", " Bearer ", " ", " = '", '="', " auth ", "\n"][int(rng.integers(0, 7))]
         else:
-            run = [f"{word()}{word()}{rng.integers(0, 100):02d}.{word()}.example.com", f"{word()}-{word()}-{rng.integers(1, 3000)}-{word()}",
-                   f"v{rng.integers(0, 9)}.{rng.integers(0, 99)}.{rng.integers(0, 99)}-{word()}.{word()}",
-                   f"{word()}/{word()}/{word()}{rng.integers(0, 9)}.html", f"{word()}{word()}{word()}{rng.integers(0, 999)}",
-                   f"{rng.integers(1900, 2100)}-{rng.integers(1, 12):02d}-{rng.integers(1, 28):02d}T{rng.integers(0, 23):02d}.{word()}",
-                   f"{word().upper()}_{word().upper()}_{rng.integers(0, 99)}_{word().upper()}"][kind]
+            forms = [f"{word()}{word()}{rng.integers(0, 100):02d}.{word()}.example.com", f"{word()}-{word()}-{rng.integers(1, 3000)}-{word()}",
+                     f"v{rng.integers(0, 9)}.{rng.integers(0, 99)}.{rng.integers(0, 99)}-{word()}.{word()}", f"{word()}/{word()}/{word()}{rng.integers(0, 9)}.html",
+                     f"{word()}{word()}{word()}{rng.integers(0, 999)}", f"{rng.integers(1900, 2100)}-{rng.integers(1, 12):02d}-{rng.integers(1, 28):02d}T{rng.integers(0, 23):02d}.{word()}",
+                     f"{word().upper()}_{word().upper()}_{rng.integers(0, 99)}_{word().upper()}", "".join(word() for _ in range(int(rng.integers(3, 8)))), "".join(word() for _ in range(4)).capitalize() + ".",
+                     "/".join(word() for _ in range(int(rng.integers(3, 12)))), rng.choice(list("-=_.")) * int(rng.integers(12, 80)), pick(digits, int(rng.integers(12, 20))),
+                     "".join(word() for _ in range(4)).upper(), f"{word()}.{word()}={word()}"]
+            run = forms[int(rng.integers(0, len(forms)))]
+            if rng.random() < 0.5:
+                run = spoken(int(rng.integers(12, 22)))
+                run = [run, run, run + ".", run.capitalize(), run.upper(), "-".join((run, spoken(4)))][int(rng.integers(0, 6))]
             before += [" ", " (", "@", "//", "\n", " ", ", "][int(rng.integers(0, 7))]
             mail = rng.random()
             if mail < 0.15:
@@ -115,7 +149,7 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> tuple[list[tuple[str, int
             elif mail < 0.3:
                 before += f"{word()}.{rng.integers(0, 100):02d}@"
                 run = f"mail{rng.integers(0, 10)}.{word()}.com"
-        after = "@mail" if not secret and mail < 0.15 else [" ", ".", ",", '"', "\n"][int(rng.integers(0, 5))]
+        after = "@mail" if mail < 0.15 else [" ", ".", ",", '"', "\n"][int(rng.integers(0, 5))]
         text = before + run + after + word()
         rows.append((text, len(before), len(before) + len(run)))
         labels.append(float(secret))
@@ -147,8 +181,8 @@ class CharNet:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(x[k:k + 512])[-1] for k in range(0, len(x), 512)]) if len(x) else np.zeros(0)
 
-    def proba(self, x: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.scale * self.raw(x) + self.shift, -30, 30)))
+    def calibrated(self, z: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.05, seed: int = 2) -> None:
         rng = np.random.default_rng(seed)
@@ -170,9 +204,9 @@ class CharNet:
                 for d in range(KERNEL):
                     np.add.at(self.embed, np.take_along_axis(x[rows], at + d, axis=1), -rate * 10 * ge[:, :, d])
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """Logistic fit of raw scores, then the highest threshold that keeps the recall."""
-        z, n1 = self.raw(x), float(y.sum())
+    def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
+        """Logistic fit of the raw scores of findings, then the highest threshold that keeps the recall."""
+        n1 = float(y.sum())
         y01, y = y, np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))  # keeps separable scores finite
         a, b = 0.1, 0.0
         for _ in range(200):
@@ -184,7 +218,7 @@ class CharNet:
             if np.abs(step).max() < 1e-8:
                 break
         self.scale, self.shift = float(a), float(b)
-        good = np.sort(self.proba(x[y01 == 1]))
+        good = np.sort(self.calibrated(z[y01 == 1]))
         self.threshold = float(good[int(np.floor((1 - recall) * len(good)))]) if len(good) else 1.1
 
 
@@ -196,27 +230,50 @@ def trained() -> CharNet:
 
 def train(rows: list[tuple[str, int, int]], y: np.ndarray) -> CharNet:
     """A calibrated network from labelled findings; every third is held out for calibration and threshold."""
-    x = np.stack([window(*r) for r in rows])
+    found = [windows(classes_of(text), a, b) for text, a, b in rows]
+    sizes = np.array([len(f) for f in found])
+    x, owner = np.concatenate(found), np.repeat(np.arange(len(rows)), sizes)
     held = np.arange(len(y)) // 2 % 3 == 2
     net = CharNet()
-    net.fit(x[~held], y[~held])
-    net.calibrate(x[held], y[held])
+    net.fit(x[~held[owner]], y[owner[~held[owner]]])
+    z = np.maximum.reduceat(net.raw(x), np.cumsum(sizes) - sizes)
+    net.calibrate(z[held], y[held])
     return net
 
 
+def model_findings(net: CharNet, texts: list[str], base: list[list[tuple[int, int, str]]]) -> Iterator[tuple[int, int, int]]:
+    """(text, start, end) of the candidates that the network takes for secrets."""
+    held, spots, size = [], [], 0
+
+    def judge() -> Iterator[tuple[int, int, int]]:
+        counts = np.array([len(h) for h in held])
+        z = np.maximum.reduceat(net.raw(np.concatenate(held)), np.cumsum(counts) - counts)
+        for spot, p in zip(spots, net.calibrated(z)):
+            if p >= net.threshold:
+                yield spot
+
+    for k, text in enumerate(texts):
+        spans = candidates(text, base[k])
+        row = classes_of(text) if spans else None
+        for a, b in spans:
+            held.append(windows(row, a, b))
+            spots.append((k, a, b))
+            size += len(held[-1])
+            if size >= BATCH:
+                yield from judge()
+                held, spots, size = [], [], 0
+    if held:
+        yield from judge()
+
+
 def _scan(net: CharNet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column("text")]
             base = [base_findings(t) for t in texts]
-            spots = [(k, *span) for k, t in enumerate(texts) for span in candidates(t, base[k])]
             found = [list(b) for b in base]
-            for at in range(0, len(spots), 4096):
-                some = spots[at:at + 4096]
-                p = net.proba(np.stack([window(texts[k], a, b) for k, a, b in some]))
-                for (k, a, b), q in zip(some, p):
-                    if q >= net.threshold:
-                        found[k].append((a, 3, b))
+            for k, a, b in model_findings(net, texts, base):
+                found[k].append((a, 3, b))
             name = lambda rows: ",".join(f"{KINDS[kind]}:{a}:{b}" for a, kind, b in rows)
             counts = [[sum(f[1] == kind for f in b) for b in base] for kind in range(3)]
             cols = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts),

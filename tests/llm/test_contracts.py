@@ -563,13 +563,55 @@ def test_op1(docs, rows):
         assert r.n_assign + r.n_access + r.n_hex <= len([s for s in r.spans.split(",") if s])
 
 
-def test_secret_network():
+def foreign_secrets(rng, n):
+    """Secrets of forms that the training generator does not have, each in a sentence: (text, start, end)."""
+    low = "abcdefghijklmnopqrstuvwxyz"
+    mixed = low + low.upper() + "0123456789"
+    pick = lambda chars, k: "".join(rng.choice(list(chars), k))
+    forms = [lambda: "glpat-" + pick(mixed + "_-", 20), lambda: "SG." + pick(mixed, 22) + "." + pick(mixed + "_-", 43), lambda: "AIza" + pick(mixed + "_-", 35), lambda: "pk_live_" + pick(mixed, 24),
+             lambda: "npm_" + pick(mixed, 36), lambda: pick(low + low.upper(), 30), lambda: pick(mixed + "+/", 86) + "==", lambda: "eyJhbGciOiJIUzI1NiJ9." + pick(mixed + "_-", 400) + "." + pick(mixed + "_-", 43)]
+    out = []
+    for k in range(n):
+        before, run = rng.choice(["the value was ", "login with ", "config ", "use this: ", "x\ny "]), forms[k % len(forms)]()
+        out.append((f"{before}{run} and then go on", len(before), len(before) + len(run)))
+    return out
+
+
+def test_secret_network(spark):
+    """Recall on secrets of another origin, found as spans of documents; hardly any span in plain documents."""
     from corvane.llm import secret_scan as S
 
-    net = S.trained()
+    planted = foreign_secrets(np.random.default_rng(12), 240)
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(planted)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in S.scan(df.withColumn("spans", F.lit("x"))).collect()}
+    assert sum(got[k] == f"model:{a}:{b}" for k, (_, a, b) in enumerate(planted)) >= 0.9 * len(planted)
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    n = sum(len(S.candidates(r.text or "", S.base_findings(r.text or ""))) for r in real.select("text").collect())
+    found = sum(s.startswith("model") for r in S.scan(real).collect() for s in r.spans.split(","))
+    assert n > 3000 and found <= 0.01 * n
     rows, y = S.labelled_findings(600, seed=99)
-    p = net.proba(np.stack([S.window(*r) for r in rows]))
-    assert (p[y == 1] >= net.threshold).mean() >= 0.93 and (p[y == 0] >= net.threshold).mean() <= 0.02
+    net = S.trained()
+    p = net.calibrated(np.array([net.raw(S.windows(S.classes_of(t), a, b)).max() for t, a, b in rows]))
+    assert (p[y == 1] >= net.threshold).mean() >= 0.94 and (p[y == 0] >= net.threshold).mean() <= 0.02
+
+
+def test_secret_candidates_and_windows():
+    from corvane.llm import secret_scan as S
+
+    rng = np.random.default_rng(8)
+    text = "".join(rng.choice(list("ab=1/ \n\"AKIé"), 4000)) + "AKIA" + "Q" * 20 + "=abc" + "x" * 300 + " 😀" + "Z" * 13
+    base = S.base_findings(text)
+    want = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]{12,}", text) if not any(a < m.end() and m.start() < b for a, _, b in base)]
+    assert S.candidates(text, base) == want and want[-1] == (len(text) - 13, len(text))
+    row = S.classes_of(text)
+    for a, b in want:
+        seen = np.zeros(len(text), dtype=bool)
+        for start, window in zip(S.window_starts(a, b), S.windows(row, a, b)):
+            end = min(b, start + S.INSIDE)
+            seen[start:end] = True
+            assert (window[S.BEFORE:S.BEFORE + end - start] == [S._CLASS[ord(c)] for c in text[start:end]]).all() and (window[S.BEFORE + end - start:S.BEFORE + S.INSIDE] == 0).all()
+            assert window[S.BEFORE + S.INSIDE:].tolist() == [S._CLASS[ord(c)] if ord(c) < 128 else S._OTHER for c in text[end:end + S.AFTER].ljust(S.AFTER, "\0")] or end + S.AFTER > len(text)
+        assert seen[a:b].all()
 
 
 def test_op4(spark):
@@ -582,6 +624,18 @@ def test_op4(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     empty = quality_model.classify(d.limit(0), labels)
     assert empty.count() == 0
+    alone = quality_model.classify(d, labels.where("false")).collect()
+    assert all(r.score == 0.5 and r.predicted == 1 for r in alone)
+    # Whatever the partitions, the rows are fitted in one order; odd rows and labels are no trouble, and equal texts score alike.
+    odd = spark.createDataFrame([(i, t, "x") for i, t in ODD if i != 9005] + [(9005, "word " * 200_000, "x"), (None, "nobody", "x"), (9010, "Don't, stop.", None)], "doc_id long, text string, score string")
+    some = d.select("doc_id", "text", F.col("lang").alias("score")).unionByName(odd)
+    marks = labels.select("doc_id", "quality").unionByName(spark.createDataFrame([(9001, 0), (9002, 1), (9005, None), (9007, 1), (9007, 0), (None, 1)], "doc_id long, quality int"))
+    one, two = ({(r.doc_id, r.score) for r in quality_model.classify(x, y).collect()} for x, y in ((some, marks), (some.repartition(7), marks.repartition(3))))
+    assert one == two
+    by = {}
+    for r in quality_model.classify(some, marks).join(some.select("doc_id", "text"), "doc_id").collect():
+        by.setdefault(r.text or "", set()).add(r.score)
+    assert all(len(v) == 1 for v in by.values()) and len(by[""]) == 1
 
 
 def test_op10(spark):
