@@ -3,10 +3,13 @@
 Features of a text: its words (lower case), pairs of neighbouring words, the shapes of words (case, digits and symbols,
 run lengths squeezed) and pairs of shapes, each hashed to one of ``2 ** BITS`` places; whether a word repeats the one
 before counts as a shape. Counts are damped and scaled to length one. The model is fitted on the driver on at most
-``MAX_TRAIN`` labelled documents (those of the smallest hashed id), and all documents are scored as sparse dot products.
+``MAX_TRAIN`` labelled documents (those of the smallest hashed id; of rows with one id, that of the smallest hashed text), up to
+``MAX_FEATURES`` features in all, in the order of hashed id, whatever the partitions. All documents are scored as sparse dot
+products.
 
 Defined results: null and empty texts have no feature and score the model's prior; labelled rows without quality are
-skipped; repeated rows are scored each; without labels every score is 0.5.
+skipped, and two labels of one id are two rows; repeated rows are scored each; without labels every score is 0.5; an empty table
+gives no rows; a text of any length is one row of features. Columns besides ``doc_id``, ``text`` and ``quality`` are not looked at.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import spread
+from corvane.llm.common import materialize, spread
 
 BITS = 20
 #: Labelled documents that the model is fitted on, at most.
 MAX_TRAIN = 6000
+#: Features of them that reach the driver, at most (12 bytes each).
+MAX_FEATURES = 20_000_000
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.05, 1.0
 FOLDS, HELD_OUT = 3, 1
@@ -46,7 +51,7 @@ class Featurizer:
     def _word(self, word: bytes) -> tuple[int, int]:
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
-        shape = _SQUEEZE.sub(rb"\1", word.translate(_CLASSES))[:12]
+        shape = _SQUEEZE.sub(rb"\1", word.translate(_CLASSES))
         got = self.cache[word] = (xxhash.xxh64_intdigest(word.lower(), 7), xxhash.xxh64_intdigest(shape, 11))
         return got
 
@@ -99,8 +104,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [make(t.as_py()) for t in batch.column(0)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(1), pa.array([i for i, _ in found], pa.list_(pa.int64())), pa.array([v for _, v in found], pa.list_(pa.float32()))],
-            names=["quality", "i", "v"])
+            [*batch.columns[1:], pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))],
+            names=["quality", "h", "id", "i", "v"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
@@ -108,20 +113,19 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     usable = labels.where(F.col("quality").isNotNull() & ~fold(F.col("doc_id"))).select("doc_id", "quality")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    some = texts.select("text", F.col("quality").cast("int").alias("quality"))
-    table = some.mapInArrow(_features, "quality int, i array<long>, v array<float>").limit(2 * max_train).toArrow()
-    rows = [(np.asarray(i), np.asarray(v)) for i, v in zip(_lists(table, "i"), _lists(table, "v"))]
+    one = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = one.select("text", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("string").alias("id")).mapInArrow(
+        _features, "quality int, h long, id string, i array<int>, v array<float>")
+    rows, labelled, size = [], [], 0
+    for r in materialize(found, "features").orderBy("h", "id", "quality").toLocalIterator():
+        size += len(r.i)
+        if size > MAX_FEATURES and rows:
+            break
+        rows.append((np.asarray(r.i, dtype=np.int64), np.asarray(r.v, dtype=np.float32)))
+        labelled.append(float(r.quality))
     if not rows:
         return np.zeros(1 << BITS, dtype=np.float32), 0.0
-    return fit(rows, np.array(table.column("quality").to_pylist(), dtype=np.float64))
-
-
-def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
-    out = []
-    for chunk in table.column(name).chunks:
-        ends, flat = chunk.offsets.to_numpy(), chunk.values.to_numpy()
-        out += [flat[a:b] for a, b in zip(ends, ends[1:])]
-    return out
+    return fit(rows, np.array(labelled))
 
 
 def _score(weights: np.ndarray, bias: float):
