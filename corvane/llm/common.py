@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.session import ship
+from corvane.tables import materialize as _materialize
+from corvane.tables import shared_dir as _shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,16 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all machines share.
-
-    Where the setting is absent (local tests), a temporary folder of this machine is set once.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir``, which all machines share."""
+    ship(spark)
+    return _shared_dir(spark, label)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -33,17 +25,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     This cuts the lineage: a lost executor costs a read of the written files, not a new computation.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    ship(df.sparkSession)
+    return _materialize(df, label)
 
 
 def spread(df: DataFrame) -> DataFrame:
     """The same rows over at least as many partitions as the cluster has cores, where a small input has fewer.
 
-    Inputs with enough partitions pass without a shuffle.
+    Inputs with enough partitions pass without a shuffle. The workers that come next get this package's code.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

@@ -5,8 +5,11 @@ telephone numbers are found by pattern, validated, and permuted within their for
 halves with moduli of their own; card numbers get a fresh check digit. E-mail addresses become keyed names. The same value
 under the same key gives the same pseudonym in every document. What does not validate stays as it is.
 
-Defined results: null text stays null; an empty text stays empty; rows are rewritten each, ties alike; other columns pass
-through, and ``n_chars`` follows the text where it was rewritten.
+E-mail names keep 80 bits of a keyed digest, so at 10^10 addresses none are likely to share one.
+
+Defined results: null text stays null; an empty text stays empty; rows are rewritten each, ties and repeated rows alike; other
+columns of any name pass through, and ``n_chars`` follows the text where it was rewritten; an empty table gives no rows; a text
+of any length is read whole.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.tables import fresh
+
 #: Stands in for the deployment's secret; pass your own.
 DEMO_KEY = "corvane-demo-key"
 ROUNDS = 8
@@ -28,7 +33,6 @@ PHONE = (r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-
 CARD = r"(?<![\w-])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{13,19})(?![\w-])"
 ANY = f"(?:{EMAIL}|{IPV4}|{DATE_ISO}|{DATE_SLASH}|{SSN}|{PHONE}|{CARD})"
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
-_P = "__corvane_"
 
 
 def _prf(key: str, kind: str, i: Column, value: Column) -> Column:
@@ -153,7 +157,7 @@ def _ssn(key: str, m: Column) -> Column:
 
 def _email(key: str, m: Column) -> Column:
     name = F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(m)).cast("binary"), 256)
-    return F.concat(F.lit("u"), F.substring(name, 1, 12), F.lit("@masked.invalid"))
+    return F.concat(F.lit("u"), F.substring(name, 1, 20), F.lit("@masked.invalid"))
 
 
 def kind_of(m: Column) -> Column:
@@ -169,25 +173,26 @@ def _pseudonym(key: str, m: Column) -> Column:
             .when(kind == "ssn", _ssn(key, m)).when(kind == "card", _card(key, m)).otherwise(_phone(key, m)))
 
 
-def marked(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
-    """``docs`` with the values found and their pseudonyms, in columns of the names ``__corvane_*``."""
-    text = F.col("text").cast("string")
-    step = docs.withColumn(f"{_P}found", F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>")))
-    return step.withColumn(f"{_P}new", F.transform(f"{_P}found", lambda m: _pseudonym(key, m)))
+def marked(docs: DataFrame, key: str = DEMO_KEY) -> tuple[DataFrame, str, str]:
+    """``docs`` with the values found and their pseudonyms, and the names of these two columns. Texts without digit and ``@`` are not searched."""
+    found, new = fresh(docs.columns, "found", "new")
+    text, none = F.col("text").cast("string"), F.array().cast("array<string>")
+    some = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    step = docs.withColumn(found, F.coalesce(some, none))
+    return step.withColumn(new, F.transform(found, lambda m: _pseudonym(key, m))), found, new
 
 
-def _rewritten() -> Column:
-    found, new = F.col(f"{_P}found"), F.col(f"{_P}new")
+def _rewritten(found: str, new: str) -> Column:
     parts = F.split(F.col("text").cast("string"), ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(parts, F.concat(new, F.array(F.lit(""))), lambda p, m: F.array(p, m))), "")
-    return F.when((F.size(found) == 0) | (found == new), F.col("text")).otherwise(joined)
+    joined = F.array_join(F.flatten(F.zip_with(parts, F.concat(F.col(new), F.array(F.lit(""))), lambda p, m: F.array(p, m))), "")
+    return F.when((F.size(found) == 0) | (F.col(found) == F.col(new)), F.col("text")).otherwise(joined)
 
 
 def pseudonymize(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     """The documents with pseudonyms in their texts; other columns pass through."""
-    step = marked(docs, key)
-    changed = (F.size(f"{_P}found") > 0) & (F.col(f"{_P}found") != F.col(f"{_P}new"))
-    step = step.withColumn("text", _rewritten())
+    step, found, new = marked(docs, key)
+    changed = (F.size(found) > 0) & (F.col(found) != F.col(new))
+    step = step.withColumn("text", _rewritten(found, new))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         step = step.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
@@ -200,9 +205,8 @@ def _is(kind: str):
 
 def report(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     """One row a document: its text with pseudonyms, and how many values of each kind were replaced."""
-    step = marked(docs.select("doc_id", "text"), key)
-    pairs = F.filter(F.zip_with(f"{_P}found", f"{_P}new", lambda a, b: F.struct(a.alias("a"), (a != b).alias("c"))), lambda p: p["c"])
-    kinds = F.transform(pairs, lambda p: kind_of(p["a"]))
-    step = step.withColumn(f"{_P}kinds", kinds)
-    counts = [F.size(F.filter(f"{_P}kinds", _is(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    return step.select("doc_id", _rewritten().alias("text"), *counts)
+    step, found, new = marked(docs.select("doc_id", "text"), key)
+    pairs = F.filter(F.zip_with(found, new, lambda a, b: F.struct(a.alias("a"), (a != b).alias("c"))), lambda p: p["c"])
+    step = step.withColumn("kinds", F.transform(pairs, lambda p: kind_of(p["a"])))
+    counts = [F.size(F.filter("kinds", _is(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return step.select("doc_id", _rewritten(found, new).alias("text"), *counts)

@@ -1,19 +1,20 @@
 """Token ids as wavelet matrices: one succinct, compressed file a shard.
 
 A shard holds the ids of whole documents, in ascending ``doc_id`` order. Its bit-planes, from the highest bit down, are
-stable partitions of the sequence; with rank and select on the planes a token can be read, counted or found without
-unpacking the shard. ``encode`` writes shards as rows of a Parquet table (one binary cell is one shard file: the
+stable partitions of the sequence, compressed in blocks of ``BLOCK`` bytes beside the count of ones before each; with rank and
+select on the planes a token can be read, counted or found by unpacking one block a plane, not the shard. ``encode`` writes shards as rows of a Parquet table (one binary cell is one shard file: the
 committer makes it atomic, and any store that Spark writes will do), and ``decode`` reads them back.
 
 Defined results: a null text is an empty text (the end id alone); null ``doc_id`` sorts first; rows with equal ``doc_id``
 are all kept, ordered by text; an empty table gives no shards. A shard is closed after the document that brings it to
-``SHARD_TOKENS``, so a longer document has a shard of its own.
+``SHARD_TOKENS``, so a longer document has a shard of its own. Columns besides ``doc_id`` and ``text`` are not looked at.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,75 +27,112 @@ from corvane.llm.common import shared_dir
 from corvane.llm.tokens import END_ID, default_tokenizer_path, encoder
 
 SHARD_TOKENS = 1_000_000
-MAGIC = b"WVM1"
-BLOCK = 512  # bits between stored ranks
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+MAGIC = b"WVM2"
+#: Bytes of a plane that are compressed together, and between stored ranks.
+BLOCK = 8192
+#: Unpacked blocks that a reader holds.
+HELD_BLOCKS = 64
+
+
+class Plane:
+    """A plane's bits in compressed blocks, and the ones before each."""
+
+    def __init__(self, n: int, blocks: list[bytes], ranks: np.ndarray):
+        self.n, self.blocks, self.ranks = n, blocks, ranks
+        self._held: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.unpacked = 0
+
+    @classmethod
+    def build(cls, mask: np.ndarray) -> Plane:
+        packed = np.packbits(mask)
+        parts = [packed[at:at + BLOCK] for at in range(0, len(packed), BLOCK)]
+        ones = [int(np.bitwise_count(p).sum()) for p in parts]
+        return cls(len(mask), [zstandard.compress(p.tobytes(), 1) for p in parts], np.cumsum([0, *ones], dtype=np.int64))
+
+    def block(self, k: int) -> np.ndarray:
+        got = self._held.get(k)
+        if got is None:
+            got = self._held[k] = np.frombuffer(zstandard.decompress(self.blocks[k]), dtype=np.uint8)
+            self.unpacked += 1
+            if len(self._held) > HELD_BLOCKS:
+                self._held.popitem(last=False)
+        return got
+
+    def bit(self, i: int) -> int:
+        return int(self.block(i // (8 * BLOCK))[i // 8 % BLOCK] >> (7 - i % 8) & 1)
+
+    def rank(self, i: int) -> int:
+        """Ones among the first ``i`` bits."""
+        k, inside = divmod(i, 8 * BLOCK)
+        ones = int(self.ranks[k])
+        if inside:
+            part = self.block(k)
+            ones += int(np.bitwise_count(part[:inside // 8]).sum())
+            ones += int(part[inside // 8] >> (8 - inside % 8)).bit_count() if inside % 8 else 0
+        return ones
+
+    def select(self, k: int, bit: int) -> int:
+        """Position of the ``k``-th (from 0) bit of a kind: its block by the stored ranks, its place within by the block's bits."""
+        ends = np.minimum(np.arange(1, len(self.ranks)) * 8 * BLOCK, self.n)
+        before = self.ranks[1:] if bit else ends - self.ranks[1:]
+        at = int(np.searchsorted(before, k, side="right"))
+        first = at * 8 * BLOCK
+        bits = np.unpackbits(self.block(at), count=min(8 * BLOCK, self.n - first))
+        seen = int(self.ranks[at]) if bit else first - int(self.ranks[at])
+        return first + int(np.flatnonzero(bits == bit)[k - seen])
+
+    def mask(self) -> np.ndarray:
+        whole = b"".join(zstandard.decompress(b) for b in self.blocks)
+        return np.unpackbits(np.frombuffer(whole, dtype=np.uint8), count=self.n).view(bool)
 
 
 class WaveletMatrix:
     """Bit-planes of a sequence of unsigned integers, with access, rank, count and select."""
 
-    def __init__(self, n: int, bits: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.bits, self.planes, self.zeros = n, bits, planes, zeros
-        self._ranks: list[np.ndarray] | None = None
+    def __init__(self, n: int, bits: int, planes: list[Plane]):
+        self.n, self.bits, self.planes = n, bits, planes
+        self.zeros = [n - int(p.ranks[-1]) for p in planes]
 
     @classmethod
     def build(cls, values: np.ndarray) -> WaveletMatrix:
         n = len(values)
         bits = max(1, int(values.max()).bit_length()) if n else 1
-        planes, zeros = [], []
+        planes = []
         seq = np.ascontiguousarray(values)
         for b in range(bits - 1, -1, -1):
             mask = (seq >> np.uint16(b) if seq.dtype == np.uint16 else seq >> b) & 1 == 1
-            planes.append(np.packbits(mask))
-            low = seq[~mask]
-            zeros.append(len(low))
-            seq = np.concatenate([low, seq[mask]])
-        return cls(n, bits, planes, zeros)
+            planes.append(Plane.build(mask))
+            seq = np.concatenate([seq[~mask], seq[mask]])
+        return cls(n, bits, planes)
 
     def to_bytes(self) -> bytes:
-        """Header, zero counts and each plane, compressed."""
-        out = [MAGIC, struct.pack("<QH", self.n, self.bits), np.array(self.zeros, dtype="<u8").tobytes()]
+        """Header, then for each plane its ranks, the sizes of its blocks, and the blocks."""
+        out = [MAGIC, struct.pack("<QHI", self.n, self.bits, len(self.planes[0].blocks))]
         for plane in self.planes:
-            packed = zstandard.compress(plane.tobytes(), 1)
-            out += [struct.pack("<I", len(packed)), packed]
+            out += [plane.ranks.astype("<u8").tobytes(), np.array([len(b) for b in plane.blocks], dtype="<u4").tobytes(), *plane.blocks]
         return b"".join(out)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
+        """A reader over a shard's bytes; blocks are unpacked when they are asked for."""
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet matrix")
-        n, bits = struct.unpack_from("<QH", data, 4)
-        at = 14
-        zeros = [int(x) for x in np.frombuffer(data, dtype="<u8", count=bits, offset=at)]
-        at += 8 * bits
-        planes = []
+        n, bits, blocks = struct.unpack_from("<QHI", data, 4)
+        at, planes, view = 18, [], memoryview(data)
         for _ in range(bits):
-            (size,) = struct.unpack_from("<I", data, at)
-            planes.append(np.frombuffer(zstandard.decompress(data[at + 4:at + 4 + size]), dtype=np.uint8))
-            at += 4 + size
-        return cls(n, bits, planes, zeros)
-
-    def _rank_blocks(self) -> list[np.ndarray]:
-        if self._ranks is None:
-            step, self._ranks = BLOCK // 8, []
-            for plane in self.planes:
-                ones = _POPCOUNT[np.concatenate([plane, np.zeros(-len(plane) % step, np.uint8)])]
-                self._ranks.append(np.concatenate([[0], np.cumsum(ones.reshape(-1, step).sum(1, dtype=np.int64))]))
-        return self._ranks
-
-    def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3] >> (7 - (i & 7)) & 1)
-
-    def _rank1(self, level: int, i: int) -> int:
-        """Ones among the first ``i`` bits of a plane."""
-        plane, step = self.planes[level], BLOCK // 8
-        block = i // BLOCK
-        ones = int(self._rank_blocks()[level][block]) + int(_POPCOUNT[plane[block * step:i >> 3]].sum())
-        return ones + (int(_POPCOUNT[plane[i >> 3] >> (8 - (i & 7))]) if i & 7 else 0)
+            ranks = np.frombuffer(data, dtype="<u8", count=blocks + 1, offset=at).astype(np.int64)
+            at += 8 * (blocks + 1)
+            sizes = np.frombuffer(data, dtype="<u4", count=blocks, offset=at).tolist()
+            at += 4 * blocks
+            parts = []
+            for size in sizes:
+                parts.append(view[at:at + size])
+                at += size
+            planes.append(Plane(n, parts, ranks))
+        return cls(n, bits, planes)
 
     def _down(self, level: int, i: int, bit: int) -> int:
-        ones = self._rank1(level, i)
+        ones = self.planes[level].rank(i)
         return self.zeros[level] + ones if bit else i - ones
 
     def access(self, i: int) -> int:
@@ -103,7 +141,7 @@ class WaveletMatrix:
             raise IndexError(i)
         value = 0
         for level in range(self.bits):
-            bit = self._bit(level, i)
+            bit = self.planes[level].bit(i)
             value = value << 1 | bit
             i = self._down(level, i, bit)
         return value
@@ -121,18 +159,6 @@ class WaveletMatrix:
         a, b = self._range(value, lo, self.n if hi is None else hi)
         return b - a
 
-    def _select_bit(self, level: int, k: int, bit: int) -> int:
-        """Position of the ``k``-th (from 0) bit of the given kind in a plane."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._rank1(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
-
     def locate(self, value: int) -> list[int]:
         """All positions of ``value``, ascending, by select up the planes."""
         a, b = self._range(value, 0, self.n)
@@ -141,7 +167,7 @@ class WaveletMatrix:
             i = at
             for level in range(self.bits - 1, -1, -1):
                 bit = value >> (self.bits - 1 - level) & 1
-                i = self._select_bit(level, i - self.zeros[level] if bit else i, bit)
+                i = self.planes[level].select(i - self.zeros[level] if bit else i, bit)
             found.append(i)
         return sorted(found)
 
@@ -149,7 +175,7 @@ class WaveletMatrix:
         """The whole sequence, plane by plane from the lowest bit."""
         seq = np.zeros(self.n, dtype=np.uint16 if self.bits <= 16 else np.uint64)
         for level in range(self.bits - 1, -1, -1):
-            mask = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            mask = self.planes[level].mask()
             up = np.empty_like(seq)
             zeros = self.zeros[level]
             up[~mask] = seq[:zeros]
@@ -194,9 +220,10 @@ def encode(docs: DataFrame, out: str, tokenizer_path: str | None = None, end_id:
            shard_tokens: int = SHARD_TOKENS) -> None:
     """Write ``docs(doc_id, text)`` as wavelet shards below ``out``; one shuffle, by range of ``doc_id``.
 
-    The count of range partitions is the session's shuffle setting; sorting within partitions spills if it must.
+    There are as many range partitions as the session's shuffle setting has, or the input has, whichever is more; sorting
+    within partitions spills if it must.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     ranged = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     path = tokenizer_path or default_tokenizer_path()
     ranged.mapInArrow(_shards(path, end_id, shard_tokens), SHARD_SCHEMA).write.parquet(out)

@@ -187,6 +187,33 @@ def test_wavelet_queries():
     assert m.locate(9) == np.flatnonzero(values == 9).tolist() and m.locate(51) == [] and m.count(70000) == 0
 
 
+def test_written_shards_answer_queries(spark, docs, rows, tmp_path):
+    """Access, count and locate on shards as written, over several blocks, unpacking one block a plane and not the shard."""
+    from corvane.llm import wavelet
+
+    long = spark.createDataFrame([(1, " ".join(t or "" for _, t in rows) * 3), (2, None), (3, "")], "doc_id long, text string")
+    for name, df in (("long", long.withColumn("part", F.lit(1))), ("docs", docs)):
+        wavelet.encode(df, str(tmp_path / name))
+    shards = spark.read.parquet(str(tmp_path / "long")).collect()
+    biggest = max(shards, key=lambda r: r.n_tokens)
+    m = wavelet.WaveletMatrix.from_bytes(bytes(biggest.payload))
+    assert len(m.planes[0].blocks) > 3
+    whole = m.decode()
+    rng = np.random.default_rng(1)
+    for i in rng.integers(0, m.n, 5).tolist():
+        one = wavelet.WaveletMatrix.from_bytes(bytes(biggest.payload))
+        assert one.access(i) == int(whole[i]) and sum(p.unpacked for p in one.planes) <= 2 * one.bits
+    rare = int(np.bincount(whole).argsort(kind="stable")[-400])
+    for value in (rare, 1, 48_999):
+        assert m.count(value) == int((whole == value).sum()) and m.count(value, 100, m.n // 2) == int((whole[100:m.n // 2] == value).sum())
+    assert m.locate(rare) == np.flatnonzero(whole == rare).tolist()
+    for r in spark.read.parquet(str(tmp_path / "docs")).collect():
+        m = wavelet.WaveletMatrix.from_bytes(bytes(r.payload))
+        ends = np.cumsum(r.lengths) - 1
+        assert m.n == r.n_tokens and set(ends.tolist()) <= set(np.flatnonzero(m.decode() == 1).tolist())
+    assert wavelet.roundtrip(docs.where("false")).count() == 0
+
+
 def hits(text, windows):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
     hit, items = set(), set()
@@ -544,6 +571,95 @@ def test_op3(spark, docs):
     assert out == 60
 
 
+def brute_pseudonym(key, m):
+    """The rules of ``pii`` in plain Python, for one found value."""
+    import datetime as dt
+
+    from corvane.llm import pii
+
+    def feistel(kind, left, right, a, b):
+        for i in range(pii.ROUNDS):
+            prf = lambda x: int(hashlib.sha256(f"{key}|{kind}|{i}|{x}".encode()).hexdigest()[:12], 16)
+            if i % 2 == 0:
+                left = (left + prf(right)) % a
+            else:
+                right = (right + prf(left)) % b
+        return left, right
+
+    def digits(kind, d):
+        h = len(d) // 2
+        x, y = feistel(kind, int(d[:h] or 0), int(d[h:]), 10**h, 10 ** (len(d) - h))
+        return (str(x).zfill(h) if h else "") + str(y).zfill(len(d) - h)
+
+    def fill(template, new):
+        it = iter(new)
+        return "".join(next(it) if c.isdigit() else c for c in template)
+
+    d = re.sub("[^0-9]", "", m)
+    if "@" in m:
+        return "u" + hashlib.sha256(f"{key}|email|{m.lower()}".encode()).hexdigest()[:20] + "@masked.invalid"
+    if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", m):
+        o = [int(x) for x in m.split(".")]
+        if max(o) > 255:
+            return m
+        x, y = feistel("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return f"{x >> 8}.{x % 256}.{y >> 8}.{y % 256}"
+    if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}", m):
+        for style in ("%d/%m/%Y", "%m/%d/%Y") if "/" in m else ("%Y-%m-%d",):
+            try:
+                days = (dt.datetime.strptime(m, style).date() - dt.date(1800, 1, 1)).days
+            except ValueError:
+                continue
+            if not 0 <= days < 120_000:
+                return m
+            x, y = feistel("date", days // 400, days % 400, 300, 400)
+            return (dt.date(1800, 1, 1) + dt.timedelta(x * 400 + y)).strftime(style)
+        return m
+    if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", m):
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        if not 0 < area < 900 or area == 666 or not group or not serial:
+            return m
+        x, y = feistel("ssn", area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+        return f"{x + (2 if x >= 665 else 1):03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+    if re.fullmatch(r"[0-9]{13,19}|[0-9]{4}([ -][0-9]{4}){3}", m):
+        if not int(d) or not luhn(d):
+            return m
+        body = digits("card", d[:-1])
+        return fill(m, body + next(c for c in "0123456789" if luhn(body + c)))
+    head = (re.match(r"\+(?:[0-9]{1,3}(?=[ .(-])|[0-9])", m) or [""])[0]
+    rest = m[len(head):]
+    d = re.sub("[^0-9]", "", rest)
+    return head + fill(rest, digits("phone", d)) if 6 <= len(d) <= 18 else m
+
+
+def test_op3_against_plain_rules(spark, docs):
+    """All documents: every value as plain Python permutes it; equal values stay linked, different ones apart; clashing names pass."""
+    from corvane.llm import pii
+
+    rng = np.random.default_rng(6)
+    n = lambda a, b: int(rng.integers(a, b))
+    made = []
+    for i in range(150):
+        body = "".join(str(n(0, 10)) for _ in range(n(12, 19)))
+        card = body + next(c for c in "0123456789" if luhn(body + c))
+        made.append((20_000 + i, f"{card} and {n(1000, 9999)} {n(0, 900):03d}-{n(0, 100):02d}-{n(0, 9999):04d}, {n(0, 300)}.{n(0, 256)}.{n(0, 256)}.{n(0, 256)}; {n(1700, 2200)}-{n(1, 14):02d}-{n(1, 32):02d} "
+                     f"{n(1, 32):02d}/{n(1, 14):02d}/{n(1900, 2000)} a.{i}@x{n(0, 9)}.example.com A.{i}@X1.example.com ({n(200, 999)}) {n(200, 999)}-{n(1000, 9999)} {card} {card[:4]}-{n(100, 999)}"))
+    some = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(docs).select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    rx = re.compile(pii.ANY, re.A)
+    pairs, want = set(), Counter()
+    for r in some.select("doc_id", "text").collect():
+        pairs |= {(m, brute_pseudonym(pii.DEMO_KEY, m)) for m in rx.findall(r.text or "")}
+        want[r.doc_id, r.text and rx.sub(lambda m: brute_pseudonym(pii.DEMO_KEY, m[0]), r.text)] += 1
+    got = pii.report(some)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want and len(pairs) > 900
+    changed = {(a.lower(), b) for a, b in pairs if a != b}
+    assert len({a for a, _ in changed}) == len({b for _, b in changed}) == len(changed)
+    odd = docs.select("doc_id", "text", F.lit("f").alias("found"), F.lit(1).alias("NEW"), F.lit("k").alias("__corvane_found"))
+    kept = pii.pseudonymize(odd)
+    assert kept.columns == odd.columns and {(r.found, r.NEW) for r in kept.collect()} == {("f", 1)}
+    assert pii.pseudonymize(docs.where("false")).count() == 0
+
+
 def test_op1(docs, rows):
     from corvane.llm import secret_scan
 
