@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,6 +142,7 @@ def verdicts(answer: Column | str) -> Column:
     def parse(text: pd.Series) -> pd.Series:
         return text.map(parse_verdict)
 
+    ship(SparkSession.active())
     c = F.col(answer) if isinstance(answer, str) else answer
     read = F.from_json(strip_fence(c), f"struct<resultado:{_ITEM},criterios:{_ITEM}>")
     items = F.coalesce(read["resultado"], read["criterios"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +68,16 @@ def valid_download(content: Column, text: Column, least: int = 800) -> Column:
     return F.coalesce((F.substring(content, 1, 4) == F.lit(b"%PDF")) & (F.length(text) >= least), F.lit(False))
 
 
+def convert_frame(spark: SparkSession, load, out: str, chunk: int = 10_000) -> None:
+    """Write a frame that ``load()`` gives on the driver as Parquet, a slice at a time: the one safe way in for pickled frames.
+
+    Unpickling runs what a file says, so it is left to a caller who trusts the file, and never done on executors.
+    """
+    frame = load()
+    for at in range(0, max(len(frame), 1), chunk):
+        spark.createDataFrame(frame.iloc[at:at + chunk]).write.mode("append").parquet(out)
+
+
 def pdf_like(spark: SparkSession, path: str, least: int = 0) -> DataFrame:
     """Binary files that begin with the PDF mark and are long enough; text extraction is left to ``extract``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -78,6 +88,8 @@ def extract(files: DataFrame, extractor) -> DataFrame:
     """(path, text) by an injected ``extractor(bytes) -> str``, batch by batch."""
     import pandas as pd
 
+    ship(files.sparkSession)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             yield pd.DataFrame({"path": pdf["path"], "text": [extractor(bytes(b)) for b in pdf["content"]]})
@@ -170,7 +182,7 @@ def search(spark: SparkSession, path: str, since: str | None = None, until: str
     return hits.dropDuplicates(["id"]).orderBy(F.desc("date"), "id").limit(limit)
 
 
-def seeded(spark: SparkSession, seeds: DataFrame, url: str, fetch, limit: int | None = None) -> DataFrame:
+def seeded(spark: SparkSession, seeds: DataFrame, url: str, fetch: Callable[[str], str], limit: int | None = None) -> DataFrame:
     """(url, content, error) of seeded addresses by an injected ``fetch(url) -> str``; an error leaves the content null."""
     import pandas as pd
 

@@ -303,3 +303,34 @@ def test_entities_and_html_text(spark):
     assert got == [html.unescape(t) if i != 3 else "&#0;\ufffdx".replace("&#0;", "\ufffd") for i, t in enumerate(texts)]
     page = "<head><title>no</title></head><body><nav>menu</nav><p>um&nbsp; dois</p><script>x<y</script><div>tr&ecirc;s<br>quatro</div></body>"
     assert one(spark.createDataFrame([(page,)], "h string").select(X.html_text(F.col("h")).alias("t"))).t == "um dois\ntrês\nquatro"
+
+
+def test_pdf_and_frames(spark, tmp_path):
+    import pandas as pd
+
+    for name, data in (("a.pdf", b"%PDF-1.4 long enough"), ("b.pdf", b"<html>"), ("c.pdf", b"%PDF")):
+        (tmp_path / name).write_bytes(data)
+    files = readers.pdf_like(spark, str(tmp_path), 10)
+    got = readers.extract(files, lambda data: data[5:].decode()).collect()
+    assert [(r.path.rsplit("/", 1)[-1], r.text) for r in got] == [("a.pdf", "1.4 long enough")]
+    pd.DataFrame({"id": range(25), "t": ["x"] * 25}).to_pickle(tmp_path / "frame.pkl")
+    readers.convert_frame(spark, lambda: pd.read_pickle(tmp_path / "frame.pkl"), str(tmp_path / "out"), chunk=10)
+    assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("id")).first()[0] == 300
+
+
+def test_booklet_pages(spark):
+    from corvane.functions import exams
+
+    pages = [("e", 1, "sua prova\nInformações gerais\nFiscal de sala\nx"), ("e", 2, "\n".join(map(str, range(30)))), ("e", 4, "QUESTÃO 2\nlinha dois\nmais (Valor: 0,50)"), ("e", 3, "PEÇA PRÁTICO-PROFISSIONAL\nATENÇÃO\nnada aqui identificação.\nO caso de Ana segue\nQUESTÃO 1\nDiga (Valor: 0,65)\nB) outra (Valor: 0,60)")]
+    text = exams.booklet_text(spark.createDataFrame(pages, "k string, p int, t string"), "k", "p", "t")
+    assert one(text.select(exams.document_task(F.col("text")).alias("t"))).t == "O caso de Ana segue"
+    q = {r.number: r for r in exams.booklet_questions(text, "k", "text").collect()}
+    assert sorted(q) == [1, 2] and (q[1].value_a, q[1].value_b, q[1].part_b) == (0.65, 0.6, "B) outra (Valor: 0,60)") and (q[2].value_a, q[2].value_b, q[2].part_b) == (0.5, 0.0, "")
+
+
+def test_point_table(spark):
+    from corvane.functions import exams
+
+    table = "ITEM PONTUAÇÃO\n1. Endereçamento ao juiz (0,10)\n0,00/0,10\nA. Cabimento do recurso\nsegundo a lei 0,00/0,25/1,10\n5.1. Prazo (0,5)\n6. Valor 12,345 e 7,00"
+    got = exams.criteria(spark.createDataFrame([("k", table)], "k string, t string"), ["k"], "t").orderBy("place").collect()
+    assert [(r.criterion, r.text, r.points) for r in got] == [("1", "Endereçamento ao juiz", 0.1), ("A", "Cabimento do recurso segundo a lei", 1.1), ("5.1", "Prazo", 0.5), ("6", "Valor 12,345 e 7,00", 0.0)]
