@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.text import first_filled, falsy, references
+from corvane.functions.text import falsy, first_filled, references
+from corvane.tables import BROADCAST_BYTES, small
 
 
 def field_profile(df: DataFrame, ids: Sequence[str], text: str) -> DataFrame:
@@ -55,6 +56,19 @@ def leak_by_prefix(df: DataFrame, block: str, key: str, held_out: Sequence[int])
                                 F.max("__n").alias("last_exam"), leaked.alias("leaked"))
 
 
+def _blocks(items: DataFrame, limit: int = BROADCAST_BYTES):
+    """The items in tables of at most ``limit`` bytes of text (one item may be longer)."""
+    rows, size = [], 0
+    for row in items.toLocalIterator():
+        if rows and size + len(row.item_text or "") * 4 > limit:
+            yield items.sparkSession.createDataFrame(rows, items.schema)
+            rows, size = [], 0
+        rows.append(row)
+        size += 4 * len(row.item_text or "")
+    if rows:
+        yield items.sparkSession.createDataFrame(rows, items.schema)
+
+
 def contained_items(docs: DataFrame, items: DataFrame, grams: int = 8) -> DataFrame:
     """Items whose text occurs verbatim in some document: candidates by a word-gram hash join, then verified.
 
@@ -66,7 +80,9 @@ def contained_items(docs: DataFrame, items: DataFrame, grams: int = 8) -> DataFr
     # The first and last word may be parts of longer ones in a document, so the gram starts at the second and ends before the last.
     key = items.withColumn("__w", words(F.col("item_text"))).withColumn("__n", F.least(F.size("__w") - 2, F.lit(grams)))
     long = key.where("__n > 0").withColumn("__k", F.xxhash64("__n", F.array_join(F.expr("slice(__w, 2, __n)"), " "))).select("item_id", "item_text", "__k")
-    scanned = docs.join(F.broadcast(key.where("__n <= 0").select("item_id", "item_text")), F.contains("text", "item_text")).select("item_id", "doc_id")
+    scanned = docs.select(F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), "doc_id").where("false")
+    for block in _blocks(key.where("__n <= 0").select("item_id", "item_text")):
+        scanned = scanned.unionByName(docs.join(F.broadcast(block), F.contains("text", "item_text")).select("item_id", "doc_id"))
     widths = sorted(r[0] for r in key.where("__n > 0").select("__n").distinct().collect())
     if not widths:
         return scanned.distinct()
@@ -77,7 +93,7 @@ def contained_items(docs: DataFrame, items: DataFrame, grams: int = 8) -> DataFr
 
     # Texts are split once and stay behind; only hashes are joined.
     exploded = docs.select("doc_id", words(F.col("text")).alias("__w")).select("doc_id", F.explode(F.array_distinct(F.concat(*map(grams_of, widths)))).alias("__k"))
-    found = exploded.join(F.broadcast(long), "__k").select(F.col("doc_id").alias("__id"), "item_id", "item_text").distinct()
+    found = exploded.join(small(long), "__k").select(F.col("doc_id").alias("__id"), "item_id", "item_text").distinct()
     whole = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id"))).where(F.contains("text", "item_text"))
     return whole.select("item_id", "doc_id").unionByName(scanned).distinct()
 

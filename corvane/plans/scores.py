@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.operators import scoring
+from corvane.operators import agreement, scoring
 from corvane.plans.base import Registry, V, r6, table, verdict_rows
 
 query = Registry()
@@ -101,9 +101,11 @@ def rate_delta_quadrants(spark, d):
     return scoring.share_of_total(k.withColumn("x", F.col("n")), "quadrant", "x").select("quadrant", F.col("total").alias("n"), r6("percent").alias("percent"))
 
 
-@query(_RATE + "SELECT round(corr(da, db), 6) AS pearson FROM w")
+@query(_RATE + ", k AS (SELECT da, db, rank() OVER (ORDER BY da) + (count(*) OVER (PARTITION BY da) - 1) / 2.0 AS ra, rank() OVER (ORDER BY db) + (count(*) OVER (PARTITION BY db) - 1) / 2.0 AS rb FROM w) "
+       "SELECT round(corr(da, db), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM k")
 def gain_correlation(spark, d):
-    return _deltas(spark, d).agg(r6(F.corr("da", "db")).alias("pearson"))
+    r = agreement.global_average_rank(agreement.global_average_rank(_deltas(spark, d), "da", "ra"), "db", "rb")
+    return r.agg(r6(F.corr("da", "db")).alias("pearson"), r6(F.corr("ra", "rb")).alias("spearman"))
 
 
 @query(_RATE + ", x AS (SELECT da, p_brand, CAST(p_size AS VARCHAR) AS p_size FROM w JOIN part ON criterion = p_partkey) "

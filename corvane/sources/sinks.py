@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.audit import ensure_none
 from corvane.tables import fresh
 
 
@@ -38,6 +39,26 @@ def nested(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
     return df.where(F.col(inner).isNotNull()).groupBy(outer).agg(pairs.alias("states"))
 
 
+def package(files: DataFrame, out: str, stored: DataFrame | None = None) -> int:
+    """A local ``tar.gz`` of files (``path``, ``content``), one after the other; gives their number.
+
+    With a manifest (``path``), an error if a file of it is not there. An archive is written by the driver, a file at a time.
+    """
+    import io
+    import tarfile
+
+    if stored is not None:
+        ensure_none(stored.select("path").join(files.select("path"), "path", "left_anti"), "files missing")
+    n = 0
+    with tarfile.open(out, "w:gz") as archive:
+        for row in files.select("path", "content").orderBy("path").toLocalIterator():
+            info = tarfile.TarInfo(row.path.split("://", 1)[-1].lstrip("/"))
+            info.size = len(row.content)
+            archive.addfile(info, io.BytesIO(bytes(row.content)))
+            n += 1
+    return n
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A small result as a Markdown table (a report; longer tables are refused, not cut)."""
     rows = df.limit(most + 1).collect()

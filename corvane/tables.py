@@ -43,6 +43,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table up to which it is sent to every executor.
+BROADCAST_BYTES = 32_000_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, to be broadcast if its cells hold ``limit`` bytes at most; else it is joined as Spark sees fit."""
+    cells = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(0))
+    held = df.agg(F.sum(cells)).first()[0] or 0
+    return F.broadcast(df) if held <= limit else df
+
+
 def ranged(df: DataFrame, order: Sequence[str], amount: str, label: str) -> tuple[DataFrame, str, str]:
     """The rows in ranges of an order, each with its range's number and the sum of ``amount`` over all ranges before.
 

@@ -4,6 +4,7 @@ import html
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -334,3 +335,28 @@ def test_point_table(spark):
     table = "ITEM PONTUAÇÃO\n1. Endereçamento ao juiz (0,10)\n0,00/0,10\nA. Cabimento do recurso\nsegundo a lei 0,00/0,25/1,10\n5.1. Prazo (0,5)\n6. Valor 12,345 e 7,00"
     got = exams.criteria(spark.createDataFrame([("k", table)], "k string, t string"), ["k"], "t").orderBy("place").collect()
     assert [(r.criterion, r.text, r.points) for r in got] == [("1", "Endereçamento ao juiz", 0.1), ("A", "Cabimento do recurso segundo a lei", 1.1), ("5.1", "Prazo", 0.5), ("6", "Valor 12,345 e 7,00", 0.0)]
+
+
+def test_html_text_of_all_pages(spark):
+    """Against the same rules in plain Python, with the library's own reading of character references."""
+    def plain(page):
+        x = re.sub(r"(?is)<(script|style|nav|header|footer|aside|head)\b[^>]*>.*?</\1\s*>", " ", page)
+        x = re.sub(r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr)>", "\n", x)
+        x = re.sub(r"[ \t\x0b\f\r\xa0]+", " ", html.unescape(re.sub(r"(?s)<[^>]+>", " ", x)))
+        return re.sub(r"\n{2,}", "\n", re.sub(r" ?\n ?", "\n", x)).strip(" \n")
+
+    got = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html", X.html_text(F.col("html")).alias("t")).collect()
+    assert len(got) == 50 and all(r.t == plain(r.html) for r in got)
+
+
+def test_package(spark, tmp_path):
+    import tarfile
+
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text(name * 3)
+    files = readers.resolve(spark, str(tmp_path), "*.txt").select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
+    assert sinks.package(files, str(tmp_path / "x.tar.gz"), files) == 2
+    with tarfile.open(tmp_path / "x.tar.gz") as t:
+        assert {m.name: t.extractfile(m).read().decode() for m in t} == {"a.txt": "a.txt" * 3, "b.txt": "b.txt" * 3}
+    with pytest.raises(ValueError):
+        sinks.package(files, str(tmp_path / "y.tar.gz"), spark.createDataFrame([("c.txt",)], "path string"))
