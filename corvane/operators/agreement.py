@@ -129,7 +129,7 @@ def benjamini_hochberg(df: DataFrame, p: str) -> DataFrame:
     """Adjusted p-values by the step-up rule."""
     w = Window.partitionBy(F.lit(0)).orderBy(p)
     raw = F.col(p) * F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) / F.row_number().over(w)
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(F.lit(0)).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # equal p-values share one
     return df.withColumn("__raw", raw).withColumn("p_adjusted", F.least(F.lit(1.0), F.min("__raw").over(down))).drop("__raw")
 
 

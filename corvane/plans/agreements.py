@@ -200,7 +200,7 @@ def bonferroni_flags(spark, d):
     return b.select("source", F.round("threshold", 9).alias("threshold"), F.col("significant").cast("int").alias("significant"))
 
 
-@query(_P + ", r AS (SELECT source, p, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS raw FROM p) SELECT source, round(least(1.0, min(raw) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_adjusted FROM r")
+@query(_P + ", r AS (SELECT source, p, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS raw FROM p) SELECT source, round(least(1.0, min(raw) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS p_adjusted FROM r")
 def benjamini_hochberg(spark, d):
     return agreement.benjamini_hochberg(_source_p(spark, d), "p").select("source", r6("p_adjusted").alias("p_adjusted"))
 

@@ -26,14 +26,15 @@ def _squeezed(c: str) -> str:
     return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 
 
-_ID = F.col("doc_id").cast("string")
+def _id():
+    return F.col("doc_id").cast("string")
 
 
 def _decisions(spark, d) -> DataFrame:
     """Raw decisions: some without a process number, some with the text None for a rapporteur."""
     k = F.col("doc_id")
     return table(spark, d, "documents").select(
-        "doc_id", F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("RE "), _ID)).alias("processo"), F.concat(F.lit("D"), _ID).alias("id"), F.col("lang").alias("classe"), k.alias("numero"),
+        "doc_id", F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("RE "), _id())).alias("processo"), F.concat(F.lit("D"), _id()).alias("id"), F.col("lang").alias("classe"), k.alias("numero"),
         F.when(k % 3 == 0, "None").otherwise(F.col("source")).alias("relator"), F.when(k % 3 == 0, "None").otherwise(F.col("source")).alias("relator_acordao_nome"), F.lit(None).cast("string").alias("orgao"),
         F.lit("2020-01-01").alias("data_julgamento"), F.when(k % 2 == 0, F.col("text")).alias("ementa"), F.col("text").alias("ementa_texto"), F.col("text").alias("texto"), (k % 900).alias("informativo"))
 
@@ -55,7 +56,7 @@ def _precedents(spark, d) -> DataFrame:
     """Raw precedents: a third without a settled thesis, some without a theme number."""
     k = F.col("doc_id")
     return table(spark, d, "documents").select(
-        "doc_id", _ID.alias("numero"), F.when(k % 4 > 0, _ID).alias("tema"), _ID.alias("numero_tema"), _ID.alias("sumula_numero"), F.when(k % 3 > 0, F.col("text")).otherwise(" \n ").alias("tese"), F.col("lang").alias("titulo"), F.col("source").alias("descricao"),
+        "doc_id", _id().alias("numero"), F.when(k % 4 > 0, _id()).alias("tema"), _id().alias("numero_tema"), _id().alias("sumula_numero"), F.when(k % 3 > 0, F.col("text")).otherwise(" \n ").alias("tese"), F.col("lang").alias("titulo"), F.col("source").alias("descricao"),
         F.col("text").alias("sumula_texto"), F.col("text").alias("texto"), F.col("source").alias("nome_tema"), F.col("lang").alias("questao"), F.when(k % 7 > 0, "TJMG").alias("tribunal"), F.col("source").alias("orgao_julgador"), F.col("lang").alias("relator"),
         (k % 2 == 0).alias("is_vinculante"), F.col("source").alias("label"))
 
@@ -84,7 +85,7 @@ def settled_precedents(spark, d):
 def _csv_rows(spark, d) -> DataFrame:
     k = F.col("doc_id")
     return table(spark, d, "documents").select(
-        "doc_id", F.col("text").alias("conteudo"), F.when(k % 4 > 0, F.concat(_ID, F.lit("-10.2019.8.26"))).otherwise("").alias("nup"), F.concat(F.lit(" "), "lang").alias("classe"), F.col("source").alias("magistrado"),
+        "doc_id", F.col("text").alias("conteudo"), F.when(k % 4 > 0, F.concat(_id(), F.lit("-10.2019.8.26"))).otherwise("").alias("nup"), F.concat(F.lit(" "), "lang").alias("classe"), F.col("source").alias("magistrado"),
         F.when(k % 2 == 0, F.col("source")).alias("orgao_julgador"), F.lit("1ª  Vara").alias("vara"), F.when(k % 3 > 0, "2020-02-03").alias("data_julgamento"), F.lit("2021-01-01").alias("data_publicacao"), F.col("text").alias("ementa"),
         F.when(k % 6 == 0, "Furto simples").when(k % 6 == 1, "Contratos bancários").when(k % 6 == 2, "ICMS").when(k % 6 == 3, "Pensão INSS").when(k % 6 == 4, "Licitação").otherwise("Nada").alias("assunto"), F.col("lang").alias("comarca"))
 
@@ -146,7 +147,7 @@ def statute_articles(spark, d):
 
     k = F.col("doc_id")
     laws = table(spark, d, "documents").select(
-        F.when(k % 3 == 0, "Código Civil").when(k % 3 == 1, F.concat(F.lit("Lei "), _ID, F.lit(".099 / 1995"))).otherwise("Estatuto da Cidade Nova").alias("lei"), F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("texto"))
+        F.when(k % 3 == 0, "Código Civil").when(k % 3 == 1, F.concat(F.lit("Lei "), _id(), F.lit(".099 / 1995"))).otherwise("Estatuto da Cidade Nova").alias("lei"), F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("texto"))
     return corpora.statute_articles(laws, "federal").select("id", "num_art", _digest(F.col("texto")).alias("texto"))
 
 
@@ -173,7 +174,7 @@ _NOTE = "'REsp 1.' || doc_id || ' / SP' || chr(10) || 'Rel. Ministro Nome Sobren
        "regexp_extract(b, 'julgados?\\s+em\\s+([\\d/]+)', 1) AS data, regexp_extract(b, 'Tema\\s+(\\d+)', 1) AS tema_rep, md5(left(b, 2000)) AS texto, CAST(length(b) AS INTEGER) AS n_chars FROM x WHERE length(b) >= 80")
 def bulletin_notes(spark, d):
     """Plain-text bulletins of two notes each."""
-    t = F.concat(F.lit("REsp 1."), _ID, F.lit(" / SP\nRel. Ministro Nome Sobrenome, Segunda Turma, julgado em 01/02/2020. Tema "), _ID, F.lit(". Corte Especial "), "text", F.lit("\nHC 9."), _ID, F.lit("/RJ Rel Ministra Ana. julgados em 3/4/2021 "), "text")
+    t = F.concat(F.lit("REsp 1."), _id(), F.lit(" / SP\nRel. Ministro Nome Sobrenome, Segunda Turma, julgado em 01/02/2020. Tema "), _id(), F.lit(". Corte Especial "), "text", F.lit("\nHC 9."), _id(), F.lit("/RJ Rel Ministra Ana. julgados em 3/4/2021 "), "text")
     n = corpora.bulletin_old(table(spark, d, "documents").select("doc_id", t.alias("t")), "doc_id", "t")
     return n.select("doc_id", "pos", "processo", "relator", "orgao", "data", "tema_rep", _digest(F.col("texto")).alias("texto"), "n_chars")
 
@@ -218,8 +219,8 @@ def binding_status(spark, d):
 def id_fallbacks(spark, d):
     """A process number found in the text where none is given, a stable suffix, a statute's number and year."""
     given = F.when(F.col("doc_id") % 2 == 0, "").otherwise("HC 12.345/SP")
-    text = F.concat(F.lit("visto REsp 1.2"), _ID, F.lit("/RJ, "), "text")
-    return table(spark, d, "documents").select("doc_id", given.alias("given"), X.process_number(given, text).alias("processo"), corpora.stable_suffix(F.col("text")).alias("suffix"), X.statute_number(F.concat(F.lit("Lei "), _ID, F.lit(".099/1995")), "LF").alias("code"))
+    text = F.concat(F.lit("visto REsp 1.2"), _id(), F.lit("/RJ, "), "text")
+    return table(spark, d, "documents").select("doc_id", given.alias("given"), X.process_number(given, text).alias("processo"), corpora.stable_suffix(F.col("text")).alias("suffix"), X.statute_number(F.concat(F.lit("Lei "), _id(), F.lit(".099/1995")), "LF").alias("code"))
 
 
 @query("SELECT source, CAST(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS n_tokens, count(*) AS n_docs FROM documents GROUP BY source")

@@ -19,7 +19,10 @@ def _digest(c):
     return F.md5(c.cast("binary"))
 
 
-_ID = F.col("doc_id").cast("string")
+def _id():
+    return F.col("doc_id").cast("string")
+
+
 _WS = "' ' || chr(10) || chr(9) || chr(13)"
 
 
@@ -271,7 +274,7 @@ def answer_parsing(spark, d):
     echo = verdicts.echo_ok(F.lit("tok"), k, F.lit(2), F.concat(F.lit("tok = "), F.when(k % 7 > 0, k + 2).otherwise(F.lit(-1)).cast("string")))
     return table(spark, d, "documents").select(
         "doc_id", X.yes_no(said).alias("yes"), X.starts_yes(F.when(k % 3 == 0, " Sim, mas").otherwise("Não")).alias("annotated"), X.truthy(F.when(k % 2 == 0, " true ").otherwise("2")).alias("truthy"),
-        X.joined_key(F.when(k % 5 > 0, F.col("source")).otherwise(""), k).alias("key"), X.drop_cap(F.concat(F.lit("Q "), _ID, F.lit("\n UESTÃO"))).alias("heading"), echo.alias("echoed"))
+        X.joined_key(F.when(k % 5 > 0, F.col("source")).otherwise(""), k).alias("key"), X.drop_cap(F.concat(F.lit("Q "), _id(), F.lit("\n UESTÃO"))).alias("heading"), echo.alias("echoed"))
 
 
 @query("SELECT source, max(CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'x' END) IS NOT NULL AS some, md5(string_agg(doc_id || '=' || lang, ',' ORDER BY CAST(doc_id AS VARCHAR))) AS states FROM documents GROUP BY source")

@@ -45,3 +45,11 @@ def test_query(spark, duck, name):
     have = sorted(tuple(plain(r[c]) for c in order) for r in rows)
     assert len(have) == len(want)
     assert have == want
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and len(q) > 150"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120)
