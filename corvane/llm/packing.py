@@ -6,8 +6,7 @@ over patterns is solved. Its columns are patterns of whole remainders, and cuts:
 count as a half and a rest, at a cost of ``CUT_COST`` sequences. From a plain first basis, a knapsack by dynamic programming
 prices new patterns, and revised simplex steps take them in, until the cost is within ``TOLERANCE`` of a proven bound. Copies of
 patterns and cuts are rounded down, and what is left over, fewer sequences than there are lengths, is packed largest first.
-Where packing largest first wastes less than one sequence in all, nothing can do better and no program is solved. Documents
-are ranked within their length (by part and place in it), and ranks map to cuts and pattern copies.
+Where packing largest first wastes less than one sequence, or less than ``TOLERANCE``, no program is solved. Documents are ranked within their length (by part and place in it), and ranks map to cuts and pattern copies.
 
 Defined results: a null text is an empty document (the end id alone); equal rows are packed apart; null ``doc_id`` stays
 null; an empty table gives no pieces. A sequence is padded to ``seq_len`` unless its tokens number a power of two.
@@ -254,15 +253,16 @@ def rounded(solved: list[tuple[Column, float]], lengths: np.ndarray, counts: np.
 def plan(histogram: dict[int, int], seq_len: int = SEQ_LEN, tolerance: float = TOLERANCE, max_pivots: int = MAX_PIVOTS) -> Plan:
     """Whole-number copies of patterns ``{length: items}``, and how many items of each length are cut in two.
 
-    The patterns hold exactly the items of the histogram after the cuts. A greedy plan that wastes less than one sequence in
-    all is the best there is, and no program is solved; else the program's rounded plan, or the greedy one if that is cheaper.
+    The patterns hold exactly the items of the histogram after the cuts. A greedy plan within the tolerance of the tokens' own
+    bound, or of one sequence, is taken, and no program is solved; else the program's rounded plan, or the greedy one if cheaper.
     """
     half = seq_len // 2
     histogram = {n: k for n, k in histogram.items() if k > 0}
     if not histogram:
         return [], {}
     first = greedy_plan(histogram, seq_len)
-    if plan_cost(first) < sum(n * k for n, k in histogram.items()) / seq_len + 1:
+    least = sum(n * k for n, k in histogram.items()) / seq_len
+    if plan_cost(first) < max(least + 1, least * (1 + tolerance)):
         return first
     names = set(histogram) | {half} | {n - half for n in histogram if n > half}
     lengths = np.array(sorted(names), dtype=np.int64)

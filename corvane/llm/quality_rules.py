@@ -159,11 +159,19 @@ def stratum() -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit("\x00null"))
 
 
-def judged(rows: DataFrame, labels: DataFrame, prefix: str = PREFIX) -> DataFrame:
-    """Measured rows (``doc_id``, ``lang``, measures) with ``kept`` and ``base_failed``, names prefixed."""
+def good_rows(rows: DataFrame, labels: DataFrame, prefix: str = PREFIX) -> DataFrame:
+    """The rows that are labelled as good."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias(f"{prefix}id")).distinct()
-    known = rows.select("doc_id", stratum().alias("stratum"), *(prefix + m for m in MEASURES))
-    cut = materialize(cutoffs(known.join(good, F.col("doc_id") == F.col(f"{prefix}id"), "left_semi"), prefix=prefix), "cutoffs")
+    return rows.join(good, F.col("doc_id") == F.col(f"{prefix}id"), "left_semi")
+
+
+def found_cutoffs(measured_good: DataFrame, prefix: str = PREFIX) -> DataFrame:
+    known = measured_good.select("doc_id", stratum().alias("stratum"), *(prefix + m for m in MEASURES))
+    return materialize(cutoffs(known, prefix=prefix), "cutoffs")
+
+
+def judged(rows: DataFrame, cut: DataFrame, prefix: str = PREFIX) -> DataFrame:
+    """Measured rows (``doc_id``, ``lang``, measures) with ``kept`` and ``base_failed``, names prefixed, by cutoffs of strata."""
     cut = cut.withColumnRenamed("stratum", f"{prefix}stratum")
     pool = cut.where(F.col(f"{prefix}stratum").isNull()).first()
     small = cut.limit(MAX_BROADCAST_STRATA + 1).count() <= MAX_BROADCAST_STRATA
@@ -180,12 +188,17 @@ def judged(rows: DataFrame, labels: DataFrame, prefix: str = PREFIX) -> DataFram
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document: its measures, ``base_failed`` and ``kept``. Texts are measured once and not shuffled."""
     narrow = measured(docs.select("doc_id", "lang", "text")).drop("text")
-    done = judged(materialize(narrow, "measures"), labels)
+    rows = materialize(narrow, "measures")
+    done = judged(rows, found_cutoffs(good_rows(rows, labels)))
     return done.select("doc_id", *(F.col(PREFIX + m).alias(m) for m in MEASURES[:5]), F.col(f"{PREFIX}base_failed").alias("base_failed"), F.col(f"{PREFIX}kept").alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns; the texts are written once beside their measures."""
+    """The documents that pass, with their columns. Good labelled ones are measured first, for the cutoffs; then all in one pass, and no text is written."""
     prefix = free_prefix(docs.columns)
-    done = judged(materialize(measured(docs, prefix), "measured"), labels, prefix)
-    return done.where(f"{prefix}kept").select(*docs.columns)
+    good = good_rows(docs.select("doc_id", "lang", "text"), labels, prefix)
+    cut = found_cutoffs(measured(good, prefix), prefix)
+    # A filter is not pushed below a column of this kind, so no measure is worked out more than once.
+    rows = measured(docs, prefix).withColumn(f"{prefix}row", F.monotonically_increasing_id())
+    done = judged(rows, cut, prefix)
+    return done.where(F.col(f"{prefix}kept") & (F.col(f"{prefix}row") >= 0)).select(*docs.columns)
