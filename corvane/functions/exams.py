@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corvane.functions import rules
 from corvane.functions.text import drop_cap, falsy, keyword_class
 
+# How the files mark questions, pages, sections and points (patterns here and below are their formats).
 _QUESTION = r"(?iu)(QUEST[ÃA]O\s+\d+|PEÇA\s+PRÁTICO|PEÇA\s+JUR[ÍI]DICA)"
 
 
@@ -106,7 +107,7 @@ def booklet_questions(booklets: DataFrame, key: str, text: str) -> DataFrame:
                        clean_statement(part_b).alias("part_b"), value_a.alias("value_a"), value_b.alias("value_b"))
 
 
-#: Lines that open a section of an answer key (three layouts over the years), and lines that open a part of a section.
+# Lines that open a section of an answer key (three layouts over the years), and lines that open a part of a section.
 DOCUMENT_SECTION = (r"(?iu)PADRÃO DE RESPOSTA.*PEÇA", r"(?iu)^((TIPO\s+DE\s+)?QUEST[ÃA]O\s*:\s*)?PEÇA PRÁTICO-PROFISSIONAL\s*$")
 COUNTED_SECTION = r"(?iu)^(TIPO\s+DE\s+)?QUEST[ÃA]O\s*:\s*QUEST[ÃA]O\s+DISCURSIVA\s*$"
 NUMBERED_SECTION = (r"(?iu)PADRÃO DE RESPOSTA.*QUESTÃO\s+0?(\d+)", r"(?iu)^QUESTÃO\s+(\d+)\s*$")

@@ -93,7 +93,15 @@ def url_slug(spark, d):
     return table(spark, d, "pages").select("page_id", X.slug(F.col("url")).alias("slug"), X.safe_name(F.col("url")).alias("safe"))
 
 
-@query()
+_RAW_TAGS = "html"
+for _tag in ("head", "script", "style", "nav", "header", "footer", "aside"):
+    _RAW_TAGS = f"regexp_replace({_RAW_TAGS}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', ' ', 'g')"
+_PLAIN = f"regexp_replace(regexp_replace({_RAW_TAGS}, '(?i)<br\\s*/?>|</(?:p|div|li|h[1-6]|tr)>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g')"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_name}', '{_char}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \\t\\x0B\\f\\r\\x{{A0}}]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{2,}}', chr(10), 'g'), ' ' || chr(10)) AS text FROM pages")
 def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
 

@@ -224,7 +224,7 @@ def statute_articles(df: DataFrame, kind: str = "federal", least: int = 100, lea
     return first_n(rows.where(F.col("n") >= least_article), ["id"], [F.desc(F.length("texto")), "pos", "diploma", "texto"], 1).drop("pos", "n")
 
 
-# Bulletins and search hits.
+# Bulletins and search hits. The patterns are how the sources write process numbers, names and dates.
 
 _PROCESS = r"(REsp|AREsp|HC|RHC|EREsp|AgRg|EDcl|MS|CC|Rcl|Pet|ARE|RE|ADI|ADPF)\s+[\d.,]+\s*/\s*[A-Z]{2}"
 
