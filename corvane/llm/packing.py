@@ -30,11 +30,11 @@ from corvane.llm.tokens import END_ID, WordEncoder, default_tokenizer_path, enco
 
 SEQ_LEN = 2048
 #: The linear program is left when its cost is within this share of a lower bound.
-TOLERANCE = 0.0005
+TOLERANCE = 0.001
 #: Sequences that a cut of one remainder costs in the linear program.
 CUT_COST = 0.02
 #: Simplex steps at most; any step leaves a whole plan, so this bounds time (some 10 ms a step with 2,000 lengths) and not what is packed.
-MAX_PIVOTS = 6000
+MAX_PIVOTS = 3000
 #: Items or cuts by the index of their length.
 Column = dict[int, int]
 
