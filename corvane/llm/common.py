@@ -18,7 +18,7 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 def _ready(spark: SparkSession) -> None:
     """Code for the workers that come next, and batches of a size that fits them."""
     ship(spark)
-    if spark.conf.get(_BATCH_SETTING, "").rstrip("b") == str(_DEFAULT_BYTES):
+    if spark.conf.get(_BATCH_SETTING).rstrip("b") == str(_DEFAULT_BYTES):
         spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
 
 
