@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import materialize
+from corvane.tables import small
 
 #: Share of a stratum's good documents that all rules together may reject, from the wanted rate to what fewer labels can
 #: certify, and the chance of a wrong promise in all.
@@ -194,10 +195,19 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns. Good labelled ones are measured first, for the cutoffs; then all in one pass, and no text is written."""
+    """The documents that pass, with their columns. No text is written or shuffled.
+
+    Good labelled ones are measured first, for the cutoffs; then all, in one pass. Where there are too many labels to send to every
+    executor, the first pass measures all as well, and measures alone meet the labels.
+    """
     prefix = free_prefix(docs.columns)
-    good = good_rows(docs.select("doc_id", "lang", "text"), labels, prefix)
-    cut = found_cutoffs(measured(good, prefix), prefix)
+    good = labels.where("quality = 1").select(F.col("doc_id").alias(f"{prefix}id")).distinct()
+    texts, sent = docs.select("doc_id", "lang", "text"), small(good)
+    if sent is not good:
+        found = measured(texts.join(sent, F.col("doc_id") == F.col(f"{prefix}id"), "left_semi"), prefix)
+    else:
+        found = good_rows(measured(texts, prefix).drop("text"), labels, prefix)
+    cut = found_cutoffs(found, prefix)
     # A filter is not pushed below a column of this kind, so no measure is worked out more than once.
     rows = measured(docs, prefix).withColumn(f"{prefix}row", F.monotonically_increasing_id())
     done = judged(rows, cut, prefix)

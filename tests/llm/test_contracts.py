@@ -327,6 +327,18 @@ def test_op7(spark, docs, rows):
     assert quality_rules.keep(docs, labels).count() == sum(r.kept for r in got)
 
 
+def test_quality_stage_keeps_what_the_operator_keeps(spark, monkeypatch):
+    """Whether the labels are sent to every executor or not, and without a shuffle of texts if they are."""
+    from corvane.llm import quality_rules
+
+    big = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    want = {r.doc_id for r in quality_rules.judge(d, labels).where("kept").collect()}
+    assert {r.doc_id for r in quality_rules.keep(d, labels).collect()} == want
+    monkeypatch.setattr(quality_rules, "small", lambda df: df)
+    assert {r.doc_id for r in quality_rules.keep(d, labels).collect()} == want
+
+
 def test_op7_filters_small_strata(spark):
     from corvane.llm import quality_rules
 
