@@ -100,9 +100,13 @@ class WaveletMatrix:
         planes = []
         seq = np.ascontiguousarray(values)
         for b in range(bits - 1, -1, -1):
-            mask = (seq >> np.uint16(b) if seq.dtype == np.uint16 else seq >> b) & 1 == 1
+            mask = (seq & seq.dtype.type(1 << b)) != 0
             planes.append(Plane.build(mask))
-            seq = np.concatenate([seq[~mask], seq[mask]])
+            # Taking by places is much faster than by masks.
+            low, split = np.flatnonzero(~mask), np.empty_like(seq)
+            np.take(seq, low, out=split[:len(low)])
+            np.take(seq, np.flatnonzero(mask), out=split[len(low):])
+            seq = split
         return cls(n, bits, planes)
 
     def to_bytes(self) -> bytes:
@@ -178,8 +182,9 @@ class WaveletMatrix:
             mask = self.planes[level].mask()
             up = np.empty_like(seq)
             zeros = self.zeros[level]
-            up[~mask] = seq[:zeros]
-            up[mask] = seq[zeros:] | seq.dtype.type(1 << (self.bits - 1 - level))
+            seq[zeros:] |= seq.dtype.type(1 << (self.bits - 1 - level))
+            up[np.flatnonzero(~mask)] = seq[:zeros]
+            up[np.flatnonzero(mask)] = seq[zeros:]
             seq = up
         return seq
 
