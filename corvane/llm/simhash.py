@@ -15,7 +15,7 @@ no rows; a text of any length is one fingerprint. ``deduplicate`` passes columns
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -53,13 +53,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     lasts = ends[shingle - 1:] if len(words) >= shingle else ends[-1:]
-    counts = np.zeros(64, dtype=np.int64)
     pairs = zip(starts[:n].tolist(), lasts.tolist())
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in pairs), dtype=np.uint64, count=n)
-    for at in range(0, n, 8192):
+    return majority(np.fromiter((digest(joined[a:b], seed) for a, b in pairs), dtype=np.uint64, count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as an unsigned number."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 8192):
         block = hashes[at:at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
 def _signed(value: int) -> int:
@@ -82,12 +86,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return materialize(marked.select("doc_id", "fp"), "fingerprints")
 
 
-def _masks() -> list[int]:
+def _masks(widths: Sequence[int] = WIDTHS, most: int = MAX_BITS) -> list[int]:
+    """Choices of blocks: of two fingerprints that differ in ``most`` bits or fewer, one choice sees no difference."""
     at, blocks = 64, []
-    for width in WIDTHS:
+    for width in widths:
         at -= width
         blocks.append(((1 << width) - 1) << at)
-    return [_signed(sum(c)) for c in combinations(blocks, len(WIDTHS) - MAX_BITS)]
+    return [_signed(sum(c)) for c in combinations(blocks, len(widths) - most)]
 
 
 class _Forest:
@@ -117,9 +122,50 @@ class _Forest:
         return [self.find(x) for x in nodes], nodes
 
 
-def _fields(bits: list[int]) -> list[int]:
-    """Four masks that together hold all the bits: of two values that differ in three of them or fewer, one mask sees no difference."""
-    return [sum(1 << b for b in part) for part in (bits[k::MAX_BITS + 1] for k in range(MAX_BITS + 1))]
+def _fields(bits: list[int], most: int = MAX_BITS) -> list[int]:
+    """Masks that together hold all the bits: of two values that differ in ``most`` of them or fewer, one mask sees no difference."""
+    return [sum(1 << b for b in part) for part in (bits[k::most + 1] for k in range(most + 1))]
+
+
+def near_groups(marks: np.ndarray, bounds: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Positions, by run (``bounds`` has the starts and the end), of marks that have another within ``most`` bits in their run.
+
+    Two such marks of a run meet in a group. A run beyond ``LONG_RUN`` is cut by fields of the bits in which it varies, as long
+    as that at least halves it.
+    """
+    long = np.flatnonzero(np.diff(bounds) > LONG_RUN)
+    for k in long.tolist():
+        yield from _cut_group(marks, np.arange(bounds[k], bounds[k + 1]), most)
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    runs = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    near = _near_rows(marks, np.where(np.isin(runs, long), 0, ends), most)
+    if len(near):
+        yield from np.split(near, np.flatnonzero(np.diff(runs[near])) + 1)
+
+
+def _near_rows(marks: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
+    """Positions with another of the same run (up to ``ends``) within ``most`` bits; all runs are compared at one distance at a time."""
+    near, at, step = np.zeros(len(marks), dtype=bool), np.flatnonzero(np.arange(1, len(marks) + 1) < ends), 1
+    while len(at):
+        found = at[np.bitwise_count(marks[at] ^ marks[at + step]) <= most]
+        near[found] = near[found + step] = True
+        step += 1
+        at = at[at + step < ends[at]]
+    return np.flatnonzero(near)
+
+
+def _cut_group(marks: np.ndarray, at: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    varying = int(np.bitwise_or.reduce(marks[at] ^ marks[at[0]]))
+    for mask in _fields([b for b in range(64) if varying >> b & 1], most):
+        keys = marks[at] & np.uint64(mask)
+        order = np.argsort(keys, kind="stable")
+        for part in np.split(at[order], np.flatnonzero(np.diff(keys[order])) + 1):
+            if LONG_RUN < len(part) <= len(at) // 2:
+                yield from _cut_group(marks, part, most)
+            elif len(part) > 1:
+                near = part[_near_rows(marks[part], np.full(len(part), len(part)), most)]
+                if len(near):
+                    yield near
 
 
 def link_run(run: np.ndarray, forest: _Forest) -> None:

@@ -883,6 +883,74 @@ def test_near_duplicate_stage_at_eight_tenths(spark):
     assert kept == sorted([900, 902, 904, 200, *(2 * k for k in range(40)), *(i + 1 for i, _ in apart)])
 
 
+def test_near_duplicate_stage_by_fingerprints(spark, monkeypatch):
+    """Without bands the stage links what fingerprints bring together and similarity confirms, and nothing else."""
+    import corpus_pipeline
+    from corvane.llm import similar, simhash
+
+    rng = np.random.default_rng(12)
+    rows, within, refused, beyond = [], [], [], []
+    for k in range(3000):
+        w = [f"w{k}x{x}" for x in rng.integers(0, 5000, 120)]
+        other = list(w)
+        for x in rng.choice(np.arange(8, 115, 9), 1 + k % 5, replace=False):
+            other[x] = "changed"
+        a, b = " ".join(w), " ".join(other)
+        one, two = similar.shingles(a), similar.shingles(b)
+        bits, shared = (similar.mark(one) ^ similar.mark(two)).bit_count(), len(np.intersect1d(one, two))
+        like = shared / (len(one) + len(two) - shared)
+        kind = (within if like >= 0.8 else refused) if bits <= similar.RADIUS else beyond if like >= 0.8 else None
+        if kind is not None and len(kind) < 30:
+            kind.append(2 * k)
+            rows += [(2 * k, a), (2 * k + 1, b)]
+    assert len(within) == 30 and len(refused) >= 10 and len(beyond) == 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect())
+    assert whole == sorted([*within, *beyond, *refused, *(i + 1 for i in refused)])
+    monkeypatch.setattr(similar, "bands", lambda values: [])
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect())
+    assert kept == sorted([*within, *refused, *beyond, *(i + 1 for i in refused + beyond)])
+    marks = np.array([similar.mark(similar.shingles(t)) for _, t in rows], dtype=np.uint64)
+    masks = [np.uint64(m & 0xFFFFFFFFFFFFFFFF) for m in simhash._masks(similar.WIDTHS, similar.RADIUS)]
+    assert len(masks) == 28 and all(any(not (a ^ b) & m for m in masks) for a in marks for b in marks if int(a ^ b).bit_count() <= similar.RADIUS)
+
+
+@pytest.mark.parametrize("long", [50, 50_000])
+def test_near_groups_match_all_pairs(monkeypatch, long):
+    from corvane.llm import simhash
+
+    monkeypatch.setattr(simhash, "LONG_RUN", long)
+    rng = np.random.default_rng(13)
+    marks = rng.integers(0, 1 << 64, 600, dtype=np.uint64)
+    for k in range(300):
+        marks[300 + k] = marks[k] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k % 9, replace=False)))
+    order = rng.permutation(600)
+    marks, bounds = marks[order], np.array([0, 1, 3, 40, 340, 600])
+    groups = [set(g.tolist()) for g in simhash.near_groups(marks, bounds, 6)]
+    runs = np.searchsorted(bounds, np.arange(600), side="right")
+    pairs = [(a, b) for a in range(600) for b in range(a) if runs[a] == runs[b] and int(marks[a] ^ marks[b]).bit_count() <= 6]
+    assert pairs and all(any(a in g and b in g for g in groups) for a, b in pairs)
+    assert {x for g in groups for x in g} == {x for p in pairs for x in p} and all(len({runs[x] for x in g}) == 1 for g in groups)
+    assert list(simhash.near_groups(marks[:0], np.array([0, 0]), 6)) == []
+
+
+def test_band_search_starts_from_links(tmp_path):
+    """Sets that fingerprints linked are joined before they are compared, and no set is read for them."""
+    import pyarrow as pa
+
+    from corvane.llm import similar, simhash
+    from corvane.llm.store import ArrayStore
+
+    uri, names = f"file://{tmp_path}/places", np.array([-7, 3, 11, 40, 55])
+    list(similar._joined(uri, 2)(iter([pa.RecordBatch.from_arrays([pa.array([3, -7, -7]), pa.array([11, 11, 3])], names=["a", "b"])])))
+    forest = simhash._Forest()
+    similar._Places(uri, ArrayStore(uri).sizes(), 2).join(names, forest)
+    assert [forest.find(int(n)) for n in names] == [-7, -7, -7, 40, 55]
+    run = pa.RecordBatch.from_arrays([pa.array([0, 0, 0], pa.int32()), pa.array([5, 5, 5]), pa.array([3, 11, -7])], names=["band", "key", "fp"])
+    (edges,) = similar._links(f"file://{tmp_path}/none", uri, ArrayStore(uri).sizes(), 2)(iter([run]))
+    assert sorted(zip(*(c.to_pylist() for c in edges.columns))) == [(-7, 3), (-7, 11)]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from corvane.llm import packing
