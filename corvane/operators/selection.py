@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.session import ship
 from corvane.tables import fresh, materialize, ranged
@@ -128,16 +130,73 @@ def terms(text: Column, stop: Sequence[str] = (), n: int = 2) -> Column:
     return F.concat(words, pairs)
 
 
+#: Different terms that a task counts before it hands them on.
+TERMS_HELD = 400_000
+
+
+def _term_lists(batches):
+    """(batch, terms of each row) of lines of words, as ``_weighted`` writes them."""
+    for batch in batches:
+        yield batch, (
+            [x for line in text.split("\n") if line for ws in (line.split(" "),) for x in (*ws, *(f"{p} {q}" for p, q in zip(ws, ws[1:])))]
+            for text in batch["w"].to_pylist())
+
+
+def _weighted(df: DataFrame, key: str, text: str, min_df: int, max_df: float, max_features: int, stop: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The kept terms (term, ix from 0), written, and every key (as ``k``) with the numbers and weights of its kept terms, in order of numbers.
+
+    Spark finds the words. Pairs of words are made and counted where a text stands, so only counts of terms are shuffled, never
+    pairs of key and term; the texts of a key that occurs more than once are gathered first.
+    """
+    import pyarrow as pa
+
+    ship(df.sparkSession)
+    n = df.count()
+    rows = df.select(F.col(key).alias("k"), F.array(text).alias("t"))
+    if not df.groupBy(key).count().where("count > 1").isEmpty():
+        rows = df.groupBy(F.col(key).alias("k")).agg(F.collect_list(text).alias("t"))
+    rows = rows.select("k", F.array_join(F.transform("t", lambda t: F.array_join(terms(t, stop, 1), " ")), "\n").alias("w"))
+
+    def count(batches):
+        tf, in_texts = Counter(), Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(tf), pa.string()), pa.array([in_texts[t] for t in tf], pa.int64()), pa.array(list(tf.values()), pa.int64())], names=["term", "df", "tf"])
+        for _, lists in _term_lists(batches):
+            for found in lists:
+                tf.update(found)
+                in_texts.update(set(found))
+                if len(tf) > TERMS_HELD:
+                    yield out()
+                    tf.clear()
+                    in_texts.clear()
+        yield out()
+
+    counts = rows.select("w").mapInArrow(count, "term string, df long, tf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("all"))
+    kept = counts.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("all"), "term").limit(max_features)
+    kept = materialize(kept.select("term", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1).alias("ix"), "df"), "terms")  # at most ``max_features`` rows
+    listed = kept.orderBy("ix").collect()
+    known = df.sparkSession.sparkContext.broadcast(({r.term: r.ix for r in listed}, np.array([np.log((1.0 + n) / (1.0 + r.df)) + 1 for r in listed])))
+
+    def scale(batches):
+        numbers, idf = known.value
+        for batch, lists in _term_lists(batches):
+            pairs = [sorted((numbers[t], c) for t, c in Counter(found).items() if t in numbers) for found in lists]
+            sizes = np.array([len(p) for p in pairs], dtype=np.int64)
+            flat = np.array([x for p in pairs for x in p], dtype=np.int64).reshape(-1, 2)
+            of = np.repeat(np.arange(len(pairs)), sizes)
+            w = (1 + np.log(flat[:, 1])) * idf[flat[:, 0]]
+            w = w / np.sqrt(np.bincount(of, w * w, len(pairs)))[of]
+            ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch["k"], pa.ListArray.from_arrays(ends, pa.array(flat[:, 0].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(w))], names=["k", "ix", "w"])
+
+    shape = T.StructType([T.StructField("k", df.schema[key].dataType), T.StructField("ix", T.ArrayType(T.IntegerType())), T.StructField("w", T.ArrayType(T.DoubleType()))])
+    return kept, rows.mapInArrow(scale, shape)
+
+
 def tfidf(df: DataFrame, key: str, text: str, min_df: int = 5, max_df: float = 0.35, max_features: int = 60_000, stop: Sequence[str] = ()) -> DataFrame:
     """(key, term, weight): (1 + ln tf) times the smoothed idf, scaled to length one by row."""
-    n = df.count()
-    tf = df.select(key, F.explode(terms(F.col(text), stop)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    dfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all"))
-    kept = dfs.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("all"), "term").limit(max_features)
-    w = tf.join(F.broadcast(kept.select("term", "df")), "term")
-    w = w.withColumn("w", (1 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1))
-    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    return w.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    kept, rows = _weighted(df, key, text, min_df, max_df, max_features, stop)
+    pairs = rows.select("k", F.explode(F.arrays_zip("ix", "w")).alias("x")).select("k", F.col("x.ix").alias("ix"), F.col("x.w").alias("w"))
+    return pairs.join(F.broadcast(kept.select("ix", "term")), "ix").select(F.col("k").alias(key), "term", F.col("w").alias("weight"))
 
 
 def kmeans_topics(df: DataFrame, vector: str, k: int, seed: int = 42, inits: int = 1) -> DataFrame:
