@@ -219,25 +219,26 @@ def lsa(df: DataFrame, vector: str, k: int) -> DataFrame:
     return PCA(k=k, inputCol="__v", outputCol="__c").fit(ready).transform(ready).withColumn("components", vector_to_array("__c")).drop("__v", "__c")
 
 
-def tfidf_vectors(df: DataFrame, key: str, text: str, features: int = 60_000, min_df: int = 5, max_df: float = 0.35) -> DataFrame:
-    """Every row with a sparse vector ``features`` of its weighted terms; a row without a kept term has an empty one."""
+def _vectors(df: DataFrame, key: str, text: str, features: int, min_df: int = 5, max_df: float = 0.35) -> DataFrame:
+    """Every key (as ``k``) with its sparse vector ``features``, written: fits pass over it several times."""
     from pyspark.ml.linalg import VectorUDT
 
-    weights = materialize(tfidf(df.select(key, text), key, text, min_df, max_df, features), "tfidf")
-    index = weights.select("term").distinct()
-    index = index.withColumn("ix", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1)  # at most ``features`` terms
-    index = materialize(index, "terms")
-    size = max(index.count(), 1)
-    pairs = weights.join(F.broadcast(index), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ix", "weight"))).alias("p"))
+    kept, rows = _weighted(df, key, text, min_df, max_df, features)
+    size = max(kept.count(), 1)
 
     @F.udf(VectorUDT())
     def sparse(ix, values):
         from pyspark.ml.linalg import Vectors
 
-        return Vectors.sparse(size, ix or [], values or [])
+        return Vectors.sparse(size, ix, values)
+
+    return materialize(materialize(rows, "tfidf").select("k", sparse("ix", "w").alias("features")), "vectors")
 
-    rows = df.join(pairs, key, "left")
-    return rows.select(*df.columns, sparse(F.transform("p", lambda x: x["ix"]), F.transform("p", lambda x: x["weight"])).alias("features"))
+
+def tfidf_vectors(df: DataFrame, key: str, text: str, features: int = 60_000, min_df: int = 5, max_df: float = 0.35) -> DataFrame:
+    """Every row with a sparse vector ``features`` of its weighted terms; a row without a kept term has an empty one."""
+    made = _vectors(df, key, text, features, min_df, max_df)
+    return df.join(made, F.col(key).eqNullSafe(made["k"])).select(*df.columns, "features")
 
 
 def topics(df: DataFrame, key: str, column: str, method: str = "lsa", k: int = 800, components: int = 200, seed: int = 42, given: str = "topic", inits: int = 3, features: int = 2000) -> DataFrame:
@@ -255,9 +256,11 @@ def topics(df: DataFrame, key: str, column: str, method: str = "lsa", k: int = 8
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
 
-    ready = tfidf_vectors(df, key, column, features)
-    projected = PCA(k=components, inputCol="features", outputCol="__c").fit(ready).transform(ready).withColumn("components", vector_to_array("__c")).drop("__c", "features")
-    return kmeans_topics(projected, "components", k, seed, inits).drop("components")
+    ready = _vectors(df, key, column, features)
+    projected = PCA(k=components, inputCol="features", outputCol="__c").fit(ready).transform(ready)
+    projected = materialize(projected.select("k", vector_to_array("__c").alias("components")), "components")
+    found = kmeans_topics(projected, "components", k, seed, inits).select("k", "topic")
+    return df.join(found, F.col(key).eqNullSafe(found["k"])).select(*df.columns, "topic")
 
 
 def seeded_pick(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:

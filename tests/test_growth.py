@@ -23,3 +23,16 @@ def test_tfidf_shuffles_no_pairs(spark):
     for k in (1, 2, 5):
         assert abs(sum(w * w for (i, _), w in got.items() if i == k) - 1) < 1e-12
     assert got[1, "alfa"] > got[1, "beta"]
+
+
+def test_fits_read_written_vectors(spark):
+    rows = texts(spark).where("id <> 2").withColumn("more", F.lit("x"))
+    out = selection.tfidf_vectors(rows, "id", "text", features=3, min_df=1, max_df=1.0)
+    assert "BatchEvalPython" not in plan(out)  # a Python function above a sort-merge join failed when a fit left off reading it
+    got = {r.id: r.features for r in out.collect()}
+    assert out.columns == ["id", "text", "more", "features"] and len(got) == 4
+    assert got[3].numNonzeros() == got[4].numNonzeros() == 0 and got[1].size == 3
+    many = texts(spark).join(spark.range(20).withColumnRenamed("id", "j")).select((F.col("id") + 10 * F.col("j")).alias("id"), F.concat_ws(" ", "text", F.concat(F.lit("w"), F.col("j") % 4, F.lit("x"))).alias("text"))
+    named = selection.topics(many, "id", "text", k=2, components=2, inits=1, features=3)
+    assert named.columns == ["id", "text", "topic"]
+    assert named.count() == 120 and named.where("topic IS NULL").count() == 0
