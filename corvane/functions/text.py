@@ -41,10 +41,8 @@ def sanitize_markdown(c: Column) -> Column:
 
 def strip_fence(c: Column) -> Column:
     """A fenced JSON block without its fence, cut to its outermost braces."""
-    x = F.regexp_replace(F.trim(c), r"^```(?:json)?\s*|\s*```$", "")
-    a = F.locate("{", x)
-    b = F.length(x) - F.locate("}", F.reverse(x)) + 1
-    return F.when((a > 0) & (b >= a) & x.contains("}"), F.substr(x, a, b - a + 1)).otherwise(x)
+    # Neither fence holds a brace, so the braces are looked for first and the text is named twice only: a name is a computation.
+    return F.coalesce(falsy(F.regexp_extract(c, r"(?s)\{.*\}", 0)), F.regexp_replace(F.trim(c), r"^```(?:json)?\s*|\s*```$", ""))
 
 
 def yes_no(c: Column) -> Column:

@@ -28,6 +28,7 @@ class _Lenient:
     """
 
     _PLAIN = re.compile(r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|[A-Za-z]+")
+    _MARK = re.compile(r'["\\]')
     _AFTER = {
         "name": re.compile(r"\s*:"),
         "object": re.compile(r'\s*(?:\}|\Z|,\s*(?:\}|"[^"\n]*"\s*:))'),
@@ -61,7 +62,13 @@ class _Lenient:
         self.at += 1
         out = []
         while self.at < len(self.text):
-            c = self.text[self.at]
+            mark = self._MARK.search(self.text, self.at)
+            end = mark.start() if mark else len(self.text)
+            out.append(self.text[self.at:end])
+            self.at = end
+            if not mark:
+                break
+            c = mark.group()
             if c == "\\" and self.at + 1 < len(self.text):
                 size = 6 if self.text[self.at + 1] == "u" else 2
                 raw = self.text[self.at:self.at + size]

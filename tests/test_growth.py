@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corvane.functions.text import strip_fence
 from corvane.operators import selection
 
 
@@ -36,3 +37,10 @@ def test_fits_read_written_vectors(spark):
     named = selection.topics(many, "id", "text", k=2, components=2, inits=1, features=3)
     assert named.columns == ["id", "text", "topic"]
     assert named.count() == 120 and named.where("topic IS NULL").count() == 0
+
+
+def test_a_fenced_text_is_named_twice_at_most(spark):
+    said = spark.createDataFrame([(1, '```json\n{"a": {"b": 1}}\n```'), (2, "```\nno braces ```"), (3, "} x {"), (4, None), (5, ' x {"a": "}"} y} z ')], "id long, t string")
+    out = said.select("id", strip_fence(F.col("t")).alias("x"))
+    assert plan(said.select("id", strip_fence(F.concat(F.lit("mark"), "t")).alias("x"))).count("mark") <= 2
+    assert [r.x for r in out.orderBy("id").collect()] == ['{"a": {"b": 1}}', "no braces", "} x {", None, '{"a": "}"} y}']
