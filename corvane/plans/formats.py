@@ -9,6 +9,8 @@ from corvane.sources import readers, sinks
 from corvane.tables import shared_dir
 
 query = Registry()
+#: Bytes of text that the answer files of one part hold, all languages together.
+OBJECT_BYTES = 16_000_000
 _DOCS = "SELECT doc_id, md5(text) AS digest, lang, source FROM documents"
 
 
@@ -46,13 +48,13 @@ def csv_scan(spark, d):
 
 @query("SELECT lang || '_' || doc_id AS question, CAST(r AS INTEGER) AS run, CASE WHEN r = 1 THEN md5(text) ELSE source END AS answer FROM documents, (VALUES (1), (2)) AS r(r)")
 def json_object_answers(spark, d):
-    """One JSON object a file: questions with lists of answers, read as (question, run, answer)."""
-    at = shared_dir(spark, "answers")
+    """One JSON object a file: questions with lists of answers, read as (question, run, answer). A language has as many files as keep each in bounds."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text", "source")
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(held // OBJECT_BYTES + 1))
     entries = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("_", "lang", "doc_id"), F.array("text", "source"))))
-    table(spark, d, "documents").groupBy("lang").agg(F.to_json(entries).alias("value")).select("value").repartition(4).write.option("lineSep", "\n").text(at)
-    lines = spark.read.text(at)
     folder = shared_dir(spark, "objects")
-    lines.repartitionByRange(max(lines.count(), 1), "value").write.option("maxRecordsPerFile", 1).text(folder)
+    docs.groupBy("lang", part.alias("part")).agg(F.to_json(entries).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(folder)
     a = readers.answers(spark, folder)
     return a.select("question", "run", F.when(F.col("run") == 1, F.md5(F.col("answer").cast("binary"))).otherwise(F.col("answer")).alias("answer"))
 

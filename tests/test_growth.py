@@ -3,7 +3,11 @@
 from pyspark.sql import functions as F
 
 from corvane.functions.text import strip_fence
-from corvane.operators import selection
+from corvane.operators import audit, selection
+from corvane.plans import formats
+from corvane.tables import shared_dir
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -44,3 +48,15 @@ def test_a_fenced_text_is_named_twice_at_most(spark):
     out = said.select("id", strip_fence(F.col("t")).alias("x"))
     assert plan(said.select("id", strip_fence(F.concat(F.lit("mark"), "t")).alias("x"))).count("mark") <= 2
     assert [r.x for r in out.orderBy("id").collect()] == ['{"a": {"b": 1}}', "no braces", "} x {", None, '{"a": "}"} y}']
+
+
+def test_answer_files_stay_in_bounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(formats, "OBJECT_BYTES", 20_000)
+    monkeypatch.setattr(formats, "shared_dir", lambda s, label: made.append(shared_dir(s, label)) or made[-1])
+    rows = formats.query.queries["json_object_answers"](spark, SF)
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert rows.count() == 2 * n and rows.select("question").distinct().count() == n
+    sizes = spark.read.format("binaryFile").load(made[-1]).select("length").toPandas()["length"]
+    longest = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("max(octet_length(text))").first()[0]
+    assert sizes.max() < 1.2 * longest + 100_000 and len(sizes) > 8
