@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import falsy, first_filled, references
-from corvane.tables import BROADCAST_BYTES, small
+from corvane.tables import BROADCAST_BYTES, materialize, small
 
 
 def field_profile(df: DataFrame, ids: Sequence[str], text: str) -> DataFrame:
@@ -215,16 +215,19 @@ def by_top_folder(files: DataFrame, path: str = "path") -> DataFrame:
 def best_name(names: DataFrame, quotas: DataFrame, key: str, text: str, quota: str, least: int = 2) -> DataFrame:
     """For each text, the quota name that holds most of its parts (of three letters or more), ``least`` at the least; the first of equals.
 
-    Words that a quota shares with a text are met by a join on the parts, so work follows matching parts and not all pairs.
-    Quota names are split on everything but letters and digits; a part must be one of their words.
+    Texts of the same parts are matched once. Words that a quota shares with a text are met by a join on the parts, so work follows
+    matching parts of different texts and not all pairs. Quota names are split on everything but letters and digits; a part must be one of their words.
     """
     parts = F.array_distinct(F.filter(F.split(F.lower(text), r"[.\-:_ ]"), lambda p: (F.length(p) > 2) & (p != "us")))
     words = F.array_distinct(F.filter(F.split(F.lower(quota), r"[^\p{L}\p{N}]+"), lambda p: p != ""))
-    left = names.select(key, F.explode(parts).alias("part"))
-    right = quotas.select(quota, F.explode(words).alias("part")).distinct()
-    common = left.join(right, "part").groupBy(key, quota).agg(F.count(F.lit(1)).cast("int").alias("common")).where(F.col("common") >= least)
-    best = F.min(F.struct((-F.col("common")).alias("c"), F.col(quota).alias("q")))
-    return common.groupBy(key).agg(best.alias("b")).select(key, F.col("b.q").alias(quota), (-F.col("b.c")).alias("common"))
+    named = names.select(F.col(key).alias("k"), F.array_sort(parts).alias("parts"))
+    left = named.select("parts").distinct().select("parts", F.explode("parts").alias("part"))
+    right = quotas.select(F.col(quota).alias("q"), F.explode(words).alias("part")).distinct()
+    common = left.join(right, "part").groupBy("parts", "q").agg(F.count(F.lit(1)).cast("int").alias("common")).where(F.col("common") >= least)
+    order = lambda: F.min(F.struct((-F.col("common")).alias("c"), "q"))
+    best = materialize(common.groupBy("parts").agg(order().alias("b")).select("parts", (-F.col("b.c")).alias("common"), "b.q"), "names")
+    found = named.join(small(best), "parts").groupBy("k").agg(order().alias("b"))
+    return found.select(F.col("k").alias(key), F.col("b.q").alias(quota), (-F.col("b.c")).alias("common"))
 
 
 def unmatched_titles(df: DataFrame, classes: DataFrame, title: str, kind: str) -> tuple[DataFrame, DataFrame]:

@@ -60,3 +60,18 @@ def test_answer_files_stay_in_bounds(spark, monkeypatch):
     sizes = spark.read.format("binaryFile").load(made[-1]).select("length").toPandas()["length"]
     longest = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("max(octet_length(text))").first()[0]
     assert sizes.max() < 1.2 * longest + 100_000 and len(sizes) > 8
+
+
+def test_names_of_the_same_parts_are_matched_once(spark):
+    names = spark.createDataFrame([(k, f"us.large.red-ring:{'v1' if k % 2 else 'v2'}") for k in range(50)] + [(50, "us.x"), (51, None), (1, "us.small.cold-bolt")], "k long, t string")
+    quotas = spark.createDataFrame([("red ring (LARGE)",), ("red ring (SMALL)",), ("cold bolt (SMALL)",)], "q string")
+    got = sorted(tuple(r) for r in audit.best_name(names, quotas, "k", "t", "q").collect())
+    assert got == sorted([(k, "cold bolt (SMALL)" if k == 1 else "red ring (LARGE)", 3) for k in range(50)])
+    read = []
+    small = audit.small
+    audit.small = lambda df: read.append(df.count()) or small(df)
+    try:
+        audit.best_name(names, quotas, "k", "t", "q").collect()
+    finally:
+        audit.small = small
+    assert read == [2]  # two sets of parts, not 50 names
