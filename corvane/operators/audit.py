@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import falsy, first_filled, references
+from corvane.session import ship
 from corvane.tables import BROADCAST_BYTES, materialize, small
 
 
@@ -189,11 +190,42 @@ def verification_report(df: DataFrame, layer: str) -> DataFrame:
                   *(F.count_if(F.col(layer) == k).alias(f"failed_{k}") for k in (0, 1, 2)))
 
 
+#: Bytes from which a file is read in pieces; a shorter one is a cell of a row.
+WHOLE_BYTES = 128_000_000
+
+
+def _digests(frames):
+    """(path, bytes, n_lines, sha256) of files read in pieces."""
+    import hashlib
+
+    import pandas as pd
+    from pyarrow import fs
+
+    for pdf in frames:
+        rows = []
+        for path in pdf["path"]:
+            system, at = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+            digest, size, lines = hashlib.sha256(), 0, 0
+            with system.open_input_stream(at, compression=None) as src:
+                while piece := src.read(1 << 22):
+                    digest.update(piece)
+                    size += len(piece)
+                    lines += piece.count(b"\n")
+            rows.append((path, size, lines if path.endswith(".jsonl") else None, digest.hexdigest()))
+        yield pd.DataFrame(rows, columns=["path", "bytes", "n_lines", "sha256"]).astype({"n_lines": "Int64"})
+
+
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, bytes, lines (of .jsonl alone) and SHA-256 of every file below a folder."""
+    """Path, bytes, lines (of .jsonl alone) and SHA-256 of every file below a folder.
+
+    A digest takes a file's bytes in order, so a file is one task's; from ``WHOLE_BYTES`` on it is read in pieces, and of any size.
+    """
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     lines = F.when(F.col("path").endswith(".jsonl"), F.regexp_count(F.col("content").cast("string"), F.lit("\n")).cast("long"))
-    return files.select("path", F.length("content").cast("long").alias("bytes"), lines.alias("n_lines"), F.sha2("content", 256).alias("sha256"))
+    whole = files.where(F.col("length") < WHOLE_BYTES).select("path", F.length("content").cast("long").alias("bytes"), lines.alias("n_lines"), F.sha2("content", 256).alias("sha256"))
+    long = files.where(F.col("length") >= WHOLE_BYTES).select("path")
+    return whole.unionByName(long.repartition("path").mapInPandas(_digests, whole.schema))
 
 
 def verify_manifest(stored: DataFrame, found: DataFrame) -> DataFrame:

@@ -75,3 +75,16 @@ def test_names_of_the_same_parts_are_matched_once(spark):
     finally:
         audit.small = small
     assert read == [2]  # two sets of parts, not 50 names
+
+
+def test_manifest_reads_long_files_in_pieces(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    for name, body in (("a b.jsonl", b"x\ny\n" * 50), ("b.bin", b"\n" * 300), ("c.jsonl", b"z\n")):
+        (tmp_path / name).write_bytes(body)
+    monkeypatch.setattr(audit, "WHOLE_BYTES", 100)
+    out = audit.manifest(spark, str(tmp_path))
+    assert "MapInPandas" in plan(out)
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.n_lines, r.sha256) for r in out.collect()}
+    want = {p.name: (len(p.read_bytes()), p.read_bytes().count(b"\n") if p.suffix == ".jsonl" else None, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.iterdir()}
+    assert got == want
