@@ -104,11 +104,15 @@ def atom(spark: SparkSession, path: str) -> DataFrame:
     return feed.select(number.alias("number"), "title", F.col("link._href").alias("url")).where("number IS NOT NULL").orderBy(F.desc("number"))
 
 
+#: Bytes of a hit as pages are counted, and bytes that a task reads at least, since each costs a worker's start.
+HIT_BYTES, LEAST_BYTES = 200, 16_000_000
+
+
 class SearchSource(DataSource):
     """A paged search API, replayed from a folder of JSON lines (hits with ``id``, ISO ``date``, ``title`` and ``body``).
 
-    Filters on ``date`` are pushed to the reader, as a service would take them. A page is a run of ``pageSize`` hits of a file, and a
-    partition of the scan.
+    Filters on ``date`` are pushed to the reader, as a service would take them. A partition of the scan is a range of a file's bytes, about
+    ``pagesPerTask`` pages of ``pageSize`` hits long and ``LEAST_BYTES`` at least: no task reads what lies before its range.
     """
 
     @classmethod
@@ -124,7 +128,7 @@ class SearchSource(DataSource):
 
 class _SearchReader(DataSourceReader):
     def __init__(self, path: str, size: int, per_task: int):
-        self.path, self.step, self.low, self.high = path, size * per_task, "", "\uffff"
+        self.path, self.step, self.low, self.high = path, max(size * per_task * HIT_BYTES, LEAST_BYTES), "", "\uffff"
 
     @staticmethod
     def _files(path: str):
@@ -149,19 +153,22 @@ class _SearchReader(DataSourceReader):
         found = []
         for info in sorted(system.get_file_info(fs.FileSelector(root)), key=lambda i: i.path):
             if info.is_file and info.base_name.endswith(".json"):
-                with system.open_input_stream(info.path) as src:
-                    n = sum(chunk.count(b"\n") for chunk in iter(lambda: src.read(1 << 20), b""))
-                found += [InputPartition((info.path, at, at + self.step)) for at in range(0, max(n, 1), self.step)]
-        return found
+                found += [InputPartition((info.path, at, at + self.step)) for at in range(0, info.size, self.step)]
+        return found or [InputPartition((None, 0, 0))]
 
     def read(self, partition: InputPartition):
         import io
-        from itertools import islice
 
         path, first, last = partition.value
+        if path is None:
+            return
         system, _ = self._files(self.path)
-        with system.open_input_stream(path) as src:
-            for line in islice(io.TextIOWrapper(src, "utf-8"), first, last):
+        with system.open_input_file(path) as raw:
+            src = io.BufferedReader(raw, 1 << 20)
+            if first:  # a line belongs to the range that holds its first byte
+                src.seek(first - 1)
+                src.readline()
+            while src.tell() < last and (line := src.readline()):
                 hit = json.loads(line) if line.strip() else {}
                 if hit and self.low <= (hit.get("date") or "") <= self.high:
                     yield hit.get("id"), hit.get("date"), hit.get("title"), hit.get("body")

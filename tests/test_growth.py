@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from corvane.functions import exams
 from corvane.functions.text import strip_fence
 from corvane.operators import audit, selection
 from corvane.plans import formats
+from corvane.sources import readers
 from corvane.tables import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +90,15 @@ def test_manifest_reads_long_files_in_pieces(spark, tmp_path, monkeypatch):
     got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.n_lines, r.sha256) for r in out.collect()}
     want = {p.name: (len(p.read_bytes()), p.read_bytes().count(b"\n") if p.suffix == ".jsonl" else None, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.iterdir()}
     assert got == want
+
+
+def test_search_reads_each_byte_range_once(tmp_path, monkeypatch):
+    lines = ['{"id": "%d", "date": "2022-01-0%d", "title": "é%s", "body": ""}' % (k, k % 9 + 1, "x" * (k % 40)) for k in range(200)]
+    (tmp_path / "a.json").write_text("\n".join(lines), "utf-8")
+    (tmp_path / "b.json").write_text("\n\n" + lines[0] + "\n", "utf-8")
+    for step in (1, 7, 64, 1000, 10**6):
+        monkeypatch.setattr(readers, "LEAST_BYTES", step)
+        source = readers._SearchReader(str(tmp_path), 0, 0)
+        parts = source.partitions()
+        assert max(p.value[2] - p.value[1] for p in parts) == step
+        assert sorted(int(r[0]) for p in parts for r in source.read(p)) == [0, *range(200)]
