@@ -26,11 +26,16 @@ def _phrases(c: Column, phrases: Sequence[str]) -> Column:
 
 def filled_lines(c: Column) -> Column:
     """The trimmed lines that are not blank."""
-    return F.filter(F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "\n"), trimmed), lambda x: x != "")
+
+
+#: White space of any kind, as ``(?U)\\s`` matches.
+_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends; a pattern would try every place of the text."""
+    return F.trim(c, F.lit(_SPACE))
 
 
 def clean_page(c: Column, cover: Sequence[str] = rules.COVER_PHRASES) -> Column:
@@ -49,12 +54,15 @@ def clean_page(c: Column, cover: Sequence[str] = rules.COVER_PHRASES) -> Column:
 def clean_statement(c: Column, noise: Sequence[str] = rules.NOISE_PHRASES) -> Column:
     """A statement without lines that carry a noise phrase, short fragments and marks left by the text extraction."""
     def keep(line: Column) -> Column:
-        low = trimmed(F.lower(line))
+        low = line["low"]  # made once a line: a name of an expression is a computation
         fragment = (F.length(low) < 10) & low.rlike(r"^[•·\-*]?\s*[a-z]")
-        noisy = (_phrases(low, noise) > 0) | fragment | low.rlike(r"examinando(?!\s+deve)")
-        return (low == "") | ~noisy
+        noisy = F.lit(False)
+        for phrase in noise:
+            noisy = noisy | low.contains(phrase.lower())
+        return (low == "") | ~(noisy | fragment | low.rlike(r"examinando(?!\s+deve)"))
 
-    x = F.array_join(F.filter(F.split(c, "\n"), keep), "\n")
+    lines = F.transform(F.split(c, "\n"), lambda line: F.struct(line.alias("line"), trimmed(F.lower(line)).alias("low")))
+    x = F.array_join(F.transform(F.filter(lines, keep), lambda line: line["line"]), "\n")
     x = F.regexp_replace(x, r"\(cid:\d+\)", "")
     x = F.regexp_replace(x, r"(?m)\s*•\s*$", "")
     return trimmed(F.regexp_replace(F.regexp_replace(x, r"\n{3,}", "\n\n"), " {2,}", " "))
@@ -90,7 +98,8 @@ def document_task(c: Column) -> Column:
 
 def booklet_questions(booklets: DataFrame, key: str, text: str) -> DataFrame:
     """(key, number, statement, part_a, part_b, value_a, value_b) of each numbered question of a booklet."""
-    blocks = booklets.select(key, F.explode(F.split(text, r"(?iu)\n(?=QUESTÃO\s+\d+\b)")).alias("block"))
+    # A plain explode infers filters that split the text again.
+    blocks = booklets.select(key, F.explode_outer(F.split(text, r"(?iu)\n(?=QUESTÃO\s+\d+\b)")).alias("block"))
     number = F.regexp_extract("block", r"(?iu)^QUESTÃO\s+(\d+)\b", 1).try_cast("int")
     body = trimmed(F.regexp_replace("block", r"(?iu)^QUESTÃO\s+\d+\b\s*", ""))
     rows = blocks.select(key, number.alias("number"), body.alias("body")).where("number IS NOT NULL")
@@ -121,7 +130,8 @@ def answer_key_sections(files: DataFrame, key: str, text: str) -> DataFrame:
     A state machine over lines: a section line sets the question (null for the document task; a counted one takes the next
     number) and clears the part; a part line sets what the lines after it belong to. Lines before any part line are left out.
     """
-    lines = files.select(key, F.posexplode(filled_lines(F.col(text))).alias("pos", "line"))
+    # A plain posexplode infers filters that split the text again.
+    lines = files.select(key, F.posexplode_outer(filled_lines(F.col(text))).alias("pos", "line")).where("line IS NOT NULL")
     line = F.col("line")
     document = line.rlike(DOCUMENT_SECTION[0])
     counted = ~document & line.rlike(COUNTED_SECTION)

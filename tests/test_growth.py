@@ -102,3 +102,10 @@ def test_search_reads_each_byte_range_once(tmp_path, monkeypatch):
         parts = source.partitions()
         assert max(p.value[2] - p.value[1] for p in parts) == step
         assert sorted(int(r[0]) for p in parts for r in source.read(p)) == [0, *range(200)]
+
+
+def test_lines_are_made_lower_once(spark):
+    said = spark.createDataFrame([(1, "ab\nficamos todos　\n\x85 o examinando leva\nno fim de tudo ")], "id long, t string")
+    out = said.select(exams.clean_statement(F.col("t")).alias("x"))
+    assert plan(out).count("lower(") == 1
+    assert out.first()[0] == "ficamos todos　\nno fim de tudo"
